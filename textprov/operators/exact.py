@@ -50,14 +50,17 @@ def mark_first_q(df: DataFrame, keys: list[str], quota: DataFrame, seed, id_col:
     rows = df.withColumn(_H, order_key(seed, id_col)).withColumn(_B, hex_bucket(F.col(_H), digits))
     hist = rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_xt_n"))
     w = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_xt_before", F.coalesce(F.sum("_xt_n").over(w), F.lit(0)))
+    hist = (hist.withColumn("_xt_before", F.coalesce(F.sum("_xt_n").over(w), F.lit(0)))
+                .withColumn("_xt_tot", F.sum("_xt_n").over(Window.partitionBy(*keys))))
     rk = [f"_xt_k{i}" for i in range(len(keys))]
     qt = quota.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
                       F.col("q").cast("bigint").alias("_xt_q"))
     cond = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
     bnd = (hist.join(bounded_broadcast(qt, max_groups), cond, "inner")
+           # the bucket holding the q-th row; when q >= group size, the last bucket
            .filter((F.col("_xt_before") < F.col("_xt_q"))
-                   & (F.col("_xt_before") + F.col("_xt_n") >= F.col("_xt_q")))
+                   & ((F.col("_xt_before") + F.col("_xt_n") >= F.col("_xt_q"))
+                      | (F.col("_xt_before") + F.col("_xt_n") == F.col("_xt_tot"))))
            .select(*rk, F.col(_B).alias("_xt_bstar"),
                    (F.col("_xt_q") - F.col("_xt_before")).alias("_xt_need")))
     cond2 = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]

@@ -122,47 +122,56 @@ def class_report(cm: DataFrame) -> DataFrame:
 
 
 def score_cumulative(df: DataFrame, score="score", label="label",
-                     buckets: int = SCORE_BUCKETS) -> DataFrame:
-    """Per distinct score: n0, n1 and counts of each class strictly below it.
+                     buckets: int = SCORE_BUCKETS, by: list[str] | None = None) -> DataFrame:
+    """Per (group, distinct score): n0, n1 and counts of each class strictly below it.
 
-    Also carries the totals N0, N1.  Scores are expected in [0, 1]; values
-    outside are clamped only for bucketing, which keeps the order.
+    Also carries the group totals ``tot0``, ``tot1``.  Scores are expected in
+    [0, 1]; values outside are clamped only for bucketing, which keeps the order.
     """
+    by = list(by or [])
     s, lab = _c(score), _c(label)
-    g = (df.groupBy(s.alias("score"))
+    g = (df.groupBy(*by, s.alias("score"))
          .agg(F.count_if(lab == 0).cast("bigint").alias("n0"),
               F.count_if(lab == 1).cast("bigint").alias("n1")))
     cb = F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * buckets)
     g = g.withColumn("_cb", cb.cast("int"))
-    bt = g.groupBy("_cb").agg(F.sum("n0").alias("_b0"), F.sum("n1").alias("_b1"))
-    # at most buckets + 1 rows: a bounded single-partition window
-    wb = Window.orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy()
-    bt = bt.select("_cb",
+    bt = g.groupBy(*by, "_cb").agg(F.sum("n0").alias("_b0"), F.sum("n1").alias("_b1"))
+    # at most buckets + 1 rows per group: a bounded window
+    wb = Window.partitionBy(*by).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*by)
+    bt = bt.select(*by, "_cb",
                    F.coalesce(F.sum("_b0").over(wb), F.lit(0)).alias("_c0b"),
                    F.coalesce(F.sum("_b1").over(wb), F.lit(0)).alias("_c1b"),
                    F.sum("_b0").over(wall).alias("tot0"),
                    F.sum("_b1").over(wall).alias("tot1"))
-    g = g.join(bounded_broadcast(bt, buckets + 1, known_rows=buckets + 1), "_cb")
-    wi = Window.partitionBy("_cb").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    return g.select("score", "n0", "n1",
+    known = buckets + 1 if not by else None
+    g = g.join(bounded_broadcast(bt, buckets + 1, known_rows=known), [*by, "_cb"])
+    wi = Window.partitionBy(*by, "_cb").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    return g.select(*by, "score", "n0", "n1",
                     (F.col("_c0b") + F.coalesce(F.sum("n0").over(wi), F.lit(0))).alias("c0_below"),
                     (F.col("_c1b") + F.coalesce(F.sum("n1").over(wi), F.lit(0))).alias("c1_below"),
                     "tot0", "tot1")
 
 
-def auroc(df: DataFrame, score="score", label="label") -> DataFrame:
+def auroc(df: DataFrame, score="score", label="label", by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half; NULL when a class is missing."""
-    g = score_cumulative(df, score, label)
-    agg = g.agg(F.sum(F.col("n1") * (F.col("c0_below") + F.lit(0.5) * F.col("n0"))).alias("_u"),
-                F.max("tot0").alias("tot0"), F.max("tot1").alias("tot1"))
+    by = list(by or [])
+    g = score_cumulative(df, score, label, by=by)
+    aggs = [F.sum(F.col("n1") * (F.col("c0_below") + F.lit(0.5) * F.col("n0"))).alias("_u"),
+            F.max("tot0").alias("tot0"), F.max("tot1").alias("tot1")]
+    agg = g.groupBy(*by).agg(*aggs) if by else g.agg(*aggs)
     return agg.select(
+        *by,
         F.col("tot0").cast("bigint").alias("n_neg"), F.col("tot1").cast("bigint").alias("n_pos"),
         F.when((F.col("tot0") > 0) & (F.col("tot1") > 0),
                F.round(F.col("_u") / (F.col("tot0").cast("double") * F.col("tot1")), 6))
          .alias("auroc"))
 
 
+def auroc_by(df: DataFrame, by: list[str], score="score", label="label") -> DataFrame:
+    return auroc(df, score, label, by=by)
+
+
 def threshold_sweep(df: DataFrame, score="score", label="label") -> DataFrame:
     """For each distinct score t: confusion and metrics of ``pred = score > t``."""
     g = score_cumulative(df, score, label)

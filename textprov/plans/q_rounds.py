@@ -1 +1,156 @@
-"""Queries (filled in below)."""
+"""Queries: round log and decisions, pool build / merge / append, model fit, loop."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import tables
+from ..operators import score
+from ..session import scratch_path
+from . import rounds
+from .catalog import EXAMPLES_CTE, SPLIT_CTE, query, smd5
+from .q_split import split_examples
+
+D = "CAST({} AS DOUBLE)".format
+
+LOG_CTE = EXAMPLES_CTE + f""",
+r AS (SELECT example_id, label, rnd FROM examples, (SELECT unnest(range(1, 6)) AS rnd) t),
+s AS (SELECT *, round(({D(0.7)} - {D(0.1)} * rnd)
+                      * CAST(('0x' || substr(md5(CAST(rnd + 6 AS VARCHAR) || ':' || CAST(example_id AS VARCHAR)), 1, 8)) AS BIGINT)
+                      / 4294967296.0 + ({D(0.3)} + {D(0.1)} * rnd) * label, 2) AS score FROM r),
+p AS (SELECT *, 4.0 * score - 2.0 AS l1, CAST(score > 0.5 AS INTEGER) AS pred FROM s),
+per AS (SELECT rnd, avg(greatest(0.0, l1) + ln(1.0 + exp(-abs(l1))) - CASE WHEN label = 1 THEN l1 ELSE 0.0 END) AS loss,
+               avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS acc,
+               count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+               count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn, count(*) AS n FROM p GROUP BY rnd),
+g AS (SELECT rnd, score, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM p GROUP BY rnd, score),
+c AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY rnd ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0b,
+             sum(n0) OVER (PARTITION BY rnd) AS t0, sum(n1) OVER (PARTITION BY rnd) AS t1 FROM g),
+au AS (SELECT rnd, CASE WHEN max(t0) > 0 AND max(t1) > 0 THEN round(sum(n1 * (c0b + 0.5 * n0)) / (CAST(max(t0) AS DOUBLE) * max(t1)), 6) END AS auroc
+       FROM c GROUP BY rnd),
+log AS (SELECT CAST(per.rnd AS INTEGER) AS round, round(loss, 6) AS val_loss, round(acc, 6) AS val_accuracy,
+               round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS val_f1,
+               au.auroc AS val_auroc,
+               CAST(n + coalesce(sum(fp) OVER (ORDER BY per.rnd ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pool_size,
+               CAST(fp AS BIGINT) AS n_fp
+        FROM per JOIN au ON per.rnd = au.rnd)"""
+
+
+def log_table(spark, d):
+    return rounds.synthetic_log(tables.examples(spark, d))
+
+
+@query("round_log", f"WITH {LOG_CTE}\nSELECT * FROM log")
+def q_round_log(spark, d):
+    return log_table(spark, d)
+
+
+@query("convergence", f"""
+WITH {LOG_CTE}
+SELECT round, val_loss, lag(val_loss) OVER (ORDER BY round) AS prev_loss,
+       round(lag(val_loss) OVER (ORDER BY round) - val_loss, 9) AS delta,
+       (abs(lag(val_loss) OVER (ORDER BY round) - val_loss) < 0.001 AND round > 1) AS converged
+FROM log""")
+def q_convergence(spark, d):
+    return rounds.convergence(log_table(spark, d))
+
+
+@query("checkpoint_flags", f"""
+WITH {LOG_CTE},
+f AS (SELECT round, val_loss, min(val_loss) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before,
+             lag(val_loss) OVER (ORDER BY round) AS prev FROM log)
+SELECT round, val_loss, best_before, val_loss < coalesce(best_before, 'inf'::DOUBLE) AS is_new_best,
+       coalesce(val_loss < prev, true) AS better_than_prev FROM f""")
+def q_checkpoint_flags(spark, d):
+    return rounds.checkpoint_flags(log_table(spark, d))
+
+
+@query("best_round", f"""
+WITH {LOG_CTE}
+SELECT round, val_loss, val_accuracy, val_f1, val_auroc FROM log ORDER BY val_loss, round LIMIT 1""")
+def q_best_round(spark, d):
+    return rounds.best_round(log_table(spark, d))
+
+
+@query("resume_round", f"""
+WITH {LOG_CTE}
+SELECT CAST(coalesce(max(round), 0) + 1 AS INTEGER) AS next_round, min(val_loss) AS best_loss,
+       count(*) AS rounds_done FROM log""")
+def q_resume_round(spark, d):
+    return rounds.resume_round(log_table(spark, d))
+
+
+@query("pool_project", f"""
+WITH {SPLIT_CTE}
+SELECT example_id, label, source, domain FROM splits WHERE split = 'train'
+ORDER BY {smd5(42, 'example_id')}, example_id LIMIT 200""")
+def q_pool_project(spark, d):
+    from ..operators import sample
+    train = split_examples(spark, d).filter(F.col("split") == "train")
+    base = sample.sample_n(train, 200)
+    return rounds.project_pool(base, keep=("example_id", "input_ids", "label", "source", "domain"))
+
+
+def _pool(spark, d):
+    from .q_generate import creative_rows
+    train = split_examples(spark, d).filter(F.col("split") == "train")
+    return rounds.build_pool(train, creative_rows(spark, d), base_sample=rounds.BASE_SAMPLE,
+                             budget=500, priority_domains=["creative"])
+
+
+@query("pool_merge")
+def q_pool_merge(spark, d):
+    """Train sample plus creative rows (human stories and generated stories)."""
+    from .q_generate import creative_rows
+    from ..operators import sample
+    train = split_examples(spark, d).filter(F.col("split") == "train")
+    base = sample.sample_n(train, rounds.BASE_SAMPLE).withColumn("origin", F.lit("base"))
+    cr = creative_rows(spark, d).withColumn("origin", F.lit("creative"))
+    m = base.select("example_id", "label", "source", "domain", "origin").unionByName(
+        cr.select("example_id", "label", "source", "domain", "origin"))
+    return m.groupBy("origin", "source", "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query("pool_build")
+def q_pool_build(spark, d):
+    """Pool: train sample + creative, length filter, budget keeping creative whole, encoded."""
+    p = rounds.encode_pool(_pool(spark, d), vocab_size=5000)
+    return p.select("example_id", "label", "origin", "domain", "token_length",
+                    F.size("input_ids").cast("int").alias("n_ids"))
+
+
+@query("pool_append")
+def q_pool_append(spark, d):
+    """Pool stored by round: round 0 written, mirrors appended as round 1, read back."""
+    from .q_generate import mirror_job
+    base = scratch_path(spark, "pool_append")
+    train = split_examples(spark, d).filter(F.col("split") == "train")
+    pool = rounds.build_pool(train, None, budget=rounds.POOL_BUDGET)
+    rounds._write_partition(pool, f"{base}/pool")
+    m = mirror_job(spark, d, round_no=1).select(
+        "example_id", "text", "label", "source", "domain", F.lit("mirror").alias("origin"),
+        "round", "parent_id")
+    rounds._write_partition(m, f"{base}/pool")
+    back = spark.read.parquet(f"{base}/pool")
+    return back.groupBy("round", "origin", "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query("fit_score")
+def q_fit_score(spark, d):
+    """Spark ML text classifier fitted on the train split, scored on val and test."""
+    s = split_examples(spark, d)
+    model = score.fit(s.filter(F.col("split") == "train"))
+    held = s.filter(F.col("split") != "train")
+    return score.score(model, held, model_id="lr").select("example_id", "label", "score", "pred")
+
+
+@query("round_summary")
+def q_round_summary(spark, d):
+    """Two rounds of the mining loop on the train split, validated on val."""
+    s = split_examples(spark, d)
+    base = scratch_path(spark, "rounds")
+    loop = rounds.MiningLoop(spark, base, max_rounds=2)
+    train = s.filter(F.col("split") == "train")
+    loop.init_pool(rounds.build_pool(train, None))
+    return loop.run(s.filter(F.col("split") == "val")).select(
+        "round", "pool_size", "n_fp", "n_mirrors")
