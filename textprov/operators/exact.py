@@ -9,11 +9,14 @@ data on one core.  Here instead:
 2. a histogram ``(g, b) -> n`` is aggregated (map-side partial aggregation, so
    a hot group costs nothing extra);
 3. a running sum over the histogram (at most 16^digits rows per group) finds
-   for each group the boundary bucket ``b*`` where the q-th row lies and how
-   many rows of it are still needed;
-4. rows with ``b < b*`` are taken, ``b > b*`` are not, and only the boundary
-   bucket (about n_g / 16^digits rows) is ranked with ``row_number``.
+   for each group the boundary bucket ``b*`` where the q-th row lies;
+4. only the rows of the boundary bucket (about n_g / 16^digits) are ranked,
+   which yields the group's *cutoff*: the q-th smallest ``(h, id)``;
+5. every row is then decided on its own: taken iff ``(h, id) <= cutoff``.
 
+Steps 1-4 only touch the key columns and tables of one row per (group,
+bucket); step 5 is a map-side comparison against the cutoff table (one row
+per group, broadcast when the number of groups is under ``max_groups``).
 The result equals ``row_number() over (partition by g order by h, id) <= q``.
 """
 
@@ -23,58 +26,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hex_bucket, seeded_md5
-from .joins import bounded_broadcast
 
-_H, _B = "_xt_h", "_xt_b"
+MAX_BROADCAST_GROUPS = 1_000_000
 
 
 def order_key(seed, id_col: str) -> Column:
     return seeded_md5(seed, id_col)
 
 
+def cutoffs(keys_df: DataFrame, keys: list[str], quota: DataFrame, seed, id_col: str,
+            digits: int = 4, n_groups: int | None = None,
+            max_groups: int = MAX_BROADCAST_GROUPS) -> DataFrame:
+    """One row per group with q > 0: ``keys, _cut_h, _cut_id`` (the q-th smallest (h, id)).
+
+    ``quota`` has ``keys + ['q']``; only the key and id columns of ``keys_df`` are read.
+    """
+    rows = keys_df.select(*keys, id_col).withColumn("_h", order_key(seed, id_col))
+    rows = rows.withColumn("_b", hex_bucket(F.col("_h"), digits))
+    hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = (hist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+                .withColumn("_tot", F.sum("_n").over(Window.partitionBy(*keys))))
+    rk = [f"_k{i}" for i in range(len(keys))]
+    qt = quota.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
+                      F.col("q").cast("bigint").alias("_q"))
+    on = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
+    joined = hist.join(qt, on, "inner")
+    # the bucket holding the q-th row; when q >= group size, the last bucket
+    bnd = (joined
+           .filter((F.col("_before") < F.col("_q"))
+                   & ((F.col("_before") + F.col("_n") >= F.col("_q"))
+                      | (F.col("_before") + F.col("_n") == F.col("_tot"))))
+           .select(*rk, F.col("_b").alias("_bstar"),
+                   F.least(F.col("_q") - F.col("_before"), F.col("_n")).alias("_need")))
+    on2 = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
+    small = n_groups is not None and n_groups <= max_groups  # bnd: one row per group
+    brow = rows.join(F.broadcast(bnd) if small else bnd, on2, "inner")
+    brow = brow.filter(F.col("_b") == F.col("_bstar"))
+    wr = Window.partitionBy(*keys).orderBy("_h", id_col)
+    return (brow.withColumn("_rn", F.row_number().over(wr))
+            .filter(F.col("_rn") == F.col("_need"))
+            .select(*keys, F.col("_h").alias("_cut_h"), F.col(id_col).alias("_cut_id")))
+
+
+def taken_expr(seed, id_col: str) -> Column:
+    """Row is at or before its group's cutoff (false when the group takes nothing)."""
+    h = order_key(seed, id_col)
+    return F.coalesce((h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(id_col) <= F.col("_cut_id"))),
+                      F.lit(False))
+
+
+def attach_cutoffs(df: DataFrame, keys: list[str], cut: DataFrame, n_groups: int | None = None,
+                   max_groups: int = MAX_BROADCAST_GROUPS) -> DataFrame:
+    """Left-join the cutoff table; broadcast when the group count is known to be small,
+    otherwise a shuffle join (AQE may still broadcast it after measuring it)."""
+    rk = [f"_c{i}" for i in range(len(keys))]
+    c = cut.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)], "_cut_h", "_cut_id")
+    if n_groups is not None and n_groups <= max_groups:
+        c = F.broadcast(c)
+    on = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
+    return df.join(c, on, "left").drop(*rk)
+
+
 def mark_first_q(df: DataFrame, keys: list[str], quota: DataFrame, seed, id_col: str,
-                 out_col: str = "taken", digits: int = 4, max_groups: int = 100_000) -> DataFrame:
+                 out_col: str = "taken", digits: int = 4, n_groups: int | None = None) -> DataFrame:
     """Add boolean ``out_col``: row is among the first ``q`` of its group.
 
-    ``quota`` has columns ``keys + ['q']`` with one row per group (groups not in
-    ``quota`` take nothing).  ``max_groups`` bounds the per-group tables that
-    are broadcast; beyond it they are joined by shuffle.
+    ``quota``: ``keys + ['q']``, one row per group (groups not in it take
+    nothing).  With no keys, ``quota`` has one row and the whole table is one group.
     """
-    if not keys:
-        df = df.withColumn("_xt_all", F.lit(1))
-        quota = quota.withColumn("_xt_all", F.lit(1))
-        keys = ["_xt_all"]
-        drop_all = True
-    else:
-        drop_all = False
-    rows = df.withColumn(_H, order_key(seed, id_col)).withColumn(_B, hex_bucket(F.col(_H), digits))
-    hist = rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_xt_n"))
-    w = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    hist = (hist.withColumn("_xt_before", F.coalesce(F.sum("_xt_n").over(w), F.lit(0)))
-                .withColumn("_xt_tot", F.sum("_xt_n").over(Window.partitionBy(*keys))))
-    rk = [f"_xt_k{i}" for i in range(len(keys))]
-    qt = quota.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
-                      F.col("q").cast("bigint").alias("_xt_q"))
-    cond = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
-    bnd = (hist.join(bounded_broadcast(qt, max_groups), cond, "inner")
-           # the bucket holding the q-th row; when q >= group size, the last bucket
-           .filter((F.col("_xt_before") < F.col("_xt_q"))
-                   & ((F.col("_xt_before") + F.col("_xt_n") >= F.col("_xt_q"))
-                      | (F.col("_xt_before") + F.col("_xt_n") == F.col("_xt_tot"))))
-           .select(*rk, F.col(_B).alias("_xt_bstar"),
-                   (F.col("_xt_q") - F.col("_xt_before")).alias("_xt_need")))
-    cond2 = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
-    j = (rows.join(bounded_broadcast(bnd, max_groups), cond2, "left")
-         .withColumn("_xt_bstar", F.coalesce(F.col("_xt_bstar"), F.lit(-1)))
-         .withColumn("_xt_need", F.coalesce(F.col("_xt_need"), F.lit(0)))
-         .drop(*rk))
-    inner = j.filter(F.col(_B) == F.col("_xt_bstar"))
-    outer = j.filter(F.col(_B) != F.col("_xt_bstar"))
-    wr = Window.partitionBy(*keys).orderBy(_H, id_col)
-    inner = inner.withColumn(out_col, F.row_number().over(wr) <= F.col("_xt_need"))
-    outer = outer.withColumn(out_col, F.col(_B) < F.col("_xt_bstar"))
-    res = inner.unionByName(outer).drop(_H, _B, "_xt_bstar", "_xt_need")
-    return res.drop("_xt_all") if drop_all else res
+    grouped = bool(keys)
+    if not grouped:  # one group: a constant key, so both joins stay equi joins
+        df, quota = df.withColumn("_g", F.lit(0)), quota.withColumn("_g", F.lit(0))
+        keys, n_groups = ["_g"], 1
+    cut = cutoffs(df, keys, quota, seed, id_col, digits, n_groups=n_groups)
+    j = attach_cutoffs(df, keys, cut, n_groups=n_groups)
+    j = j.withColumn(out_col, taken_expr(seed, id_col)).drop("_cut_h", "_cut_id")
+    return j if grouped else j.drop("_g")
 
 
 def largest_remainder_quota(counts: DataFrame, key: str, frac: float, seed,

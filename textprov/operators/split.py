@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
-from .exact import largest_remainder_quota, mark_first_q
+from ..session import ensure_checkpoint_dir
+from .exact import (MAX_BROADCAST_GROUPS, attach_cutoffs, cutoffs, largest_remainder_quota,
+                    order_key, taken_expr)
 
 # 20 % held out, then half of it to test; seeds 42 and 43
 TEST_FRACTION = 0.2
@@ -52,33 +54,49 @@ def apply_rare_policy(df: DataFrame, policy: str, stratum: str = "stratum",
     raise ValueError(f"unknown policy {policy!r}")
 
 
-def _held_out(df: DataFrame, stratum: str, frac: float, seed, id_col: str, out: str) -> DataFrame:
-    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    quota = largest_remainder_quota(counts, stratum, frac, seed).select(stratum, "q")
-    return mark_first_q(df, [stratum], quota, seed, id_col, out_col=out)
-
-
 def stratified_split(df: DataFrame, stratum: Column | None = None, id_col: str = "example_id",
                      test_fraction: float = TEST_FRACTION, second_fraction: float = SECOND_FRACTION,
-                     seeds=SEEDS, rare_policy: str = "keep", persist: bool = False) -> DataFrame:
-    """Add ``split`` in {train, val, test}.
+                     seeds=SEEDS, rare_policy: str = "keep", materialize: bool = True) -> DataFrame:
+    """Add ``stratum`` and ``split`` in {train, val, test}.
 
     Step 1 (seed 42): ceil(0.2 N) rows, stratified, are held out; step 2
     (seed 43): ceil(0.5 M) of those, stratified again, become ``test``, the rest
     ``val``.  Deterministic: independent of partitioning and retries.
+
+    Only the (stratum, id) keys are read to find, per stratum and step, the
+    cutoff (q-th smallest hash); they are checkpointed once so that both steps
+    read them from the shared checkpoint folder instead of recomputing the
+    input.  The full rows are then labelled in one map-side pass against the
+    two cutoff tables (one row per stratum, broadcast).
     """
     st = stratum if stratum is not None else stratum_key()
-    x = df.withColumn("stratum", st)
-    x = apply_rare_policy(x, rare_policy)
-    if persist:
-        # two passes read the rows (histogram, assignment): keep them once
-        x = x.persist()
-    s1 = _held_out(x, "stratum", test_fraction, seeds[0], id_col, "_held")
-    train = s1.filter(~F.col("_held")).withColumn("split", F.lit("train"))
-    held = s1.filter(F.col("_held"))
-    s2 = _held_out(held, "stratum", second_fraction, seeds[1], id_col, "_test")
-    rest = s2.withColumn("split", F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("val")))
-    return train.drop("_held").unionByName(rest.drop("_held", "_test"))
+    x = apply_rare_policy(df.withColumn("stratum", st), rare_policy)
+    keys = x.select("stratum", id_col)
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        keys = keys.checkpoint(eager=True)
+    counts = keys.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    n_strata = counts.count()
+    q1 = largest_remainder_quota(counts, "stratum", test_fraction, seeds[0]).select("stratum", "q")
+    cut1 = cutoffs(keys, ["stratum"], q1, seeds[0], id_col, n_groups=n_strata)
+    held = (attach_cutoffs(keys, ["stratum"], cut1, n_groups=n_strata)
+            .filter(taken_expr(seeds[0], id_col)).select("stratum", id_col))
+    # the held rows of a stratum are exactly its step-1 quota
+    q2 = largest_remainder_quota(q1.withColumnRenamed("q", "n"), "stratum", second_fraction,
+                                 seeds[1]).select("stratum", "q")
+    cut2 = cutoffs(held, ["stratum"], q2, seeds[1], id_col, n_groups=n_strata)
+    c1 = cut1.select(F.col("stratum").alias("_s1"), F.col("_cut_h").alias("_h1"), F.col("_cut_id").alias("_i1"))
+    c2 = cut2.select(F.col("stratum").alias("_s2"), F.col("_cut_h").alias("_h2"), F.col("_cut_id").alias("_i2"))
+    if n_strata <= MAX_BROADCAST_GROUPS:
+        c1, c2 = F.broadcast(c1), F.broadcast(c2)
+    j = (x.join(c1, F.col("stratum").eqNullSafe(F.col("_s1")), "left")
+          .join(c2, F.col("stratum").eqNullSafe(F.col("_s2")), "left"))
+    h1, h2 = order_key(seeds[0], id_col), order_key(seeds[1], id_col)
+    idc = F.col(id_col)
+    in1 = F.coalesce((h1 < F.col("_h1")) | ((h1 == F.col("_h1")) & (idc <= F.col("_i1"))), F.lit(False))
+    in2 = F.coalesce((h2 < F.col("_h2")) | ((h2 == F.col("_h2")) & (idc <= F.col("_i2"))), F.lit(False))
+    split = F.when(~in1, F.lit("train")).when(in2, F.lit("test")).otherwise(F.lit("val"))
+    return j.withColumn("split", split).drop("_s1", "_h1", "_i1", "_s2", "_h2", "_i2")
 
 
 def group_split(df: DataFrame, group_col: str = "group_key", seed=42,
