@@ -305,3 +305,21 @@ def mirror_job(spark, d, round_no=1, max_mirrors=1000):
 def q_mirrors(spark, d):
     return mirror_job(spark, d).select("example_id", "label", "source", "domain", "parent_id", "round",
                                        F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("reply_ingest", f"WITH {PAYLOAD_CTE}\nSELECT request_id, status, attempts, error FROM status")
+def q_reply_ingest(spark, d):
+    """Replies dropped twice into a folder (a retried worker) and ingested by two
+    incremental streaming runs: each request appears once, no file is read twice."""
+    from ..session import scratch_path
+    from ..streaming import replies as rs
+    _, req = prompt_stage(spark, d)
+    base = scratch_path(spark, "reply_ingest")
+    generate.run_requests(req, generate.FlakyGenerator(generate.StubPromptWriter()),
+                          sleep=lambda s: None).write.parquet(f"{base}/sent")
+    sent = spark.read.parquet(f"{base}/sent")  # persisted before use: no second call
+    rs.write_reply_files(sent, f"{base}/incoming")
+    rs.run_ingest(spark, f"{base}/incoming", f"{base}/table", f"{base}/_checkpoint")
+    rs.write_reply_files(sent, f"{base}/incoming")
+    table = rs.run_ingest(spark, f"{base}/incoming", f"{base}/table", f"{base}/_checkpoint")
+    return table.select("request_id", "status", "attempts", "error")

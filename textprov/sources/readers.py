@@ -42,22 +42,31 @@ QA_SCHEMA = T.StructType([
     T.StructField(QA_QUESTION, T.StringType()),
     T.StructField(QA_HUMAN, T.ArrayType(T.StringType())),
     T.StructField(QA_AI, T.ArrayType(T.StringType())),
-    T.StructField("_corrupt_record", T.StringType()),
 ])
 
 
+def _qa_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the JSONL files with a validity flag (a JSON object) and the parsed record."""
+    raw = (spark.read.text(path)
+           .select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
+           .filter(F.length(F.trim("value")) > 0))
+    v = F.try_parse_json("value")
+    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return raw.select("_file", "value", ok.alias("_ok"),
+                      F.when(ok, F.from_json("value", QA_SCHEMA)).alias("r"))
+
+
 def read_qa_jsonl(spark: SparkSession, path: str, source: str = "qa", domain: str = "qa"):
     """Return ``(rows, quarantine)``.
 
     ``rows``: example_id, record_id, label, answer_pos, text, source, domain,
     group_key (the record id, so all answers of a question stay together).
+    ``quarantine``: lines that are not a JSON object (file path and line text).
     """
-    raw = (spark.read.schema(QA_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-           .withColumn("_file", F.col("_metadata.file_path")))
-    good = raw.filter(F.col("_corrupt_record").isNull())
-    bad = raw.filter(F.col("_corrupt_record").isNotNull()).select(
-        F.col("_file").alias("file_path"), F.col("_corrupt_record").alias("record"))
+    lines = _qa_lines(spark, path)
+    good = lines.filter("_ok").select("_file", "r.*")
+    bad = lines.filter(~F.col("_ok")).select(F.col("_file").alias("file_path"),
+                                              F.col("value").alias("record"))
     items = F.concat(
         F.transform(F.coalesce(F.col(QA_HUMAN), F.array().cast("array<string>")),
                     lambda a, i: F.struct(F.lit(0).alias("label"), i.alias("pos"), a.alias("answer"))),
@@ -76,13 +85,11 @@ def read_qa_jsonl(spark: SparkSession, path: str, source: str = "qa", domain: st
 
 
 def qa_record_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Records read and records quarantined (one pass over the lines)."""
-    raw = (spark.read.schema(QA_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    bad = F.col("_corrupt_record").isNotNull()
-    return raw.agg(F.count_if(~bad).cast("bigint").alias("n_good_records"),
-                   F.count_if(bad).cast("bigint").alias("n_quarantined"),
-                   F.count_distinct("id").cast("bigint").alias("n_record_ids"))
+    """Records read and lines quarantined (one pass over the lines)."""
+    lines = _qa_lines(spark, path)
+    return lines.agg(F.count_if("_ok").cast("bigint").alias("n_good_records"),
+                     F.count_if(~F.col("_ok")).cast("bigint").alias("n_quarantined"),
+                     F.count_distinct(F.when(F.col("_ok"), F.col("r.id"))).cast("bigint").alias("n_record_ids"))
 
 
 def read_labelled_csv(spark: SparkSession, path: str, source: str = "news", domain: str = "news",
