@@ -2,8 +2,9 @@
 
 ``sample_n`` takes exactly ``min(n, N)`` rows: the n smallest ``md5(seed:id)``.
 For n up to ``topk_max`` this is a ``TakeOrderedAndProject`` (per-partition
-top-n then a merge of n rows per partition); above it the boundary-bucket
-method of :mod:`exact` avoids a global sort.
+top-n, then one task merges n rows from every partition, so n must stay
+small); above it the cutoff method of :mod:`exact` needs no global sort and
+no single task sees more than a histogram bucket.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from ..functions.hashing import seeded_md5
 from .exact import mark_first_q
 from .filters import in_domains
 
-TOPK_MAX = 100_000
+TOPK_MAX = 1000
 
 
 def sample_n(df: DataFrame, n: int, seed=42, id_col: str = "example_id",

@@ -6,9 +6,10 @@ frequent words cost one partial row per task), top-V by (count desc, token)
 as a ``TakeOrderedAndProject``; ids 0 = padding, 1 = unknown, 2.. = vocabulary.
 
 Encoding joins exploded token positions with the vocabulary (V rows, a
-provable broadcast bound).  The rows are hash-partitioned on the id *before*
-the explode, so the regrouping after the join needs no second shuffle: only
-the text rows move, never the exploded token rows.
+provable broadcast bound).  Texts are tokenised map-side and only the first
+``max_len`` tokens are hash-partitioned on the id *before* the explode, so the
+regrouping after the join needs no second shuffle: neither the full text nor
+the exploded token rows cross the network.
 
 ``subword_lengths`` / ``subword_encode`` run a ``tokenizers`` tokenizer file
 inside an Arrow iterator UDF (loaded once per Python worker), for users who
@@ -48,9 +49,14 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "example_id", text: st
     """The ``tokens`` table: id, ``token_length`` (untruncated), ``input_ids`` and
     ``attention_mask`` (truncated at ``max_len``)."""
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = df.repartition(parts, id_col).withColumn("_toks", ws_tokens(text))
-    ex = base.select(id_col, F.size("_toks").cast("int").alias("token_length"),
-                     F.posexplode_outer(F.slice("_toks", 1, max_len)).alias("_pos", "token"))
+    toks = df.select(id_col, ws_tokens(text).alias("_t"))
+    # tokenise map-side, then move only the first max_len tokens (not the text,
+    # not the exploded rows); the regrouping below reuses this partitioning
+    base = (toks.select(id_col, F.size("_t").cast("int").alias("token_length"),
+                        F.slice("_t", 1, max_len).alias("_toks"))
+            .repartition(parts, id_col))
+    ex = base.select(id_col, "token_length",
+                     F.posexplode_outer("_toks").alias("_pos", "token"))
     v = bounded_broadcast(vocab.select("token", F.col("id").alias("_vid")),
                           max_rows=5_000_000, known_rows=vocab_size)
     j = ex.join(v, "token", "left")

@@ -21,7 +21,7 @@ def _doc_tokens(spark, d):
 
 
 def _ex_tokens(spark, d):
-    return tables.examples(spark, d).withColumn("token_length", tx.ws_token_count("text"))
+    return tables.labelled_features(spark, d, {"token_length": tx.ws_token_count("text")})
 
 
 DOC_TOK = f"doc_tok AS (SELECT doc_id, source, lang, {ntok_sql()} AS token_length FROM documents)"
@@ -221,12 +221,16 @@ SELECT source, label, count(*) AS n, round(avg(token_length), 6) AS mean_tokens,
        count(*) FILTER (WHERE token_length >= 64) AS n_kept
 FROM ex_tok WHERE length({strip_sql('text')}) > 0 GROUP BY source, label""")
 def q_corpus_token_report(spark, d):
-    return flagship(tables.examples(spark, d))
+    return flagship(spark, d)
 
 
-def flagship(ex):
-    """documents JOIN labels -> strip filter -> tokens -> source x label token report."""
-    x = filters.nonempty(ex).withColumn("token_length", tx.ws_token_count("text"))
+def flagship(spark, d):
+    """documents JOIN labels -> strip filter -> tokens -> source x label token report.
+
+    The strip filter and the token count run on ``documents`` before the join.
+    """
+    x = tables.labelled_features(spark, d, {"token_length": tx.ws_token_count("text")},
+                                 keep_empty=False)
     return (x.groupBy("source", "label")
             .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                  F.round(F.avg("token_length"), 6).alias("mean_tokens"),

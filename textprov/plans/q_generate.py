@@ -144,7 +144,8 @@ def _numbered_replies(spark, d):
     line = (F.when(F.col("role") == "system", F.concat(F.lit("Note: "), first_line))
              .when(F.col("role") == "user", F.concat(F.lit("["), num, F.lit("] "), first_line))
              .otherwise(F.concat(num, F.lit(") "), first_line)))
-    return c.groupBy("conv_id").agg(
+    # one reply per block of 64 turns: no task collects a whole conversation
+    return c.groupBy("conv_id", F.floor(F.col("turn") / 64).alias("part")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))),
                                  lambda s: s["l"]), "\n").alias("reply"))
 
@@ -159,40 +160,42 @@ def _fold_sql():
             f"WHEN starts_with(l.s, {p3}) THEN {cut(p3)} ELSE l.s END")
     return f"""
 WITH RECURSIVE lines AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ln,
+  SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS part,
+         row_number() OVER (PARTITION BY conv_id, floor(turn / 64) ORDER BY turn) AS ln,
          {strip_sql('''CASE WHEN role = 'system' THEN 'Note: ' || split_part(text, chr(10), 1)
                     WHEN role = 'user' THEN '[' || (turn + 1) || '] ' || split_part(text, chr(10), 1)
                     ELSE (turn + 1) || ') ' || split_part(text, chr(10), 1) END''')} AS s
   FROM conversations),
-fold(conv_id, ln, k, item) AS (
-  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM lines
+fold(conv_id, part, ln, k, item) AS (
+  SELECT DISTINCT conv_id, part, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM lines
   UNION ALL
-  SELECT f.conv_id, l.ln, f.k + CASE WHEN ({item}) <> '' THEN 1 ELSE 0 END,
+  SELECT f.conv_id, f.part, l.ln, f.k + CASE WHEN ({item}) <> '' THEN 1 ELSE 0 END,
          CASE WHEN ({item}) <> '' THEN ({item}) END
-  FROM fold f JOIN lines l ON l.conv_id = f.conv_id AND l.ln = f.ln + 1)
-SELECT conv_id, CAST(k - 1 AS INTEGER) AS item_pos, item FROM fold WHERE item IS NOT NULL"""
+  FROM fold f JOIN lines l ON l.conv_id = f.conv_id AND l.part = f.part AND l.ln = f.ln + 1)
+SELECT conv_id, part, CAST(k - 1 AS INTEGER) AS item_pos, item FROM fold WHERE item IS NOT NULL"""
 
 
 @query("parse_numbered", _fold_sql())
 def q_parse_numbered(spark, d):
     r = _numbered_replies(spark, d)
-    return r.select("conv_id", F.posexplode(tx.parse_numbered("reply")).alias("item_pos", "item")) \
-            .select("conv_id", F.col("item_pos").cast("int"), "item")
+    return r.select("conv_id", "part", F.posexplode(tx.parse_numbered("reply")).alias("item_pos", "item")) \
+            .select("conv_id", "part", F.col("item_pos").cast("int"), "item")
 
 
 @query("parse_parts", f"""
-WITH r AS (SELECT conv_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS reply
-           FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-p AS (SELECT conv_id, list_filter(list_transform(string_split(reply, '---'), lambda x: {strip_sql('x')}),
+WITH r AS (SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS part,
+                  string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS reply
+           FROM conversations WHERE role = 'assistant' GROUP BY conv_id, floor(turn / 64)),
+p AS (SELECT conv_id, part, list_filter(list_transform(string_split(reply, '---'), lambda x: {strip_sql('x')}),
                                   lambda x: length(x) > 100) AS parts FROM r)
-SELECT conv_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part_pos,
+SELECT conv_id, part, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part_pos,
        CAST(length(unnest(parts)) AS BIGINT) AS n_chars FROM p""")
 def q_parse_parts(spark, d):
     c = tables.read(spark, d, "conversations").filter(F.col("role") == "assistant")
-    r = c.groupBy("conv_id").agg(F.array_join(F.transform(
+    r = c.groupBy("conv_id", F.floor(F.col("turn") / 64).alias("part")).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n---\n").alias("reply"))
-    p = r.select("conv_id", F.posexplode(tx.split_parts("reply", 100)).alias("part_pos", "part"))
-    return p.select("conv_id", F.col("part_pos").cast("int"), F.length("part").cast("bigint").alias("n_chars"))
+    p = r.select("conv_id", "part", F.posexplode(tx.split_parts("reply", 100)).alias("part_pos", "body"))
+    return p.select("conv_id", "part", F.col("part_pos").cast("int"), F.length("body").cast("bigint").alias("n_chars"))
 
 
 @query("clean_story", f"""

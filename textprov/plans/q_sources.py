@@ -11,10 +11,10 @@ from .catalog import EXAMPLES_CTE, h32, query, strip_sql
 
 QA_SQL = """q AS (SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'system') AS question
        FROM conversations GROUP BY conv_id),
-a AS (SELECT conv_id, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS label,
-             row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos, text
+a AS (SELECT conv_id, floor(turn / 64) AS part, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS label,
+             row_number() OVER (PARTITION BY conv_id, floor(turn / 64), role ORDER BY turn) - 1 AS pos, text
       FROM conversations WHERE role IN ('user', 'assistant')),
-qa AS (SELECT a.conv_id, CAST(a.label AS INTEGER) AS label, CAST(a.pos AS INTEGER) AS answer_pos,
+qa AS (SELECT a.conv_id, CAST(a.part AS BIGINT) AS part, CAST(a.label AS INTEGER) AS label, CAST(a.pos AS INTEGER) AS answer_pos,
               CASE WHEN coalesce(q.question, '') <> '' THEN q.question || chr(10) || a.text ELSE a.text END AS text
        FROM a JOIN q ON a.conv_id = q.conv_id)"""
 
@@ -46,10 +46,11 @@ def poly_rows(spark, d):
 
 @query("src_qa_jsonl", f"""
 WITH {QA_SQL}
-SELECT conv_id, label, answer_pos, text FROM qa""")
+SELECT conv_id, part, label, answer_pos, text FROM qa""")
 def q_src_qa_jsonl(spark, d):
     rows, _ = qa_rows(spark, d)
-    return rows.select(F.col("record_id").alias("conv_id"), "label", "answer_pos", "text")
+    return rows.select(F.col("record_id").alias("conv_id"), F.col("record_part").alias("part"),
+                       "label", "answer_pos", "text")
 
 
 @query("src_csv", f"""
@@ -95,10 +96,10 @@ def q_scan_corpus(spark, d):
 
 
 @query("quarantine", f"""
-SELECT count(*) FILTER (WHERE {h32('broken', 'conv_id')} % 7 <> 0) AS n_good_records,
-       count(*) FILTER (WHERE {h32('broken', 'conv_id')} % 7 = 0) AS n_quarantined,
-       count(DISTINCT conv_id) FILTER (WHERE {h32('broken', 'conv_id')} % 7 <> 0) AS n_record_ids
-FROM (SELECT DISTINCT conv_id FROM conversations) c""")
+SELECT count(*) FILTER (WHERE {h32('broken', "conv_id || ':' || part")} % 7 <> 0) AS n_good_records,
+       count(*) FILTER (WHERE {h32('broken', "conv_id || ':' || part")} % 7 = 0) AS n_quarantined,
+       count(DISTINCT conv_id) FILTER (WHERE {h32('broken', "conv_id || ':' || part")} % 7 <> 0) AS n_record_ids
+FROM (SELECT DISTINCT conv_id, CAST(floor(turn / 64) AS BIGINT) AS part FROM conversations WHERE role IN ('user', 'assistant')) c""")
 def q_quarantine(spark, d):
     """Broken JSON lines are kept aside in a quarantine table; the rest is read."""
     path = writers.write_qa_jsonl(tables.read(spark, d, "conversations"),

@@ -39,6 +39,7 @@ UNKNOWN_DOMAIN = "unknown"
 
 QA_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
+    T.StructField("part", T.LongType()),
     T.StructField(QA_QUESTION, T.StringType()),
     T.StructField(QA_HUMAN, T.ArrayType(T.StringType())),
     T.StructField(QA_AI, T.ArrayType(T.StringType())),
@@ -59,7 +60,7 @@ def _qa_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_qa_jsonl(spark: SparkSession, path: str, source: str = "qa", domain: str = "qa"):
     """Return ``(rows, quarantine)``.
 
-    ``rows``: example_id, record_id, label, answer_pos, text, source, domain,
+    ``rows``: example_id, record_id, record_part, label, answer_pos, text, source, domain,
     group_key (the record id, so all answers of a question stay together).
     ``quarantine``: lines that are not a JSON object (file path and line text).
     """
@@ -72,10 +73,10 @@ def read_qa_jsonl(spark: SparkSession, path: str, source: str = "qa", domain: st
                     lambda a, i: F.struct(F.lit(0).alias("label"), i.alias("pos"), a.alias("answer"))),
         F.transform(F.coalesce(F.col(QA_AI), F.array().cast("array<string>")),
                     lambda a, i: F.struct(F.lit(1).alias("label"), i.alias("pos"), a.alias("answer"))))
-    x = good.select("id", "_file", QA_QUESTION, F.explode(items).alias("it"))
+    x = good.select("id", "part", "_file", QA_QUESTION, F.explode(items).alias("it"))
     rows = x.select(
-        stable_id(F.lit(source), "_file", "id", "it.label", "it.pos").alias("example_id"),
-        F.col("id").alias("record_id"),
+        stable_id(F.lit(source), "_file", "id", "part", "it.label", "it.pos").alias("example_id"),
+        F.col("id").alias("record_id"), F.col("part").alias("record_part"),
         F.col("it.label").cast("int").alias("label"),
         F.col("it.pos").cast("int").alias("answer_pos"),
         prefix_question(QA_QUESTION, "it.answer").alias("text"),

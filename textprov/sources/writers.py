@@ -17,26 +17,37 @@ from ..functions.hashing import hash32
 from .readers import QA_AI, QA_HUMAN, QA_QUESTION
 
 JSON_FILE_ROWS = 1000  # texts per written JSON file
+TURNS_PER_RECORD = 64  # conversation turns per question/answer record
 
 
-def conversations_to_qa(conv: DataFrame) -> DataFrame:
-    """One record per conversation: system turn as question, user and assistant turns as answers."""
+def conversations_to_qa(conv: DataFrame, turns_per_record: int = TURNS_PER_RECORD) -> DataFrame:
+    """Question/answer records: system turn as question, user and assistant turns as answers.
+
+    A record holds the answers of one block of ``turns_per_record`` turns
+    (``part`` = turn div block size), so no record or task ever collects a
+    whole conversation, however long.  The question is a per-conversation
+    aggregate (``min_by``, bounded state) joined to every block.
+    """
     def answers(role):
         return F.transform(
             F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))),
             lambda s: s["text"])
-    q = F.min_by(F.when(F.col("role") == "system", F.col("text")),
-                 F.when(F.col("role") == "system", F.col("turn")))
-    return conv.groupBy(F.col("conv_id").alias("id")).agg(
-        q.alias(QA_QUESTION), answers("user").alias(QA_HUMAN), answers("assistant").alias(QA_AI))
+    q = conv.groupBy("conv_id").agg(
+        F.min_by(F.when(F.col("role") == "system", F.col("text")),
+                 F.when(F.col("role") == "system", F.col("turn"))).alias(QA_QUESTION))
+    blocks = (conv.filter(F.col("role").isin("user", "assistant"))
+              .groupBy("conv_id", F.floor(F.col("turn") / turns_per_record).alias("part"))
+              .agg(answers("user").alias(QA_HUMAN), answers("assistant").alias(QA_AI)))
+    return blocks.join(q, "conv_id").select(F.col("conv_id").alias("id"), "part",
+                                            QA_QUESTION, QA_HUMAN, QA_AI)
 
 
 def write_qa_jsonl(conv: DataFrame, path: str, broken_every: int | None = None) -> str:
     """Write JSON lines; with ``broken_every`` = k, records with hash % k == 0 are cut in half."""
     rec = conversations_to_qa(conv)
-    line = F.to_json(F.struct(*[F.col(c) for c in ("id", QA_QUESTION, QA_HUMAN, QA_AI)]))
+    line = F.to_json(F.struct(*[F.col(c) for c in ("id", "part", QA_QUESTION, QA_HUMAN, QA_AI)]))
     if broken_every:
-        cut = F.pmod(hash32("broken", "id"), F.lit(broken_every)) == 0
+        cut = F.pmod(hash32("broken", F.concat_ws(":", "id", "part")), F.lit(broken_every)) == 0
         line = F.when(cut, F.substring(line, 1, F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
     rec.select(line.alias("value")).write.mode("overwrite").text(path)
     return path

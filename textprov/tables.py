@@ -83,6 +83,26 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("bigint").alias("parent_id")))
 
 
+def labelled_features(spark: SparkSession, sf_dir: str, features: dict, keep_empty: bool = True) -> DataFrame:
+    """Labelled examples with columns computed from the text *before* the join.
+
+    Catalyst prunes unused columns but does not push computed expressions
+    below a join, so a feature such as a token count is evaluated on
+    ``documents`` first: only the small feature columns cross the shuffle of
+    the join, never the text.  ``features`` maps names to columns over
+    ``documents``; ``keep_empty=False`` drops texts that are empty after strip.
+    """
+    from .operators.filters import nonempty
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    if not keep_empty:
+        docs = nonempty(docs)
+    docs = docs.select(F.col("doc_id").alias("example_id"), "source", F.col("lang").alias("domain"),
+                       *[c.alias(n) for n, c in features.items()])
+    labels = read(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("example_id"), (F.lit(1) - F.col("quality")).cast("int").alias("label"))
+    return docs.join(labels, "example_id")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as unlabelled corpus rows (label null)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
