@@ -93,16 +93,49 @@ def mark_first_q(df: DataFrame, keys: list[str], quota: DataFrame, seed, id_col:
     """Add boolean ``out_col``: row is among the first ``q`` of its group.
 
     ``quota``: ``keys + ['q']``, one row per group (groups not in it take
-    nothing).  With no keys, ``quota`` has one row and the whole table is one group.
+    nothing).  Without keys see :func:`first_q_filter`.
     """
-    grouped = bool(keys)
-    if not grouped:  # one group: a constant key, so both joins stay equi joins
-        df, quota = df.withColumn("_g", F.lit(0)), quota.withColumn("_g", F.lit(0))
-        keys, n_groups = ["_g"], 1
+    if not keys:
+        q = quota.first()
+        return df.withColumn(out_col, first_q_filter(df, int(q["q"]) if q else 0, seed, id_col, digits))
     cut = cutoffs(df, keys, quota, seed, id_col, digits, n_groups=n_groups)
     j = attach_cutoffs(df, keys, cut, n_groups=n_groups)
-    j = j.withColumn(out_col, taken_expr(seed, id_col)).drop("_cut_h", "_cut_id")
-    return j if grouped else j.drop("_g")
+    return j.withColumn(out_col, taken_expr(seed, id_col)).drop("_cut_h", "_cut_id")
+
+
+def single_cutoff(df: DataFrame, q: int, seed, id_col: str, digits: int = 4):
+    """The q-th smallest ``(h, id)`` of the whole table, or None (q = 0 or empty table).
+
+    Two one-row results reach the driver: the boundary bucket, then the
+    cutoff.  The histogram has at most 16^digits rows and the ranked rows are
+    only those of the boundary bucket.
+    """
+    if q <= 0:
+        return None
+    rows = df.select(id_col).withColumn("_h", order_key(seed, id_col))
+    rows = rows.withColumn("_b", hex_bucket(F.col("_h"), digits))
+    hist = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= 16^digits rows
+    hist = (hist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+                .withColumn("_tot", F.sum("_n").over(Window.partitionBy())))
+    b = (hist.filter((F.col("_before") < q) & ((F.col("_before") + F.col("_n") >= q)
+                                              | (F.col("_before") + F.col("_n") == F.col("_tot"))))
+         .select("_b", F.least(F.lit(q) - F.col("_before"), F.col("_n")).alias("_need")).first())
+    if b is None:
+        return None
+    wr = Window.orderBy("_h", id_col)  # rows of one bucket only
+    c = (rows.filter(F.col("_b") == b["_b"]).withColumn("_rn", F.row_number().over(wr))
+         .filter(F.col("_rn") == b["_need"]).select("_h", id_col).first())
+    return (c["_h"], c[id_col])
+
+
+def first_q_filter(df: DataFrame, q: int, seed, id_col: str, digits: int = 4) -> Column:
+    """Boolean column: row is among the q smallest ``(h, id)`` of ``df``."""
+    cut = single_cutoff(df, q, seed, id_col, digits)
+    if cut is None:
+        return F.lit(False)
+    h = order_key(seed, id_col)
+    return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (F.col(id_col) <= F.lit(cut[1])))
 
 
 def largest_remainder_quota(counts: DataFrame, key: str, frac: float, seed,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_md5
-from .exact import mark_first_q
+from .exact import first_q_filter
 from .filters import in_domains
 
 TOPK_MAX = 1000
@@ -25,14 +25,13 @@ def sample_n(df: DataFrame, n: int, seed=42, id_col: str = "example_id",
     if n <= topk_max:
         h = seeded_md5(seed, id_col)
         return df.orderBy(h, F.col(id_col)).limit(n)
-    spark = df.sparkSession
-    quota = spark.range(1).select(F.lit(n).cast("bigint").alias("q"))
-    return mark_first_q(df, [], quota, seed, id_col, "_in").filter("_in").drop("_in")
+    return df.filter(first_q_filter(df, n, seed, id_col))
 
 
 def sample_quota(df: DataFrame, quota: DataFrame, seed=42, id_col: str = "example_id") -> DataFrame:
-    """Sample whose size ``q`` is itself computed by Spark (one-row ``quota``)."""
-    return mark_first_q(df, [], quota, seed, id_col, "_in").filter("_in").drop("_in")
+    """Sample whose size ``q`` is computed by Spark (one-row ``quota``, read as a scalar)."""
+    q = quota.first()
+    return sample_n(df, int(q["q"]) if q else 0, seed, id_col)
 
 
 def pool_budget(df: DataFrame, budget: int, domains=None, seed=42,

@@ -78,13 +78,19 @@ def stratified_split(df: DataFrame, stratum: Column | None = None, id_col: str =
     counts = keys.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     n_strata = counts.count()
     q1 = largest_remainder_quota(counts, "stratum", test_fraction, seeds[0]).select("stratum", "q")
+    if materialize:  # one row per stratum: checkpointed so later plans do not re-derive it
+        q1 = q1.checkpoint(eager=True)
     cut1 = cutoffs(keys, ["stratum"], q1, seeds[0], id_col, n_groups=n_strata)
+    if materialize:
+        cut1 = cut1.checkpoint(eager=True)
     held = (attach_cutoffs(keys, ["stratum"], cut1, n_groups=n_strata)
             .filter(taken_expr(seeds[0], id_col)).select("stratum", id_col))
     # the held rows of a stratum are exactly its step-1 quota
     q2 = largest_remainder_quota(q1.withColumnRenamed("q", "n"), "stratum", second_fraction,
                                  seeds[1]).select("stratum", "q")
     cut2 = cutoffs(held, ["stratum"], q2, seeds[1], id_col, n_groups=n_strata)
+    if materialize:
+        cut2 = cut2.checkpoint(eager=True)
     c1 = cut1.select(F.col("stratum").alias("_s1"), F.col("_cut_h").alias("_h1"), F.col("_cut_id").alias("_i1"))
     c2 = cut2.select(F.col("stratum").alias("_s2"), F.col("_cut_h").alias("_h2"), F.col("_cut_id").alias("_i2"))
     if n_strata <= MAX_BROADCAST_GROUPS:

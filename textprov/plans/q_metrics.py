@@ -10,10 +10,8 @@ from .catalog import EXAMPLES_CTE, SCORES_CTE, h32, query, smd5
 
 
 def scored(spark, d):
-    """examples JOIN deterministic model scores (same rows, one pass)."""
-    ex = tables.examples(spark, d)
-    sc = tables.oracle_scores(ex.select("example_id", "label"))
-    return ex.join(sc.drop("round"), "example_id")
+    """examples with the deterministic model's score columns (added in place, no join)."""
+    return tables.with_oracle_scores(tables.examples(spark, d))
 
 
 @query("score_table", f"""

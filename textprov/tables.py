@@ -111,6 +111,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("lang").alias("domain"))
 
 
+def with_oracle_scores(ex: DataFrame, seed: int = 7) -> DataFrame:
+    """``ex`` plus score, logits and pred of the deterministic stand-in model (no join)."""
+    score = F.round(F.lit(0.7) * unit_hash(seed, "example_id")
+                    + F.lit(0.3) * F.col("label").cast("double"), 2)
+    return (ex.withColumn("score", score)
+              .withColumn("logit0", F.lit(0.0))
+              .withColumn("logit1", F.lit(4.0) * F.col("score") - F.lit(2.0))
+              .withColumn("pred", (F.col("score") > F.lit(0.5)).cast("int")))
+
+
 def oracle_scores(ex: DataFrame, model_id: str = "hash7", seed: int = 7) -> DataFrame:
     """Deterministic stand-in model output with ties and AUROC strictly inside (0.5, 1)."""
     score = F.round(F.lit(0.7) * unit_hash(seed, "example_id")
