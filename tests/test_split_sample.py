@@ -85,3 +85,20 @@ def test_null_domain_is_not_priority(spark):
     df = spark.createDataFrame([(1, None), (2, "creative"), (3, "news")], "example_id long, domain string")
     got = sample.pool_budget(df, 1, domains=["creative"])
     assert sorted(r.example_id for r in got.collect()) == [2]
+
+
+def test_single_cutoff_refinement_matches_sort(spark):
+    """Force the refinement loop with a tiny bucket bound and compare with a sort."""
+    from textprov.operators import exact
+    df = spark.range(5000).withColumnRenamed("id", "example_id")
+    for q in (1, 777, 4999, 5000):
+        cut = exact.single_cutoff(df, q, 42, "example_id", digits=1, max_bucket_rows=10)
+        want = (df.select("example_id", F.md5(F.concat(F.lit("42:"), F.col("example_id").cast("string"))).alias("h"))
+                .orderBy("h", "example_id").collect()[q - 1])
+        assert cut == (want.h, want.example_id)
+
+
+def test_digits_for():
+    from textprov.operators.exact import digits_for
+    assert digits_for(1000) == 4 and digits_for(10 ** 10) == 4 and digits_for(10 ** 11) == 5
+    assert digits_for(10 ** 14) == 8

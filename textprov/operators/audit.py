@@ -30,14 +30,16 @@ def with_shingles(df: DataFrame, keep: list[str], text: str = "text", k: int = S
                   out: str = "_sh") -> DataFrame:
     """``keep`` columns plus one row per distinct k-word shingle hash of the lower-cased text.
 
-    The token array is materialised in its own projection first: inlined into
-    the lambda it would be re-split for every window position (quadratic).
+    Each token is hashed once; the hash of the window starting at i combines
+    the k token hashes at i..i+k-1 (k shifted slices zipped), so no window
+    string is ever built.  The token hashes are materialised in their own
+    projection: inlined into the lambda they would be recomputed per window.
     """
-    x = df.select(*keep, ws_tokens(F.lower(F.col(text))).alias("_t"))
-    n = F.size("_t")
-    starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-    hs = F.array_distinct(F.transform(
-        starts, lambda i: F.xxhash64(F.array_join(F.slice(F.col("_t"), i, k), " "))))
+    x = df.select(*keep, F.transform(ws_tokens(F.lower(F.col(text))), lambda w: F.xxhash64(w)).alias("_hs"))
+    m = F.greatest(F.size("_hs") - (k - 1), F.lit(0))
+    z = F.arrays_zip(*[F.slice("_hs", j + 1, m).alias(f"w{j}") for j in range(k)])
+    x = x.select(*keep, z.alias("_z"))
+    hs = F.array_distinct(F.transform("_z", lambda s: F.xxhash64(*[s[f"w{j}"] for j in range(k)])))
     return x.select(*keep, F.explode(hs).alias(out))
 
 

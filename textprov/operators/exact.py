@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hex_bucket, seeded_md5
 
 MAX_BROADCAST_GROUPS = 1_000_000
+BUCKET_TARGET_ROWS = 200_000  # rows ranked in one task at most (boundary bucket)
 
 
 def order_key(seed, id_col: str) -> Column:
@@ -103,29 +104,46 @@ def mark_first_q(df: DataFrame, keys: list[str], quota: DataFrame, seed, id_col:
     return j.withColumn(out_col, taken_expr(seed, id_col)).drop("_cut_h", "_cut_id")
 
 
-def single_cutoff(df: DataFrame, q: int, seed, id_col: str, digits: int = 4):
+def digits_for(max_group_rows: int, target: int = BUCKET_TARGET_ROWS) -> int:
+    """Hex digits so that a bucket of the largest group holds about ``target`` rows."""
+    d = 4
+    while d < 12 and max_group_rows / (16 ** d) > target:
+        d += 1
+    return d
+
+
+def single_cutoff(df: DataFrame, q: int, seed, id_col: str, digits: int = 4,
+                  max_bucket_rows: int = BUCKET_TARGET_ROWS):
     """The q-th smallest ``(h, id)`` of the whole table, or None (q = 0 or empty table).
 
-    Two one-row results reach the driver: the boundary bucket, then the
-    cutoff.  The histogram has at most 16^digits rows and the ranked rows are
-    only those of the boundary bucket.
+    A histogram on the first ``digits`` hex digits finds the boundary bucket;
+    while that bucket holds more than ``max_bucket_rows`` rows the search is
+    refined inside it on the next digits.  Only one-row results reach the
+    driver, and the final ranking sees at most ``max_bucket_rows`` rows.
     """
     if q <= 0:
         return None
     rows = df.select(id_col).withColumn("_h", order_key(seed, id_col))
-    rows = rows.withColumn("_b", hex_bucket(F.col("_h"), digits))
-    hist = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= 16^digits rows
-    hist = (hist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-                .withColumn("_tot", F.sum("_n").over(Window.partitionBy())))
-    b = (hist.filter((F.col("_before") < q) & ((F.col("_before") + F.col("_n") >= q)
-                                              | (F.col("_before") + F.col("_n") == F.col("_tot"))))
-         .select("_b", F.least(F.lit(q) - F.col("_before"), F.col("_n")).alias("_need")).first())
-    if b is None:
-        return None
-    wr = Window.orderBy("_h", id_col)  # rows of one bucket only
-    c = (rows.filter(F.col("_b") == b["_b"]).withColumn("_rn", F.row_number().over(wr))
-         .filter(F.col("_rn") == b["_need"]).select("_h", id_col).first())
+    prefix, need, width = "", q, digits
+    while True:
+        sub = rows.filter(F.col("_h").startswith(prefix)) if prefix else rows
+        b = F.substring("_h", len(prefix) + 1, width)
+        hist = sub.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= 16^width rows
+        hist = (hist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+                    .withColumn("_tot", F.sum("_n").over(Window.partitionBy())))
+        r = (hist.filter((F.col("_before") < need) & ((F.col("_before") + F.col("_n") >= need)
+                                                     | (F.col("_before") + F.col("_n") == F.col("_tot"))))
+             .select("_b", "_n", F.least(F.lit(need) - F.col("_before"), F.col("_n")).alias("_need")).first())
+        if r is None:
+            return None
+        prefix, need = prefix + r["_b"], int(r["_need"])
+        if r["_n"] <= max_bucket_rows or len(prefix) >= 32:
+            break
+        width = 4
+    wr = Window.orderBy("_h", id_col)  # rows of one small bucket only
+    c = (rows.filter(F.col("_h").startswith(prefix)).withColumn("_rn", F.row_number().over(wr))
+         .filter(F.col("_rn") == need).select("_h", id_col).first())
     return (c["_h"], c[id_col])
 
 
