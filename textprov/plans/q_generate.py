@@ -216,7 +216,7 @@ def q_clean_story(spark, d):
 
 # --- creative prompt grid, creative rows, mirror rows -----------------------------------
 
-def _stories(spark, d, n=300):
+def _stories(spark, d, n=3000):
     docs = filters.story_text(tables.read(spark, d, "documents").select("doc_id", "text"))
     return sample.sample_n(docs, n, id_col="doc_id")
 
@@ -241,7 +241,7 @@ def prompt_grid(stories):
 @query("prompt_grid", f"""
 WITH s AS (SELECT doc_id AS example_id FROM documents
            WHERE length({strip_sql('text')}) > 200 AND length({strip_sql('text')}) < 8000
-           ORDER BY {smd5(42, 'doc_id')}, doc_id LIMIT 300),
+           ORDER BY {smd5(42, 'doc_id')}, doc_id LIMIT 3000),
 b0 AS (SELECT *, {_shard_sql('s')} AS shard FROM s),
 b1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1 AS rn FROM b0),
 b AS (SELECT example_id, shard * 2147483648 + CAST(floor(rn / 5) AS BIGINT) AS batch_id, CAST(rn % 5 + 1 AS INTEGER) AS ordinal FROM b1),

@@ -9,6 +9,11 @@ from ..operators import batches, filters, metrics, sample
 from .catalog import EXAMPLES_CTE, SCORES_CTE, h32, query, smd5
 
 
+# First-N scan size and mirrors per round (reference parameters)
+FIRST_N_SCAN = 10000
+MAX_MIRRORS = 1000
+
+
 def scored(spark, d):
     """examples with the deterministic model's score columns (added in place, no join)."""
     return tables.with_oracle_scores(tables.examples(spark, d))
@@ -212,18 +217,20 @@ def q_fp_texts(spark, d):
 
 @query("false_positives_first_n", f"""
 WITH {SCORES_CTE},
-first_n AS (SELECT * FROM scored ORDER BY example_id LIMIT 100)
+first_n AS (SELECT * FROM scored ORDER BY example_id LIMIT 10000)
 SELECT example_id, score FROM first_n WHERE label = 0 AND pred = 1""")
 def q_false_positives_first_n(spark, d):
-    s = sample.first_n(scored(spark, d), 100)
+    """False positives among the first 10,000 rows (by id), the reference's scan limit."""
+    s = sample.first_n(scored(spark, d), FIRST_N_SCAN)
     return filters.false_positives(s).select("example_id", "score")
 
 
 @query("cap_mirrors", f"""
 WITH {SCORES_CTE}
 SELECT example_id FROM scored WHERE label = 0 AND pred = 1
-ORDER BY {smd5(1, 'example_id')}, example_id LIMIT 50""")
+ORDER BY {smd5(1, 'example_id')}, example_id LIMIT {MAX_MIRRORS}""")
 def q_cap_mirrors(spark, d):
+    """False positives capped at the mirrors-per-round limit, seeded by the round."""
     fp = filters.false_positives(scored(spark, d)).select("example_id")
-    return sample.sample_n(fp, 50, seed=1)
+    return sample.sample_n(fp, MAX_MIRRORS, seed=1)
 

@@ -83,11 +83,12 @@ def q_resume_round(spark, d):
 @query("pool_project", f"""
 WITH {SPLIT_CTE}
 SELECT example_id, label, source, domain FROM splits WHERE split = 'train'
-ORDER BY {smd5(42, 'example_id')}, example_id LIMIT 200""")
+ORDER BY {smd5(42, 'example_id')}, example_id LIMIT {rounds.BASE_SAMPLE}""")
 def q_pool_project(spark, d):
+    """Base sample of the train split (the reference's 50,000) with the pool's keep-list."""
     from ..operators import sample
     train = split_examples(spark, d).filter(F.col("split") == "train")
-    base = sample.sample_n(train, 200)
+    base = sample.sample_n(train, rounds.BASE_SAMPLE)
     return rounds.project_pool(base, keep=("example_id", "input_ids", "label", "source", "domain"))
 
 
