@@ -82,3 +82,20 @@ def test_benchmark_golden_sf001(spark):
     found = {r.doc_id for r in audit.shingle_overlap(docs, bench).collect()}
     assert holding <= found  # none missed
     assert audit.exact_matches(docs, bench).count() == 0
+
+
+def test_batch_model_scores(spark):
+    import numpy as np
+    from textprov.operators import score
+    df = spark.createDataFrame([(1, [5, 6, 7], 1), (2, [], 0), (3, list(range(600)), 1)],
+                               "example_id long, input_ids array<int>, label int")
+
+    def make():
+        def predict(ids, mask):
+            n = mask.sum(axis=1).astype(float)
+            return np.stack([np.zeros_like(n), n - 2.5], axis=1)
+        return predict
+    got = {r.example_id: r for r in score.batch_model_scores(df, make, batch_size=2, max_len=512).collect()}
+    assert got[1].logit1 == 0.5 and got[1].pred == 1
+    assert got[2].logit1 == -2.5 and got[2].pred == 0
+    assert got[3].logit1 == 509.5  # truncated at 512

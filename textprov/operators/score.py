@@ -43,3 +43,52 @@ def score(model: PipelineModel, df: DataFrame, model_id: str = "lr", round_no: i
                       "example_id", *[c for c in keep if c in df.columns],
                       F.lit(0.0).alias("logit0"), raw[1].alias("logit1"),
                       prob[1].alias("score"), (prob[1] > F.lit(0.5)).cast("int").alias("pred"))
+
+
+def batch_model_scores(df: DataFrame, make_predict_fn, batch_size: int = 64, max_len: int = 512,
+                       ids: str = "input_ids", model_id: str = "batch_model", round_no: int = 0) -> DataFrame:
+    """Score ``input_ids`` with a Python model in Arrow batches (``predict_batch_udf``).
+
+    ``make_predict_fn()`` runs once per Python worker and returns
+    ``predict(ids: ndarray[B, max_len], mask: ndarray[B, max_len]) -> ndarray[B, 2]``
+    (logits).  Ids are padded to ``max_len`` inside the JVM so every batch has
+    a fixed shape.
+    """
+    import numpy as np
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+
+    def make():
+        predict = make_predict_fn()
+
+        def run(x, m):
+            out = np.asarray(predict(x.astype(np.int64), m.astype(np.int64)), dtype=np.float64)
+            return out.reshape(len(x), 2)
+        return run
+
+    udf = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+                            input_tensor_shapes=[[max_len], [max_len]])
+    keep = F.least(F.size(ids), F.lit(max_len))
+    padded = F.concat(F.slice(ids, 1, max_len), F.array_repeat(F.lit(0), F.lit(max_len) - keep))
+    mask = F.concat(F.array_repeat(F.lit(1), keep), F.array_repeat(F.lit(0), F.lit(max_len) - keep))
+    x = df.withColumn("_logits", udf(padded.cast("array<int>"), mask.cast("array<int>")))
+    l0, l1 = F.col("_logits")[0], F.col("_logits")[1]
+    cols = [c for c in ("label",) if c in df.columns]
+    return x.select(F.lit(model_id).alias("model_id"), F.lit(round_no).alias("round"), "example_id", *cols,
+                    l0.alias("logit0"), l1.alias("logit1"),
+                    (F.lit(1.0) / (F.lit(1.0) + F.exp(l0 - l1))).alias("score"),
+                    (l1 > l0).cast("int").alias("pred"))
+
+
+def hashed_bag_model(vocab_size: int = 1 << 16, seed: int = 7):
+    """A deterministic linear bag-of-ids model (weights from a seeded generator), for tests
+    and as the default stand-in for a trained network."""
+    def make():
+        import numpy as np
+        w = np.random.default_rng(seed).normal(0.0, 1.0, vocab_size)
+
+        def predict(ids, mask):
+            s = (w[ids % vocab_size] * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)
+            return np.stack([np.zeros_like(s), s], axis=1)
+        return predict
+    return make

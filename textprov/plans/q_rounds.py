@@ -96,7 +96,7 @@ def _pool(spark, d):
     from .q_generate import creative_rows
     train = split_examples(spark, d).filter(F.col("split") == "train")
     return rounds.build_pool(train, creative_rows(spark, d), base_sample=rounds.BASE_SAMPLE,
-                             budget=500, priority_domains=["creative"])
+                             budget=rounds.POOL_BUDGET, priority_domains=["creative"])
 
 
 @query("pool_merge")

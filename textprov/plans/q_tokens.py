@@ -137,3 +137,12 @@ def q_audit_bench_docs(spark, d):
     o = audit.shingle_overlap(docs, bench, min_containment=1.0)
     return o.agg(F.count_distinct("doc_id").cast("bigint").alias("n_docs"),
                  F.count(F.lit(1)).cast("bigint").alias("n_pairs"))
+
+
+@query("batch_score")
+def q_batch_score(spark, d):
+    """Encoded examples scored by a Python model in Arrow batches of 64 (model forward)."""
+    from ..operators import score
+    enc = encoded(spark, d).join(tables.examples(spark, d).select("example_id", "label"), "example_id")
+    return score.batch_model_scores(enc, score.hashed_bag_model()).select(
+        "example_id", "label", "score", "pred")
