@@ -94,3 +94,24 @@ def test_union_sources_missing_columns(spark):
     c = spark.createDataFrame([(3, "   ", 1, "e", "e")], "example_id long, text string, label int, source string, domain string")
     u = readers.union_sources(a, b, c)
     assert sorted((r.example_id, r.generator) for r in u.collect()) == [(1, None), (2, "gpt")]
+
+
+def test_optional_input_and_schema_peek(spark, tmp):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    assert readers.read_optional(spark, tmp + "/missing", schema).count() == 0
+    spark.range(3).withColumnRenamed("id", "a").write.parquet(tmp + "/p")
+    assert readers.read_optional(spark, tmp + "/p", schema).count() == 3
+    assert readers.peek_columns(spark, tmp + "/p") == ["a"]
+
+
+def test_corpus_prepare_writes_splits(spark, tmp):
+    from textprov.plans import corpus
+    from textprov.plans.q_sources import qa_rows
+    qa, _ = qa_rows(spark, "/root/testdata/sf0.01")
+    c = corpus.clean_corpus(qa)
+    res = corpus.prepare(spark, c, tmp + "/corpus", min_tokens=1, vocab_size=500)
+    rep = {r.split: r.n for r in res["split_report"].collect()}
+    n = c.count()
+    assert sum(rep.values()) <= n and set(rep) == {"train", "val", "test"}
+    assert res["splits"].filter(F.size("input_ids") > 512).count() == 0

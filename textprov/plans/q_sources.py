@@ -121,3 +121,14 @@ def q_corpus_union(spark, d):
     u = readers.union_sources(qa, csv_rows(spark, d), poly)
     return u.groupBy("source", "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                             F.count("generator").cast("bigint").alias("n_with_generator"))
+
+
+@query("corpus_prep")
+def q_corpus_prep(spark, d):
+    """Entry A end to end: three sources -> clean -> dedup -> tokens -> >= 64 -> split -> write."""
+    from . import corpus
+    qa, _ = qa_rows(spark, d)
+    poly, _ = poly_rows(spark, d)
+    c = corpus.clean_corpus(qa, csv_rows(spark, d), poly)
+    res = corpus.prepare(spark, c, scratch_path(spark, "corpus"), vocab_size=5000)
+    return res["split_report"]

@@ -64,7 +64,9 @@ SELECT example_id, batch_id, seq_len,
        list_resize(list_transform(input_ids[1:seq_len], lambda x: 1), seq_len, 0) AS padded_mask
 FROM b3""")
 def q_pad_batches(spark, d):
-    b = batches.assign_batches(encoded(spark, d), 8)
+    # shard count from the (cheap) example ids, not by recomputing the encoding
+    shards = batches.n_shards(tables.examples(spark, d).select("example_id"))
+    b = batches.assign_batches(encoded(spark, d), 8, shards=shards)
     p = batches.pad_batch(b)
     return p.select("example_id", "batch_id", "seq_len", "padded_ids", "padded_mask")
 

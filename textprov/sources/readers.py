@@ -217,3 +217,17 @@ def union_sources(*frames: DataFrame) -> DataFrame:
         f = f.select(*cols)
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out.filter(F.length(py_strip("text")) > 0)
+
+
+def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Parquet at ``path`` when it exists, else an empty table of ``schema`` (optional input)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def peek_columns(spark: SparkSession, path: str) -> list[str]:
+    """Column names from the Parquet footers only (no data is read)."""
+    return spark.read.parquet(path).columns
