@@ -1,9 +1,12 @@
 """Exact de-duplication by text hash (absent in the reference; run before splits).
 
-The group key is ``md5(text)``; per key the smallest id is kept.  The
-aggregation is ``min`` with map-side partial aggregation, so one text repeated
-a billion times costs one partial row per map task, and the join back is on
-the unique id (no skew).
+The group key is ``md5(text)``; per key the smallest id is kept.  Only key
+columns (id, hash) are shuffled to find the rows to drop: the ``min``/``count``
+aggregation combines map-side (a text repeated a billion times costs one
+partial row per task), and the ids of the duplicated texts are matched by hash
+(AQE splits a hot hash partition).  The full rows are then anti-joined with
+the dropped ids: a broadcast (no shuffle of the texts) when the counted number
+of dropped ids is under ``max_broadcast``, a shuffle join beyond it.
 """
 
 from __future__ import annotations
@@ -14,14 +17,23 @@ from pyspark.sql import functions as F
 from ..functions.hashing import text_hash
 
 
-def keepers(df: DataFrame, id_col: str = "example_id", text: str = "text") -> DataFrame:
-    return (df.select(text_hash(text).alias("_th"), F.col(id_col))
-            .groupBy("_th").agg(F.min(id_col).alias(id_col)).select(id_col))
+MAX_BROADCAST_IDS = 10_000_000
 
 
-def dedup_exact(df: DataFrame, id_col: str = "example_id", text: str = "text") -> DataFrame:
+def dropped_ids(df: DataFrame, id_col: str = "example_id", text: str = "text") -> DataFrame:
+    """Ids of rows whose text occurs with a smaller id."""
+    k = df.select(F.col(id_col), text_hash(text).alias("_th"))
+    dup = (k.groupBy("_th").agg(F.min(id_col).alias("_keep"), F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > 1).select("_th", "_keep"))
+    return k.join(dup, "_th").filter(F.col(id_col) != F.col("_keep")).select(id_col)
+
+
+def dedup_exact(df: DataFrame, id_col: str = "example_id", text: str = "text",
+                max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
     """Rows whose id is the smallest among identical texts."""
-    return df.join(keepers(df, id_col, text), id_col, "left_semi")
+    drop = dropped_ids(df, id_col, text)
+    n = drop.count()
+    return df.join(F.broadcast(drop) if n <= max_broadcast else drop, id_col, "left_anti")
 
 
 def duplicate_report(df: DataFrame, text: str = "text") -> DataFrame:
