@@ -205,7 +205,8 @@ def error_slices(df: DataFrame, by: str = "domain") -> DataFrame:
 
 
 def ensemble(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Mean score over models per example; pred = mean > threshold."""
+    """Mean score over models per example; pred = mean > threshold (label kept when present)."""
+    extra = [F.max("label").alias("label")] if "label" in scores.columns else []
     return (scores.groupBy("example_id")
-            .agg(F.avg("score").alias("score"), F.count(F.lit(1)).cast("bigint").alias("n_models"))
+            .agg(F.avg("score").alias("score"), F.count(F.lit(1)).cast("bigint").alias("n_models"), *extra)
             .withColumn("pred", (F.col("score") > F.lit(threshold)).cast("int")))

@@ -47,17 +47,19 @@ def build_vocab(df: DataFrame, text: str = "text", size: int = 30000, lower: boo
 
 def encode(df: DataFrame, vocab: DataFrame, id_col: str = "example_id", text: str = "text",
            max_len: int = MAX_LEN, vocab_size: int | None = None,
-           partitions: int | None = None) -> DataFrame:
+           partitions: int | None = None, carry: list[str] | tuple = ()) -> DataFrame:
     """The ``tokens`` table: id, ``token_length`` (untruncated), ``input_ids`` and
-    ``attention_mask`` (truncated at ``max_len``)."""
+    ``attention_mask`` (truncated at ``max_len``), plus the ``carry`` columns of
+    ``df`` taken through the same shuffle (no join back to ``df`` needed)."""
+    carry = [c for c in carry if c not in (id_col, "token_length")]
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    toks = df.select(id_col, ws_tokens(text).alias("_t"))
+    toks = df.select(id_col, ws_tokens(text).alias("_t"), *carry)
     # tokenise map-side, then move only the first max_len tokens (not the text,
     # not the exploded rows); the regrouping below reuses this partitioning
     base = (toks.select(id_col, F.size("_t").cast("int").alias("token_length"),
-                        F.slice("_t", 1, max_len).alias("_toks"))
+                        F.slice("_t", 1, max_len).alias("_toks"), *carry)
             .repartition(parts, id_col))
-    ex = base.select(id_col, "token_length",
+    ex = base.select(id_col, "token_length", *carry,
                      F.posexplode_outer("_toks").alias("_pos", "token"))
     v = bounded_broadcast(vocab.select("token", F.col("id").alias("_vid")),
                           max_rows=5_000_000, known_rows=vocab_size)
@@ -65,9 +67,10 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "example_id", text: st
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_vid"), F.lit(UNK_ID)).alias("i")))
     g = j.groupBy(id_col).agg(F.first("token_length").alias("token_length"),
+                              *[F.first(c).alias(c) for c in carry],
                               F.sort_array(F.collect_list(item)).alias("_items"))
     ids = F.transform("_items", lambda s: s["i"])
-    out = g.select(id_col, "token_length", ids.alias("input_ids"))
+    out = g.select(id_col, *carry, "token_length", ids.alias("input_ids"))
     return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 

@@ -82,9 +82,7 @@ status AS (SELECT batch_id, request_id, n_items,
 
 
 def fp_rows(spark, d):
-    ex = tables.examples(spark, d)
-    fp = filters.false_positives(scored(spark, d)).select("example_id")
-    return filters.has_text(ex.join(fp, "example_id", "left_semi")).select("example_id", "text")
+    return filters.has_text(filters.false_positives(scored(spark, d))).select("example_id", "text")
 
 
 def prompt_stage(spark, d):

@@ -189,10 +189,9 @@ e AS (SELECT example_id, min(label) AS label, CAST(avg(score) > 0.5 AS INTEGER)
 """ + _metrics_sql("e"))
 def q_ensemble(spark, d):
     ex = tables.examples(spark, d).select("example_id", "label")
-    s7 = tables.oracle_scores(ex, "hash7", 7)
-    s11 = tables.oracle_scores(ex, "hash11", 11)
-    ens = metrics.ensemble(s7.unionByName(s11))
-    return metrics.eval_metrics(ens.join(ex, "example_id"))
+    s7 = tables.with_oracle_scores(ex, 7)
+    s11 = tables.with_oracle_scores(ex, 11)
+    return metrics.eval_metrics(metrics.ensemble(s7.unionByName(s11)))
 
 
 # --- mining ---------------------------------------------------------------------
@@ -210,9 +209,8 @@ SELECT example_id, text FROM examples
 WHERE example_id IN (SELECT example_id FROM scored WHERE label = 0 AND pred = 1)
   AND text IS NOT NULL AND text <> ''""")
 def q_fp_texts(spark, d):
-    ex = tables.examples(spark, d)
-    fp = filters.false_positives(scored(spark, d)).select("example_id")
-    return filters.has_text(ex.join(fp, "example_id", "left_semi")).select("example_id", "text")
+    """Texts of the mined rows: the scored table carries them, so a filter suffices."""
+    return filters.has_text(filters.false_positives(scored(spark, d))).select("example_id", "text")
 
 
 @query("false_positives_first_n", f"""

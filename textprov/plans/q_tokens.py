@@ -30,9 +30,9 @@ def vocab(spark, d):
     return tokens.build_vocab(tables.read(spark, d, "documents"), size=VOCAB_SIZE)
 
 
-def encoded(spark, d):
+def encoded(spark, d, carry=()):
     ex = tables.examples(spark, d)
-    return tokens.encode(ex, vocab(spark, d), vocab_size=VOCAB_SIZE)
+    return tokens.encode(ex, vocab(spark, d), vocab_size=VOCAB_SIZE, carry=carry)
 
 
 @query("build_vocab", f"WITH {VOCAB_CTE}\nSELECT token, id, n FROM vocab")
@@ -47,8 +47,8 @@ def q_encode_tokens(spark, d):
 
 @query("join_tokens", f"WITH {ENCODE_CTE}\nSELECT example_id, label, token_length FROM enc")
 def q_join_tokens(spark, d):
-    ex = tables.examples(spark, d).select("example_id", "label")
-    return ex.join(encoded(spark, d).select("example_id", "token_length"), "example_id")
+    """Examples with their token columns: the label rides along the encoding shuffle."""
+    return encoded(spark, d, carry=["label"]).select("example_id", "label", "token_length")
 
 
 @query("pad_batches", f"""
@@ -145,6 +145,6 @@ def q_audit_bench_docs(spark, d):
 def q_batch_score(spark, d):
     """Encoded examples scored by a Python model in Arrow batches of 64 (model forward)."""
     from ..operators import score
-    enc = encoded(spark, d).join(tables.examples(spark, d).select("example_id", "label"), "example_id")
+    enc = encoded(spark, d, carry=["label"])
     return score.batch_model_scores(enc, score.hashed_bag_model()).select(
         "example_id", "label", "score", "pred")

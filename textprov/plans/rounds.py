@@ -64,9 +64,10 @@ def project_pool(df: DataFrame, keep=("input_ids", "attention_mask", "label", "t
 
 
 def encode_pool(pool: DataFrame, vocab_size: int = 30000) -> DataFrame:
-    """Pool rows with ids and masks (vocabulary from the pool itself)."""
+    """Pool rows with ids and masks (vocabulary from the pool itself); the pool's
+    columns go through the encoding shuffle instead of a join back."""
     v = build_vocab(pool, size=vocab_size)
-    return pool.join(encode(pool, v, vocab_size=vocab_size), "example_id")
+    return encode(pool, v, vocab_size=vocab_size, carry=[c for c in pool.columns if c != "example_id"])
 
 
 def convergence(log: DataFrame, threshold: float = CONVERGENCE) -> DataFrame:
@@ -232,7 +233,7 @@ def synthetic_log(ex: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
         F.count(F.lit(1)).alias("_n"))
     au = metrics.auroc_by(x, ["round"])
     w = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
-    out = per.join(au, "round")
+    out = per.join(F.broadcast(au), "round")  # one row per round
     return out.select(
         F.col("round").cast("int").alias("round"),
         F.round("val_loss", 6).alias("val_loss"), F.round("val_accuracy", 6).alias("val_accuracy"),
