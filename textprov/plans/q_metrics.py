@@ -62,7 +62,7 @@ b AS (SELECT *, floor((row_number() OVER (PARTITION BY {h32('shard42', 'example_
                                          ORDER BY {smd5(42, 'example_id')}, example_id) - 1) / 64) AS batch_no
       FROM scored),
 per AS (SELECT batch_no, avg({_CE_SQL}) AS m, count(*) AS c FROM b GROUP BY batch_no)
-SELECT sum(c) AS n, count(*) AS n_batches, round(avg(m), 6) AS loss FROM per""")
+SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS n_batches, round(avg(m), 6) AS loss FROM per""")
 def q_val_loss_batches(spark, d):
     b = batches.assign_batches(scored(spark, d), 64)
     return metrics.val_loss(b, batch_col="batch_id")
