@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators import batches, filters, metrics, sample
-from .catalog import EXAMPLES_CTE, SCORES_CTE, h32, query, smd5
+from .catalog import EXAMPLES_CTE, SCORES_CTE, SPLIT_CTE, h32, query, smd5
 
 
 # First-N scan size and mirrors per round (reference parameters)
@@ -232,3 +232,28 @@ def q_cap_mirrors(spark, d):
     fp = filters.false_positives(scored(spark, d)).select("example_id")
     return sample.sample_n(fp, MAX_MIRRORS, seed=1)
 
+
+
+@query("threshold_tuned", f"""
+WITH {SPLIT_CTE},
+sc AS (SELECT *, round(CAST(0.7 AS DOUBLE) * {h32(7, 'example_id')} / 4294967296.0
+                       + CAST(0.3 AS DOUBLE) * label, 2) AS score FROM splits),
+g AS (SELECT score, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1
+      FROM sc WHERE split = 'val' GROUP BY score),
+c AS (SELECT score, n0, n1,
+             coalesce(sum(n0) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0_below,
+             coalesce(sum(n1) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c1_below,
+             sum(n0) OVER () AS tot0, sum(n1) OVER () AS tot1 FROM g),
+sw AS (SELECT score AS threshold,
+              round(CAST((tot1 - (c1_below + n1)) + (c0_below + n0) AS DOUBLE) / (tot0 + tot1), 6) AS accuracy FROM c),
+best AS (SELECT threshold FROM sw ORDER BY accuracy DESC, threshold ASC LIMIT 1),
+t AS (SELECT label, CAST(score > (SELECT threshold FROM best) AS INTEGER) AS pred FROM sc WHERE split = 'test')
+SELECT (SELECT threshold FROM best) AS threshold, m.* FROM ({_metrics_sql('t')}) m""")
+def q_threshold_tuned(spark, d):
+    """Threshold chosen on the validation split, metrics reported on the test split."""
+    from .q_split import split_examples
+    s = tables.with_oracle_scores(split_examples(spark, d))
+    best = metrics.best_threshold(metrics.threshold_sweep(s.filter(F.col("split") == "val"))).first()
+    t = float(best["threshold"])  # one scalar to the driver
+    test = s.filter(F.col("split") == "test").withColumn("pred", (F.col("score") > F.lit(t)).cast("int"))
+    return metrics.eval_metrics(test).select(F.lit(t).alias("threshold"), "*")
