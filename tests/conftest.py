@@ -15,7 +15,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     from textprov.session import DEFAULT_CONF, ensure_checkpoint_dir
-    b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+    b = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="textprov-wh-")))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()

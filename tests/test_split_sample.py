@@ -102,3 +102,21 @@ def test_digits_for():
     from textprov.operators.exact import digits_for
     assert digits_for(1000) == 4 and digits_for(10 ** 10) == 4 and digits_for(10 ** 11) == 5
     assert digits_for(10 ** 14) == 8
+
+
+def test_bucketed_join_has_no_exchange(spark):
+    import io
+    from contextlib import redirect_stdout
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the sort-merge join
+    try:
+        tables.bucket_inputs(spark, SF01, "textprov_test", n_buckets=4)
+        ex = tables.bucketed_examples(spark, "textprov_test")
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            ex.explain()
+        plan = buf.getvalue()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert ex.count() == 399
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -131,3 +131,26 @@ def oracle_scores(ex: DataFrame, model_id: str = "hash7", seed: int = 7) -> Data
                     (F.lit(4.0) * F.col("score") - F.lit(2.0)).alias("logit1"),
                     "score",
                     (F.col("score") > F.lit(0.5)).cast("int").alias("pred")))
+
+
+def bucket_inputs(spark: SparkSession, sf_dir: str, database: str, n_buckets: int = 64) -> None:
+    """Write ``documents`` and ``labels`` once as tables bucketed and sorted by doc_id.
+
+    Jobs that join them repeatedly (every stage keyed by example id) then read
+    co-partitioned tables: the sort-merge join needs no exchange on either side.
+    ``n_buckets`` should give buckets of a few hundred MB of documents.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name in ("documents", "labels"):
+        (read(spark, sf_dir, name).write.mode("overwrite").bucketBy(n_buckets, "doc_id")
+         .sortBy("doc_id").saveAsTable(f"{database}.{name}"))
+
+
+def bucketed_examples(spark: SparkSession, database: str) -> DataFrame:
+    """``examples`` from the bucketed tables of :func:`bucket_inputs` (no shuffle for the join)."""
+    docs = spark.table(f"{database}.documents").select("doc_id", "text", "source", "lang")
+    labels = spark.table(f"{database}.labels").select("doc_id", "quality")
+    return (docs.join(labels, "doc_id")
+            .select(F.col("doc_id").alias("example_id"), "text",
+                    (F.lit(1) - F.col("quality")).cast("int").alias("label"), "source",
+                    F.col("lang").alias("domain"), text_hash("text").alias("group_key")))
