@@ -1,6 +1,5 @@
 """Generation: retries, padding, lineage, resume (intent of the reference's mirror tests)."""
 
-from pyspark.sql import functions as F
 
 from textprov.operators import generate as g
 

@@ -1,6 +1,5 @@
 """Round logic: convergence, checkpoint choice, best round, resume, loop restart."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from textprov import tables

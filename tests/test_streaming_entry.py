@@ -3,7 +3,6 @@
 import importlib.util
 import os
 
-from pyspark.sql import functions as F
 
 from textprov.streaming import replies as rs
 

@@ -1,6 +1,5 @@
 """Tokens, padding, batches and overlap audits."""
 
-import json
 import os
 
 from pyspark.sql import functions as F
