@@ -14,7 +14,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from textprov.session import DEFAULT_CONF, ensure_checkpoint_dir
+    from textprov.session import DEFAULT_CONF, ensure_checkpoint_dir, ship_package
     b = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="textprov-wh-")))
     for k, v in DEFAULT_CONF.items():
@@ -22,6 +22,7 @@ def spark():
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
     s.stop()
 
