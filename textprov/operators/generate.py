@@ -109,6 +109,10 @@ def call_with_retry(gen: Callable[[str], str], payload: str, attempts: int = MAX
 REPLY_SCHEMA = "request_id string, reply string, status string, attempts int, error string"
 
 
+def no_wait(seconds: float) -> None:
+    """Back-off for local generators (stubs): retry at once."""
+
+
 def run_requests(requests: DataFrame, gen: Callable[[str], str], max_parallel: int | None = None,
                  sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Call the generator once per request row (``request_id``, ``payload``).
@@ -233,8 +237,8 @@ _LINE_RE = re.compile(r"^\[(\d+)\] (.*)$", re.M)
 class StubPromptWriter:
     """Answers a prompt-writing request: line ``[k] Write about: <first 5 words>``.
 
-    Items whose quoted text length is divisible by ``drop_mod`` get no line,
-    which exercises the padding rule.
+    Items whose quoted text has a word count divisible by ``drop_mod`` get no
+    line, which exercises the padding rule.
     """
 
     def __init__(self, drop_mod: int = 4):
@@ -243,7 +247,7 @@ class StubPromptWriter:
     def __call__(self, payload: str) -> str:
         lines = []
         for k, txt in _ITEM_RE.findall(payload):
-            if self.drop_mod and len(txt) % self.drop_mod == 0:
+            if self.drop_mod and len(txt.split()) % self.drop_mod == 0:
                 continue
             lines.append(f"[{k}] Write about: {' '.join(txt.split()[:5])}")
         return "\n".join(lines)

@@ -71,7 +71,7 @@ req AS (SELECT batch_id, CAST(count(*) AS INTEGER) AS n_items,
                md5('1:' || string_agg(CAST(example_id AS VARCHAR), ',' ORDER BY ordinal) || ':{generate.TEMPLATE_VERSION}') AS request_id,
                {_q(_H1)} || count(*) || {_q(_H2)} || count(*) || {_q(_H3)} || {NL} || {NL} ||
                string_agg('[' || ordinal || ']' || {NL} || '\"\"\"' || substr(text, 1, 1000) || '\"\"\"', {NL} || {NL} ORDER BY ordinal) AS payload,
-               count(*) FILTER (WHERE length(substr(text, 1, 1000)) % 4 <> 0) AS n_present
+               count(*) FILTER (WHERE len({ws_tokens_sql('substr(text, 1, 1000)')}) % 4 <> 0) AS n_present
         FROM fpb GROUP BY batch_id),
 st AS (SELECT *, substr(md5(payload), 1, 1) AS h FROM req),
 status AS (SELECT batch_id, request_id, n_items,
@@ -100,7 +100,7 @@ def q_request_payload(spark, d):
 def q_gen_status(spark, d):
     _, req = prompt_stage(spark, d)
     rep = generate.run_requests(req, generate.FlakyGenerator(generate.StubPromptWriter()),
-                                sleep=lambda s: None)
+                                sleep=generate.no_wait)
     return rep.select("request_id", "status", "attempts", "error")
 
 
@@ -111,7 +111,7 @@ def q_resume_pending(spark, d):
     """A first run with a failing generator, then the requests still to send."""
     _, req = prompt_stage(spark, d)
     done = generate.run_requests(req, generate.FlakyGenerator(generate.StubPromptWriter()),
-                                 sleep=lambda s: None)
+                                 sleep=generate.no_wait)
     return generate.pending_requests(req, done).select("request_id", "n_items")
 
 
@@ -119,7 +119,7 @@ def q_resume_pending(spark, d):
 WITH {FP_BATCH_CTE},
 present AS (SELECT batch_id, ordinal, row_number() OVER (PARTITION BY batch_id ORDER BY ordinal) AS j,
                    '[' || ordinal || '] Write about: ' || array_to_string({ws_tokens_sql('substr(text, 1, 1000)')}[1:5], ' ') AS line
-            FROM fpb WHERE length(substr(text, 1, 1000)) % 4 <> 0),
+            FROM fpb WHERE len({ws_tokens_sql('substr(text, 1, 1000)')}) % 4 <> 0),
 parsed AS (SELECT batch_id, CAST(j AS INTEGER) AS ordinal,
                   CASE WHEN starts_with(line, '[' || j || ']') THEN {strip_sql("substr(line, length('[' || j || ']') + 1)")}
                        ELSE {strip_sql('line')} END AS prompt FROM present)
@@ -129,7 +129,7 @@ SELECT fpb.example_id, fpb.batch_id, fpb.ordinal,
 FROM fpb LEFT JOIN parsed ON fpb.batch_id = parsed.batch_id AND fpb.ordinal = parsed.ordinal""")
 def q_prompt_pad(spark, d):
     members, req = prompt_stage(spark, d)
-    rep = generate.run_requests(req, generate.StubPromptWriter())
+    rep = generate.run_requests(req, generate.StubPromptWriter(), sleep=generate.no_wait)
     return generate.padded_prompts(members, req, rep)
 
 
@@ -236,8 +236,7 @@ def prompt_grid(stories):
     return x.withColumn("prompt", F.format_string(STORY_PROMPT, "style", "length", "topic"))
 
 
-@query("prompt_grid", f"""
-WITH s AS (SELECT doc_id AS example_id FROM documents
+PROMPT_GRID_CTE = f"""s AS (SELECT doc_id AS example_id FROM documents
            WHERE length({strip_sql('text')}) > 200 AND length({strip_sql('text')}) < 8000
            ORDER BY {smd5(42, 'doc_id')}, doc_id LIMIT 3000),
 b0 AS (SELECT *, {_shard_sql('s')} AS shard FROM s),
@@ -249,10 +248,13 @@ g AS (SELECT b.example_id, b.batch_id, b.ordinal,
              {_sql_list(STYLES)}[{h32('style', 'b.example_id')} % {len(STYLES)} + 1] AS style,
              {_sql_list(LENGTHS)}[{h32('len', 'b.example_id')} % {len(LENGTHS)} + 1] AS length,
              t.topic
-      FROM b JOIN t ON b.batch_id = t.batch_id AND b.ordinal = t.r)
-SELECT example_id, batch_id, ordinal, style, length, topic,
+      FROM b JOIN t ON b.batch_id = t.batch_id AND b.ordinal = t.r),
+pg AS (SELECT example_id, batch_id, ordinal, style, length, topic,
        'Write a ' || style || ' short story of about ' || length || ' words about ' || topic || '. Use vivid details and varied sentences.' AS prompt
-FROM g""")
+FROM g)"""
+
+
+@query("prompt_grid", f"WITH {PROMPT_GRID_CTE}\nSELECT * FROM pg")
 def q_prompt_grid(spark, d):
     return prompt_grid(_stories(spark, d)).select("example_id", "batch_id", "ordinal", "style",
                                                   "length", "topic", "prompt")
@@ -269,7 +271,7 @@ def creative_rows(spark, d):
                    .alias("request_id"),
                    F.array_join(F.transform("items", lambda s: F.format_string("[%d] %s", s["ordinal"], s["prompt"])),
                                 "\n\n").alias("payload"))
-    rep = generate.run_requests(req, generate.StubStoryWriter())
+    rep = generate.run_requests(req, generate.StubStoryWriter(), sleep=generate.no_wait)
     parts = (rep.filter(F.col("status") == "ok")
              .select("request_id", F.posexplode(tx.split_parts("reply", 100)).alias("pos", "part")))
     ai = parts.select(F.conv(F.substring(F.md5(F.concat_ws(":", "request_id", F.col("pos").cast("string"))), 1, 15),
@@ -284,7 +286,18 @@ def creative_rows(spark, d):
     return human.unionByName(ai)
 
 
-@query("creative_rows")
+@query("creative_rows", f"""
+WITH {PROMPT_GRID_CTE},
+req AS (SELECT batch_id, md5('creative:' || string_agg(CAST(example_id AS VARCHAR), ',' ORDER BY ordinal) || ':{generate.TEMPLATE_VERSION}') AS request_id
+        FROM pg GROUP BY batch_id),
+ai AS (SELECT CAST(('0x' || substr(md5(req.request_id || ':' || CAST(pg.ordinal - 1 AS VARCHAR)), 1, 15)) AS BIGINT) AS example_id,
+              1 AS label, 'generated_creative' AS source, 'creative' AS domain,
+              CAST(4 * length(pg.prompt) + 3 AS BIGINT) AS n_chars
+       FROM pg JOIN req ON pg.batch_id = req.batch_id),
+human AS (SELECT doc_id AS example_id, 0 AS label, 'stories' AS source, 'creative' AS domain,
+                 CAST(length({strip_sql('text')}) AS BIGINT) AS n_chars
+          FROM documents WHERE doc_id IN (SELECT example_id FROM s))
+SELECT * FROM human UNION ALL SELECT * FROM ai""")
 def q_creative_rows(spark, d):
     return creative_rows(spark, d).select("example_id", "label", "source", "domain",
                                           F.length("text").cast("bigint").alias("n_chars"))
@@ -295,14 +308,42 @@ def mirror_job(spark, d, round_no=1, max_mirrors=1000):
     fp = fp_rows(spark, d)
     capped = sample.sample_n(fp, max_mirrors, seed=round_no)
     members, req = generate.prompt_requests(capped, round_no=round_no)
-    rep1 = generate.run_requests(req, generate.StubPromptWriter())
+    rep1 = generate.run_requests(req, generate.StubPromptWriter(), sleep=generate.no_wait)
     prompts = generate.padded_prompts(members, req, rep1)
     treq = generate.text_requests(prompts, round_no=round_no)
-    rep2 = generate.run_requests(treq, generate.StubTextWriter())
+    rep2 = generate.run_requests(treq, generate.StubTextWriter(), sleep=generate.no_wait)
     return generate.mirror_rows(treq, rep2, round_no=round_no)
 
 
-@query("mirrors")
+MIRROR_SQL = SCORES_CTE + f""",
+fp AS (SELECT example_id, text FROM scored WHERE label = 0 AND pred = 1 AND text IS NOT NULL AND text <> ''),
+fpc AS (SELECT * FROM fp ORDER BY {smd5(1, 'example_id')}, example_id LIMIT 1000),
+fpb0 AS (SELECT *, {_shard_sql('fpc')} AS shard FROM fpc),
+fpb1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1 AS rn FROM fpb0),
+fpb AS (SELECT example_id, text, shard * 2147483648 + CAST(floor(rn / 10) AS BIGINT) AS batch_id,
+               CAST(rn % 10 + 1 AS INTEGER) AS ordinal FROM fpb1),
+present AS (SELECT batch_id, ordinal, row_number() OVER (PARTITION BY batch_id ORDER BY ordinal) AS j,
+                   '[' || ordinal || '] Write about: ' || array_to_string({ws_tokens_sql('substr(text, 1, 1000)')}[1:5], ' ') AS line
+            FROM fpb WHERE len({ws_tokens_sql('substr(text, 1, 1000)')}) % 4 <> 0),
+parsed AS (SELECT batch_id, CAST(j AS INTEGER) AS ordinal,
+                  CASE WHEN starts_with(line, '[' || j || ']') THEN {strip_sql("substr(line, length('[' || j || ']') + 1)")}
+                       ELSE {strip_sql('line')} END AS prompt FROM present),
+pp AS (SELECT fpb.example_id, fpb.batch_id, fpb.ordinal,
+              coalesce(parsed.prompt, 'Write a text similar to: ' || substr(fpb.text, 1, 200)) AS prompt
+       FROM fpb LEFT JOIN parsed ON fpb.batch_id = parsed.batch_id AND fpb.ordinal = parsed.ordinal),
+tr AS (SELECT batch_id, md5('1t:' || string_agg(CAST(example_id AS VARCHAR), ',' ORDER BY ordinal) || ':{generate.TEMPLATE_VERSION}') AS request_id
+       FROM pp GROUP BY batch_id),
+parts AS (SELECT pp.example_id AS parent_id, pp.ordinal, tr.request_id, split_part(pp.prompt, chr(10), 1) AS p
+          FROM pp JOIN tr ON pp.batch_id = tr.batch_id),
+reps AS (SELECT *, CAST(greatest(3, ceil(160.0 / (length(p) + 1))) AS INTEGER) AS k FROM parts)"""
+
+
+@query("mirrors", f"""
+WITH {MIRROR_SQL}
+SELECT CAST(('0x' || substr(md5(request_id || ':' || CAST(ordinal - 1 AS VARCHAR)), 1, 15)) AS BIGINT) AS example_id,
+       1 AS label, 'mirror' AS source, 'mirror' AS domain, parent_id, 1 AS round,
+       CAST(length({strip_sql("'Text ' || ordinal || '. ' || repeat(p || ' ', k - 1) || p")}) AS BIGINT) AS n_chars
+FROM reps""")
 def q_mirrors(spark, d):
     return mirror_job(spark, d).select("example_id", "label", "source", "domain", "parent_id", "round",
                                        F.length("text").cast("bigint").alias("n_chars"))
@@ -317,7 +358,7 @@ def q_reply_ingest(spark, d):
     _, req = prompt_stage(spark, d)
     base = scratch_path(spark, "reply_ingest")
     generate.run_requests(req, generate.FlakyGenerator(generate.StubPromptWriter()),
-                          sleep=lambda s: None).write.parquet(f"{base}/sent")
+                          sleep=generate.no_wait).write.parquet(f"{base}/sent")
     sent = spark.read.parquet(f"{base}/sent")  # persisted before use: no second call
     rs.write_reply_files(sent, f"{base}/incoming")
     rs.run_ingest(spark, f"{base}/incoming", f"{base}/table", f"{base}/_checkpoint")

@@ -126,6 +126,8 @@ class MiningLoop:
         self.base = base.rstrip("/")
         self.gen_prompts = generator_prompts or generate.StubPromptWriter()
         self.gen_texts = generator_texts or generate.StubTextWriter()
+        # real generators back off between retries; the offline stubs need not
+        self.sleep = time.sleep if generator_prompts or generator_texts else generate.no_wait
         self.max_rounds = max_rounds
         self.max_mirrors = max_mirrors
         self.threshold = threshold
@@ -178,12 +180,12 @@ class MiningLoop:
         capped = sample.sample_n(fp.select("example_id", "text"), self.max_mirrors, seed=k)
         members, req = generate.prompt_requests(capped, round_no=k)
         rep1_path = f"{self.base}/replies/prompts/round={k}"
-        generate.run_requests(req, self.gen_prompts).write.mode("overwrite").parquet(rep1_path)
+        generate.run_requests(req, self.gen_prompts, sleep=self.sleep).write.mode("overwrite").parquet(rep1_path)
         rep1 = self.spark.read.parquet(rep1_path)
         prompts = generate.padded_prompts(members, req, rep1)
         treq = generate.text_requests(prompts, round_no=k)
         rep2_path = f"{self.base}/replies/texts/round={k}"
-        generate.run_requests(treq, self.gen_texts).write.mode("overwrite").parquet(rep2_path)
+        generate.run_requests(treq, self.gen_texts, sleep=self.sleep).write.mode("overwrite").parquet(rep2_path)
         rep2 = self.spark.read.parquet(rep2_path)
         rows = generate.mirror_rows(treq, rep2, round_no=k)
         out = rows.select("example_id", "text", "label", "source", "domain",
