@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..functions import text as tx
-from ..functions.hashing import hash32
+from ..functions.hashing import hash32, stable_id
 from ..operators import batches, filters, generate, sample
-from .catalog import SCORES_CTE, h32, query, smd5, strip_sql, ws_tokens_sql
+from .catalog import SCORES_CTE, h32, query, smd5, stable_id_sql, strip_sql, ws_tokens_sql
 from .q_metrics import scored
 
 # Creative prompt grid (styles, lengths in words, topics)
@@ -280,7 +280,8 @@ def creative_rows(spark, d):
     ai = ai.filter(F.length("text") > 100).select(
         "example_id", "text", F.lit(1).alias("label"), F.lit("generated_creative").alias("source"),
         F.lit("creative").alias("domain"))
-    human = stories.select(F.col("doc_id").alias("example_id"), tx.py_strip("text").alias("text"),
+    # own id space: a story document may also be a base row of the pool
+    human = stories.select(stable_id(F.lit("stories"), "doc_id").alias("example_id"), tx.py_strip("text").alias("text"),
                            F.lit(0).alias("label"), F.lit("stories").alias("source"),
                            F.lit("creative").alias("domain"))
     return human.unionByName(ai)
@@ -294,7 +295,7 @@ ai AS (SELECT CAST(('0x' || substr(md5(req.request_id || ':' || CAST(pg.ordinal
               1 AS label, 'generated_creative' AS source, 'creative' AS domain,
               CAST(4 * length(pg.prompt) + 3 AS BIGINT) AS n_chars
        FROM pg JOIN req ON pg.batch_id = req.batch_id),
-human AS (SELECT doc_id AS example_id, 0 AS label, 'stories' AS source, 'creative' AS domain,
+human AS (SELECT {stable_id_sql("'stories'", 'doc_id')} AS example_id, 0 AS label, 'stories' AS source, 'creative' AS domain,
                  CAST(length({strip_sql('text')}) AS BIGINT) AS n_chars
           FROM documents WHERE doc_id IN (SELECT example_id FROM s))
 SELECT * FROM human UNION ALL SELECT * FROM ai""")

@@ -8,7 +8,8 @@ from .. import tables
 from ..operators import score
 from ..session import scratch_path
 from . import rounds
-from .catalog import EXAMPLES_CTE, SPLIT_CTE, query, smd5
+from .catalog import EXAMPLES_CTE, SPLIT_CTE, ntok_sql, query, smd5, stable_id_sql, strip_sql
+from .q_generate import MIRROR_SQL, PROMPT_GRID_CTE
 from .q_split import split_examples
 
 D = "CAST({} AS DOUBLE)".format
@@ -99,7 +100,22 @@ def _pool(spark, d):
                              budget=rounds.POOL_BUDGET, priority_domains=["creative"])
 
 
-@query("pool_merge")
+POOL_CTE = SPLIT_CTE + ", " + PROMPT_GRID_CTE + f""",
+base AS (SELECT example_id, text, label, source, domain FROM splits WHERE split = 'train'
+         ORDER BY {smd5(42, 'example_id')}, example_id LIMIT {rounds.BASE_SAMPLE}),
+req AS (SELECT batch_id, md5('creative:' || string_agg(CAST(example_id AS VARCHAR), ',' ORDER BY ordinal) || ':v1') AS request_id
+        FROM pg GROUP BY batch_id),
+human AS (SELECT {stable_id_sql("'stories'", 'doc_id')} AS example_id, {strip_sql('text')} AS text, 0 AS label FROM documents
+          WHERE doc_id IN (SELECT example_id FROM s)),
+ai AS (SELECT CAST(('0x' || substr(md5(req.request_id || ':' || CAST(pg.ordinal - 1 AS VARCHAR)), 1, 15)) AS BIGINT) AS example_id,
+              pg.prompt, 1 AS label FROM pg JOIN req ON pg.batch_id = req.batch_id)"""
+
+
+@query("pool_merge", f"""
+WITH {POOL_CTE}
+SELECT 'base' AS origin, source, CAST(label AS INTEGER) AS label, count(*) AS n FROM base GROUP BY source, label
+UNION ALL SELECT 'creative', 'stories', 0, count(*) FROM human
+UNION ALL SELECT 'creative', 'generated_creative', 1, count(*) FROM ai""")
 def q_pool_merge(spark, d):
     """Train sample plus creative rows (human stories and generated stories)."""
     from .q_generate import creative_rows
@@ -112,7 +128,19 @@ def q_pool_merge(spark, d):
     return m.groupBy("origin", "source", "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-@query("pool_build")
+@query("pool_build", f"""
+WITH {POOL_CTE},
+cre AS (SELECT example_id, label, 'creative' AS domain, CAST({ntok_sql('text')} AS INTEGER) AS ntok FROM human
+        WHERE length({strip_sql('text')}) > 100
+        UNION ALL
+        SELECT example_id, label, 'creative', CAST(4 * {ntok_sql('prompt')} AS INTEGER) FROM ai),
+rest AS (SELECT example_id, CAST(label AS INTEGER) AS label, domain, CAST({ntok_sql('text')} AS INTEGER) AS ntok,
+                row_number() OVER (ORDER BY {smd5(42, 'example_id')}, example_id) AS rn
+         FROM base WHERE length({strip_sql('text')}) > 100)
+SELECT example_id, label, 'creative' AS origin, domain, ntok AS token_length, least(ntok, 512) AS n_ids FROM cre
+UNION ALL
+SELECT example_id, label, 'base', domain, ntok, least(ntok, 512) FROM rest
+WHERE rn <= greatest({rounds.POOL_BUDGET} - (SELECT count(*) FROM cre), 0)""")
 def q_pool_build(spark, d):
     """Pool: train sample + creative, length filter, budget keeping creative whole, encoded."""
     p = rounds.encode_pool(_pool(spark, d), vocab_size=5000)
@@ -120,7 +148,14 @@ def q_pool_build(spark, d):
                     F.size("input_ids").cast("int").alias("n_ids"))
 
 
-@query("pool_append")
+@query("pool_append", f"""
+WITH {SPLIT_CTE},
+base AS (SELECT example_id, text, label FROM splits WHERE split = 'train'
+         ORDER BY {smd5(42, 'example_id')}, example_id LIMIT {rounds.BASE_SAMPLE}),
+{MIRROR_SQL.replace(EXAMPLES_CTE + ",", "", 1)}
+SELECT 0 AS round, 'base' AS origin, CAST(label AS INTEGER) AS label, count(*) AS n FROM base
+WHERE length({strip_sql('text')}) > 100 GROUP BY label
+UNION ALL SELECT 1, 'mirror', 1, count(*) FROM reps""")
 def q_pool_append(spark, d):
     """Pool stored by round: round 0 written, mirrors appended as round 1, read back."""
     from .q_generate import mirror_job
