@@ -122,7 +122,8 @@ def class_report(cm: DataFrame) -> DataFrame:
 
 
 def score_cumulative(df: DataFrame, score="score", label="label",
-                     buckets: int = SCORE_BUCKETS, by: list[str] | None = None) -> DataFrame:
+                     buckets: int = SCORE_BUCKETS, by: list[str] | None = None,
+                     n_groups: int | None = None) -> DataFrame:
     """Per (group, distinct score): n0, n1 and counts of each class strictly below it.
 
     Also carries the group totals ``tot0``, ``tot1``.  Scores are expected in
@@ -144,8 +145,9 @@ def score_cumulative(df: DataFrame, score="score", label="label",
                    F.coalesce(F.sum("_b1").over(wb), F.lit(0)).alias("_c1b"),
                    F.sum("_b0").over(wall).alias("tot0"),
                    F.sum("_b1").over(wall).alias("tot1"))
-    known = buckets + 1 if not by else None
-    g = g.join(bounded_broadcast(bt, buckets + 1, known_rows=known), [*by, "_cb"])
+    # bucket table: (buckets + 1) rows per group; a proven bound when the group count is known
+    known = (buckets + 1) * (n_groups if by else 1) if (not by or n_groups) else None
+    g = g.join(bounded_broadcast(bt, 2_000_000, known_rows=known), [*by, "_cb"])  # <= ~60 MB
     wi = Window.partitionBy(*by, "_cb").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return g.select(*by, "score", "n0", "n1",
                     (F.col("_c0b") + F.coalesce(F.sum("n0").over(wi), F.lit(0))).alias("c0_below"),
@@ -153,10 +155,11 @@ def score_cumulative(df: DataFrame, score="score", label="label",
                     "tot0", "tot1")
 
 
-def auroc(df: DataFrame, score="score", label="label", by: list[str] | None = None) -> DataFrame:
+def auroc(df: DataFrame, score="score", label="label", by: list[str] | None = None,
+          n_groups: int | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half; NULL when a class is missing."""
     by = list(by or [])
-    g = score_cumulative(df, score, label, by=by)
+    g = score_cumulative(df, score, label, by=by, n_groups=n_groups)
     aggs = [F.sum(F.col("n1") * (F.col("c0_below") + F.lit(0.5) * F.col("n0"))).alias("_u"),
             F.max("tot0").alias("tot0"), F.max("tot1").alias("tot1")]
     agg = g.groupBy(*by).agg(*aggs) if by else g.agg(*aggs)
@@ -168,8 +171,9 @@ def auroc(df: DataFrame, score="score", label="label", by: list[str] | None = No
          .alias("auroc"))
 
 
-def auroc_by(df: DataFrame, by: list[str], score="score", label="label") -> DataFrame:
-    return auroc(df, score, label, by=by)
+def auroc_by(df: DataFrame, by: list[str], score="score", label="label",
+             n_groups: int | None = None) -> DataFrame:
+    return auroc(df, score, label, by=by, n_groups=n_groups)
 
 
 def threshold_sweep(df: DataFrame, score="score", label="label") -> DataFrame:

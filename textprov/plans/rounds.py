@@ -233,7 +233,7 @@ def synthetic_log(ex: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
         F.count_if((F.col("label") == 0) & (F.col("pred") == 1)).alias("n_fp"),
         F.count_if((F.col("label") == 1) & (F.col("pred") == 0)).alias("_fn"),
         F.count(F.lit(1)).alias("_n"))
-    au = metrics.auroc_by(x, ["round"])
+    au = metrics.auroc_by(x, ["round"], n_groups=rounds)
     w = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
     out = per.join(F.broadcast(au), "round")  # one row per round
     return out.select(
