@@ -136,6 +136,16 @@ def run_requests(requests: DataFrame, gen: Callable[[str], str], max_parallel: i
     return x.mapInPandas(fn, REPLY_SCHEMA)
 
 
+def persisted_replies(replies: DataFrame, path: str) -> DataFrame:
+    """Write replies (keyed by request_id) and read them back before any use.
+
+    A stage recomputed after a lost executor then reads the stored replies
+    instead of calling the generator a second time.
+    """
+    replies.write.mode("overwrite").parquet(path)
+    return replies.sparkSession.read.parquet(path)
+
+
 def pending_requests(planned: DataFrame, done: DataFrame) -> DataFrame:
     """Planned requests without a successful reply yet (resume)."""
     ok = done.filter(F.col("status") == "ok").select("request_id")

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions.hashing import hash32, stable_id
 from ..operators import batches, filters, generate, sample
 from .catalog import SCORES_CTE, h32, query, smd5, stable_id_sql, strip_sql, ws_tokens_sql
+from ..session import scratch_path
 from .q_metrics import scored
 
 # Creative prompt grid (styles, lengths in words, topics)
@@ -129,7 +130,9 @@ SELECT fpb.example_id, fpb.batch_id, fpb.ordinal,
 FROM fpb LEFT JOIN parsed ON fpb.batch_id = parsed.batch_id AND fpb.ordinal = parsed.ordinal""")
 def q_prompt_pad(spark, d):
     members, req = prompt_stage(spark, d)
-    rep = generate.run_requests(req, generate.StubPromptWriter(), sleep=generate.no_wait)
+    rep = generate.persisted_replies(
+        generate.run_requests(req, generate.StubPromptWriter(), sleep=generate.no_wait),
+        scratch_path(spark, "replies_prompts"))
     return generate.padded_prompts(members, req, rep)
 
 
@@ -271,7 +274,9 @@ def creative_rows(spark, d):
                    .alias("request_id"),
                    F.array_join(F.transform("items", lambda s: F.format_string("[%d] %s", s["ordinal"], s["prompt"])),
                                 "\n\n").alias("payload"))
-    rep = generate.run_requests(req, generate.StubStoryWriter(), sleep=generate.no_wait)
+    rep = generate.persisted_replies(
+        generate.run_requests(req, generate.StubStoryWriter(), sleep=generate.no_wait),
+        scratch_path(spark, "replies_stories"))
     parts = (rep.filter(F.col("status") == "ok")
              .select("request_id", F.posexplode(tx.split_parts("reply", 100)).alias("pos", "part")))
     ai = parts.select(F.conv(F.substring(F.md5(F.concat_ws(":", "request_id", F.col("pos").cast("string"))), 1, 15),
@@ -309,10 +314,14 @@ def mirror_job(spark, d, round_no=1, max_mirrors=1000):
     fp = fp_rows(spark, d)
     capped = sample.sample_n(fp, max_mirrors, seed=round_no)
     members, req = generate.prompt_requests(capped, round_no=round_no)
-    rep1 = generate.run_requests(req, generate.StubPromptWriter(), sleep=generate.no_wait)
+    rep1 = generate.persisted_replies(
+        generate.run_requests(req, generate.StubPromptWriter(), sleep=generate.no_wait),
+        scratch_path(spark, f"replies_prompts_r{round_no}"))
     prompts = generate.padded_prompts(members, req, rep1)
     treq = generate.text_requests(prompts, round_no=round_no)
-    rep2 = generate.run_requests(treq, generate.StubTextWriter(), sleep=generate.no_wait)
+    rep2 = generate.persisted_replies(
+        generate.run_requests(treq, generate.StubTextWriter(), sleep=generate.no_wait),
+        scratch_path(spark, f"replies_texts_r{round_no}"))
     return generate.mirror_rows(treq, rep2, round_no=round_no)
 
 
