@@ -115,3 +115,12 @@ def test_corpus_prepare_writes_splits(spark, tmp):
     n = c.count()
     assert sum(rep.values()) <= n and set(rep) == {"train", "val", "test"}
     assert res["splits"].filter(F.size("input_ids") > 512).count() == 0
+
+
+def test_failing_source_is_isolated(spark, tmp):
+    good = spark.createDataFrame([(1, "x" * 60, 0, "qa", "qa")], "example_id long, text string, label int, source string, domain string")
+    bad_df, err = readers.isolated(spark, "news", lambda: readers.read_labelled_csv(spark, tmp + "/missing"))
+    assert bad_df.count() == 0 and err.startswith("news: ")
+    ok_df, err2 = readers.isolated(spark, "qa", lambda: good)
+    assert err2 is None
+    assert readers.union_sources(ok_df, bad_df).count() == 1

@@ -127,8 +127,10 @@ def q_corpus_union(spark, d):
 def q_corpus_prep(spark, d):
     """Entry A end to end: three sources -> clean -> dedup -> tokens -> >= 64 -> split -> write."""
     from . import corpus
-    qa, _ = qa_rows(spark, d)
-    poly, _ = poly_rows(spark, d)
-    c = corpus.clean_corpus(qa, csv_rows(spark, d), poly)
+    # each source is isolated: a failing reader is reported and the others go on
+    parts = [readers.isolated(spark, n, f) for n, f in (("qa", lambda: qa_rows(spark, d)),
+                                                         ("news", lambda: csv_rows(spark, d)),
+                                                         ("essays", lambda: poly_rows(spark, d)))]
+    c = corpus.clean_corpus(*[df for df, _ in parts])
     res = corpus.prepare(spark, c, scratch_path(spark, "corpus"), vocab_size=5000)
     return res["split_report"]

@@ -231,3 +231,28 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def peek_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names from the Parquet footers only (no data is read)."""
     return spark.read.parquet(path).columns
+
+
+CANONICAL_SCHEMA = T.StructType([
+    T.StructField("example_id", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("label", T.IntegerType()), T.StructField("source", T.StringType()),
+    T.StructField("domain", T.StringType()), T.StructField("generator", T.StringType()),
+    T.StructField("group_key", T.StringType()),
+])
+
+
+def isolated(spark: SparkSession, name: str, read) -> tuple[DataFrame, str | None]:
+    """Run one source reader; on failure return an empty canonical table and the error.
+
+    Failures found while planning (missing path, unreadable layout) stop only
+    this source; bad records inside a source go to its quarantine instead.  A
+    source is all-or-nothing (the reference kept the rows read before a failure).
+    """
+    try:
+        df = read()
+        df = df[0] if isinstance(df, tuple) else df
+        df.schema  # analysis errors surface here
+        return df, None
+    except Exception as e:  # noqa: BLE001 - any reader error isolates the source
+        msg = f"{name}: {type(e).__name__}: {str(e).splitlines()[0][:300]}"
+        return spark.createDataFrame([], CANONICAL_SCHEMA), msg
