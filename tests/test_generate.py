@@ -61,7 +61,7 @@ def test_padding_when_reply_is_short(spark):
     assert all(r.prompt.startswith("Write a text similar to: ") and not r.from_reply for r in p[1:])
 
 
-def test_mirrors_end_to_end_lineage(spark):
+def test_generated_rows_end_to_end_lineage(spark):
     texts = _texts(spark, 23)
     members, req = g.prompt_requests(texts)
     assert sorted(r.n_items for r in req.collect()) == [3, 10, 10]
