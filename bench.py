@@ -37,6 +37,7 @@ HEADLINE = [
     "audit_bench_shingle",   # 8-word shingle overlap against the benchmark
     "src_poly_json",         # VARIANT source round trip
     "request_payload",       # generation requests
+    "mirrors",               # mined rows -> prompts -> texts through mapInPandas, persisted replies
     "round_log",
 ]
 
