@@ -98,12 +98,6 @@ def test_single_cutoff_refinement_matches_sort(spark):
         assert cut == (want.h, want.example_id)
 
 
-def test_digits_for():
-    from textprov.operators.exact import digits_for
-    assert digits_for(1000) == 4 and digits_for(10 ** 10) == 4 and digits_for(10 ** 11) == 5
-    assert digits_for(10 ** 14) == 8
-
-
 def test_bucketed_join_has_no_exchange(spark):
     import io
     from contextlib import redirect_stdout
@@ -120,3 +114,17 @@ def test_bucketed_join_has_no_exchange(spark):
         assert ex.count() == 399
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_grouped_cutoff_refinement_matches_sort(spark):
+    """Tiny bucket bound forces several refinement levels per group."""
+    from textprov.operators import exact
+    df = spark.range(4000).select(F.col("id").alias("example_id"), (F.col("id") % 3).cast("string").alias("g"))
+    quota = spark.createDataFrame([("0", 1), ("1", 700), ("2", 5000)], "g string, q long")
+    cut = {r.g: (r._cut_h, r._cut_id) for r in
+           exact.cutoffs(df, ["g"], quota, 42, "example_id", digits=1, n_groups=3, max_bucket_rows=5).collect()}
+    h = F.md5(F.concat(F.lit("42:"), F.col("example_id").cast("string")))
+    for g, q in (("0", 1), ("1", 700), ("2", 5000)):
+        rows = df.filter(F.col("g") == g).select("example_id", h.alias("h")).orderBy("h", "example_id").collect()
+        want = rows[min(q, len(rows)) - 1]
+        assert cut[g] == (want.h, want.example_id)

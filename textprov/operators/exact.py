@@ -9,9 +9,11 @@ data on one core.  Here instead:
 2. a histogram ``(g, b) -> n`` is aggregated (map-side partial aggregation, so
    a hot group costs nothing extra);
 3. a running sum over the histogram (at most 16^digits rows per group) finds
-   for each group the boundary bucket ``b*`` where the q-th row lies;
-4. only the rows of the boundary bucket (about n_g / 16^digits) are ranked,
-   which yields the group's *cutoff*: the q-th smallest ``(h, id)``;
+   for each group the boundary bucket ``b*`` where the q-th row lies; while a
+   boundary bucket holds more than ``max_bucket_rows`` rows, steps 2-3 repeat
+   on the next digits inside it (a group of 10^13 rows needs 3 levels);
+4. only the rows of the final boundary bucket are ranked, which yields the
+   group's *cutoff*: the q-th smallest ``(h, id)``;
 5. every row is then decided on its own: taken iff ``(h, id) <= cutoff``.
 
 Steps 1-4 only touch the key columns and tables of one row per (group,
@@ -37,34 +39,56 @@ def order_key(seed, id_col: str) -> Column:
 
 def cutoffs(keys_df: DataFrame, keys: list[str], quota: DataFrame, seed, id_col: str,
             digits: int = 4, n_groups: int | None = None,
-            max_groups: int = MAX_BROADCAST_GROUPS) -> DataFrame:
+            max_groups: int = MAX_BROADCAST_GROUPS,
+            max_bucket_rows: int = BUCKET_TARGET_ROWS) -> DataFrame:
     """One row per group with q > 0: ``keys, _cut_h, _cut_id`` (the q-th smallest (h, id)).
 
-    ``quota`` has ``keys + ['q']``; only the key and id columns of ``keys_df`` are read.
+    Refines level by level: each level histograms the next ``digits`` hex
+    digits of the rows inside the group's current boundary prefix (at most
+    16^digits rows per group in the running-sum window), until the boundary
+    bucket holds at most ``max_bucket_rows`` rows; only those are ranked.
+    ``quota`` has ``keys + ['q']``; only the key and id columns of ``keys_df``
+    are read.  Per-level state is one row per group (checkpointed).
     """
     rows = keys_df.select(*keys, id_col).withColumn("_h", order_key(seed, id_col))
-    rows = rows.withColumn("_b", hex_bucket(F.col("_h"), digits))
-    hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (hist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-                .withColumn("_tot", F.sum("_n").over(Window.partitionBy(*keys))))
     rk = [f"_k{i}" for i in range(len(keys))]
-    qt = quota.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
-                      F.col("q").cast("bigint").alias("_q"))
-    on = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
-    joined = hist.join(qt, on, "inner")
-    # the bucket holding the q-th row; when q >= group size, the last bucket
-    bnd = (joined
-           .filter((F.col("_before") < F.col("_q"))
-                   & ((F.col("_before") + F.col("_n") >= F.col("_q"))
-                      | (F.col("_before") + F.col("_n") == F.col("_tot"))))
-           .select(*rk, F.col("_b").alias("_bstar"),
-                   F.least(F.col("_q") - F.col("_before"), F.col("_n")).alias("_need")))
-    on2 = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
-    small = n_groups is not None and n_groups <= max_groups  # bnd: one row per group
-    brow = rows.join(F.broadcast(bnd) if small else bnd, on2, "inner")
-    brow = brow.filter(F.col("_b") == F.col("_bstar"))
-    wr = Window.partitionBy(*keys).orderBy("_h", id_col)
+    small = n_groups is not None and n_groups <= max_groups  # state tables: one row per group
+
+    def attach(df, state):
+        on = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
+        j = df.join(F.broadcast(state) if small else state, on, "inner").drop(*rk)
+        return j.filter(F.col("_h").startswith(F.col("_prefix")))
+
+    state = (quota.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
+                          F.lit("").alias("_prefix"), F.col("q").cast("bigint").alias("_need"))
+             .filter(F.col("_need") > 0))
+    done_parts = []
+    for _ in range(32 // digits):
+        sub = attach(rows, state)
+        b = F.col("_h").substr(F.length("_prefix") + 1, F.lit(digits))
+        hist = sub.groupBy(*keys, "_prefix", "_need", b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        hist = (hist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+                    .withColumn("_tot", F.sum("_n").over(Window.partitionBy(*keys))))
+        # the bucket holding the need-th row; when need >= rows left, the last bucket
+        bnd = (hist.filter((F.col("_before") < F.col("_need"))
+                           & ((F.col("_before") + F.col("_n") >= F.col("_need"))
+                              | (F.col("_before") + F.col("_n") == F.col("_tot"))))
+               .select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
+                       F.concat("_prefix", "_b").alias("_prefix"),
+                       F.least(F.col("_need") - F.col("_before"), F.col("_n")).alias("_need"),
+                       F.col("_n").alias("_bn"))
+               .checkpoint(eager=True))
+        fin = (F.col("_bn") <= max_bucket_rows) | (F.length("_prefix") >= 32)
+        done_parts.append(bnd.filter(fin).drop("_bn"))
+        state = bnd.filter(~fin).drop("_bn")
+        if state.count() == 0:
+            break
+    final = done_parts[0]
+    for d in done_parts[1:]:
+        final = final.unionByName(d)
+    brow = attach(rows, final)
+    wr = Window.partitionBy(*keys).orderBy("_h", id_col)  # at most max_bucket_rows rows per group
     return (brow.withColumn("_rn", F.row_number().over(wr))
             .filter(F.col("_rn") == F.col("_need"))
             .select(*keys, F.col("_h").alias("_cut_h"), F.col(id_col).alias("_cut_id")))
@@ -104,14 +128,6 @@ def mark_first_q(df: DataFrame, keys: list[str], quota: DataFrame, seed, id_col:
     return j.withColumn(out_col, taken_expr(seed, id_col)).drop("_cut_h", "_cut_id")
 
 
-def digits_for(max_group_rows: int, target: int = BUCKET_TARGET_ROWS) -> int:
-    """Hex digits so that a bucket of the largest group holds about ``target`` rows."""
-    d = 4
-    while d < 12 and max_group_rows / (16 ** d) > target:
-        d += 1
-    return d
-
-
 def single_cutoff(df: DataFrame, q: int, seed, id_col: str, digits: int = 4,
                   max_bucket_rows: int = BUCKET_TARGET_ROWS):
     """The q-th smallest ``(h, id)`` of the whole table, or None (q = 0 or empty table).

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
 from ..session import ensure_checkpoint_dir
-from .exact import (MAX_BROADCAST_GROUPS, attach_cutoffs, cutoffs, digits_for,
-                    largest_remainder_quota, order_key, taken_expr)
+from .exact import (MAX_BROADCAST_GROUPS, attach_cutoffs, cutoffs, largest_remainder_quota,
+                    order_key, taken_expr)
 
 # 20 % held out, then half of it to test; seeds 42 and 43
 TEST_FRACTION = 0.2
@@ -78,13 +78,11 @@ def stratified_split(df: DataFrame, stratum: Column | None = None, id_col: str =
     counts = keys.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     if materialize:
         counts = counts.checkpoint(eager=True)
-    stats = counts.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).first()
-    n_strata = int(stats["k"])
-    digits = digits_for(int(stats["m"] or 0))  # boundary buckets of the largest stratum stay small
+    n_strata = counts.count()  # one row per stratum
     q1 = largest_remainder_quota(counts, "stratum", test_fraction, seeds[0]).select("stratum", "q")
     if materialize:  # one row per stratum: checkpointed so later plans do not re-derive it
         q1 = q1.checkpoint(eager=True)
-    cut1 = cutoffs(keys, ["stratum"], q1, seeds[0], id_col, digits=digits, n_groups=n_strata)
+    cut1 = cutoffs(keys, ["stratum"], q1, seeds[0], id_col, n_groups=n_strata)
     if materialize:
         cut1 = cut1.checkpoint(eager=True)
     held = (attach_cutoffs(keys, ["stratum"], cut1, n_groups=n_strata)
@@ -92,7 +90,7 @@ def stratified_split(df: DataFrame, stratum: Column | None = None, id_col: str =
     # the held rows of a stratum are exactly its step-1 quota
     q2 = largest_remainder_quota(q1.withColumnRenamed("q", "n"), "stratum", second_fraction,
                                  seeds[1]).select("stratum", "q")
-    cut2 = cutoffs(held, ["stratum"], q2, seeds[1], id_col, digits=digits, n_groups=n_strata)
+    cut2 = cutoffs(held, ["stratum"], q2, seeds[1], id_col, n_groups=n_strata)
     if materialize:
         cut2 = cut2.checkpoint(eager=True)
     c1 = cut1.select(F.col("stratum").alias("_s1"), F.col("_cut_h").alias("_h1"), F.col("_cut_id").alias("_i1"))
