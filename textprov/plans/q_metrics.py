@@ -49,22 +49,35 @@ _CE_SQL = ("greatest(0.0, 4.0 * score - 2.0) + ln(1.0 + exp(-abs(0.0 - (4.0 * sc
            " - CASE WHEN label = 1 THEN 4.0 * score - 2.0 ELSE 0.0 END")
 
 
+VAL_SCORED_CTE = SPLIT_CTE + f""",
+scored AS (SELECT *, round(CAST(0.7 AS DOUBLE) * {h32(7, 'example_id')} / 4294967296.0
+                           + CAST(0.3 AS DOUBLE) * label, 2) AS score FROM splits WHERE split = 'val')"""
+
+
+def scored_val(spark, d):
+    """Validation split with the deterministic model's scores."""
+    from .q_split import split_examples
+    return tables.with_oracle_scores(split_examples(spark, d)).filter(F.col("split") == "val")
+
+
 @query("val_loss", f"""
-WITH {SCORES_CTE}
+WITH {VAL_SCORED_CTE}
 SELECT count(*) AS n, round(avg({_CE_SQL}), 6) AS loss FROM scored""")
 def q_val_loss(spark, d):
-    return metrics.val_loss(scored(spark, d))
+    """Mean cross-entropy over the validation split (row mean)."""
+    return metrics.val_loss(scored_val(spark, d))
 
 
 @query("val_loss_batches", f"""
-WITH {SCORES_CTE},
+WITH {VAL_SCORED_CTE},
 b AS (SELECT *, floor((row_number() OVER (PARTITION BY {h32('shard42', 'example_id')} % (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) FROM scored)
                                          ORDER BY {smd5(42, 'example_id')}, example_id) - 1) / 64) AS batch_no
       FROM scored),
 per AS (SELECT batch_no, avg({_CE_SQL}) AS m, count(*) AS c FROM b GROUP BY batch_no)
 SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS n_batches, round(avg(m), 6) AS loss FROM per""")
 def q_val_loss_batches(spark, d):
-    b = batches.assign_batches(scored(spark, d), 64)
+    """Validation loss as the mean of per-batch means (batches of 64), the reference's way."""
+    b = batches.assign_batches(scored_val(spark, d), 64)
     return metrics.val_loss(b, batch_col="batch_id")
 
 
