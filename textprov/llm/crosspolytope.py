@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 TOP = 20
-TABLES = 8
+TABLES = 12
 PROBES = 12
 CHUNK = 4000
 SEED = 17
@@ -131,7 +131,7 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
                     out["query_id"] += [left["id"].iat[lo + i]] * len(order)
                     out["score"] += exact[order].tolist()
                     out["ids"] += [ids[j].tolist() for j in cand[order]]
-        return pd.DataFrame(out)
+        return pd.DataFrame(out).astype({"ids": object})
 
     found = (asked.groupBy(*group).cogroup(entries.groupBy(*group))
              .applyInPandas(best, "query_id long, score double, ids array<long>"))
