@@ -147,14 +147,14 @@ def test_filter_has_no_false_negatives_and_few_positives(spark):
 
 def test_line_spread(spark, docs):
     rows = [(50 + i, f"own line {i}\n  shared line \n\nnear {i % 2}", "en", f"s{i}") for i in range(8)]
-    rows += [(20 + i, "one site only", "en", "s1") for i in range(9)] + [(40, "shared line", "en", None)] + ODD
+    rows += [(20 + i, "one site only", "en", "s1") for i in range(9)] + [(90, "shared line", "en", None)] + ODD
     out = linespread.dedup_lines(docs(rows), min_sites=5)
     assert out.columns == [*docs(rows).columns, "_lines_removed"]
     got = {r["doc_id"]: r for r in out.collect()}
     assert out.count() == len(rows)
     assert got[50]["text"] == "own line 0\n  shared line \n\nnear 0" and got[50]["_lines_removed"] == 0
     assert got[53]["text"] == "own line 3\n\nnear 1" and got[53]["_lines_removed"] == 1   # near: 4 sites each
-    assert got[40]["text"] == "" and got[25]["text"] == "one site only" and got[1]["text"] is None
+    assert got[90]["text"] == "" and got[25]["text"] == "one site only" and got[1]["text"] is None
     assert linespread.dedup_lines(docs(rows).limit(0)).count() == 0
 
 
