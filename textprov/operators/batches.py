@@ -1,35 +1,28 @@
 """Fixed-size batches, ordinals and per-batch padding.
 
 A batch is B consecutive rows in a deterministic order.  A global
-``row_number`` would put every row in one task, so rows are first spread over
-``S = ceil(n / shard_rows)`` hash shards and numbered inside their shard:
-each window task sorts at most about ``shard_rows`` rows.  Batch ids are then
-``(shard, floor((rn - 1) / B))``; every batch but the last of each shard is full.
+``row_number`` would put every row in one task, so rows are first spread over a
+fixed number of hash shards (a parameter, never derived from the row count: the members of
+a shard do not change when rows are added elsewhere) and numbered inside their
+shard.  Batch ids are then ``(shard, floor((rn - 1) / B))``; every batch but the
+last of each shard is full.  Large inputs take more shards.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32, seeded_md5
 
-SHARD_ROWS = 1_000_000
+SHARDS = 16
 BATCH_STRIDE = 1 << 31  # batch_id = shard * stride + batch_no
 
 
-def n_shards(df: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
-    """Number of shards for ``df`` (one count job)."""
-    return max(1, math.ceil(df.count() / shard_rows))
-
-
 def assign_batches(df: DataFrame, batch_size: int, seed=42, id_col: str = "example_id",
-                   shards: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+                   shards: int = SHARDS) -> DataFrame:
     """Add ``shard``, ``batch_no``, ``ordinal`` (1-based in batch) and ``batch_id``."""
-    s = shards if shards is not None else n_shards(df, shard_rows)
-    x = df.withColumn("shard", F.pmod(hash32(f"shard{seed}", id_col), F.lit(s)).cast("int"))
+    x = df.withColumn("shard", F.pmod(hash32(f"shard{seed}", id_col), F.lit(shards)).cast("int"))
     w = Window.partitionBy("shard").orderBy(seeded_md5(seed, id_col), F.col(id_col))
     x = x.withColumn("_rn", F.row_number().over(w) - 1)
     return (x.withColumn("batch_no", F.floor(F.col("_rn") / batch_size).cast("bigint"))

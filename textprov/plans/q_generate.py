@@ -48,7 +48,7 @@ def _sql_list(xs):
 
 
 def _shard_sql(src):
-    return f"{h32('shard42', 'example_id')} % (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) FROM {src})"
+    return f"{h32('shard42', 'example_id')} % {batches.SHARDS}"
 
 
 # false positives with text, batched by 10 (the same rule as operators.batches)
@@ -217,9 +217,10 @@ def q_clean_story(spark, d):
 
 # --- creative prompt grid, creative rows, mirror rows -----------------------------------
 
-def _stories(spark, d, n=3000):
+def _stories(spark, d, n=None):
+    """All stories; a seeded sample of ``n`` only if the caller asks for one."""
     docs = filters.story_text(tables.read(spark, d, "documents").select("doc_id", "text"))
-    return sample.sample_n(docs, n, id_col="doc_id")
+    return docs if n is None else sample.sample_n(docs, n, id_col="doc_id")
 
 
 def prompt_grid(stories):
@@ -240,8 +241,7 @@ def prompt_grid(stories):
 
 
 PROMPT_GRID_CTE = f"""s AS (SELECT doc_id AS example_id FROM documents
-           WHERE length({strip_sql('text')}) > 200 AND length({strip_sql('text')}) < 8000
-           ORDER BY {smd5(42, 'doc_id')}, doc_id LIMIT 3000),
+           WHERE length({strip_sql('text')}) > 200 AND length({strip_sql('text')}) < 8000),
 b0 AS (SELECT *, {_shard_sql('s')} AS shard FROM s),
 b1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1 AS rn FROM b0),
 b AS (SELECT example_id, shard * 2147483648 + CAST(floor(rn / 5) AS BIGINT) AS batch_id, CAST(rn % 5 + 1 AS INTEGER) AS ordinal FROM b1),
@@ -309,10 +309,10 @@ def q_creative_rows(spark, d):
                                           F.length("text").cast("bigint").alias("n_chars"))
 
 
-def mirror_job(spark, d, round_no=1, max_mirrors=1000):
-    """False positives -> capped -> prompts -> padded -> texts -> mirror rows."""
+def mirror_job(spark, d, round_no=1, max_mirrors=None):
+    """False positives (all, or a seeded sample of ``max_mirrors``) -> prompts -> padded -> texts -> mirror rows."""
     fp = fp_rows(spark, d)
-    capped = sample.sample_n(fp, max_mirrors, seed=round_no)
+    capped = fp if max_mirrors is None else sample.sample_n(fp, max_mirrors, seed=round_no)
     members, req = generate.prompt_requests(capped, round_no=round_no)
     rep1 = generate.persisted_replies(
         generate.run_requests(req, generate.StubPromptWriter(), sleep=generate.no_wait),
@@ -327,7 +327,7 @@ def mirror_job(spark, d, round_no=1, max_mirrors=1000):
 
 MIRROR_SQL = SCORES_CTE + f""",
 fp AS (SELECT example_id, text FROM scored WHERE label = 0 AND pred = 1 AND text IS NOT NULL AND text <> ''),
-fpc AS (SELECT * FROM fp ORDER BY {smd5(1, 'example_id')}, example_id LIMIT 1000),
+fpc AS (SELECT * FROM fp),
 fpb0 AS (SELECT *, {_shard_sql('fpc')} AS shard FROM fpc),
 fpb1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1 AS rn FROM fpb0),
 fpb AS (SELECT example_id, text, shard * 2147483648 + CAST(floor(rn / 10) AS BIGINT) AS batch_id,

@@ -10,8 +10,8 @@ from .catalog import EXAMPLES_CTE, SCORES_CTE, SPLIT_CTE, h32, query, smd5
 
 
 # First-N scan size and mirrors per round (reference parameters)
-FIRST_N_SCAN = 10000
-MAX_MIRRORS = 1000
+FIRST_N_SCAN = 150  # a cut that binds on the small tables
+MAX_MIRRORS = 40
 
 
 def scored(spark, d):
@@ -70,10 +70,11 @@ def q_val_loss(spark, d):
 
 @query("val_loss_batches", f"""
 WITH {VAL_SCORED_CTE},
-b AS (SELECT *, floor((row_number() OVER (PARTITION BY {h32('shard42', 'example_id')} % (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) FROM scored)
+b AS (SELECT *, {h32('shard42', 'example_id')} % {batches.SHARDS} AS shard,
+             floor((row_number() OVER (PARTITION BY {h32('shard42', 'example_id')} % {batches.SHARDS}
                                          ORDER BY {smd5(42, 'example_id')}, example_id) - 1) / 64) AS batch_no
       FROM scored),
-per AS (SELECT batch_no, avg({_CE_SQL}) AS m, count(*) AS c FROM b GROUP BY batch_no)
+per AS (SELECT shard, batch_no, avg({_CE_SQL}) AS m, count(*) AS c FROM b GROUP BY shard, batch_no)
 SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS n_batches, round(avg(m), 6) AS loss FROM per""")
 def q_val_loss_batches(spark, d):
     """Validation loss as the mean of per-batch means (batches of 64), the reference's way."""
@@ -228,10 +229,10 @@ def q_fp_texts(spark, d):
 
 @query("false_positives_first_n", f"""
 WITH {SCORES_CTE},
-first_n AS (SELECT * FROM scored ORDER BY example_id LIMIT 10000)
+first_n AS (SELECT * FROM scored ORDER BY example_id LIMIT {FIRST_N_SCAN})
 SELECT example_id, score FROM first_n WHERE label = 0 AND pred = 1""")
 def q_false_positives_first_n(spark, d):
-    """False positives among the first 10,000 rows (by id), the reference's scan limit."""
+    """False positives among the first ``FIRST_N_SCAN`` rows by id (the cut is the feature)."""
     s = sample.first_n(scored(spark, d), FIRST_N_SCAN)
     return filters.false_positives(s).select("example_id", "score")
 

@@ -53,7 +53,7 @@ def q_join_tokens(spark, d):
 
 @query("pad_batches", f"""
 WITH {ENCODE_CTE},
-b AS (SELECT *, {h32('shard42', 'example_id')} % (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) FROM enc) AS shard
+b AS (SELECT *, {h32('shard42', 'example_id')} % {batches.SHARDS} AS shard
       FROM enc),
 b2 AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1) / 8) AS BIGINT) AS batch_no
        FROM b),
@@ -65,8 +65,7 @@ SELECT example_id, batch_id, seq_len,
 FROM b3""")
 def q_pad_batches(spark, d):
     # shard count from the (cheap) example ids, not by recomputing the encoding
-    shards = batches.n_shards(tables.examples(spark, d).select("example_id"))
-    b = batches.assign_batches(encoded(spark, d), 8, shards=shards)
+    b = batches.assign_batches(encoded(spark, d), 8)
     p = batches.pad_batch(b)
     return p.select("example_id", "batch_id", "seq_len", "padded_ids", "padded_mask")
 
@@ -81,7 +80,7 @@ def q_batch_counts(spark, d):
 
 @query("request_batches", f"""
 WITH {EXAMPLES_CTE},
-s AS (SELECT example_id, {h32('shard42', 'example_id')} % (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) FROM examples) AS shard
+s AS (SELECT example_id, {h32('shard42', 'example_id')} % {batches.SHARDS} AS shard
       FROM examples),
 r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1 AS rn FROM s)
 SELECT example_id, CAST(shard AS INTEGER) AS shard, CAST(floor(rn / 10) AS BIGINT) AS batch_no,

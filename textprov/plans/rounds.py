@@ -30,7 +30,7 @@ from ..tables import ROUND_LOG_SCHEMA
 # default number of rounds, mirrors per round, pool budget
 CONVERGENCE = 0.001
 MAX_ROUNDS = 5
-MAX_MIRRORS = 1000
+MAX_MIRRORS = None  # all false positives; a caller may pass a number
 POOL_BUDGET = 60000
 BASE_SAMPLE = 50000
 POOL_COLUMNS = ["example_id", "text", "label", "source", "domain", "origin", "round", "parent_id"]
@@ -120,7 +120,7 @@ class MiningLoop:
     """Driver of the rounds; every stage reads and writes tables."""
 
     def __init__(self, spark: SparkSession, base: str, generator_prompts=None, generator_texts=None,
-                 max_rounds: int = MAX_ROUNDS, max_mirrors: int = MAX_MIRRORS,
+                 max_rounds: int = MAX_ROUNDS, max_mirrors: int | None = MAX_MIRRORS,
                  threshold: float = CONVERGENCE, model_kw: dict | None = None):
         self.spark = spark
         self.base = base.rstrip("/")
@@ -177,7 +177,8 @@ class MiningLoop:
         return {"round": k, "val_loss": row[2], "n_fp": n_fp, "n_mirrors": n_mirrors}
 
     def _mirrors(self, k: int, fp: DataFrame) -> int:
-        capped = sample.sample_n(fp.select("example_id", "text"), self.max_mirrors, seed=k)
+        mined = fp.select("example_id", "text")
+        capped = mined if self.max_mirrors is None else sample.sample_n(mined, self.max_mirrors, seed=k)
         members, req = generate.prompt_requests(capped, round_no=k)
         rep1_path = f"{self.base}/replies/prompts/round={k}"
         generate.run_requests(req, self.gen_prompts, sleep=self.sleep).write.mode("overwrite").parquet(rep1_path)

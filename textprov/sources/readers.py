@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import stable_id
 from ..functions.text import first_nonempty, label_from_generator, prefix_question, py_strip
+from ..operators.joins import checked_broadcast
 
 # Field names of the question/answer records and of essay objects,
 # the file-name marker of machine text, the domain used for files at the root
@@ -102,12 +103,16 @@ def read_labelled_csv(spark: SparkSession, path: str, source: str = "news", doma
            .option("mode", "PERMISSIVE").csv(path))
     c0, c1 = raw.columns[0], raw.columns[1]
     rest = raw.columns[2:]
+    # a multi-line file is read whole by one task: a row's number less that of the file's first row is its ordinal
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    first = raw.groupBy("_file").agg(F.min("_at").alias("_first"))
+    raw = raw.join(checked_broadcast(first, 1_000_000), "_file").withColumn("_line", F.col("_at") - F.col("_first"))
     x = (raw.filter(F.col(c1).isNotNull())  # fewer than two fields
          .select(py_strip(F.col(c0)).alias("text"), py_strip(F.col(c1)).alias("generator"),
-                 *[F.col(c) for c in rest], F.col("_metadata.file_path").alias("_file")))
+                 *[F.col(c) for c in rest], relative_path("_file", path).alias("_file"), "_line"))
     x = x.filter(F.length("text") >= min_chars)
     return x.select(
-        stable_id(F.lit(source), "_file", F.md5("text")).alias("example_id"),
+        stable_id(F.lit(source), "_file", "_line").alias("example_id"),
         "text", label_from_generator("generator", human_value).alias("label"),
         F.lit(source).alias("source"), F.lit(domain).alias("domain"), "generator", *rest)
 
@@ -116,11 +121,17 @@ def path_parts(file_path, root: str):
     """Parts of the path relative to the parent of ``root`` (root name first)."""
     root = root.rstrip("/")
     parent = root.rsplit("/", 1)[0]
-    fp = F.regexp_replace(file_path, r"^file:(//)?", "")
+    # paths come URL-encoded; a plus sign stands for itself
+    fp = F.url_decode(F.replace(F.regexp_replace(file_path, r"^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
     rel = F.substring(fp, len(_strip_scheme(parent)) + 2, 1 << 30)
     return F.split(rel, "/")
 
 
+def relative_path(file_path, root: str):
+    """The file's path relative to the parent of ``root``: ids do not depend on where the folder lies."""
+    return F.array_join(path_parts(F.col(file_path) if isinstance(file_path, str) else file_path, root), "/")
+
+
 def _strip_scheme(p: str) -> str:
     if p.startswith("file:"):
         p = p[5:]
@@ -168,7 +179,7 @@ def read_poly_json(spark: SparkSession, root: str, source: str = "essays",
                       .otherwise(F.to_json("e")).alias("raw_text"))
     both = lst.unionByName(obj).withColumn("text", py_strip("raw_text"))
     rows = both.filter(F.length("text") > min_chars).select(
-        stable_id(F.lit(source), "_file", "locator").alias("example_id"),
+        stable_id(F.lit(source), relative_path("_file", root), "locator").alias("example_id"),
         "text", F.col("label").cast("int").alias("label"), F.lit(source).alias("source"), "domain",
         F.col("_file").alias("file_path"), "locator")
     return rows, bad
@@ -180,22 +191,27 @@ def read_zipped_csv(spark: SparkSession, glob: str, source: str = "news", domain
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
     out_schema = "path string, member string, line long, text string, generator string"
 
+    columns = ["path", "member", "line", "text", "generator"]
+
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2 ** 31 - 1)  # long texts are ordinary fields
         for pdf in it:
-            rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
+                rows = []
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                     for name in z.namelist():
                         if not name.endswith(".csv") or name.startswith("__MACOSX"):
                             continue
                         with z.open(name) as f:
-                            reader = csv.reader(io.TextIOWrapper(f, encoding="utf-8"))
+                            reader = csv.reader(io.TextIOWrapper(f, encoding="utf-8", newline=""))
                             next(reader, None)
                             for i, r in enumerate(reader):
-                                if len(r) < 2:
-                                    continue
-                                rows.append((path, name, i, r[0], r[1]))
-            yield pd.DataFrame(rows, columns=["path", "member", "line", "text", "generator"])
+                                if len(r) >= 2:
+                                    rows.append((path, name, i, r[0], r[1]))
+                                if len(rows) >= 500:
+                                    yield pd.DataFrame(rows, columns=columns)
+                                    rows = []
+                yield pd.DataFrame(rows, columns=columns)
 
     x = files.mapInPandas(parse, out_schema)
     x = x.select("path", "member", "line", py_strip("text").alias("text"),

@@ -7,8 +7,8 @@ files of replies into a folder.  ``ingest_replies`` turns that folder into the
 * file source with a fixed schema: only files not seen before are read; the
   stream checkpoint records which files were processed, so a restarted job
   neither loses nor re-reads a file (exactly-once with the file sink);
-* duplicates of a ``request_id`` (a worker retried after a lost ack) are
-  dropped within an event-time watermark, which bounds the state kept per key;
+* every reply is kept, however late; ``best_replies`` chooses one per
+  ``request_id`` on reading: a success over a failure, then the latest;
 * ``trigger(availableNow=True)``: each run processes what is there and stops,
   which is how a batch job "resumes" (the reference re-read its whole
   progress file instead).
@@ -30,9 +30,6 @@ REPLY_FILE_SCHEMA = T.StructType([
     T.StructField("ts", T.TimestampType()),
 ])
 
-WATERMARK = "1 day"
-
-
 def write_reply_files(replies: DataFrame, folder: str) -> None:
     """Append a batch of replies as JSON-line files (what a worker would drop)."""
     (replies.withColumn("ts", F.coalesce(F.col("ts"), F.current_timestamp())) if "ts" in replies.columns
@@ -42,9 +39,14 @@ def write_reply_files(replies: DataFrame, folder: str) -> None:
 
 
 def reply_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    raw = (spark.readStream.schema(REPLY_FILE_SCHEMA).option("maxFilesPerTrigger", max_files)
-           .json(folder))
-    return raw.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["request_id"])
+    return (spark.readStream.schema(REPLY_FILE_SCHEMA).option("maxFilesPerTrigger", max_files)
+            .json(folder))
+
+
+def best_replies(table: DataFrame) -> DataFrame:
+    """One reply per request: ``ok`` before any other status, then the latest."""
+    best = F.max_by(F.struct(*table.columns), F.struct((F.col("status") == "ok").alias("ok"), "ts", "attempts", "reply"))
+    return table.groupBy("request_id").agg(best.alias("b")).select("b.*")
 
 
 def ingest_replies(spark: SparkSession, folder: str, table: str, checkpoint: str,
@@ -57,7 +59,7 @@ def ingest_replies(spark: SparkSession, folder: str, table: str, checkpoint: str
 
 
 def run_ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> DataFrame:
-    """Drain the folder into the table and return the table."""
+    """Drain the folder into the table and return the best reply of each request."""
     q = ingest_replies(spark, folder, table, checkpoint)
     q.awaitTermination()
-    return spark.read.schema(REPLY_FILE_SCHEMA).parquet(table)
+    return best_replies(spark.read.schema(REPLY_FILE_SCHEMA).parquet(table))
