@@ -45,7 +45,7 @@ def test_all_queries_build_plans(spark):
     m = _entry()
     skip = {"round_summary", "fit_score", "pool_build", "pool_append", "reply_ingest"}
     for name, fn in m.queries().items():
-        if name in skip:
+        if name in skip or name == "pipeline" or name.startswith("op"):  # these have tests of their own
             continue
         df = fn(spark, "/root/testdata/sf0.001")
         assert len(df.schema.fields) > 0, name

@@ -23,7 +23,7 @@ def test_vocab_and_encode(spark):
 
 def test_pad_batches_exact(spark):
     df = spark.createDataFrame([(i, list(range(1, i + 2))) for i in range(10)], "example_id long, input_ids array<int>")
-    b = batches.assign_batches(df, 4)
+    b = batches.assign_batches(df, 4, shards=1)
     p = batches.pad_batch(b, cap=6).collect()
     by_batch = {}
     for r in p:
