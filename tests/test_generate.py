@@ -54,7 +54,7 @@ def test_one_and_five_prompts(spark):
 
 
 def test_padding_when_reply_is_short(spark):
-    members, req = g.prompt_requests(_texts(spark, 3))
+    members, req = g.prompt_requests(_texts(spark, 3), shards=1)
     rep = g.run_requests(req, lambda payload: "[1] only one prompt")
     p = sorted(g.padded_prompts(members, req, rep).collect(), key=lambda r: r.ordinal)
     assert p[0].prompt == "only one prompt" and p[0].from_reply
@@ -63,7 +63,7 @@ def test_padding_when_reply_is_short(spark):
 
 def test_generated_rows_end_to_end_lineage(spark):
     texts = _texts(spark, 23)
-    members, req = g.prompt_requests(texts)
+    members, req = g.prompt_requests(texts, shards=1)
     assert sorted(r.n_items for r in req.collect()) == [3, 10, 10]
     rep = g.run_requests(req, g.StubPromptWriter(), sleep=g.no_wait)
     prompts = g.padded_prompts(members, req, rep)
@@ -75,7 +75,7 @@ def test_generated_rows_end_to_end_lineage(spark):
 
 
 def test_surplus_parts_have_no_parent(spark):
-    members, req = g.prompt_requests(_texts(spark, 2))
+    members, req = g.prompt_requests(_texts(spark, 2), shards=1)
     prompts = g.padded_prompts(members, req, g.run_requests(req, g.StubPromptWriter(drop_mod=0)))
     treq = g.text_requests(prompts)
     many = "\n---\n".join(["part " + "x" * 120] * 3)
@@ -84,7 +84,7 @@ def test_surplus_parts_have_no_parent(spark):
 
 
 def test_resume_sends_only_missing(spark):
-    members, req = g.prompt_requests(_texts(spark, 40))
+    members, req = g.prompt_requests(_texts(spark, 40), shards=1)
     calls = []
 
     def counting(payload):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_numbered, split_parts, truncate_chars
-from .batches import assign_batches
+from .batches import SHARDS, assign_batches
 
 # Item format of a prompt-writing request and of a text request,
 # the fallback prompt, the character caps, items per request, retry attempts,
@@ -161,14 +161,14 @@ def request_id(round_no, member_ids: Column) -> Column:
 
 
 def prompt_requests(texts: DataFrame, round_no: int = 1, batch_size: int = MIRROR_BATCH,
-                    id_col: str = "example_id", seed=42) -> DataFrame:
+                    id_col: str = "example_id", seed=42, shards: int = SHARDS) -> DataFrame:
     """Batch texts and build one prompt-writing payload per batch.
 
     Returns ``members`` (one row per text with its batch and ordinal) and
     ``requests`` (one row per batch).  The grouping is per batch: at most
     ``batch_size`` rows per group.
     """
-    b = assign_batches(texts, batch_size, seed=seed, id_col=id_col)
+    b = assign_batches(texts, batch_size, seed=seed, id_col=id_col, shards=shards)
     members = b.select(id_col, "text", "batch_id", "ordinal")
     item = F.format_string('[%d]\n"""%s"""', F.col("ordinal"), truncate_chars("text", PROMPT_INPUT_CHARS))
     g = members.groupBy("batch_id").agg(
