@@ -110,7 +110,7 @@ def test_corpus_prepare_writes_splits(spark, tmp):
     from textprov.plans.q_sources import qa_rows
     qa, _ = qa_rows(spark, "/root/testdata/sf0.01")
     c = corpus.clean_corpus(qa)
-    res = corpus.prepare(spark, c, tmp + "/corpus", min_tokens=1, vocab_size=500)
+    res = corpus.prepare(spark, c, tmp + "/corpus", min_tokens=1, vocab_size=500, max_len=512)
     rep = {r.split: r.n for r in res["split_report"].collect()}
     n = c.count()
     assert sum(rep.values()) <= n and set(rep) == {"train", "val", "test"}
@@ -119,8 +119,22 @@ def test_corpus_prepare_writes_splits(spark, tmp):
 
 def test_failing_source_is_isolated(spark, tmp):
     good = spark.createDataFrame([(1, "x" * 60, 0, "qa", "qa")], "example_id long, text string, label int, source string, domain string")
-    bad_df, err = readers.isolated(spark, "news", lambda: readers.read_labelled_csv(spark, tmp + "/missing"))
-    assert bad_df.count() == 0 and err.startswith("news: ")
-    ok_df, err2 = readers.isolated(spark, "qa", lambda: good)
-    assert err2 is None
+    bad_df, none, err = readers.isolated(spark, "news", lambda: readers.read_labelled_csv(spark, tmp + "/missing"))
+    assert bad_df.count() == 0 and none.count() == 0 and err.startswith("news: ")
+    ok_df, none, err2 = readers.isolated(spark, "qa", lambda: good)
+    assert err2 is None and none.count() == 0
     assert readers.union_sources(ok_df, bad_df).count() == 1
+
+
+def test_quarantine_goes_with_the_corpus(spark, tmp):
+    from textprov.plans import corpus
+    with open(os.path.join(tmp, "qa.jsonl"), "w") as f:
+        for i in range(40):
+            f.write(json.dumps({"id": i, "question": "Q", "human_answers": [f"a {i}", f"b {i}"]}) + "\n")
+        f.write("{broken\n")
+    rows, bad, err = readers.isolated(spark, "qa", lambda: readers.read_qa_jsonl(spark, tmp + "/qa.jsonl"))
+    res = corpus.prepare(spark, corpus.clean_corpus(rows), tmp + "/out", min_tokens=1, vocab_size=10, quarantine=[bad])
+    assert err is None and [(r.source, r.record) for r in res["quarantine"].collect()] == [("qa", "{broken")]
+    # both answers of a question are in one split
+    per = res["splits"].groupBy("group_key").agg(F.count_distinct("split").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(per) == 40 and all(r.n == 1 and r.rows == 2 for r in per)

@@ -21,6 +21,19 @@ def test_vocab_and_encode(spark):
     assert enc[4].input_ids == [1, 2]  # unknown -> 1
 
 
+def test_encode_is_a_map_over_rows(spark):
+    """Rows that share an id stay apart; null texts, long texts and whole sequences."""
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "b c", "y"), (2, None, "z"), (3, "a " * 3000, "w")],
+                               "example_id long, text string, extra string")
+    v = tokens.build_vocab(spark.createDataFrame([("a a b",)], "text string"), size=2)
+    enc = tokens.encode(df, v, vocab_size=2, carry=["extra"])
+    assert "Exchange" not in enc._jdf.queryExecution().executedPlan().toString()
+    got = {r.extra: r for r in enc.collect()}
+    assert got["x"].input_ids == [2, 3] and got["y"].input_ids == [3, 1]
+    assert got["z"].input_ids == [] and got["z"].attention_mask == []
+    assert got["w"].input_ids == [2] * 3000 and got["w"].token_length == 3000
+
+
 def test_pad_batches_exact(spark):
     df = spark.createDataFrame([(i, list(range(1, i + 2))) for i in range(10)], "example_id long, input_ids array<int>")
     b = batches.assign_batches(df, 4, shards=1)

@@ -38,14 +38,14 @@ def batch_counts(df: DataFrame, batch_size: int, by: str = "split") -> DataFrame
             .withColumn("n_batches", F.ceil(F.col("n") / F.lit(batch_size)).cast("bigint")))
 
 
-def pad_batch(df: DataFrame, ids: str = "input_ids", cap: int = 512,
+def pad_batch(df: DataFrame, ids: str = "input_ids", cap: int | None = None,
               batch_col: str = "batch_id", pad_id: int = 0) -> DataFrame:
-    """Pad ids to the batch maximum (capped), mask 1 on tokens and 0 on padding.
+    """Pad ids to the batch maximum (at most ``cap``, if given), mask 1 on tokens and 0 on padding.
 
     The window is per batch: B rows, never a large partition.
     """
-    m = F.least(F.max(F.size(ids)).over(Window.partitionBy(batch_col)), F.lit(cap))
-    x = df.withColumn("seq_len", m.cast("int"))
+    m = F.max(F.size(ids)).over(Window.partitionBy(batch_col))
+    x = df.withColumn("seq_len", (m if cap is None else F.least(m, F.lit(cap))).cast("int"))
     keep = F.least(F.size(ids), F.col("seq_len"))
     pad = F.col("seq_len") - keep
     return (x.withColumn("padded_ids", F.concat(F.slice(ids, 1, F.col("seq_len")),

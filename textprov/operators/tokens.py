@@ -5,11 +5,9 @@ Vocabulary: distributed word count (map-side partial aggregation, so very
 frequent words cost one partial row per task), top-V by (count desc, token)
 as a ``TakeOrderedAndProject``; ids 0 = padding, 1 = unknown, 2.. = vocabulary.
 
-Encoding joins exploded token positions with the vocabulary (V rows, a
-provable broadcast bound).  Texts are tokenised map-side and only the first
-``max_len`` tokens are hash-partitioned on the id *before* the explode, so the
-regrouping after the join needs no second shuffle: neither the full text nor
-the exploded token rows cross the network.
+Encoding is a map: texts are split by Spark, and an Arrow iterator UDF looks up
+the token arrays in the broadcast vocabulary (at most ``MAX_VOCAB`` rows), a
+whole batch at a time.  Nothing is exploded, joined or shuffled.
 
 ``subword_lengths`` / ``subword_encode`` run a ``tokenizers`` tokenizer file
 inside an Arrow iterator UDF (loaded once per Python worker), for users who
@@ -21,14 +19,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import ws_tokens
-from .joins import bounded_broadcast
 
 PAD_ID, UNK_ID, FIRST_ID = 0, 1, 2
+MAX_VOCAB = 1_000_000  # largest vocabulary that is broadcast
 MAX_LEN = 512  # fixed value: sequence cap of the encoder
 
 
@@ -46,31 +46,35 @@ def build_vocab(df: DataFrame, text: str = "text", size: int = 30000, lower: boo
 
 
 def encode(df: DataFrame, vocab: DataFrame, id_col: str = "example_id", text: str = "text",
-           max_len: int = MAX_LEN, vocab_size: int | None = None,
-           partitions: int | None = None, carry: list[str] | tuple = ()) -> DataFrame:
-    """The ``tokens`` table: id, ``token_length`` (untruncated), ``input_ids`` and
-    ``attention_mask`` (truncated at ``max_len``), plus the ``carry`` columns of
-    ``df`` taken through the same shuffle (no join back to ``df`` needed)."""
+           max_len: int | None = None, vocab_size: int = MAX_VOCAB, carry: list[str] | tuple = ()) -> DataFrame:
+    """The ``tokens`` table: id, ``token_length`` (untruncated), ``input_ids`` and ``attention_mask``
+    (whole sequences; the first ``max_len`` tokens if given), plus the ``carry`` columns of ``df``.
+
+    A map over the rows: rows that share an id stay apart.  ``vocab`` must hold at most
+    ``vocab_size`` rows, and ``vocab_size`` at most ``MAX_VOCAB``.
+    """
+    if vocab_size > MAX_VOCAB:
+        raise ValueError(f"a vocabulary of over {MAX_VOCAB} tokens is not broadcast")
+    rows = vocab.select("token", "id").limit(vocab_size + 1).collect()
+    if len(rows) > vocab_size:
+        raise ValueError(f"the vocabulary holds more than {vocab_size} tokens")
+    shared = df.sparkSession.sparkContext.broadcast(([r["token"] for r in rows], [r["id"] for r in rows]))
+
+    def lookup(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens, numbers = shared.value
+        known, ids = pa.array(tokens, pa.string()), pa.array(numbers, pa.int32())
+        for arr in it:
+            at = pc.index_in(arr.flatten().cast(pa.string()), value_set=known)
+            found = pc.fill_null(ids.take(at), UNK_ID)
+            ends = pc.cumulative_sum(pc.list_value_length(arr).cast(pa.int32()))
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            yield pa.ListArray.from_arrays(offsets, found)
+
     carry = [c for c in carry if c not in (id_col, "token_length")]
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    toks = df.select(id_col, ws_tokens(text).alias("_t"), *carry)
-    # tokenise map-side, then move only the first max_len tokens (not the text,
-    # not the exploded rows); the regrouping below reuses this partitioning
-    base = (toks.select(id_col, F.size("_t").cast("int").alias("token_length"),
-                        F.slice("_t", 1, max_len).alias("_toks"), *carry)
-            .repartition(parts, id_col))
-    ex = base.select(id_col, "token_length", *carry,
-                     F.posexplode_outer("_toks").alias("_pos", "token"))
-    v = bounded_broadcast(vocab.select("token", F.col("id").alias("_vid")),
-                          max_rows=5_000_000, known_rows=vocab_size)
-    j = ex.join(v, "token", "left")
-    item = F.when(F.col("_pos").isNotNull(),
-                  F.struct(F.col("_pos"), F.coalesce(F.col("_vid"), F.lit(UNK_ID)).alias("i")))
-    g = j.groupBy(id_col).agg(F.first("token_length").alias("token_length"),
-                              *[F.first(c).alias(c) for c in carry],
-                              F.sort_array(F.collect_list(item)).alias("_items"))
-    ids = F.transform("_items", lambda s: s["i"])
-    out = g.select(id_col, *carry, "token_length", ids.alias("input_ids"))
+    toks = df.select(id_col, *carry, ws_tokens(text).alias("_t"))
+    seq = F.col("_t") if max_len is None else F.slice("_t", 1, max_len)
+    ids = F.arrow_udf(lookup, "array<int>")(F.coalesce(seq, F.array().cast("array<string>")))
+    out = toks.select(id_col, *carry, F.size("_t").cast("int").alias("token_length"), ids.alias("input_ids"))
     return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 

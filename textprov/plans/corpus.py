@@ -23,19 +23,31 @@ def clean_corpus(*sources: DataFrame) -> DataFrame:
 
 
 def prepare(spark: SparkSession, corpus: DataFrame, out: str, min_tokens: int = filters.MIN_TOKENS,
-            vocab_size: int = 30000, max_len: int = 512, rare_policy: str = "merge_rare",
-            dedupe: bool = True) -> dict:
-    """Run the chain and write ``out`` partitioned by split; return small reports."""
+            vocab_size: int = 30000, max_len: int | None = None, rare_policy: str = "merge_rare",
+            dedupe: bool = True, leak_safe: bool = True, quarantine: list[DataFrame] | tuple = ()) -> dict:
+    """Run the chain and write ``out`` partitioned by split; return small reports.
+
+    ``leak_safe``: rows of one group (answers to one question) go to one split; else
+    the exact stratified split by row.  The sources' quarantined records are
+    written beside the splits (``<out>_quarantine``).
+    """
     report = reports.corpus_report(corpus)
     x = dedup.dedup_exact(corpus) if dedupe else corpus
     v = build_vocab(x, size=vocab_size)
-    tok = encode(x, v, max_len=max_len, vocab_size=vocab_size)
-    x = x.join(tok, "example_id")
+    x = encode(x, v, max_len=max_len, vocab_size=vocab_size,
+               carry=[c for c in x.columns if c != "example_id"])
     kept = filters.min_tokens(x, min_tokens)
-    s = split.stratified_split(kept, rare_policy=rare_policy)
+    s = split.group_split(kept) if leak_safe else split.stratified_split(kept, rare_policy=rare_policy)
     write_splits(s.drop("stratum"), out)
     back = spark.read.parquet(out)
-    return {"corpus_report": report, "split_report": reports.split_report(back), "splits": back}
+    result = {"corpus_report": report, "split_report": reports.split_report(back), "splits": back}
+    if quarantine:
+        bad = quarantine[0]
+        for q in quarantine[1:]:
+            bad = bad.unionByName(q)
+        bad.write.mode("overwrite").parquet(f"{out}_quarantine")
+        result["quarantine"] = spark.read.parquet(f"{out}_quarantine")
+    return result
 
 
 def write_splits(df: DataFrame, out: str) -> None:

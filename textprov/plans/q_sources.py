@@ -131,6 +131,7 @@ def q_corpus_prep(spark, d):
     parts = [readers.isolated(spark, n, f) for n, f in (("qa", lambda: qa_rows(spark, d)),
                                                          ("news", lambda: csv_rows(spark, d)),
                                                          ("essays", lambda: poly_rows(spark, d)))]
-    c = corpus.clean_corpus(*[df for df, _ in parts])
-    res = corpus.prepare(spark, c, scratch_path(spark, "corpus"), vocab_size=5000)
+    c = corpus.clean_corpus(*[rows for rows, _, _ in parts])
+    res = corpus.prepare(spark, c, scratch_path(spark, "corpus"), vocab_size=5000,
+                         quarantine=[bad for _, bad, _ in parts])
     return res["split_report"]

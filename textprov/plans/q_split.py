@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import tables
-from ..operators import reports, sample, split
+from ..operators import audit, dedup, reports, sample, split
 from .catalog import EXAMPLES_CTE, SPLIT_CTE, h32, query, smd5, strip_sql
 
 
@@ -54,15 +54,24 @@ def q_group_split(spark, d):
 
 
 @query("audit_split_overlap", f"""
-WITH {SPLIT_CTE}
-SELECT md5(text) AS text_md5, count(DISTINCT split) AS n_splits, count(*) AS n_rows
-FROM splits GROUP BY md5(text) HAVING count(DISTINCT split) > 1""")
+WITH {SPLIT_CTE},
+n AS (SELECT split, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS text_md5 FROM splits)
+SELECT text_md5, count(DISTINCT split) AS n_splits, count(*) AS n_rows
+FROM n GROUP BY text_md5 HAVING count(DISTINCT split) > 1""")
 def q_audit_split_overlap(spark, d):
-    s = split_examples(spark, d)
-    return (s.groupBy(F.md5("text").alias("text_md5"))
-            .agg(F.count_distinct("split").cast("bigint").alias("n_splits"),
-                 F.count(F.lit(1)).cast("bigint").alias("n_rows"))
-            .filter(F.col("n_splits") > 1))
+    """Texts that the split by row leaves in several splits (the leak-safe split leaves none)."""
+    return audit.split_overlap(split_examples(spark, d))
+
+
+@query("leak_safe_split", f"""
+WITH {EXAMPLES_CTE},
+k AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY example_id) AS rn FROM examples)
+SELECT example_id, CASE WHEN {h32(42, 'group_key')} / 4294967296.0 < 0.8 THEN 'train'
+                        WHEN {h32(42, 'group_key')} / 4294967296.0 < 0.9 THEN 'val' ELSE 'test' END AS split
+FROM k WHERE rn = 1""")
+def q_leak_safe_split(spark, d):
+    """Exact copies go, then whole groups go to one split."""
+    return split.group_split(dedup.dedup_exact(tables.examples(spark, d))).select("example_id", "split")
 
 
 @query("sample_n", f"""

@@ -17,7 +17,7 @@ vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS I
 
 ENCODE_CTE = f"""{EXAMPLES_CTE}, {VOCAB_CTE},
 tok AS (SELECT example_id, label, {ws_tokens_sql('text')} AS toks FROM examples),
-pos AS (SELECT example_id, unnest(toks[1:512]) AS token, generate_subscripts(toks[1:512], 1) AS p FROM tok),
+pos AS (SELECT example_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS p FROM tok),
 ids AS (SELECT pos.example_id, list(coalesce(vocab.id, 1) ORDER BY pos.p) AS input_ids
         FROM pos LEFT JOIN vocab ON pos.token = vocab.token GROUP BY pos.example_id),
 enc AS (SELECT tok.example_id, tok.label, CAST(len(tok.toks) AS INTEGER) AS token_length,
@@ -58,7 +58,7 @@ b AS (SELECT *, {h32('shard42', 'example_id')} % {batches.SHARDS} AS shard
 b2 AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1) / 8) AS BIGINT) AS batch_no
        FROM b),
 b3 AS (SELECT *, shard * 2147483648 + batch_no AS batch_id,
-              CAST(least(max(len(input_ids)) OVER (PARTITION BY shard, batch_no), 512) AS INTEGER) AS seq_len FROM b2)
+              CAST(max(len(input_ids)) OVER (PARTITION BY shard, batch_no) AS INTEGER) AS seq_len FROM b2)
 SELECT example_id, batch_id, seq_len,
        list_resize(input_ids[1:seq_len], seq_len, 0) AS padded_ids,
        list_resize(list_transform(input_ids[1:seq_len], lambda x: 1), seq_len, 0) AS padded_mask

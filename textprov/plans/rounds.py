@@ -3,11 +3,12 @@
 State lives in tables under one base folder (in the shared checkpoint folder
 by default), so a killed job resumes where it stopped:
 
-  pool/round=k      training pool; round 0 is the initial pool, round k the
-                    mirrors generated after round k (dynamic partition
-                    overwrite: re-running round k replaces only its partition)
+  pool/round=0      initial training pool
+  mirrors/round=k   mirrors generated after round k; round k trains on the rounds
+                    before it, so re-running it replaces only its own folder
   round_log/round=k one metrics row per finished round
-  replies/...       generator replies, keyed by request_id, written before use
+  replies/...       generator replies, keyed by request_id, written before use;
+                    a re-run sends only the requests without a stored success
   models/round=k    fitted models
 
 Each round re-reads the pool from storage, so the plan does not grow with
@@ -139,8 +140,12 @@ class MiningLoop:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def pool(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/pool")
+    def pool(self, before: int | None = None) -> DataFrame:
+        """The initial pool and the mirrors of the rounds before ``before`` (of all rounds, if not given)."""
+        p = self.spark.read.parquet(f"{self.base}/pool").select(*POOL_COLUMNS)
+        if self._exists("mirrors"):
+            p = p.unionByName(self.spark.read.schema(p.schema).parquet(f"{self.base}/mirrors").select(*POOL_COLUMNS))
+        return p if before is None else p.filter(F.col("round") < before)
 
     def log(self) -> DataFrame:
         if not self._exists("round_log"):
@@ -152,64 +157,82 @@ class MiningLoop:
             _write_partition(pool.select(*POOL_COLUMNS), f"{self.base}/pool")
 
     # one round ---------------------------------------------------------------
-    def run_round(self, k: int, val: DataFrame) -> dict:
+    def run_round(self, k: int, val: DataFrame, prev: float | None = None) -> dict:
+        """Fit, evaluate, decide, and only then mine: a converged round generates nothing."""
         t0 = time.time()
-        pool = self.pool()
+        pool = self.pool(before=k)  # what a killed run left of this round does not count
         model = score.fit(pool, **self.model_kw)
         model.write().overwrite().save(f"{self.base}/models/round={k}")
-        sv = score.score(model, val, model_id=f"round{k}", round_no=k)
-        ev = evaluate(sv)
-        sp = score.score(model, pool, model_id=f"round{k}", round_no=k)
-        fp = filters.has_text(pool.join(filters.false_positives(sp).select("example_id"),
-                                        "example_id", "left_semi"))
-        # earlier parents are not mirrored twice
-        parents = pool.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("example_id"))
-        fp = fp.join(parents, "example_id", "left_anti")
-        n_fp = fp.count()
-        n_mirrors = 0
-        if n_fp:
-            n_mirrors = self._mirrors(k, fp)
+        ev = evaluate(score.score(model, val, model_id=f"round{k}", round_no=k))
+        converged = prev is not None and abs(prev - float(ev["loss"])) < self.threshold
+        n_fp = n_mirrors = 0
+        if not converged:
+            fp = self.false_positives(k, model, pool)
+            n_fp = fp.count()
+            if n_fp:
+                n_mirrors = self.mine(k, fp)
         row = (k, f"round{k}", float(ev["loss"]), float(ev["accuracy"]), float(ev["f1"]),
                None if ev["auroc"] is None else float(ev["auroc"]),
                int(pool.count()), int(n_fp), int(n_mirrors), (time.time() - t0) / 60.0,
                f"{self.base}/models/round={k}")
         _write_partition(self.spark.createDataFrame([row], ROUND_LOG_SCHEMA), f"{self.base}/round_log")
-        return {"round": k, "val_loss": row[2], "n_fp": n_fp, "n_mirrors": n_mirrors}
+        return {"round": k, "val_loss": row[2], "n_fp": n_fp, "n_mirrors": n_mirrors, "converged": converged}
 
-    def _mirrors(self, k: int, fp: DataFrame) -> int:
+    def false_positives(self, k: int, model, pool: DataFrame) -> DataFrame:
+        """False positives of the pool; parents of earlier mirrors are not mirrored twice."""
+        sp = score.score(model, pool, model_id=f"round{k}", round_no=k)
+        fp = filters.has_text(pool.join(filters.false_positives(sp).select("example_id"),
+                                        "example_id", "left_semi"))
+        parents = pool.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("example_id"))
+        return fp.join(parents, "example_id", "left_anti")
+
+    def replies(self, requests: DataFrame, gen, name: str) -> DataFrame:
+        """Replies of ``requests``: those stored by an earlier run are kept, only the missing ones are sent."""
+        path = f"{self.base}/replies/{name}"
+        if self._exists(f"replies/{name}"):
+            requests = generate.pending_requests(requests, self.spark.read.schema(generate.REPLY_SCHEMA).parquet(path))
+        generate.run_requests(requests, gen, sleep=self.sleep).write.mode("append").parquet(path)
+        return self.spark.read.schema(generate.REPLY_SCHEMA).parquet(path)
+
+    def mine(self, k: int, fp: DataFrame) -> int:
+        """Write the mirrors of round ``k`` to a folder of their own; running it again replaces that folder only."""
         mined = fp.select("example_id", "text")
         capped = mined if self.max_mirrors is None else sample.sample_n(mined, self.max_mirrors, seed=k)
         members, req = generate.prompt_requests(capped, round_no=k)
-        rep1_path = f"{self.base}/replies/prompts/round={k}"
-        generate.run_requests(req, self.gen_prompts, sleep=self.sleep).write.mode("overwrite").parquet(rep1_path)
-        rep1 = self.spark.read.parquet(rep1_path)
+        rep1 = self.replies(req, self.gen_prompts, f"prompts/round={k}")
         prompts = generate.padded_prompts(members, req, rep1)
         treq = generate.text_requests(prompts, round_no=k)
-        rep2_path = f"{self.base}/replies/texts/round={k}"
-        generate.run_requests(treq, self.gen_texts, sleep=self.sleep).write.mode("overwrite").parquet(rep2_path)
-        rep2 = self.spark.read.parquet(rep2_path)
+        rep2 = self.replies(treq, self.gen_texts, f"texts/round={k}")
         rows = generate.mirror_rows(treq, rep2, round_no=k)
         out = rows.select("example_id", "text", "label", "source", "domain",
-                          F.lit("mirror").alias("origin"), F.lit(k).alias("round"), "parent_id")
-        _write_partition(out, f"{self.base}/pool")
-        return self.spark.read.parquet(f"{self.base}/pool").filter(F.col("round") == k).count()
+                          F.lit("mirror").alias("origin"), "parent_id")
+        path = f"{self.base}/mirrors/round={k}"
+        out.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path).count()
 
     # the loop ----------------------------------------------------------------
     def run(self, val: DataFrame) -> DataFrame:
+        """Rounds up to ``max_rounds``, convergence or no false positive; a finished loop stays finished."""
         log = self.log()
         state = resume_round(log).first()
         prev = None
         if state["rounds_done"]:
-            prev = log.orderBy(F.desc("round")).first()["val_loss"]
+            last = convergence(log, self.threshold).join(log.select("round", "n_fp"), "round").orderBy(F.desc("round")).first()
+            if last["converged"] or last["n_fp"] == 0:
+                return log
+            prev = last["val_loss"]
         for k in range(int(state["next_round"]), self.max_rounds + 1):
-            r = self.run_round(k, val)
-            if prev is not None and abs(prev - r["val_loss"]) < self.threshold and k > 1:
+            r = self.run_round(k, val, prev)
+            if r["converged"] or r["n_fp"] == 0:
                 break
             prev = r["val_loss"]
-            if r["n_fp"] == 0:
-                break
         return self.log()
 
+    def best_model(self) -> str | None:
+        """Path of the model with the least validation loss (None before the first round)."""
+        best = best_round(self.log()).first()
+        return None if best is None or best["round"] is None else f"{self.base}/models/round={best['round']}"
+
 
 def synthetic_log(ex: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """Round log of a family of deterministic scorers that improve by round.

@@ -257,18 +257,23 @@ CANONICAL_SCHEMA = T.StructType([
 ])
 
 
-def isolated(spark: SparkSession, name: str, read) -> tuple[DataFrame, str | None]:
-    """Run one source reader; on failure return an empty canonical table and the error.
+QUARANTINE_SCHEMA = "source string, file_path string, record string"
+
+
+def isolated(spark: SparkSession, name: str, read) -> tuple[DataFrame, DataFrame, str | None]:
+    """Run one source reader: ``(rows, quarantine, error)``.
 
     Failures found while planning (missing path, unreadable layout) stop only
-    this source; bad records inside a source go to its quarantine instead.  A
+    this source: both tables are empty and the error is given.  Bad records
+    inside a source are in its quarantine (source, file_path, record).  A
     source is all-or-nothing (the reference kept the rows read before a failure).
     """
+    nothing = spark.createDataFrame([], QUARANTINE_SCHEMA)
     try:
-        df = read()
-        df = df[0] if isinstance(df, tuple) else df
+        got = read()
+        df, bad = got if isinstance(got, tuple) else (got, nothing)
         df.schema  # analysis errors surface here
-        return df, None
+        return df, bad.select(F.lit(name).alias("source"), "file_path", "record"), None
     except Exception as e:  # noqa: BLE001 - any reader error isolates the source
         msg = f"{name}: {type(e).__name__}: {str(e).splitlines()[0][:300]}"
-        return spark.createDataFrame([], CANONICAL_SCHEMA), msg
+        return spark.createDataFrame([], CANONICAL_SCHEMA), nothing, msg
