@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 SEQ_LEN = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_WORDS = 500_000
-SLICE_BYTES = 8 << 20
+CACHE_WORDS = 100_000
+SLICE_BYTES = 2 << 20
 #: Character classes of bytes: letter, digit, other, space, other white space; 9: not in the fast path.
 LETTER, DIGIT, OTHER, SPACE, WHITE, REST = 0, 1, 2, 3, 4, 9
 
@@ -198,6 +198,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 if lo < hi:
                     texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                     yield pieces(batch.column(0).slice(lo, hi - lo), enc(texts), end)
+        enc.cache.clear()   # the worker may go on with other work
+        pa.default_memory_pool().release_unused()
 
     def pieces(keys: pa.Array, encoded: list[np.ndarray], end: np.ndarray) -> pa.RecordBatch:
         at, start, length, crc, total, ids = [], [], [], [], [], []

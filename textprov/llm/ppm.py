@@ -36,7 +36,7 @@ MAX_LANGS = 64
 MAX_CONTEXTS = 12_000
 MIN_COUNT = 4
 UND = "und"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def sample(labelled: DataFrame, per_lang: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS, text_col: str = "text",
@@ -66,6 +66,18 @@ def _padded(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.
     return data, place, np.cumsum(size) - size
 
 
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive texts of ``SLICE_BYTES`` together at most; a longer text stands alone."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE_BYTES):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, n): counts of every byte with the ``order`` bytes before it, as one integer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +87,15 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
                 if text:
                     by.setdefault(lang, []).append(text.encode())
             for lang, texts in by.items():
-                data, place, _ = _padded(texts, order)
-                gram = np.zeros(len(place), np.int64)
-                for back in range(order, -1, -1):
-                    gram = gram << 8 | data[place - back]
-                value, n = np.unique(gram, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(value), pa.string()), pa.array(value, pa.int64()), pa.array(n.astype(np.int64))],
-                    names=["lang", "gram", "n"])
+                for lo, hi in _slices(texts):
+                    data, place, _ = _padded(texts[lo:hi], order)
+                    gram = np.zeros(len(place), np.int64)
+                    for back in range(order, -1, -1):
+                        gram = gram << 8 | data[place - back]
+                    value, n = np.unique(gram, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(value), pa.string()), pa.array(value, pa.int64()), pa.array(n.astype(np.int64))],
+                        names=["lang", "gram", "n"])
     return (rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
@@ -191,12 +204,7 @@ def predictor(spark: SparkSession, model: Model | None):
         for arr in col:
             texts = [(t or "").encode() for t in arr.to_pylist()]
             lang, score, rate = [], [], []
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE_BYTES):
-                    size += len(texts[hi])
-                    hi += 1
+            for lo, hi in _slices(texts):
                 bits = m.bits(texts[lo:hi]) if m is not None else np.zeros((hi - lo, 1))
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(hi - lo), best]
@@ -204,7 +212,6 @@ def predictor(spark: SparkSession, model: Model | None):
                 lang += [m.langs[b] if m is not None else UND for b in best]
                 score += (1 / odds if m is not None else 0 * odds).tolist()
                 rate += [x / max(1, len(t)) for x, t in zip(least.tolist(), texts[lo:hi])]
-                lo = hi
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())],
                                              names=["lang", "score", "rate"])
 
