@@ -137,9 +137,9 @@ cre AS (SELECT example_id, label, 'creative' AS domain, CAST({ntok_sql('text')}
 rest AS (SELECT example_id, CAST(label AS INTEGER) AS label, domain, CAST({ntok_sql('text')} AS INTEGER) AS ntok,
                 row_number() OVER (ORDER BY {smd5(42, 'example_id')}, example_id) AS rn
          FROM base WHERE length({strip_sql('text')}) > 100)
-SELECT example_id, label, 'creative' AS origin, domain, ntok AS token_length, least(ntok, 512) AS n_ids FROM cre
+SELECT example_id, label, 'creative' AS origin, domain, ntok AS token_length, ntok AS n_ids FROM cre
 UNION ALL
-SELECT example_id, label, 'base', domain, ntok, least(ntok, 512) FROM rest
+SELECT example_id, label, 'base', domain, ntok, ntok FROM rest
 WHERE rn <= greatest({rounds.POOL_BUDGET} - (SELECT count(*) FROM cre), 0)""")
 def q_pool_build(spark, d):
     """Pool: train sample + creative, length filter, budget keeping creative whole, encoded."""
