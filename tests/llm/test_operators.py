@@ -241,6 +241,16 @@ def test_windows_against_every_window(spark):
     assert windows.drop_contaminated(d, b.limit(0)).count() == len(rows) and windows.matches(d.limit(0), b).count() == 0
 
 
+def test_simhash_votes_of_long_items(spark):
+    """Over 65,535 votes on one bit do not spill into another; small cases by hand."""
+    cases = {1: [-1] * 70_000, 2: [1] * 40_000 + [2] * 39_999, 3: [5, 6, 8], 4: [1, 2]}
+    want = {1: -1, 2: 1, 3: 4, 4: 0}
+    one = F.expr("case id when 1 then array_repeat(-1L, 70000) when 2 then concat(array_repeat(1L, 40000), array_repeat(2L, 39999)) "
+                 "when 3 then array(5L, 6L, 8L) else array(1L, 2L) end")
+    got = spark.range(1, 5).withColumn("s", one).select("id", F.size("s").alias("n"), F.expr(windows.simhash_sql("s")).alias("f")).collect()
+    assert {r["id"]: r["f"] for r in got} == want and {r["id"]: r["n"] for r in got} == {i: len(c) for i, c in cases.items()}
+
+
 def test_windows_on_the_tables(spark):
     found = queries.queries()["op7_simhash_windows"](spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

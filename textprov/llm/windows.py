@@ -66,12 +66,12 @@ def let(value: str, name: str, body: str) -> str:
 def simhash_sql(hashes: str) -> str:
     """A bit is 1 if set in over half of the hashes (each occurrence votes).
 
-    Four votes are counted in one long (16 bits each), so arrays may hold 65,535 hashes.
+    Two votes are counted in one long (32 bits each), so an item of any length keeps exact counts.
     """
-    sums = (f"transform(sequence(0, 15), g -> aggregate({hashes}, 0L, (s, h) -> "
-            "s + (shiftrightunsigned(h, g) & 281479271743489L)))")  # 0x0001000100010001
+    sums = (f"transform(sequence(0, 31), g -> aggregate({hashes}, 0L, (s, h) -> "
+            "s + (shiftrightunsigned(h, g) & 4294967297L)))")  # 0x0000000100000001
     return let(sums, "v", f"""aggregate(sequence(0, 63), 0L, (f, b) ->
-        if(2 * (shiftrightunsigned(v[b % 16], 16 * int(b / 16)) & 65535L) > size({hashes}), f | shiftleft(1L, b), f))""")
+        if(2 * (shiftrightunsigned(v[b % 32], 32 * int(b / 32)) & 4294967295L) > size({hashes}), f | shiftleft(1L, b), f))""")
 
 
 def similarity_sql(a: str, b: str) -> str:
