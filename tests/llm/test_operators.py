@@ -316,6 +316,28 @@ def test_feistel_links_and_formats(spark, docs):
     assert other[11] != got[11]["text"]
 
 
+@pytest.mark.parametrize("text, kinds, kept", [
+    ("card 4111 1111 1111 1111 12/25", ["card"], "12/25"),
+    ("4111111111111111 123", ["card"], " 123"),
+    ("no 7 4111-1111-1111-1111", ["card"], "no 7 "),
+    ("4111 1111 1111 1111 5500-0000-0000-0004", ["card", "card"], " "),
+    ("id 1234 378282246310005 3782 822463 10005 77", ["card", "card"], " 77"),
+    ("555-123-4567 555-123-4568", ["phone", "phone"], " "),
+    ("123-45-6789 234-56-7890", ["ssn", "ssn"], " "),
+    ("4111 1111 1111 1111 123-45-6789 555-123-4567 10.0.0.1 15/01/2024", ["card", "ssn", "phone", "ip", "date"], "/"),
+    ("+1 555 123 4567 4111 1111 1111 1111", ["phone", "card"], "+1 "),
+    ("1-555-123-4567 99", ["phone"], " 99"),
+    ("41-11 1111 111111 11, 41111 11111 111111", ["card", "card"], ", "),
+    ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 4111111111111111x 1234 5678 9012 3456", [], "4111111111111111x"),
+])
+def test_feistel_adjacent_values(spark, text, kinds, kept):
+    """A value next to another number is found, in order, and neither hides the other."""
+    df = spark.createDataFrame([(text,)], "text string")
+    out = feistel.pseudonymise(df).first()
+    assert out["_pii_kinds"] == ",".join(sorted(set(kinds))) and out["_pii_values"] == len(kinds)
+    assert kept in out["text"] and all(x not in out["text"] for x in text.split() if len(x) > 10 and x not in kept) and (out["text"] != text) == bool(kinds)
+
+
 def test_feistel_is_a_permutation(spark):
     """No two dates and no two short numbers share a pseudonym; every pseudonym stays in its format."""
     days = spark.range(0, 73049, 7).select(F.expr("string(date_add(DATE'1900-01-01', int(id)))").alias("text"))

@@ -15,7 +15,8 @@ without any table of values.
 
 The whole operator is a map of SQL expressions: no shuffle, and the cost of the
 network is paid per value found.  A text is cut at its values by ``split`` and
-joined again with the pseudonyms.
+joined again with the pseudonyms.  Next to other numbers a card is found by trying the usual
+groupings at every group of digits, so that neither hides the other.
 
 Defined results: null text stays null with 0 values; values that do not
 validate stay; identical rows get identical results; an empty table gives an
@@ -24,7 +25,7 @@ empty result; other columns pass through unchanged, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
@@ -41,8 +42,20 @@ CARD = r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w]|\.\d)"
 SSN = r"(?<![\w\-])(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w]|-\d)"
 PHONE = (r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}"
          r"|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w]|\.\d)")
+# forms whose borders are clear, cut out before any card is looked for
+CLEAR_PHONE = (r"(?<![\w.+])\+(?=(?:[ .\-]?\(?\d\)?){9,15}(?![ .\-()]?\d))\d{1,3}[ .\-]?(?:\(\d{2,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?![\w]|[ .\-]\d)"
+               r"|(?<![\w.+])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?![\w]|[.\-]\d)|(?<![\w.+\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w]|[.\-]\d)")
 SECRET = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?\"?[A-Za-z0-9+/_\-]{8,}|\bAKIA[0-9A-Z]{16}\b"
-PATTERN = "|".join((EMAIL, IPV4, ISO_DATE, DMY_DATE, CARD, SSN, PHONE, SECRET))
+CLEAR = "|".join((EMAIL, IPV4, ISO_DATE, DMY_DATE, SSN, CLEAR_PHONE, SECRET))
+# digit groups that hold a card perhaps; a card in it has one of the groupings, tried in this order
+RUN = r"(?<![\w.])\+?\d(?:[ \-]?\d){12}[0-9 \-]*(?![\w]|\.\d)"
+GROUPINGS = tuple(f"^(?:{g})(?![A-Za-z0-9_]|\\.[0-9])" for g in (
+    "[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", "[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3}",
+    "[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", "[0-9]{4}(?:[ -][0-9]{3}){3}", "[0-9]{8}[ -][0-9]{8}", "[0-9]{6}[ -][0-9]{7,13}"))
+MOST_GROUPS = 5
+# any other grouping: all the digits that stand together
+WHOLE = r"(?<![\w.])(?<!\d[ \-])\d(?:[ \-]?\d){12,18}(?![\w]|\.\d|[ \-]\d)"
+LOOSE = f"{SSN}|{PHONE}"
 
 
 def _q(s: str) -> str:
@@ -96,11 +109,36 @@ def _refill(template: str, digits: str) -> str:
            named_struct('n', f.n, 't', concat(f.t, substr({template}, p, 1)))), f -> f.t)"""
 
 
-def pseudonym(m: str, key: str) -> str:
-    """SQL for struct<kind, text> of the found value ``m``; kind null if it does not validate."""
-    def full(p: str) -> str:
-        return f"{m} rlike {_q('^(?:' + p + ')$')}"
+def valid_card(m: str) -> str:
+    """SQL: the digits of ``m`` have a right check digit and are not all the same."""
+    return _let(f"regexp_replace({m}, '[^0-9]', '')", "n", f"{luhn_sum('n', 0)} % 10 = 0 and n not rlike '^(.)\\\\1*$'")
 
+
+def _full(m: str, p: str) -> str:
+    return f"{m} rlike {_q('^(?:' + p + ')$')}"
+
+
+def _day(m: str) -> str:
+    return f"try_to_date(regexp_replace({m}, '/', '.'), 'd.M.yyyy')"
+
+
+def kind(m: str, kinds: tuple[str, ...]) -> str:
+    """SQL for the kind of the found value ``m``, one of ``kinds``; null if it does not validate."""
+    cases = (
+        ("email", f"locate('@', {m}) > 0 and {_full(m, EMAIL)}"),
+        ("ip", _full(m, IPV4)),
+        ("date", f"{_full(m, ISO_DATE)} and try_to_date({m}, 'yyyy-MM-dd') is not null"),
+        ("date", f"{_full(m, DMY_DATE)} and {_day(m)} is not null"),
+        ("card", f"{_full(m, CARD)} and {valid_card(m)}"),
+        ("ssn", _full(m, SSN)),
+        ("phone", f"{_full(m, PHONE)} and length(regexp_replace({m}, '[^0-9]', '')) between 9 and 15"),
+        ("secret", _full(m, SECRET)),
+    )
+    return f"case {' '.join(f"when {cond} then '{k}'" for k, cond in cases if k in kinds)} end"
+
+
+def pseudonym(k: str, m: str, key: str) -> str:
+    """SQL for the pseudonym of the value ``m`` of the kind ``k``."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     email = f"concat({feistel_text('v', 'email', key)}, substr({m}, locate('@', {m})))"
     email = _let(f"left({m}, locate('@', {m}) - 1)", "v", email)
@@ -114,10 +152,9 @@ def pseudonym(m: str, key: str) -> str:
                     _let(f"date_add(DATE'1900-01-01', int(v.a * {b} + v.b))", "t", out)))
 
     iso = date(f"datediff(to_date({m}), DATE'1900-01-01')", "date_format(t, 'yyyy-MM-dd')")
-    dmy_day = f"try_to_date(regexp_replace({m}, '/', '.'), 'd.M.yyyy')"
     sep = f"if(locate('/', {m}) > 0, '/', '.')"
     # day and month keep or lose their leading zero as in the original
-    dmy = date(f"datediff({dmy_day}, DATE'1900-01-01')",
+    dmy = date(f"datediff({_day(m)}, DATE'1900-01-01')",
                f"concat(if({m} rlike '^0?[0-9][./]' and {m} not rlike '^0', day(t), date_format(t, 'dd')), {sep}, "
                f"if({m} rlike '^[0-9]+[./][1-9][./]', month(t), date_format(t, 'MM')), {sep}, date_format(t, 'yyyy'))")
     body = "substr(n, 2, length(n) - 2)"
@@ -130,38 +167,75 @@ def pseudonym(m: str, key: str) -> str:
     ssn = _let(digits, "v", _let(feistel_text("v", "ssn", key), "z", _refill(m, "z")))
     name = f"regexp_extract({m}, '^.*?[=:]\\\\s?\"?', 0)"
     secret = _let(name, "k", f"concat(k, {_let(f'substr({m}, length(k) + 1)', 'v', feistel_text('v', 'secret', key))})")
-    valid_card = _let(digits, "n", f"{luhn_sum('n', 0)} % 10 = 0 and n not rlike '^(.)\\\\1*$'")
-    cases = (
-        ("email", f"locate('@', {m}) > 0 and {full(EMAIL)}", email),
-        ("ip", full(IPV4), ip),
-        ("date", f"{full(ISO_DATE)} and try_to_date({m}, 'yyyy-MM-dd') is not null", iso),
-        ("date", f"{full(DMY_DATE)} and {dmy_day} is not null", dmy),
-        ("card", f"{full(CARD)} and {valid_card}", card),
-        ("ssn", full(SSN), ssn),
-        ("phone", f"{full(PHONE)} and length({digits}) between 9 and 15", phone),
-        ("secret", full(SECRET), secret),
-    )
-    when = " ".join(f"when {cond} then named_struct('kind', '{kind}', 'text', {new})" for kind, cond, new in cases)
-    return f"case {when} else named_struct('kind', string(null), 'text', {m}) end"
-
-
-def found_values(text_col: str, key: str = KEY) -> Column:
-    """array<struct<kind, text>> of the values found in the text, in order."""
-    return F.expr(f"transform(regexp_extract_all(`{text_col}`, {_q(PATTERN)}, 0), m -> {pseudonym('m', key)})")
+    new = {"email": email, "ip": ip, "date": f"if({_full(m, ISO_DATE)}, {iso}, {dmy})", "card": card, "ssn": ssn, "phone": phone, "secret": secret}
+    return f"case {k} {' '.join(f"when '{x}' then {v}" for x, v in new.items())} else {m} end"
+
+
+PART = "named_struct('kind', {}, 'text', {})".format
+NONE = "string(null)"
+
+
+def _cut(parts: str, pattern: str, kind_of) -> str:
+    """SQL for the parts (array<struct<kind, text>>) with those that have no kind yet cut at ``pattern``;
+    ``kind_of`` gives the kind of a match."""
+    found = _let(f"regexp_extract_all(x.text, {_q(pattern)}, 0)", "f", f'''flatten(transform(split(x.text, {_q(pattern)}, -1),
+        (g, i) -> if(i < size(f), array({PART(NONE, 'g')}, {PART(kind_of('f[i]'), 'f[i]')}), array({PART(NONE, 'g')}))))''')
+    return f"flatten(transform({parts}, x -> if(x.kind is null and x.text rlike {_q(pattern)}, {found}, array(x))))"
+
+
+def _picks(run: str) -> str:
+    """SQL for the cards (first group, number of groups, text) of a run of digit groups ``w``: at each group the
+    groupings are tried in order and the first that validates is a card; the scan goes on behind it, else at the next group."""
+    tries = f"filter(transform(array({', '.join(_q(g) for g in GROUPINGS)}), p -> regexp_extract(r, p, 0)), c -> c <> '' and {valid_card('c')})"
+    at = _let(f"array_join(slice({run}, i, {MOST_GROUPS + 1}), '')", "r", _let(f"try_element_at({tries}, 1)", "c",
+              "named_struct('i', i, 'k', size(regexp_extract_all(c, '[0-9]+', 0)), 'c', c)"))
+    return f"""aggregate(filter(transform(sequence(1, size({run})), i -> {at}), b -> b.c is not null),
+        named_struct('next', 1, 'p', cast(array() as array<struct<i:int,k:int,c:string>>)),
+        (s, b) -> if(b.i < s.next, s, named_struct('next', b.i + b.k, 'p', concat(s.p, array(b)))), s -> s.p)"""
+
+
+def _apart(parts: str) -> str:
+    """SQL for the parts with each run (kind, text, w, p) cut at its cards ``p``."""
+    joined = "array_join(slice(x.w, {}, {}), '')".format
+    behind = "if(j = 0, 1, x.p[j - 1].i + x.p[j - 1].k)"
+    cut = f"""flatten(transform(sequence(0, size(x.p)), j -> if(j = size(x.p), array({PART(NONE, joined(behind, f'size(x.w) + 1 - {behind}'))}),
+        array({PART(NONE, joined(behind, f'x.p[j].i - {behind}'))}, {PART("'card'", 'x.p[j].c')},
+              {PART(NONE, f"substr({joined('x.p[j].i', 'x.p[j].k')}, length(x.p[j].c) + 1)")}))))"""
+    return f"flatten(transform({parts}, x -> if(x.kind = 'run', {cut}, array({PART('x.kind', 'x.text')}))))"
+
+
+def find(docs: DataFrame, text_col: str, parts: str) -> DataFrame:
+    """``docs`` with the column ``parts``, array<struct<kind, text>>: the text in order, cut at its values, which have a kind.
+
+    Values with clear borders are cut out first, then the cards among the digits left, by their
+    groupings and then by all digits that stand together, and last what is left of phones and social
+    security numbers.  What does not validate is looked at again by the later steps.
+    """
+    def one(*kinds):
+        return lambda m: kind(m, kinds)
+
+    # texts without a digit or @ pass at once
+    steps = (f"if(`{text_col}` rlike '[0-9@=:]|AKIA', array({PART(NONE, f'`{text_col}`')}), cast(array() as array<struct<kind:string,text:string>>))",
+             _cut(parts, CLEAR, one("email", "ip", "date", "ssn", "phone", "secret")),
+             _cut(parts, RUN, lambda m: "'run'"),
+             f"transform({parts}, x -> named_struct('kind', x.kind, 'text', x.text, 'w', if(x.kind = 'run', regexp_extract_all(x.text, '[+]?[0-9]+[^0-9+]*', 0), null)))",
+             f"transform({parts}, x -> named_struct('kind', x.kind, 'text', x.text, 'w', x.w, 'p', if(x.kind = 'run', {_picks('x.w')}, null)))",
+             _apart(parts),
+             _cut(parts, WHOLE, one("card")),
+             _cut(parts, LOOSE, one("ssn", "phone")))
+    for step in steps:
+        docs = docs.withColumn(parts, F.expr(step))
+    return docs
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with the pseudonyms in the text, ``_pii_values`` (how many) and ``_pii_kinds`` (their kinds, sorted)."""
-    # one evaluation per text: both results come from one struct; texts without a digit or @ pass at once
-    swapped = f"""if(`{text_col}` rlike '[0-9@=:]|AKIA', {_let(
-        f"transform(regexp_extract_all(`{text_col}`, {_q(PATTERN)}, 0), m -> {pseudonym('m', key)})", 'f', f'''
-        if(size(f) = 0, named_struct('text', `{text_col}`, 'kinds', array()),
-           named_struct('text', array_join(transform(split(`{text_col}`, {_q(PATTERN)}, -1), (g, i) ->
-                concat(g, if(i < size(f), f[i].text, ''))), ''),
-             'kinds', filter(transform(f, x -> x.kind), x -> x is not null)))''')},
-        named_struct('text', `{text_col}`, 'kinds', array()))"""
+    # one evaluation per text: both results come from one struct
     tmp = fresh(docs, "_swapped")
-    done = docs.withColumn(tmp, F.expr(swapped.replace("array()", "cast(array() as array<string>)")))
+    done = find(docs, text_col, tmp)
+    done = done.withColumn(tmp, F.expr(f"transform({tmp}, x -> {PART('x.kind', pseudonym('x.kind', 'x.text', key))})"))
+    done = done.withColumn(tmp, F.expr(f"""named_struct('text', if(size({tmp}) = 0, `{text_col}`, array_join(transform({tmp}, x -> x.text), '')),
+        'kinds', filter(transform({tmp}, x -> x.kind), x -> x is not null))"""))
     cols = [F.col(f"{tmp}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     kinds = F.coalesce(F.col(f"{tmp}.kinds"), F.array().cast("array<string>"))
     return done.select(*cols, F.size(kinds).alias(fresh(docs, "_pii_values")),
