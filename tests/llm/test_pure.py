@@ -100,6 +100,21 @@ def test_main_text():
     assert textratio.main_text("just text, no tags") == "just text, no tags"
 
 
+def test_ratios_choose_beside_articles():
+    """The body text in a div is kept whatever the article elements hold; what is in main is judged by its ratios."""
+    body = [f"Paragraph {i} of the long running text of this page, which goes on and on in a plain div." for i in range(6)]
+    div = "<div>" + "".join(f"<p>{x}</p>" for x in body) + "</div>"
+    teaser = "<article><h3>More</h3><p>A teaser with a long enough line of running text to be over the threshold of the page.</p></article>"
+    got = textratio.main_text(f"<body>{div}{teaser}</body>").split("\n")
+    assert got[:6] == body
+    menu = "<div>" + "".join(f"<p><a href='/{i}'>Item {i}</a></p>" for i in range(8)) + "</div>"
+    assert textratio.main_text(f"<body><main>{menu}{div}</main></body>").split("\n") == body
+    teasers = "".join(f"<article><p>Short {i}</p><p>x</p></article>" for i in range(6))
+    assert textratio.main_text(f"<body>{div}<div>{menu}</div><main>{teasers}</main></body>").split("\n") == body
+    inner = f"<body>{menu}<article><h1>Title</h1>{div}<div><p>Yes.</p></div></article>{menu}</body>"
+    assert textratio.main_text(inner).split("\n") == ["Title", *body, "Yes."]
+
+
 def test_smoothing_keeps_a_constant():
     assert textratio.smooth([3.0] * 6) == pytest.approx([3.0] * 6)
 

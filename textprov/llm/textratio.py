@@ -7,7 +7,10 @@ the neighbouring lines and split in two clusters by a threshold between the
 cluster means.  Menus, notices and other elements known by tag, role or class
 have ratio 0 and are never content.  The elements (article, section, cell,
 body ...) that hold lines of the upper cluster are the content regions; all
-their lines are returned, so short paragraphs inside the article stay.
+their lines are returned, so short paragraphs inside the article stay.  The ratios
+choose on every page: an article element is one region among others, and is
+only taken with its inner elements if it holds most of the upper cluster's
+characters; regions of the upper cluster outside it stay.
 
 Defined results: null or empty html gives an empty text and 0 characters;
 repeated rows are extracted each by itself; an empty table gives an empty
@@ -43,7 +46,7 @@ CLOSES_P = BLOCK - {"br", "title", "option", "body", "html"}
 
 
 class _Lines(HTMLParser):
-    """Collects (text, characters outside links, tags, region) per line; noise is skipped."""
+    """Collects (text, characters outside links, tags, region, article) per line; noise is skipped."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -51,9 +54,9 @@ class _Lines(HTMLParser):
         self.noise = 0
         self.links = 0
         self.regions = [0]
-        self.named = [False]                      # per region: an article or main element
+        self.articles = [0]                       # per region: the article element it is in, or 0
         self.count = 1
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.parts: list[str] = []
         self.plain = 0
         self.tags = 0
@@ -62,7 +65,7 @@ class _Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.plain, self.tags, self.regions[-1], self.named[-1]))
+                self.lines.append((text, self.plain, self.tags, self.regions[-1], self.articles[-1]))
             self.parts = []
         self.plain = self.tags = 0
 
@@ -72,7 +75,7 @@ class _Lines(HTMLParser):
         self.links += tag == "a"
         if tag in REGION and not noise:
             self.regions.append(self.count)
-            self.named.append(self.named[-1] or tag in ("article", "main"))
+            self.articles.append(self.count if tag == "article" else self.articles[-1])
             self.count += 1
 
     def _close(self) -> None:
@@ -81,7 +84,7 @@ class _Lines(HTMLParser):
         self.links -= tag == "a"
         if tag in REGION and not noise:
             self.regions.pop()
-            self.named.pop()
+            self.articles.pop()
 
     def _inside(self, *tags: str) -> bool:
         return any(t in tags for t, _ in self.stack)
@@ -183,11 +186,13 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     ratios = smooth([plain / (tags + 1) for _, plain, tags, _, _ in lines], sigma)
     t = threshold(ratios)
     chosen = [i for i, v in enumerate(ratios) if v >= t and lines[i][1]]
-    if any(lines[i][4] for i in chosen):  # a marked article holds content: nothing outside is the article's
-        chosen = [i for i in chosen if lines[i][4]]
-        return "\n".join(x[0] for x in lines if x[4])
     regions = {lines[i][3] for i in chosen}
-    return "\n".join(x[0] for x in lines if x[3] in regions)
+    held: dict[int, int] = {}
+    for i in chosen:
+        held[lines[i][4]] = held.get(lines[i][4], 0) + lines[i][1]
+    most = max(held, key=held.get, default=0)
+    whole = most if 2 * held.get(most, 0) > sum(held.values()) else 0
+    return "\n".join(x[0] for x in lines if x[3] in regions or whole and x[4] == whole)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"),
