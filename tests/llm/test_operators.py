@@ -115,6 +115,20 @@ def test_ppm(spark, docs):
     assert kept.columns == docs(ODD).columns and kept.where("text IS NULL OR text = ''").count() == 0
 
 
+def test_ppm_learns_every_language(spark):
+    """70 languages of an alphabet of their own: the rarest is learned, its tree is the one it has when alone."""
+    def text(i, k):
+        return "".join(chr(0x4E00 + 40 * i + (7 * k + j * j) % 40) for j in range(60))
+    rows = [(100 * i + k, text(i, k), f"l{i:02d}") for i in range(70) for k in range(2 + (i < 69))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = ppm.fit(spark, d)
+    assert len(model.langs) == 70
+    out = ppm.identify(d, ppm.predictor(spark, model)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in out)
+    alone = ppm.fit(spark, d.where("lang = 'l69'")).models[0].value
+    assert np.array_equal(alone.cost, model.models[-1].value.cost)
+
+
 def test_url_rules_and_filter(spark):
     urls = ["http://A.example.NET/en/1?q", "http://example.net/de", "https://x.net", "http://example.com/de/x", "http://b.org/fr/",
             "http://notexample.com/de/", "no scheme", None, "http://m.bad.com/p/", "https://bad.com/p?x#y", "http://bad.com/q", "http://net/",

@@ -10,8 +10,11 @@ in a table of exact costs (context x byte x language).  The language with the sh
 code of the whole text wins; the score is its posterior under equal priors.
 
 The fit takes a sample of labelled rows, bounded by ``SAMPLE_DOCS`` documents a language
-(those with the smallest hashes), and trees of at most ``MAX_CONTEXTS`` contexts;
-counting and prediction run on Spark, over whole texts.
+(those with the smallest hashes), and learns every language with a labelled row.  Each
+language has a tree of its own of at most ``MAX_CONTEXTS`` contexts that it holds ``MIN_COUNT``
+times, so no language displaces another's; trees are built and sent one by one, and a worker that
+meets more than ``HELD`` languages does not keep their tables.  Counting and prediction run on
+Spark, over whole texts.
 
 Defined results: text null or without a letter gives ``und`` with score 0; with no labelled row
 every document is ``und``; ties go to the smaller language name; repeated rows are
@@ -25,35 +28,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, fresh
+from .common import fold, fresh, stored
 
 ORDER = 3
 SAMPLE_DOCS = 1500
-MAX_LANGS = 64
-MAX_CONTEXTS = 12_000
+MAX_CONTEXTS = 12_000  # a language
+HELD = 16              # tables of some 12 MB that a worker keeps
 MIN_COUNT = 4
 UND = "und"
 SLICE_BYTES = 1 << 19
 
 
-def sample(labelled: DataFrame, per_lang: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS, text_col: str = "text",
-           lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """(lang, text): about ``per_lang`` documents of each of the ``max_langs`` most frequent languages.
+def sample(labelled: DataFrame, per_lang: int = SAMPLE_DOCS, text_col: str = "text", lang_col: str = "lang",
+           id_col: str = "doc_id") -> DataFrame:
+    """(lang, text): about ``per_lang`` documents of each language.
 
     Documents whose hash is below per_lang / n: one count, then one filter; no group is gathered.
     """
-    rows = labelled.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(f"`{lang_col}`").cast("string").alias("lang"))
-              .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
-    u = F.pmod(F.xxhash64(F.lit("ppm"), F.col(f"`{id_col}`").cast("string"), F.length(F.col(f"`{text_col}`"))), F.lit(1 << 30)) / float(1 << 30)
-    lang = F.col(f"`{lang_col}`").cast("string")
-    keep = F.lit(False)
-    for name, n in counts.items():
-        keep = keep | ((lang == name) & (u < per_lang / n))
-    return rows.where(keep).select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`")
+    u = F.pmod(F.xxhash64(F.lit("ppm"), F.col(f"`{id_col}`").cast("string"), F.length(text)), F.lit(1 << 30)) / float(1 << 30)
+    rows = (labelled.where(F.col(f"`{lang_col}`").isNotNull() & text.isNotNull())
+            .select(lang.alias("lang"), text.cast("string").alias("text"), u.alias("u")))
+    # one row a language
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "ppm-languages")
+    return rows.join(F.broadcast(counts), "lang").where(F.col("u") < F.lit(float(per_lang)) / F.col("n")).select("lang", "text")
 
 
 def _padded(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,15 +126,17 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)))
         full = [i for i, t in enumerate(texts) if t]
         if full:
-            data, place, begin = _padded([texts[i] for i in full], self.order)
-            row = self.nodes(data, place).astype(np.int64) * 256 + data[place]
-            out[full] = np.add.reduceat(self.cost[row], begin, axis=0, dtype=np.float64)
+            out[full] = self.padded_bits(*_padded([texts[i] for i in full], self.order))
         return out
 
+    def padded_bits(self, data: np.ndarray, place: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        row = self.nodes(data, place).astype(np.int64) * 256 + data[place]
+        return np.add.reduceat(self.cost[row], begin, axis=0, dtype=np.float64)
+
 
 def build(counts: dict[str, dict[int, int]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS,
           min_count: int = MIN_COUNT) -> Model:
-    """Context trees from the counts (lang -> gram -> n), costs in float32 bits."""
+    """Context trees from the counts (lang -> gram -> n), costs in float32 bits; the bounds hold for each language."""
     langs = sorted(counts)
     # stat[k][context of k bytes] -> (byte x language) counts
     gram = np.array(sorted({g for c in counts.values() for g in c}), np.int64)
@@ -141,13 +145,18 @@ def build(counts: dict[str, dict[int, int]], order: int = ORDER, max_contexts: i
     # order 0 first: costs of a longer context need those of the shorter one
     level_nodes: list[dict[int, int]] = [{0: 0}]
     total_nodes = 1
+    room = [max_contexts - 1] * len(langs)
     for k in range(1, order + 1):
         ctx = gram >> 8 & ((1 << 8 * k) - 1)
         value, inv = np.unique(ctx, return_inverse=True)
-        seen = np.bincount(inv, weights=n.sum(axis=1), minlength=len(value))
-        room = max_contexts - total_nodes
-        good = np.flatnonzero(seen >= min_count)
-        good = good[np.argsort(-seen[good], kind="stable")][:max(0, room)]
+        chosen = np.zeros(len(value), bool)
+        for j in range(len(langs)):
+            seen = np.bincount(inv, weights=n[:, j], minlength=len(value))
+            own = np.flatnonzero(seen >= min_count)
+            own = own[np.argsort(-seen[own], kind="stable")][:max(0, room[j])]
+            room[j] -= len(own)
+            chosen[own] = True
+        good = np.flatnonzero(chosen)
         # a context enters only below its shorter one (the newest bytes)
         parents = level_nodes[-1]
         mask = (1 << 8 * (k - 1)) - 1
@@ -186,21 +195,43 @@ def build(counts: dict[str, dict[int, int]], order: int = ORDER, max_contexts: i
     return Model(langs, order, child, (-np.log2(np.maximum(table, 1e-30))).astype(np.float32).reshape(-1, len(langs)))
 
 
-def fit(spark: SparkSession, labelled: DataFrame, per_lang: int = SAMPLE_DOCS, text_col: str = "text",
-        lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER) -> Model | None:
-    """Frozen statistics of the sample; None without labelled text."""
-    counts: dict[str, dict[int, int]] = {}
-    for lang, gram, n in gram_counts(sample(labelled, per_lang, MAX_LANGS, text_col, lang_col, id_col), order).toPandas().itertuples(index=False):
-        counts.setdefault(lang, {})[gram] = n
-    return build(counts, order) if counts else None
+@dataclass
+class Fitted:
+    """Languages by name, and the model of each on the shared side."""
+    langs: list[str]
+    models: list[Broadcast]
+    order: int
 
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, languages): code length of each whole text in bits."""
+        out = np.zeros((len(texts), len(self.langs)))
+        full = [i for i, t in enumerate(texts) if t]
+        if not full:
+            return out
+        padded = _padded([texts[i] for i in full], self.order)
+        for j, shared in enumerate(self.models):
+            out[full, j] = shared.value.padded_bits(*padded)[:, 0]
+            if len(self.models) > HELD:
+                vars(shared).pop("_value", None)   # read again from the worker's disk at the next use
+        return out
 
-def predictor(spark: SparkSession, model: Model | None):
-    """Column function text -> struct<lang, score, bits_per_byte> by the frozen model."""
-    shared = spark.sparkContext.broadcast(model)
 
+def fit(spark: SparkSession, labelled: DataFrame, per_lang: int = SAMPLE_DOCS, text_col: str = "text",
+        lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER) -> Fitted | None:
+    """Frozen statistics of the sample; None without labelled text.  The driver holds one language at a time."""
+    counts = stored(gram_counts(sample(labelled, per_lang, text_col, lang_col, id_col), order), "ppm-grams")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    models = []
+    for lang in langs:
+        own = counts.where(F.col("lang") == lang).select("gram", "n").toPandas()
+        models.append(spark.sparkContext.broadcast(build({lang: dict(zip(own["gram"].tolist(), own["n"].tolist()))}, order)))
+    return Fitted(langs, models, order) if langs else None
+
+
+def predictor(spark: SparkSession, model: Fitted | None):
+    """Column function text -> struct<lang, score, bits_per_byte> by the frozen model."""
     def run(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
+        m = model
         for arr in col:
             texts = [(t or "").encode() for t in arr.to_pylist()]
             lang, score, rate = [], [], []
