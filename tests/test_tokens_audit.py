@@ -111,3 +111,21 @@ def test_batch_model_scores(spark):
     assert got[1].logit1 == 0.5 and got[1].pred == 1
     assert got[2].logit1 == -2.5 and got[2].pred == 0
     assert got[3].logit1 == 509.5  # truncated at 512
+
+
+def test_batch_model_scores_whole_sequences(spark):
+    """Windows over the whole sequence, weighted with their length; nothing behind the first window is dropped."""
+    import numpy as np
+
+    from textprov.operators import score
+
+    def make():
+        def predict(ids, mask):
+            s = (ids * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)
+            return np.stack([np.zeros(len(s)), s], axis=1)
+        return predict
+
+    rows = [("a", [0] * 4 + [1] * 4 + [3] * 2), ("b", [2, 4]), ("b", [2, 4]), ("b", [6]), ("c", [])]
+    df = spark.createDataFrame(rows, "example_id string, input_ids array<int>")
+    got = sorted((r.example_id, round(r.logit1, 9)) for r in score.batch_model_scores(df, make, batch_size=2, max_len=4, whole=True).collect())
+    assert got == [("a", 1.0), ("b", 3.0), ("b", 3.0), ("b", 6.0), ("c", 0.0)]

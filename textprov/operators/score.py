@@ -46,13 +46,15 @@ def score(model: PipelineModel, df: DataFrame, model_id: str = "lr", round_no: i
 
 
 def batch_model_scores(df: DataFrame, make_predict_fn, batch_size: int = 64, max_len: int = 512,
-                       ids: str = "input_ids", model_id: str = "batch_model", round_no: int = 0) -> DataFrame:
+                       ids: str = "input_ids", model_id: str = "batch_model", round_no: int = 0,
+                       whole: bool = False) -> DataFrame:
     """Score ``input_ids`` with a Python model in Arrow batches (``predict_batch_udf``).
 
     ``make_predict_fn()`` runs once per Python worker and returns
     ``predict(ids: ndarray[B, max_len], mask: ndarray[B, max_len]) -> ndarray[B, 2]``
-    (logits).  Ids are padded to ``max_len`` inside the JVM so every batch has
-    a fixed shape.
+    (logits).  With ``whole``, a sequence is cut in consecutive windows of ``max_len`` ids (the last is padded inside the
+    JVM, so every batch has a fixed shape), and its logits are the windows' means weighted with their lengths; else its
+    first window alone is scored.
     """
     import numpy as np
     from pyspark.ml.functions import predict_batch_udf
@@ -68,11 +70,21 @@ def batch_model_scores(df: DataFrame, make_predict_fn, batch_size: int = 64, max
 
     udf = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
                             input_tensor_shapes=[[max_len], [max_len]])
-    keep = F.least(F.size(ids), F.lit(max_len))
-    padded = F.concat(F.slice(ids, 1, max_len), F.array_repeat(F.lit(0), F.lit(max_len) - keep))
-    mask = F.concat(F.array_repeat(F.lit(1), keep), F.array_repeat(F.lit(0), F.lit(max_len) - keep))
-    x = df.withColumn("_logits", udf(padded.cast("array<int>"), mask.cast("array<int>")))
-    l0, l1 = F.col("_logits")[0], F.col("_logits")[1]
+    # the model sees one window a row, and partial sums meet per sequence; equal sequences with the same id
+    # are pooled together and given back as often as they came
+    key = ["example_id", *[c for c in ("label",) if c in df.columns], "_seq"]
+    last = F.floor((F.greatest(F.size(ids), F.lit(1)) - 1) / F.lit(max_len)).cast("int") if whole else F.lit(0)
+    win = (df.withColumn("_seq", F.xxhash64(ids)).select(*key, F.col(ids).alias("_all"), F.explode(F.sequence(F.lit(0), last)).alias("_at"))
+           .select(*key, (F.col("_at") == 0).cast("long").alias("_first"), F.slice("_all", F.col("_at") * max_len + 1, F.lit(max_len)).alias("_ids")))
+    n, gap = F.size("_ids"), F.lit(max_len) - F.size("_ids")
+    padded = F.concat(F.col("_ids"), F.array_repeat(F.lit(0), gap))
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), gap))
+    # an empty sequence has one empty window, which counts as it is
+    x = (win.withColumn("_logits", udf(padded.cast("array<int>"), mask.cast("array<int>")))
+         .withColumn("_w", F.greatest(n, F.lit(1)).cast("double")))
+    mean = [(F.sum(F.col("_logits")[k] * F.col("_w")) / F.sum("_w")).alias(f"_l{k}") for k in (0, 1)]
+    x = x.groupBy(*key).agg(F.sum("_first").alias("_times"), *mean).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    l0, l1 = F.col("_l0"), F.col("_l1")
     cols = [c for c in ("label",) if c in df.columns]
     return x.select(F.lit(model_id).alias("model_id"), F.lit(round_no).alias("round"), "example_id", *cols,
                     l0.alias("logit0"), l1.alias("logit1"),

@@ -142,8 +142,8 @@ def q_audit_bench_docs(spark, d):
 
 @query("batch_score")
 def q_batch_score(spark, d):
-    """Encoded examples scored by a Python model in Arrow batches of 64 (model forward)."""
+    """Encoded examples scored by a Python model in Arrow batches of 64 windows, over whole texts (model forward)."""
     from ..operators import score
     enc = encoded(spark, d, carry=["label"])
-    return score.batch_model_scores(enc, score.hashed_bag_model()).select(
+    return score.batch_model_scores(enc, score.hashed_bag_model(), whole=True).select(
         "example_id", "label", "score", "pred")
