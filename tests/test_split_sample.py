@@ -128,3 +128,15 @@ def test_grouped_cutoff_refinement_matches_sort(spark):
         rows = df.filter(F.col("g") == g).select("example_id", h.alias("h")).orderBy("h", "example_id").collect()
         want = rows[min(q, len(rows)) - 1]
         assert cut[g] == (want.h, want.example_id)
+
+
+def test_registered_sizes_are_the_references(spark):
+    """The queries take the reference's sizes; cuts that bind are tested through the operators' parameter."""
+    from textprov.operators import sample
+    from textprov.plans import q_metrics, q_split
+    assert (q_split.VAL_SUBSET, q_split.STORY_TARGET, q_metrics.FIRST_N_SCAN, q_metrics.MAX_MIRRORS) == (10_000, 3_000, 10_000, 1_000)
+    df = spark.range(60).selectExpr("string(id + 100) AS example_id")
+    assert sample.sample_n(df, 25).count() == 25 and sample.sample_n(df, 40, seed=1).count() == 40
+    assert sorted(r.example_id for r in sample.first_n(df, 15).collect()) == [str(i) for i in range(100, 115)]
+    # 40 rows of validation on the small tables: all of them
+    assert q_split.q_val_subset(spark, "/root/testdata/sf0.01").count() == 40

@@ -10,8 +10,8 @@ from .catalog import EXAMPLES_CTE, SCORES_CTE, SPLIT_CTE, h32, query, smd5
 
 
 # First-N scan size and mirrors per round (reference parameters)
-FIRST_N_SCAN = 150  # a cut that binds on the small tables
-MAX_MIRRORS = 40
+FIRST_N_SCAN = 10_000
+MAX_MIRRORS = 1_000
 
 
 def scored(spark, d):

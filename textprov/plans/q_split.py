@@ -10,8 +10,8 @@ from .catalog import EXAMPLES_CTE, SPLIT_CTE, h32, query, smd5, strip_sql
 
 
 # Validation subset size and human story target of the reference
-VAL_SUBSET = 25  # a cut that binds on the small tables
-STORY_TARGET = 400
+VAL_SUBSET = 10_000
+STORY_TARGET = 3_000
 
 
 def split_examples(spark, d):
