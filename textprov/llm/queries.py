@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, crosspolytope, feistel, linespread, pow2pack, ppm, simtrie, textratio, urlbloom, windows
+from . import (brown, bytepair, crosspolytope, dialogue, feistel, linespread, pow2pack, ppm, simtrie, textratio,
+               urlbloom, windows)
 from .common import fold, ready, table
 
 #: Host labels whose pages make the list of listed URLs (the tables hold no list of their own).
@@ -62,8 +63,19 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "text", F.col("_pii_values").cast("long").alias("pii_values"), F.col("_pii_kinds").alias("pii_kinds")))
 
 
+def op12_coalescence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.summaries(dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    ranks, pattern = public_tokenizers.path(bytepair.RANK_FILE), public_tokenizers.PATTERN
+    coded = bytepair.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return bytepair.digests(bytepair.decode(coded, ranks, pattern))
+
+
 OPERATORS = (op1_brown, op2_cross_polytope, op3_ppm, op4_url_bloom, op5_line_spread, op6_simhash_trie,
-             op7_simhash_windows, op8_pow2_pack, op9_text_ratio, op10_feistel)
+             op7_simhash_windows, op8_pow2_pack, op9_text_ratio, op10_feistel, op12_coalescence, op13_byte_bpe)
 
 ORACLE = {
     "op4_url_bloom": r"""
