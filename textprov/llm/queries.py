@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (brown, bytepair, crosspolytope, dialogue, feistel, linespread, pow2pack, ppm, simtrie, textratio,
-               urlbloom, windows)
+from . import (brown, bytepair, crosspolytope, dialogue, feistel, linespread, phrases, pow2pack, ppm, simtrie,
+               textratio, urlbloom, windows)
 from .common import fold, ready, table
 
 #: Host labels whose pages make the list of listed URLs (the tables hold no list of their own).
@@ -63,6 +63,10 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "text", F.col("_pii_values").cast("long").alias("pii_values"), F.col("_pii_kinds").alias("pii_kinds")))
 
 
+def op11_misra_gries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_coalescence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.summaries(dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations"))))
 
@@ -75,7 +79,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (op1_brown, op2_cross_polytope, op3_ppm, op4_url_bloom, op5_line_spread, op6_simhash_trie,
-             op7_simhash_windows, op8_pow2_pack, op9_text_ratio, op10_feistel, op12_coalescence, op13_byte_bpe)
+             op7_simhash_windows, op8_pow2_pack, op9_text_ratio, op10_feistel, op11_misra_gries,
+             op12_coalescence, op13_byte_bpe)
 
 ORACLE = {
     "op4_url_bloom": r"""
@@ -105,6 +110,30 @@ g AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHE
       FROM c GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text, coalesce(g.n, 0) AS lines_removed
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "op11_misra_gries": r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+g AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, j.j, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+  FROM c JOIN (VALUES (1), (2)) AS j(j) ON j.j < c.k
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j.j], ' ') AND l.k = j.j
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j.j + 1:], ' ') AND r.k = c.k - j.j),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT x.* FROM least x LEFT JOIN longer o ON o.lang = x.lang AND o.part = x.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * x.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
 
 
