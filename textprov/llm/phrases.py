@@ -41,7 +41,7 @@ MILLION = 1_000_000
 #: Least count, phrases returned per language, counters per unit of mass over threshold.
 THRESHOLD, TOP, SLACK = 10, 2000, 2
 #: Text bytes per hash partition, per slice of work, and summed hashes held by a task before they are sent.
-PART_BYTES, SLICE_BYTES, HELD = 32 << 20, 4 << 20, 3_000_000
+PART_BYTES, SLICE_BYTES, HELD = 32 << 20, 2 << 20, 2_000_000
 #: Leading hash bits that tell the partition, and bounds of the bit map (2^28 bits are 32 MB).
 PART_BITS, MIN_MAP_BITS, MAX_MAP_BITS = 20, 23, 28
 
@@ -255,7 +255,7 @@ def survivors(rows: DataFrame, threshold: int = THRESHOLD, slack: float = SLACK,
     parts = min(1 << PART_BITS, size // part_bytes + 1)
     map_bits = min(MAX_MAP_BITS, max(MIN_MAP_BITS, int(size).bit_length()))
     sent = rows.mapInArrow(_summaries(parts), "part int, kind int, mass long, keys binary, counts binary")
-    by_part = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    by_part = sent.repartitionById(parts, "part").sortWithinPartitions("part", "kind")   # one partition each
     found = by_part.mapInArrow(_merged(parts, threshold, slack, map_bits), "at long, bits binary, mass long, survivors long, lost long").collect()
     marks = np.zeros(1 << map_bits >> 3, np.uint8)
     for r in found:
