@@ -36,7 +36,7 @@ def test_encode_is_a_map_over_rows(spark):
 
 def test_pad_batches_exact(spark):
     df = spark.createDataFrame([(i, list(range(1, i + 2))) for i in range(10)], "example_id long, input_ids array<int>")
-    b = batches.assign_batches(df, 4, shards=1)
+    b = batches.assign_batches(df, 4)
     p = batches.pad_batch(b, cap=6).collect()
     by_batch = {}
     for r in p:
@@ -50,11 +50,11 @@ def test_pad_batches_exact(spark):
             assert r.padded_mask == [1] * k + [0] * (m - k)
 
 
-def test_batches_sharded_are_full(spark):
+def test_batches_are_full_but_the_last(spark):
     df = spark.range(1000).withColumnRenamed("id", "example_id")
-    b = batches.assign_batches(df, 64, shards=3)
-    sizes = [r.c for r in b.groupBy("batch_id").agg(F.count("*").alias("c")).collect()]
-    assert sum(sizes) == 1000 and sum(1 for s in sizes if s < 64) <= 3
+    b = batches.assign_batches(df, 64, bucket_rows=20)
+    sizes = {r.batch_id: r.c for r in b.groupBy("batch_id").agg(F.count("*").alias("c")).collect()}
+    assert sizes == {i: 64 if i < 15 else 40 for i in range(16)}
 
 
 def test_subword_tokenizer_path(spark, tmp):

@@ -1,7 +1,7 @@
 """Generation requests as a batch Spark job with a pluggable text generator.
 
 Flow for one round of mirrors (each arrow is a DataFrame):
-  false positives -> seeded cap -> batches of 10 (sharded row numbers) ->
+  false positives -> seeded cap -> batches of 10 (global row numbers) ->
   numbered payload per batch -> generator (mapInPandas, retries) ->
   persisted replies -> parse numbered lines -> pad missing prompts ->
   second payload -> generator -> split parts on '---' -> rows with lineage.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_numbered, split_parts, truncate_chars
-from .batches import SHARDS, assign_batches
+from .batches import assign_batches
 
 # Item format of a prompt-writing request and of a text request,
 # the fallback prompt, the character caps, items per request, retry attempts,
@@ -161,16 +161,17 @@ def request_id(round_no, member_ids: Column) -> Column:
 
 
 def prompt_requests(texts: DataFrame, round_no: int = 1, batch_size: int = MIRROR_BATCH,
-                    id_col: str = "example_id", seed=42, shards: int = SHARDS) -> DataFrame:
+                    id_col: str = "example_id", seed=42) -> tuple[DataFrame, DataFrame]:
     """Batch texts and build one prompt-writing payload per batch.
 
     Returns ``members`` (one row per text with its batch and ordinal) and
     ``requests`` (one row per batch).  The grouping is per batch: at most
     ``batch_size`` rows per group.
     """
-    b = assign_batches(texts, batch_size, seed=seed, id_col=id_col, shards=shards)
-    members = b.select(id_col, "text", "batch_id", "ordinal")
-    item = F.format_string('[%d]\n"""%s"""', F.col("ordinal"), truncate_chars("text", PROMPT_INPUT_CHARS))
+    # only the part of a text that enters the request is shuffled
+    texts = texts.select(id_col, truncate_chars("text", PROMPT_INPUT_CHARS).alias("text"))
+    members = assign_batches(texts, batch_size, seed=seed, id_col=id_col).select(id_col, "text", "batch_id", "ordinal")
+    item = F.format_string('[%d]\n"""%s"""', F.col("ordinal"), F.col("text"))
     g = members.groupBy("batch_id").agg(
         F.sort_array(F.collect_list(F.struct("ordinal", F.col(id_col).alias("id"), item.alias("item"))))
         .alias("items"))

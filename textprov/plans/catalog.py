@@ -36,6 +36,17 @@ def smd5(seed, col: str) -> str:
     return f"md5('{seed}:' || CAST({col} AS VARCHAR))"
 
 
+def row_no_sql(id_col: str = "example_id", seed=42) -> str:
+    """DuckDB twin of ``operators.numbering.number_rows``: 0-based number in the whole table's shuffled order."""
+    return f"(row_number() OVER (ORDER BY {smd5(seed, id_col)}, {id_col}) - 1)"
+
+
+def batch_sql(size: int, id_col: str = "example_id", seed=42) -> str:
+    """Columns ``batch_id`` and ``ordinal`` of batches of ``size`` consecutive rows."""
+    n = row_no_sql(id_col, seed)
+    return f"CAST(floor({n} / {size}) AS BIGINT) AS batch_id, CAST({n} % {size} + 1 AS INTEGER) AS ordinal"
+
+
 def stable_id_sql(*parts: str) -> str:
     joined = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
     return f"CAST(('0x' || substr(md5({joined}), 1, 15)) AS BIGINT)"

@@ -9,7 +9,7 @@ from .. import tables
 from ..functions import text as tx
 from ..functions.hashing import hash32, stable_id
 from ..operators import batches, filters, generate, sample
-from .catalog import SCORES_CTE, h32, query, smd5, stable_id_sql, strip_sql, ws_tokens_sql
+from .catalog import SCORES_CTE, batch_sql, h32, query, stable_id_sql, strip_sql, ws_tokens_sql
 from ..session import scratch_path
 from .q_metrics import scored
 
@@ -47,17 +47,10 @@ def _sql_list(xs):
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-def _shard_sql(src):
-    return f"{h32('shard42', 'example_id')} % {batches.SHARDS}"
-
-
 # false positives with text, batched by 10 (the same rule as operators.batches)
 FP_BATCH_CTE = SCORES_CTE + f""",
 fp AS (SELECT example_id, text FROM scored WHERE label = 0 AND pred = 1 AND text IS NOT NULL AND text <> ''),
-fpb0 AS (SELECT *, {_shard_sql('fp')} AS shard FROM fp),
-fpb1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1 AS rn FROM fpb0),
-fpb AS (SELECT example_id, text, shard * 2147483648 + CAST(floor(rn / 10) AS BIGINT) AS batch_id,
-               CAST(rn % 10 + 1 AS INTEGER) AS ordinal FROM fpb1)"""
+fpb AS (SELECT example_id, text, {batch_sql(10)} FROM fp)"""
 
 _H1, _H2 = generate.PROMPT_HEADER.split("{n}")[0], generate.PROMPT_HEADER.split("{n}")[1]
 _H3 = generate.PROMPT_HEADER.split("{n}")[2]
@@ -226,7 +219,8 @@ def _stories(spark, d, n=None):
 def prompt_grid(stories):
     """One machine-story request per human story: style and length drawn with
     replacement, topics without replacement inside each batch of 5."""
-    b = batches.assign_batches(stories.withColumnRenamed("doc_id", "example_id"), generate.STORY_BATCH)
+    ids = stories.select(F.col("doc_id").alias("example_id"))   # the story itself is not part of the request
+    b = batches.assign_batches(ids, generate.STORY_BATCH)
     styles = F.array(*[F.lit(s) for s in STYLES])
     lengths = F.array(*[F.lit(s) for s in LENGTHS])
     topics = F.array(*[F.lit(t) for t in TOPICS])
@@ -242,9 +236,7 @@ def prompt_grid(stories):
 
 PROMPT_GRID_CTE = f"""s AS (SELECT doc_id AS example_id FROM documents
            WHERE length({strip_sql('text')}) > 200 AND length({strip_sql('text')}) < 8000),
-b0 AS (SELECT *, {_shard_sql('s')} AS shard FROM s),
-b1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1 AS rn FROM b0),
-b AS (SELECT example_id, shard * 2147483648 + CAST(floor(rn / 5) AS BIGINT) AS batch_id, CAST(rn % 5 + 1 AS INTEGER) AS ordinal FROM b1),
+b AS (SELECT example_id, {batch_sql(5)} FROM s),
 t AS (SELECT b.batch_id, t.topic, row_number() OVER (PARTITION BY b.batch_id ORDER BY md5('topic:' || b.batch_id || ':' || t.topic), t.topic) AS r
       FROM (SELECT DISTINCT batch_id FROM b) b, (SELECT unnest({_sql_list(TOPICS)}) AS topic) t),
 g AS (SELECT b.example_id, b.batch_id, b.ordinal,
@@ -327,11 +319,7 @@ def mirror_job(spark, d, round_no=1, max_mirrors=None):
 
 MIRROR_SQL = SCORES_CTE + f""",
 fp AS (SELECT example_id, text FROM scored WHERE label = 0 AND pred = 1 AND text IS NOT NULL AND text <> ''),
-fpc AS (SELECT * FROM fp),
-fpb0 AS (SELECT *, {_shard_sql('fpc')} AS shard FROM fpc),
-fpb1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1 AS rn FROM fpb0),
-fpb AS (SELECT example_id, text, shard * 2147483648 + CAST(floor(rn / 10) AS BIGINT) AS batch_id,
-               CAST(rn % 10 + 1 AS INTEGER) AS ordinal FROM fpb1),
+fpb AS (SELECT example_id, text, {batch_sql(10)} FROM fp),
 present AS (SELECT batch_id, ordinal, row_number() OVER (PARTITION BY batch_id ORDER BY ordinal) AS j,
                    '[' || ordinal || '] Write about: ' || array_to_string({ws_tokens_sql('substr(text, 1, 1000)')}[1:5], ' ') AS line
             FROM fpb WHERE len({ws_tokens_sql('substr(text, 1, 1000)')}) % 4 <> 0),

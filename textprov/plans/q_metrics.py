@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators import batches, filters, metrics, sample
-from .catalog import EXAMPLES_CTE, SCORES_CTE, SPLIT_CTE, h32, query, smd5
+from .catalog import EXAMPLES_CTE, SCORES_CTE, SPLIT_CTE, batch_sql, h32, query, smd5
 
 
 # First-N scan size and mirrors per round (reference parameters)
@@ -70,11 +70,8 @@ def q_val_loss(spark, d):
 
 @query("val_loss_batches", f"""
 WITH {VAL_SCORED_CTE},
-b AS (SELECT *, {h32('shard42', 'example_id')} % {batches.SHARDS} AS shard,
-             floor((row_number() OVER (PARTITION BY {h32('shard42', 'example_id')} % {batches.SHARDS}
-                                         ORDER BY {smd5(42, 'example_id')}, example_id) - 1) / 64) AS batch_no
-      FROM scored),
-per AS (SELECT shard, batch_no, avg({_CE_SQL}) AS m, count(*) AS c FROM b GROUP BY shard, batch_no)
+b AS (SELECT *, {batch_sql(64)} FROM scored),
+per AS (SELECT batch_id, avg({_CE_SQL}) AS m, count(*) AS c FROM b GROUP BY batch_id)
 SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS n_batches, round(avg(m), 6) AS loss FROM per""")
 def q_val_loss_batches(spark, d):
     """Validation loss as the mean of per-batch means (batches of 64), the reference's way."""

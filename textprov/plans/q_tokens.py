@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators import audit, batches, tokens
-from .catalog import EXAMPLES_CTE, SPLIT_CTE, h32, query, smd5, ws_tokens_sql
+from .catalog import EXAMPLES_CTE, SPLIT_CTE, batch_sql, query, ws_tokens_sql
 
 VOCAB_SIZE = 1000
 
@@ -53,20 +53,15 @@ def q_join_tokens(spark, d):
 
 @query("pad_batches", f"""
 WITH {ENCODE_CTE},
-b AS (SELECT *, {h32('shard42', 'example_id')} % {batches.SHARDS} AS shard
-      FROM enc),
-b2 AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1) / 8) AS BIGINT) AS batch_no
-       FROM b),
-b3 AS (SELECT *, shard * 2147483648 + batch_no AS batch_id,
-              CAST(max(len(input_ids)) OVER (PARTITION BY shard, batch_no) AS INTEGER) AS seq_len FROM b2)
+b AS (SELECT *, {batch_sql(8)} FROM enc),
+b3 AS (SELECT *, CAST(max(len(input_ids)) OVER (PARTITION BY batch_id) AS INTEGER) AS seq_len FROM b)
 SELECT example_id, batch_id, seq_len,
        list_resize(input_ids[1:seq_len], seq_len, 0) AS padded_ids,
        list_resize(list_transform(input_ids[1:seq_len], lambda x: 1), seq_len, 0) AS padded_mask
 FROM b3""")
 def q_pad_batches(spark, d):
-    # shard count from the (cheap) example ids, not by recomputing the encoding
-    b = batches.assign_batches(encoded(spark, d), 8)
-    p = batches.pad_batch(b)
+    """Batches of 8 over the whole table in shuffled order, padded; the id arrays are shuffled once."""
+    p = batches.padded_batches(encoded(spark, d), 8)
     return p.select("example_id", "batch_id", "seq_len", "padded_ids", "padded_mask")
 
 
@@ -79,15 +74,11 @@ def q_batch_counts(spark, d):
 
 
 @query("request_batches", f"""
-WITH {EXAMPLES_CTE},
-s AS (SELECT example_id, {h32('shard42', 'example_id')} % {batches.SHARDS} AS shard
-      FROM examples),
-r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {smd5(42, 'example_id')}, example_id) - 1 AS rn FROM s)
-SELECT example_id, CAST(shard AS INTEGER) AS shard, CAST(floor(rn / 10) AS BIGINT) AS batch_no,
-       CAST(rn % 10 + 1 AS INTEGER) AS ordinal FROM r""")
+WITH {EXAMPLES_CTE}
+SELECT example_id, {batch_sql(10)} FROM examples""")
 def q_request_batches(spark, d):
     ex = tables.examples(spark, d).select("example_id")
-    return batches.assign_batches(ex, 10).select("example_id", "shard", "batch_no", "ordinal")
+    return batches.assign_batches(ex, 10).select("example_id", "batch_id", "ordinal")
 
 
 # --- overlap audits ------------------------------------------------------------------
