@@ -27,37 +27,63 @@ def _random_strings(seed, n=300, max_len=60):
     return out
 
 
-def _py_numbered(reply):
-    items = []
-    for line in reply.strip().split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        k = len(items) + 1
-        for p in (f"[{k}]", f"{k}.", f"{k})"):
-            if line.startswith(p):
-                line = line[len(p):].strip()
-                break
-        if line:
-            items.append(line)
-    return items
-
-
 def test_text_rules_match_python(spark):
     xs = _random_strings(11)
     df = spark.createDataFrame([(i, s) for i, s in enumerate(xs)], "i int, t string")
     rows = df.select("i", tx.py_strip("t").alias("strip"), tx.py_len("t").alias("len"),
-                     tx.parse_numbered("t").alias("num"), tx.split_parts("t", 3).alias("parts"),
+                     tx.split_parts("t", 3).alias("parts"),
                      F.regexp_like("t", F.lit("(?U)[^\\s\\x{1c}-\\x{1f}]")).alias("nonempty")).collect()
     for r in rows:
         s = xs[r.i]
         assert r.strip == s.strip(), repr(s)
         assert r.len == len(s)
-        assert r.num == _py_numbered(s), repr(s)
         assert r.parts == [p.strip() for p in s.split("---") if len(p.strip()) > 3], repr(s)
         assert r.nonempty == (len(s.strip()) > 0), repr(s)
 
 
+# A reply and the items that it holds, written by hand.
+REPLIES = [
+    ("", []),
+    ("   \n\t\n", []),
+    ("[1] one\n[2] two", ["one", "two"]),
+    ("1. one\n2. two\n3. three", ["one", "two", "three"]),
+    ("1) one\n2) two", ["one", "two"]),
+    ("  [1]   padded  \n\n\n  [2] more\t", ["padded", "more"]),
+    ("[1] one\n2. two\n3) three", ["one", "two", "three"]),
+    ("[2] the number is not the next one", ["[2] the number is not the next one"]),
+    ("Here you are:\n[1] one\n[2] two", ["Here you are:", "[1] one", "[2] two"]),
+    ("[1]\n[1] one", ["one"]),
+    ("[1] one\n[2]\n[2] two", ["one", "two"]),
+    ("[1] [1] twice", ["[1] twice"]),
+    ("plain\nlines", ["plain", "lines"]),
+    ("1.no space\n2)none either", ["no space", "none either"]),
+    ("[1] a\n[2] b\n[3] c\n[4] d\n[5] e\n[6] f\n[7] g\n[8] h\n[9] i\n[10] j\n[11] k", list("abcdefghijk")),
+    ("10. too early", ["10. too early"]),
+    ("1 no sign\n2- other sign", ["1 no sign", "2- other sign"]),
+    ("[1]one\r\n[2]two\r\n", ["one", "two"]),
+    ("é. accent\n[2] ß", ["é. accent", "ß"]),
+    ("[1] one\n---\n[3] three", ["one", "---", "three"]),
+]
+
+
+def test_numbered_replies(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REPLIES)], "i int, t string")
+    got = {r.i: r.num for r in df.select("i", tx.parse_numbered("t").alias("num")).collect()}
+    for i, (reply, items) in enumerate(REPLIES):
+        assert got[i] == items, repr(reply)
+
+
+def test_numbered_replies_of_any_length(spark):
+    """Items without digits or brackets come back as they were, whatever numbering style their line has."""
+    rnd = random.Random(12)
+    styles = ["[{}] {}", "{}. {}", "{}) {}", "[{}]{}", "  {}.   {}  "]
+    made = [["".join(rnd.choice("abcß -") for _ in range(8)).strip() or "x" for _ in range(rnd.randint(1, 30))] for _ in range(60)]
+    replies = ["\n".join(rnd.choice(styles).format(k, item) + rnd.choice(["", "\n", "\n \n"]) for k, item in enumerate(items, 1)) for items in made]
+    df = spark.createDataFrame(list(enumerate(replies)), "i int, t string")
+    got = {r.i: r.num for r in df.select("i", tx.parse_numbered("t").alias("num")).collect()}
+    assert [got[i] for i in range(len(made))] == made
+
+
 def test_split_exact_under_a_hot_stratum(spark):
     rnd = random.Random(3)
     rows = []

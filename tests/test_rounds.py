@@ -56,7 +56,7 @@ def test_loop_mines_and_survives_a_kill(spark, scratch):
     killed = loop()
     human = pool.filter("label = 0")
     n = killed.mine(1, human)
-    sent = spark.read.parquet(base + "/replies/texts/round=1").count()
+    sent = killed.table("replies/texts").versions()
     before = sorted(r.example_id for r in killed.pool().filter("round = 1").collect())
     assert n > 0 and len(before) == n and killed.pool(before=1).count() == 48
     log = {r.round: r for r in loop().run(val).collect()}
@@ -66,7 +66,8 @@ def test_loop_mines_and_survives_a_kill(spark, scratch):
     after = loop().pool()
     assert sorted(r.example_id for r in after.filter("round = 1").collect()) == before
     assert {r.parent_id for r in after.filter("round = 1").collect()} == {r.example_id for r in human.collect()}
-    assert spark.read.parquet(base + "/replies/texts/round=1").count() == sent  # no request was sent twice
+    assert loop().table("replies/texts").versions() == sent       # no request was sent twice
+    assert loop().table("pool").versions() == [0, 1] and loop().pool(version=0).count() == 48
     assert sorted(r.round for r in loop().run(val).collect()) == [1, 2]         # a finished loop stays finished
     best = min(log.values(), key=lambda r: (r.val_loss, r.round)).round
     assert loop().best_model() == f"{base}/models/round={best}"

@@ -19,6 +19,7 @@ import hashlib
 import re
 import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,17 +74,31 @@ class EmptyReply(GeneratorError):
     kind = "empty"
 
 
-def backoff_seconds(kind: str, attempt: int, base_rate: float = 5.0) -> float:
+class Waits(NamedTuple):
+    """Seconds that a caller's back-off starts from, by kind of error."""
+
+    rate_limit: float
+    server: float
+    other: float
+
+
+# Waits of the mirror requests and of the story requests
+MIRROR_WAITS = Waits(5.0, 3.0, 1.0)
+STORY_WAITS = Waits(10.0, 5.0, 2.0)
+
+
+def backoff_seconds(kind: str, attempt: int, waits: Waits = MIRROR_WAITS) -> float:
     """Wait before the next attempt (attempt counts from 0)."""
     if kind == "rate_limit":
-        return 2 ** (attempt + 1) * base_rate
+        return 2 ** (attempt + 1) * waits.rate_limit
     if kind == "server":
-        return 2 ** (attempt + 1) * 3.0
-    return float(2 ** attempt)
+        return 2 ** (attempt + 1) * waits.server
+    return 2 ** attempt * waits.other
 
 
 def call_with_retry(gen: Callable[[str], str], payload: str, attempts: int = MAX_ATTEMPTS,
-                    sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str, int, str | None]:
+                    sleep: Callable[[float], None] = time.sleep,
+                    waits: Waits = MIRROR_WAITS) -> tuple[str | None, str, int, str | None]:
     """Return ``(reply, status, attempts_used, error_kind)``; never raises.
 
     An empty reply counts as an error; an authentication error stops at once.
@@ -102,7 +117,7 @@ def call_with_retry(gen: Callable[[str], str], payload: str, attempts: int = MAX
         except Exception:  # noqa: BLE001 - any client library error
             last = "other"
         if a < attempts - 1:
-            sleep(backoff_seconds(last, a))
+            sleep(backoff_seconds(last, a, waits))
     return None, "failed", attempts, last
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import seeded_md5
 from .exact import first_q_filter
 from .filters import in_domains
+from .numbering import number_rows
 
 TOPK_MAX = 1000
 
@@ -57,8 +58,8 @@ def first_n(df: DataFrame, n: int, order_col: str = "example_id") -> DataFrame:
 
 def epoch_order(df: DataFrame, seed=42, epoch: int = 0, id_col: str = "example_id",
                 partitions: int | None = None) -> DataFrame:
-    """Reproducible shuffle: range partition on ``md5(seed:epoch:id)``, sorted within."""
-    key = F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(id_col).cast("string")))
-    x = df.withColumn("order_key", key)
+    """Reproducible shuffle: rows in the order of ``md5(seed:epoch:id)`` with their ``row_no`` in the whole table,
+    range partitioned by it."""
+    x = number_rows(df, f"{seed}:{epoch}", id_col).drop("_bucket").withColumn("order_key", seeded_md5(f"{seed}:{epoch}", id_col))
     parts = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return x.repartitionByRange(parts, "order_key").sortWithinPartitions("order_key")
+    return x.repartitionByRange(parts, "row_no").sortWithinPartitions("row_no")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .. import tables
 from ..functions import text as tx
 from ..functions.hashing import hash32, stable_id
-from ..operators import batches, filters, generate, sample
+from ..operators import batches, filters, generate, requests, sample
 from .catalog import SCORES_CTE, batch_sql, h32, query, stable_id_sql, strip_sql, ws_tokens_sql
 from ..session import scratch_path
+from ..sources.snapshots import SnapshotTable
 from .q_metrics import scored
 
 # Creative prompt grid (styles, lengths in words, topics)
@@ -98,15 +99,75 @@ def q_gen_status(spark, d):
     return rep.select("request_id", "status", "attempts", "error")
 
 
-@query("resume_pending", f"""
-WITH {PAYLOAD_CTE}
-SELECT request_id, n_items FROM status WHERE status <> 'ok'""")
+# --- requests keyed by member: user turns are the members, the assistant turn right after one is its reply --------
+
+TURN_HEADER = "Answer each of the following {n} messages."
+
+MEMBERS_CTE = """u AS (SELECT conv_id, turn, text, md5('turn:v1:' || conv_id || ':' || turn || ':' || md5(text)) AS member_key
+      FROM conversations WHERE role = 'user' AND text IS NOT NULL AND turn IS NOT NULL),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS reply FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+pend AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.conv_id = u.conv_id AND a.turn = u.turn))"""
+
+
+def turn_members(spark, d):
+    """One member per user turn: conv_id, turn, text, member_key."""
+    c = tables.read(spark, d, "conversations").where((F.col("role") == "user") & F.col("text").isNotNull() & F.col("turn").isNotNull())
+    name = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    return c.select("conv_id", "turn", "text", requests.member_key("turn", name, F.col("text")).alias("member_key"))
+
+
+def turn_replies(spark, d):
+    """The recorded reply of every user turn that has one."""
+    c = tables.read(spark, d, "conversations").where((F.col("role") == "assistant") & F.col("text").isNotNull())
+    a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return turn_members(spark, d).join(a, ["conv_id", "turn"]).select(
+        "member_key", F.lit(None).cast("string").alias("request_id"), "reply", F.lit("ok").alias("status"),
+        F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error"), F.timestamp_seconds(F.lit(1)).alias("ts"))
+
+
+@query("member_keys", f"WITH {MEMBERS_CTE}\nSELECT conv_id, turn, member_key FROM u")
+def q_member_keys(spark, d):
+    """Request keys made of each member's own content."""
+    return turn_members(spark, d).select("conv_id", "turn", "member_key")
+
+
+@query("resume_pending", f"WITH {MEMBERS_CTE}\nSELECT conv_id, turn, member_key FROM pend")
 def q_resume_pending(spark, d):
-    """A first run with a failing generator, then the requests still to send."""
-    _, req = prompt_stage(spark, d)
-    done = generate.run_requests(req, generate.FlakyGenerator(generate.StubPromptWriter()),
-                                 sleep=generate.no_wait)
-    return generate.pending_requests(req, done).select("request_id", "n_items")
+    """User turns without a recorded reply: what a restarted job still has to send."""
+    return requests.pending(turn_members(spark, d), turn_replies(spark, d)).select("conv_id", "turn", "member_key")
+
+
+@query("pending_requests", f"""
+WITH {MEMBERS_CTE},
+b AS (SELECT *, {batch_sql(10, 'member_key', 'requests')} FROM pend)
+SELECT batch_id, CAST(count(*) AS INTEGER) AS n_items, md5(string_agg(member_key, ',' ORDER BY ordinal)) AS request_id,
+       'Answer each of the following ' || count(*) || ' messages.' || {NL} || {NL} ||
+       string_agg('[' || ordinal || '] ' || text, {NL} || {NL} ORDER BY ordinal) AS payload
+FROM b GROUP BY batch_id""")
+def q_pending_requests(spark, d):
+    """Batches of 10, formed of the pending members alone."""
+    todo = requests.pending(turn_members(spark, d), turn_replies(spark, d))
+    return requests.form(todo, 10, TURN_HEADER, F.format_string("[%d] %s", "ordinal", "text")).drop("member_keys")
+
+
+@query("reply_upsert", f"""
+WITH {MEMBERS_CTE},
+r AS (SELECT u.member_key, a.reply, {h32('wave', 'u.member_key')} % 3 AS w FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn)
+SELECT member_key, 'ok' AS status, md5(reply) AS reply_md5, CASE WHEN w = 0 THEN 2 ELSE 1 END AS wave FROM r""")
+def q_reply_upsert(spark, d):
+    """Reply files dropped in two waves and streamed into the versioned table: of the first wave a third has failed; the
+    second brings these, and late failures of others, which must not replace an answer."""
+    base = scratch_path(spark, "reply_upsert")
+    all_replies = turn_replies(spark, d)
+    third = F.pmod(hash32("wave", "member_key"), F.lit(3))
+    lost = {"status": F.lit("failed"), "reply": F.lit(None).cast("string"), "error": F.lit("server")}
+    first = all_replies.where(third != 0).unionByName(all_replies.where(third == 0).withColumns(lost))
+    second = all_replies.where(third == 0).unionByName(all_replies.where(third == 1).withColumns(lost))
+    for number, wave in ((1, first), (2, second)):
+        requests.write_reply_files(wave.withColumn("ts", F.timestamp_seconds(F.lit(number))), f"{base}/incoming")
+        requests.ingest(spark, f"{base}/incoming", f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return requests.replies_of(SnapshotTable(spark, f"{base}/table")).select(
+        "member_key", "status", F.md5("reply").alias("reply_md5"), F.unix_timestamp("ts").cast("int").alias("wave"))
 
 
 @query("prompt_pad", f"""

@@ -31,7 +31,10 @@ def q_score_table(spark, d):
 WITH {SCORES_CTE}
 SELECT example_id, label, domain, score, pred FROM scored""")
 def q_score_join(spark, d):
-    return scored(spark, d).select("example_id", "label", "domain", "score", "pred")
+    """The score table joined to the examples by id."""
+    ex = tables.examples(spark, d)
+    scores = tables.oracle_scores(ex.select("example_id", "label")).select("example_id", "score", "pred")
+    return ex.select("example_id", "label", "domain").join(scores, "example_id")
 
 
 @query("softmax_score", f"""
@@ -220,8 +223,11 @@ SELECT example_id, text FROM examples
 WHERE example_id IN (SELECT example_id FROM scored WHERE label = 0 AND pred = 1)
   AND text IS NOT NULL AND text <> ''""")
 def q_fp_texts(spark, d):
-    """Texts of the mined rows: the scored table carries them, so a filter suffices."""
-    return filters.has_text(filters.false_positives(scored(spark, d))).select("example_id", "text")
+    """Texts of the mined rows: the examples whose id is among the false positives of the score table."""
+    ex = tables.examples(spark, d)
+    mined = filters.false_positives(tables.oracle_scores(ex.select("example_id", "label"))
+                                    .join(ex.select("example_id", "label"), "example_id")).select("example_id")
+    return filters.has_text(ex.select("example_id", "text").join(mined, "example_id", "left_semi"))
 
 
 @query("false_positives_first_n", f"""

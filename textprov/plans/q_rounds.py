@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import tables
 from ..operators import score
 from ..session import scratch_path
+from ..sources.snapshots import SnapshotTable
 from . import rounds
 from .catalog import EXAMPLES_CTE, SPLIT_CTE, ntok_sql, query, smd5, stable_id_sql, strip_sql
 from .q_generate import MIRROR_SQL, PROMPT_GRID_CTE
@@ -157,17 +158,20 @@ SELECT 0 AS round, 'base' AS origin, CAST(label AS INTEGER) AS label, count(*) A
 WHERE length({strip_sql('text')}) > 100 GROUP BY label
 UNION ALL SELECT 1, 'mirror', 1, count(*) FROM reps""")
 def q_pool_append(spark, d):
-    """Pool stored by round: round 0 written, mirrors appended as round 1, read back."""
+    """Versioned pool: the initial rows are one version, the mirrors of round 1 the next; both are read by version."""
     from .q_generate import mirror_job
     base = scratch_path(spark, "pool_append")
     train = split_examples(spark, d).filter(F.col("split") == "train")
     pool = rounds.build_pool(train, None, budget=rounds.POOL_BUDGET)
-    rounds._write_partition(pool, f"{base}/pool")
+    table = SnapshotTable(spark, f"{base}/pool")
+    first = table.append(pool, ("pool", 0))
     m = mirror_job(spark, d, round_no=1).select(
         "example_id", "text", "label", "source", "domain", F.lit("mirror").alias("origin"),
         "round", "parent_id")
-    rounds._write_partition(m, f"{base}/pool")
-    back = spark.read.parquet(f"{base}/pool")
+    for _ in range(2):      # the second run finds the transaction committed
+        last = table.append(m.select(*[F.col(f.name).cast(f.dataType) for f in pool.schema.fields]), ("mirrors", 1))
+    added = table.read(last).where("round > 0")
+    back = table.read(first).unionByName(added)
     return back.groupBy("round", "origin", "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators import audit, dedup, reports, sample, split
-from .catalog import EXAMPLES_CTE, SPLIT_CTE, h32, query, smd5, strip_sql
+from .catalog import EXAMPLES_CTE, SPLIT_CTE, h32, query, row_no_sql, smd5, strip_sql
 
 
 # Validation subset size and human story target of the reference
@@ -127,7 +127,7 @@ def q_story_sample(spark, d):
 
 @query("epoch_order", f"""
 WITH {EXAMPLES_CTE}
-SELECT example_id, md5('42:0:' || CAST(example_id AS VARCHAR)) AS order_key FROM examples""")
+SELECT example_id, md5('42:0:' || CAST(example_id AS VARCHAR)) AS order_key, {row_no_sql('example_id', '42:0')} AS row_no FROM examples""")
 def q_epoch_order(spark, d):
-    return sample.epoch_order(tables.examples(spark, d).select("example_id")).select("example_id", "order_key")
+    return sample.epoch_order(tables.examples(spark, d).select("example_id")).select("example_id", "order_key", "row_no")
 

@@ -1,15 +1,19 @@
 """The mining loop: fit, evaluate, log, decide, mine, generate, append.
 
-State lives in tables under one base folder (in the shared checkpoint folder
-by default), so a killed job resumes where it stopped:
-
-  pool/round=0      initial training pool
-  mirrors/round=k   mirrors generated after round k; round k trains on the rounds
-                    before it, so re-running it replaces only its own folder
-  round_log/round=k one metrics row per finished round
-  replies/...       generator replies, keyed by request_id, written before use;
-                    a re-run sends only the requests without a stored success
+State lives in versioned tables under one base folder (in the shared checkpoint
+folder by default), so a killed job resumes where it stopped:
+
+  pool              training pool: a version with the initial rows, one more for the
+                    mirrors of each round; round k trains on the rounds before it
+  round_log         one metrics row per finished round
+  replies/...       generator replies, keyed by member; a re-run sends only the members
+                    without a final reply
   models/round=k    fitted models
+  scored/...        validation and pool as scored in a round, written once
+
+A version exists once its manifest is committed, and each write is a transaction
+(``pool`` 0, ``mirrors`` k, ``round`` k): what a killed run left unfinished does not
+count, and what it finished is not written again.
 
 Each round re-reads the pool from storage, so the plan does not grow with
 the number of rounds.  Decisions (converged? any false positives?) need one
@@ -23,8 +27,11 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import filters, generate, metrics, sample, score
+from ..functions.hashing import stable_id
+from ..functions.text import parse_numbered, split_parts, truncate_chars
+from ..operators import filters, generate, metrics, requests, sample, score
 from ..operators.tokens import build_vocab, encode
+from ..sources.snapshots import SnapshotTable
 from ..tables import ROUND_LOG_SCHEMA
 
 # Convergence threshold on the change of validation loss,
@@ -37,11 +44,6 @@ BASE_SAMPLE = 50000
 POOL_COLUMNS = ["example_id", "text", "label", "source", "domain", "origin", "round", "parent_id"]
 
 
-def _write_partition(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("round").parquet(path))
-
-
 def build_pool(train: DataFrame, creative: DataFrame | None = None, base_sample: int = BASE_SAMPLE,
                budget: int = POOL_BUDGET, priority_domains=None) -> DataFrame:
     """Seeded sample of the train split + creative rows, length filter, budget.
@@ -135,26 +137,26 @@ class MiningLoop:
         self.model_kw = model_kw or {}
 
     # storage ------------------------------------------------------------
-    def _exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def table(self, name: str) -> SnapshotTable:
+        return SnapshotTable(self.spark, f"{self.base}/{name}")
 
-    def pool(self, before: int | None = None) -> DataFrame:
+    def pool(self, before: int | None = None, version: int | None = None) -> DataFrame:
         """The initial pool and the mirrors of the rounds before ``before`` (of all rounds, if not given)."""
-        p = self.spark.read.parquet(f"{self.base}/pool").select(*POOL_COLUMNS)
-        if self._exists("mirrors"):
-            p = p.unionByName(self.spark.read.schema(p.schema).parquet(f"{self.base}/mirrors").select(*POOL_COLUMNS))
+        p = self.table("pool").read(version).select(*POOL_COLUMNS)
         return p if before is None else p.filter(F.col("round") < before)
 
     def log(self) -> DataFrame:
-        if not self._exists("round_log"):
-            return self.spark.createDataFrame([], ROUND_LOG_SCHEMA)
-        return self.spark.read.parquet(f"{self.base}/round_log")
+        return self.table("round_log").read(schema=ROUND_LOG_SCHEMA)
 
     def init_pool(self, pool: DataFrame) -> None:
-        if not self._exists("pool"):  # an existing pool is reused (resume)
-            _write_partition(pool.select(*POOL_COLUMNS), f"{self.base}/pool")
+        """The first version; an existing pool is reused (resume)."""
+        self.table("pool").append(pool.select(*POOL_COLUMNS), ("pool", 0))
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Written once and read back, so that no later use computes it again."""
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     # one round ---------------------------------------------------------------
     def run_round(self, k: int, val: DataFrame, prev: float | None = None) -> dict:
@@ -163,7 +165,7 @@ class MiningLoop:
         pool = self.pool(before=k)  # what a killed run left of this round does not count
         model = score.fit(pool, **self.model_kw)
         model.write().overwrite().save(f"{self.base}/models/round={k}")
-        ev = evaluate(score.score(model, val, model_id=f"round{k}", round_no=k))
+        ev = evaluate(self.written(score.score(model, val, model_id=f"round{k}", round_no=k), f"scored/val/round={k}"))
         converged = prev is not None and abs(prev - float(ev["loss"])) < self.threshold
         n_fp = n_mirrors = 0
         if not converged:
@@ -175,40 +177,45 @@ class MiningLoop:
                None if ev["auroc"] is None else float(ev["auroc"]),
                int(pool.count()), int(n_fp), int(n_mirrors), (time.time() - t0) / 60.0,
                f"{self.base}/models/round={k}")
-        _write_partition(self.spark.createDataFrame([row], ROUND_LOG_SCHEMA), f"{self.base}/round_log")
+        self.table("round_log").append(self.spark.createDataFrame([row], ROUND_LOG_SCHEMA), ("round", k))
         return {"round": k, "val_loss": row[2], "n_fp": n_fp, "n_mirrors": n_mirrors, "converged": converged}
 
     def false_positives(self, k: int, model, pool: DataFrame) -> DataFrame:
-        """False positives of the pool; parents of earlier mirrors are not mirrored twice."""
-        sp = score.score(model, pool, model_id=f"round{k}", round_no=k)
+        """False positives of the pool, joined with their texts by id; parents of earlier mirrors are not mirrored twice."""
+        sp = self.written(score.score(model, pool, model_id=f"round{k}", round_no=k), f"scored/pool/round={k}")
         fp = filters.has_text(pool.join(filters.false_positives(sp).select("example_id"),
                                         "example_id", "left_semi"))
         parents = pool.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("example_id"))
         return fp.join(parents, "example_id", "left_anti")
 
-    def replies(self, requests: DataFrame, gen, name: str) -> DataFrame:
-        """Replies of ``requests``: those stored by an earlier run are kept, only the missing ones are sent."""
-        path = f"{self.base}/replies/{name}"
-        if self._exists(f"replies/{name}"):
-            requests = generate.pending_requests(requests, self.spark.read.schema(generate.REPLY_SCHEMA).parquet(path))
-        generate.run_requests(requests, gen, sleep=self.sleep).write.mode("append").parquet(path)
-        return self.spark.read.schema(generate.REPLY_SCHEMA).parquet(path)
+    def ask(self, kind: str, members: DataFrame, content: str, gen, size: int, header: str, item, parse) -> tuple[DataFrame, DataFrame]:
+        """(keyed members, stored replies) after the members without a final reply have been sent."""
+        keyed = members.withColumn("member_key", requests.member_key(kind, F.col("example_id"), F.col(content)))
+        table = self.table(f"replies/{kind}")
+        todo = requests.pending(keyed, requests.replies_of(table))
+        if not todo.isEmpty():
+            requests.store(table, requests.send(requests.form(todo, size, header, item, seed=kind), gen, parse, self.sleep))
+        return keyed, requests.replies_of(table)
 
     def mine(self, k: int, fp: DataFrame) -> int:
-        """Write the mirrors of round ``k`` to a folder of their own; running it again replaces that folder only."""
-        mined = fp.select("example_id", "text")
-        capped = mined if self.max_mirrors is None else sample.sample_n(mined, self.max_mirrors, seed=k)
-        members, req = generate.prompt_requests(capped, round_no=k)
-        rep1 = self.replies(req, self.gen_prompts, f"prompts/round={k}")
-        prompts = generate.padded_prompts(members, req, rep1)
-        treq = generate.text_requests(prompts, round_no=k)
-        rep2 = self.replies(treq, self.gen_texts, f"texts/round={k}")
-        rows = generate.mirror_rows(treq, rep2, round_no=k)
-        out = rows.select("example_id", "text", "label", "source", "domain",
-                          F.lit("mirror").alias("origin"), "parent_id")
-        path = f"{self.base}/mirrors/round={k}"
-        out.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path).count()
+        """Add the mirrors of round ``k`` to the pool; a round that has added its mirrors adds none."""
+        pool = self.table("pool")
+        if not pool.committed(("mirrors", k)):
+            mined = fp.select("example_id", truncate_chars("text", generate.PROMPT_INPUT_CHARS).alias("text"))
+            capped = mined if self.max_mirrors is None else sample.sample_n(mined, self.max_mirrors, seed=k)
+            members, stored = self.ask("prompts", capped, "text", self.gen_prompts, generate.MIRROR_BATCH, generate.PROMPT_HEADER,
+                                       F.format_string('[%d]\n"""%s"""', "ordinal", "text"), parse_numbered)
+            prompts = requests.filled(members, stored).select("example_id", F.col("reply").alias("prompt"))
+            members, stored = self.ask("texts", prompts, "prompt", self.gen_texts, generate.MIRROR_BATCH,
+                                       generate.TEXT_HEADER.replace("{words}", "100-400"),
+                                       F.format_string("[%d] %s", "ordinal", "prompt"),
+                                       lambda reply: split_parts(reply, generate.MIN_PART_CHARS))
+            texts = requests.filled(members, stored, short="drop")
+            rows = texts.select(stable_id(F.lit("mirror"), "member_key").alias("example_id"), F.col("reply").alias("text"),
+                                F.lit(1).alias("label"), F.lit("mirror").alias("source"), F.lit("mirror").alias("domain"),
+                                F.lit("mirror").alias("origin"), F.lit(k).alias("round"), F.col("example_id").alias("parent_id"))
+            pool.append(rows.select(*[F.col(f.name).cast(f.dataType) for f in self.pool().schema.fields]), ("mirrors", k))
+        return self.pool().filter((F.col("round") == k) & (F.col("origin") == "mirror")).count()
 
     # the loop ----------------------------------------------------------------
     def run(self, val: DataFrame) -> DataFrame:
