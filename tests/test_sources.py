@@ -74,6 +74,100 @@ def test_poly_json(spark, tmp):
         ("student_essays_top.json", 0, "5"), ("student_essays_top.json", 0, "}"),
     ]
     assert bad.count() == 1
+    # the folder's place does not enter the ids
+    import shutil
+    shutil.copytree(root, os.path.join(tmp, "elsewhere", "Essays"))
+    again, _ = readers.read_poly_json(spark, os.path.join(tmp, "elsewhere", "Essays"))
+    assert sorted(r.example_id for r in again.collect()) == sorted(r.example_id for r in rows.collect())
+
+
+PIECES = [
+    ("[]", []), (" \n[ 1 , 2.5e3,true ,null]\n", ["1", "2.5e3", "true", "null"]), ('["a","b\\"]["]', ['"a"', '"b\\"]["']),
+    ('{"k": "v", "n": {"x": [1, {"y": "}"}]}}', ['"v"', '{"x": [1, {"y": "}"}]}']), ("{}", []), ('"scalar"', []), ("12", []),
+    ('["\\u00e9\\ud83d\\ude00", "é😀"]', ['"\\u00e9\\ud83d\\ude00"', '"é😀"']), ("[123456, 7]", ["123456", "7"]),
+]
+BROKEN = ["[not json", "[1, 2", '{"a" 1}', '{"a": 1,}', "[1] x", '["open', "", "{1: 2}", "[1,,2]", '{"a": }']
+
+
+def test_json_elements_in_pieces_of_any_size():
+    """Whatever the pieces, the elements are those of the whole text."""
+    from textprov.sources.jsonstream import Broken, Elements
+    for text, want in PIECES:
+        for size in (1, 2, 3, 7, 100):
+            got = list(Elements(iter([text[i:i + size] for i in range(0, len(text), size)])))
+            assert [e for _, _, _, e in got] == want, (text, size)
+            assert [json.loads(e) for e in want] == ([] if not got else list(
+                json.loads(text).values() if got[0][0] == "object" else json.loads(text)))
+    for text in BROKEN:
+        for size in (1, 3, 100):
+            if text == "":
+                continue
+            try:
+                list(Elements(iter([text[i:i + size] for i in range(0, len(text), size)])))
+            except Broken:
+                continue
+            raise AssertionError(text)
+
+
+def test_json_file_of_many_ranges_is_read_in_bounded_memory(spark, tmp):
+    from textprov.sources import jsonstream
+    path = os.path.join(tmp, "big.json")
+    n = 20_000
+    with open(path, "w") as f:
+        f.write("[" + ",\n".join(json.dumps(f"text {i} " + "é" * (i % 90)) for i in range(n)) + "]")
+    with open(path, "rb") as f:
+        elements = jsonstream.Elements(jsonstream.decoded(f, 4096))
+        assert sum(1 for _ in elements) == n
+    assert os.path.getsize(path) > 300 * 4096 and elements.held < 4 * 4096
+    got = jsonstream.load(spark, tmp, range_bytes=4096)
+    assert got.count() == n and got.filter("error IS NOT NULL").count() == 0
+    assert got.agg(F.max("position")).first()[0] == n - 1
+
+
+def test_zip_members_are_partitions_and_ids_free_of_the_path(spark, tmp):
+    import shutil
+
+    from textprov.sources import writers
+    ex = spark.createDataFrame([(i, f"text, number {i}\nwith \"quotes\" " + "w" * 60, i % 2, "src") for i in range(300)],
+                               "example_id long, text string, label int, source string")
+    root = writers.write_zipped_csv(ex, os.path.join(tmp, "a", "zips"), archives=3, members=2)
+    raw = readers.zipcsv.load(spark, root)
+    assert raw.rdd.getNumPartitions() == 6 and raw.select("archive", "member").distinct().count() == 6
+    got = readers.read_zipped_csv(spark, root)
+    assert sorted((r.text, r.label) for r in got.collect()) == sorted((r.text, r.label) for r in ex.collect())
+    shutil.copytree(root, os.path.join(tmp, "b", "zips"))
+    there = readers.read_zipped_csv(spark, os.path.join(tmp, "b", "zips"))
+    ids = sorted(r.example_id for r in got.collect())
+    assert len(set(ids)) == 300 and sorted(r.example_id for r in there.collect()) == ids
+
+
+def test_a_source_that_fails_in_a_task_loses_its_stage_only(spark, tmp):
+    from pyspark.sql.functions import udf
+
+    from textprov.sources import staging
+    schema = "example_id long, text string, label int, source string, domain string"
+
+    def good(first):
+        return lambda: spark.createDataFrame([(i, f"t{i}", 0, "s", "d") for i in range(first, first + 20)], schema)
+
+    def failing():
+        def fail(t):
+            if t == "t7":
+                raise ValueError("no such text")
+            return t
+        return good(0)().repartition(4).withColumn("text", udf(fail)("text"))
+
+    def broken():
+        return good(40)(), spark.createDataFrame([("f", "line")], "file_path string, record string")
+    sources = {"qa": good(0), "news": failing, "essays": broken, "gone": lambda: spark.read.parquet(tmp + "/missing")}
+    got = staging.stage_all(spark, tmp + "/stages", sources)
+    assert {n: (s.rows.count(), s.quarantine.count(), s.error is None) for n, s in got.items()} == {
+        "qa": (20, 0, True), "news": (0, 0, False), "essays": (20, 1, True), "gone": (0, 0, False)}
+    assert got["news"].error.startswith("news: PythonException")
+    # a later run reads what is there and tries the others again
+    again = staging.stage_all(spark, tmp + "/stages", sources | {"news": good(60), "qa": failing})
+    assert {n: (s.rows.count(), s.error is None) for n, s in again.items()} == {
+        "qa": (20, True), "news": (20, True), "essays": (20, True), "gone": (0, False)}
 
 
 def test_zipped_csv(spark, tmp):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import text_hash
 
 
-MAX_BROADCAST_IDS = 10_000_000
+MAX_BROADCAST_IDS = 2_000_000  # (number): some 64 MB once broadcast
 
 
 def dropped_ids(df: DataFrame, id_col: str = "example_id", text: str = "text") -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..session import scratch_path
-from ..sources import readers, writers
-from .catalog import EXAMPLES_CTE, h32, query, strip_sql
+from ..sources import readers, staging, writers
+from .catalog import EXAMPLES_CTE, h32, ntok_sql, query, stable_id_sql, strip_sql
 
 QA_SQL = """q AS (SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'system') AS question
        FROM conversations GROUP BY conv_id),
@@ -64,6 +64,18 @@ def q_src_csv(spark, d):
                     F.length("text").cast("bigint").alias("n_chars"))
 
 
+@query("src_zip_csv", f"""
+WITH {CSV_SQL}
+SELECT md5(stext) AS text_md5, CASE WHEN generator = 'human' THEN 0 ELSE 1 END AS label, generator,
+       CAST(length(stext) AS BIGINT) AS n_chars
+FROM csvrows WHERE length(stext) >= 50""")
+def q_src_zip_csv(spark, d):
+    """CSV members of zip archives, one task per member."""
+    root = writers.write_zipped_csv(tables.examples(spark, d), scratch_path(spark, "zipped_csv"))
+    return readers.read_zipped_csv(spark, root).select(F.md5("text").alias("text_md5"), "label", "generator",
+                                                       F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("src_poly_json", f"""
 WITH {POLY_SQL}
 SELECT domain, label, md5(stext) AS text_md5, CAST(length(stext) AS BIGINT) AS n_chars
@@ -123,15 +135,29 @@ def q_corpus_union(spark, d):
                                             F.count("generator").cast("bigint").alias("n_with_generator"))
 
 
-@query("corpus_prep")
+@query("corpus_prep", f"""
+WITH {QA_SQL}, {CSV_SQL}, {POLY_SQL.replace(EXAMPLES_CTE + ",", "", 1)},
+u AS (SELECT {stable_id_sql("'qa'", 'conv_id', 'part', 'label', 'answer_pos', 'md5(answer)')} AS id,
+             label, text, CAST(conv_id AS VARCHAR) AS group_key FROM (
+        SELECT qa.*, CASE WHEN coalesce(q.question, '') <> '' THEN substr(qa.text, length(q.question) + 2) ELSE qa.text END AS answer
+        FROM qa JOIN q ON q.conv_id = qa.conv_id) x
+      UNION ALL SELECT 0, CASE WHEN generator = 'human' THEN 0 ELSE 1 END, stext, md5(stext) FROM csvrows WHERE length(stext) >= 50
+      UNION ALL SELECT 0, label, stext, md5(stext) FROM poly WHERE length(stext) > 50),
+k AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY id, label) AS rn FROM u WHERE length({strip_sql('text')}) > 0),
+s AS (SELECT label, CASE WHEN {h32(42, 'group_key')} / 4294967296.0 < 0.8 THEN 'train'
+                         WHEN {h32(42, 'group_key')} / 4294967296.0 < 0.9 THEN 'val' ELSE 'test' END AS split
+      FROM k WHERE rn = 1 AND {ntok_sql('text')} >= 64)
+SELECT split, count(*) AS n, count(*) FILTER (WHERE label = 0) AS n_human, count(*) FILTER (WHERE label = 1) AS n_ai,
+       round(avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS pct_human,
+       round(avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS pct_ai
+FROM s GROUP BY split""")
 def q_corpus_prep(spark, d):
-    """Entry A end to end: three sources -> clean -> dedup -> tokens -> >= 64 -> split -> write."""
+    """Entry A end to end: three sources, staged -> clean -> dedup -> tokens -> >= 64 -> split -> write."""
     from . import corpus
-    # each source is isolated: a failing reader is reported and the others go on
-    parts = [readers.isolated(spark, n, f) for n, f in (("qa", lambda: qa_rows(spark, d)),
-                                                         ("news", lambda: csv_rows(spark, d)),
-                                                         ("essays", lambda: poly_rows(spark, d)))]
-    c = corpus.clean_corpus(*[rows for rows, _, _ in parts])
-    res = corpus.prepare(spark, c, scratch_path(spark, "corpus"), vocab_size=5000,
-                         quarantine=[bad for _, bad, _ in parts])
+    out = scratch_path(spark, "corpus")
+    # each source has a stage of its own: a failing reader is reported and the others go on
+    parts = staging.stage_all(spark, f"{out}_stages", {"qa": lambda: qa_rows(spark, d), "news": lambda: csv_rows(spark, d),
+                                                       "essays": lambda: poly_rows(spark, d)})
+    c = corpus.clean_corpus(*[p.rows for p in parts.values()])
+    res = corpus.prepare(spark, c, out, vocab_size=5000, quarantine=[p.quarantine for p in parts.values()])
     return res["split_report"]

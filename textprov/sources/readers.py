@@ -8,21 +8,16 @@
   the generator, by position; rows with fewer than two fields are skipped.
 * ``read_poly_json``: every ``*.json`` file under a folder holds a list of
   strings, a list of objects (``text`` / ``essay`` / ``content``) or an object
-  of any values.  Files are parsed as VARIANT and branched on the value type;
+  of any values.  Files are read element by element (``jsonstream``), the
+  elements parsed as VARIANT and branched on the value type;
   the label comes from the file name (``gpt`` in it means machine text) and
   the domain from the path.
-* ``read_zipped_csv``: CSV members inside zip archives, parsed in Arrow
-  batches (one archive per row of a ``binaryFile`` scan).
+* ``read_zipped_csv``: CSV members inside zip archives, one task per member,
+  inflated and parsed as a stream (``zipcsv``).
 """
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +25,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import stable_id
 from ..functions.text import first_nonempty, label_from_generator, prefix_question, py_strip
 from ..operators.joins import checked_broadcast
+from . import jsonstream, zipcsv
 
 # Field names of the question/answer records and of essay objects,
 # the file-name marker of machine text, the domain used for files at the root
@@ -59,7 +55,8 @@ def _qa_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qa_jsonl(spark: SparkSession, path: str, source: str = "qa", domain: str = "qa"):
-    """Return ``(rows, quarantine)``.
+    """Return ``(rows, quarantine)``.  Ids are made of the record's id (of its question, if it has none) and of the
+    answer, so they do not depend on where the files lie.
 
     ``rows``: example_id, record_id, record_part, label, answer_pos, text, source, domain,
     group_key (the record id, so all answers of a question stay together).
@@ -76,7 +73,8 @@ def read_qa_jsonl(spark: SparkSession, path: str, source: str = "qa", domain: st
                     lambda a, i: F.struct(F.lit(1).alias("label"), i.alias("pos"), a.alias("answer"))))
     x = good.select("id", "part", "_file", QA_QUESTION, F.explode(items).alias("it"))
     rows = x.select(
-        stable_id(F.lit(source), "_file", "id", "part", "it.label", "it.pos").alias("example_id"),
+        stable_id(F.lit(source), F.coalesce(F.col("id").cast("string"), F.md5(F.coalesce(QA_QUESTION, F.lit("")))),
+                  F.coalesce("part", F.lit(0)), "it.label", "it.pos", F.md5("it.answer")).alias("example_id"),
         F.col("id").alias("record_id"), F.col("part").alias("record_part"),
         F.col("it.label").cast("int").alias("label"),
         F.col("it.pos").cast("int").alias("answer_pos"),
@@ -150,74 +148,42 @@ def domain_from_path(parts) -> F.Column:
 
 def read_poly_json(spark: SparkSession, root: str, source: str = "essays",
                    domain_prefix: str = "student_essays_", min_chars: int = 50):
-    """Return ``(rows, quarantine)``; one row per text found in the files."""
-    raw = (spark.read.format("text").option("wholetext", True)
-           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-           .load(root)
-           .select(F.col("_metadata.file_path").alias("_file"), F.try_parse_json("value").alias("v")))
-    bad = raw.filter(F.col("v").isNull()).select(F.col("_file").alias("file_path"),
-                                                 F.lit("unparseable JSON").alias("record"))
-    parts = path_parts(F.col("_file"), root)
-    base = raw.filter(F.col("v").isNotNull()).select(
-        "_file", "v", label_from_path(parts).alias("label"),
-        F.concat(F.lit(domain_prefix), domain_from_path(parts)).alias("domain"))
-
-    # lists: strings as they are, objects by their first non-empty text field,
-    # anything else skipped
-    lst = base.select("_file", "label", "domain",
-                      F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "e"))
-    kind = F.schema_of_variant("e")
-    obj_text = first_nonempty(*[F.try_variant_get("e", f"$.{k}", "string") for k in ESSAY_KEYS])
-    lst = lst.select("_file", "label", "domain", F.col("pos").cast("string").alias("locator"),
-                     F.when(kind == "STRING", F.try_variant_get("e", "$", "string"))
-                      .when(kind.startswith("OBJECT"), obj_text).alias("raw_text"))
+    """Return ``(rows, quarantine)``; one row per text found in the files, which are read element by element.
+
+    A file that breaks off gives the texts before the break and a quarantine row.  ``locator`` is the position in
+    a list and the name in an object.
+    """
+    elements = jsonstream.load(spark, root)
+    bad = elements.filter(F.col("error").isNotNull()).select(F.col("uri").alias("file_path"), F.col("error").alias("record"))
+    parts = F.split("file", "/")
+    v = F.try_parse_json("element")
+    base = elements.filter(F.col("error").isNull()).select(
+        F.col("uri").alias("_file"), "file", "shape", v.alias("e"), label_from_path(parts).alias("label"),
+        F.concat(F.lit(domain_prefix), domain_from_path(parts)).alias("domain"),
+        F.when(F.col("shape") == "list", F.col("position").cast("string")).otherwise(F.col("name")).alias("locator"))
+    # lists: strings as they are, objects by their first non-empty text field, anything else skipped;
     # objects: every value, non-strings as their JSON text
-    obj = base.select("_file", "label", "domain",
-                      F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "e"))
-    obj = obj.select("_file", "label", "domain", F.col("k").alias("locator"),
-                     F.when(F.schema_of_variant("e") == "STRING", F.try_variant_get("e", "$", "string"))
-                      .otherwise(F.to_json("e")).alias("raw_text"))
-    both = lst.unionByName(obj).withColumn("text", py_strip("raw_text"))
+    kind = F.schema_of_variant("e")
+    text = F.try_variant_get("e", "$", "string")
+    of_object = first_nonempty(*[F.try_variant_get("e", f"$.{k}", "string") for k in ESSAY_KEYS])
+    raw = (F.when(kind == "STRING", text)
+            .when(F.col("shape") == "object", F.to_json("e"))
+            .when(kind.startswith("OBJECT"), of_object))
+    both = base.select("_file", "file", "label", "domain", "locator", py_strip(raw).alias("text"))
     rows = both.filter(F.length("text") > min_chars).select(
-        stable_id(F.lit(source), relative_path("_file", root), "locator").alias("example_id"),
+        stable_id(F.lit(source), "file", "locator").alias("example_id"),
         "text", F.col("label").cast("int").alias("label"), F.lit(source).alias("source"), "domain",
         F.col("_file").alias("file_path"), "locator")
     return rows, bad
 
 
-def read_zipped_csv(spark: SparkSession, glob: str, source: str = "news", domain: str = "news",
+def read_zipped_csv(spark: SparkSession, path: str, source: str = "news", domain: str = "news",
                     min_chars: int = 50, human_value: str = "human") -> DataFrame:
-    """CSV members of zip archives (``__MACOSX`` skipped, header skipped, by position)."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    out_schema = "path string, member string, line long, text string, generator string"
-
-    columns = ["path", "member", "line", "text", "generator"]
-
-    def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csv.field_size_limit(2 ** 31 - 1)  # long texts are ordinary fields
-        for pdf in it:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = []
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    for name in z.namelist():
-                        if not name.endswith(".csv") or name.startswith("__MACOSX"):
-                            continue
-                        with z.open(name) as f:
-                            reader = csv.reader(io.TextIOWrapper(f, encoding="utf-8", newline=""))
-                            next(reader, None)
-                            for i, r in enumerate(reader):
-                                if len(r) >= 2:
-                                    rows.append((path, name, i, r[0], r[1]))
-                                if len(rows) >= 500:
-                                    yield pd.DataFrame(rows, columns=columns)
-                                    rows = []
-                yield pd.DataFrame(rows, columns=columns)
-
-    x = files.mapInPandas(parse, out_schema)
-    x = x.select("path", "member", "line", py_strip("text").alias("text"),
-                 py_strip("generator").alias("generator"))
+    """CSV members of the zip archives under a folder or glob, by position; one task per member."""
+    x = zipcsv.load(spark, path).select("archive", "member", "record", py_strip("text").alias("text"),
+                                        py_strip("generator").alias("generator"))
     x = x.filter(F.length("text") >= min_chars)
-    return x.select(stable_id(F.lit(source), "path", "member", "line").alias("example_id"), "text",
+    return x.select(stable_id(F.lit(source), "archive", "member", "record").alias("example_id"), "text",
                     label_from_generator("generator", human_value).alias("label"),
                     F.lit(source).alias("source"), F.lit(domain).alias("domain"), "generator")
 

@@ -8,15 +8,22 @@ driver-side step is renaming the JSON files (metadata only, one call per file).
 
 from __future__ import annotations
 
+import csv
+import io
 import math
+import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32
+from . import files, zipcsv
 from .readers import QA_AI, QA_HUMAN, QA_QUESTION
 
 JSON_FILE_ROWS = 1000  # texts per written JSON file
+ARCHIVE_ROWS = 50_000  # texts per written zip archive
 TURNS_PER_RECORD = 64  # conversation turns per question/answer record
 
 
@@ -63,6 +70,55 @@ def write_labelled_csv(ex: DataFrame, path: str) -> str:
     return path
 
 
+def write_zipped_csv(ex: DataFrame, root: str, archives: int | None = None, members: int = 3) -> str:
+    """Zip archives of CSV members (header ``text,label``; generator 'human' for label 0), besides a member of
+    another kind and one under ``__MACOSX``.  Every task streams its archives and moves them into place when they are
+    whole; there is one archive for some ``ARCHIVE_ROWS`` rows, at least four."""
+    archives = archives or max(4, math.ceil(ex.count() / ARCHIVE_ROWS))
+    gen = F.when(F.col("label") == 0, F.lit("human")).otherwise(F.concat(F.lit("gen_"), F.col("source")))
+    slot = F.pmod(hash32("zip", "example_id"), F.lit(archives * members))
+    rows = ex.select(F.floor(slot / members).cast("int").alias("archive"), F.pmod(slot, F.lit(members)).cast("int").alias("member"),
+                     "text", gen.alias("generator"))
+    rows = rows.repartition(archives, "archive").sortWithinPartitions("archive", "member")
+
+    def write(batches):
+        system, folder = files.resolve(root)
+        system.create_dir(folder)
+        at = archive = lines = None
+
+        def close():
+            lines.flush()
+            lines.close()
+            archive.writestr("readme.txt", "no table")
+            archive.writestr(f"{zipcsv.SKIPPED_PREFIX}/m0.csv", "text,label\n" + "x" * 99 + ",human\n")
+            archive.close()
+            out.close()
+            system.move(temporary, f"{folder}/part-{at[0]}.zip")
+
+        for pdf in batches:
+            for a, m, text, generator in pdf.itertuples(index=False):
+                if at is None or at[0] != a:
+                    if at is not None:
+                        close()
+                    temporary = f"{folder}/.{uuid.uuid4().hex}"
+                    out = system.open_output_stream(temporary)
+                    archive, at = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED), (a, None)
+                if at[1] != m:
+                    if at[1] is not None:
+                        lines.close()
+                    lines = io.TextIOWrapper(archive.open(f"data/m{m}.csv", "w", force_zip64=True), encoding="utf-8", newline="")
+                    record = csv.writer(lines)
+                    record.writerow(["text", "label"])
+                    at = (a, m)
+                record.writerow([text, generator])
+        if at is not None:
+            close()
+            yield pd.DataFrame({"archive": [at[0]]})
+
+    rows.mapInPandas(write, "archive int").count()
+    return root
+
+
 def write_poly_json(spark: SparkSession, ex: DataFrame, root: str, file_rows: int = JSON_FILE_ROWS) -> str:
     """Folders ``<root>/<domain>/{gpt,hum}-<bucket>.json`` in three shapes.
 
