@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textprov.llm import linespread, pow2pack, ppm, simtrie, windows
 from textprov.llm.common import ready, stored, table
+from textprov.session import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +46,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per sequence of at most 2048 tokens."""
+    """One row per sequence of at most 2048 tokens, with its token ids."""
     import public_tokenizers
     ready(spark)
-    return pow2pack.pack(docs, public_tokenizers.path(pow2pack.TOKENIZER), with_ids=False)
+    return pow2pack.pack(docs, public_tokenizers.path(pow2pack.TOKENIZER))
 
 
 STAGES = [
@@ -64,9 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written and read again."""
+    """The stages applied to ``documents``, each written and read again; the last by length bucket."""
     ready(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    name, stage = STAGES[-1]
+    sequences = stage(spark, docs, sf_dir)
+    path = scratch_path(spark, f"pipeline-{name}")
+    pow2pack.write_buckets(sequences, path)
+    return pow2pack.read_buckets(spark, path, sequences.schema)

@@ -9,6 +9,8 @@ Equal lengths go to one bucket, so that a batch has one shape.
 The work is a map over the documents; no shuffle, and a row's pieces depend on
 its text alone.
 
+The product are the ids themselves, written by bucket; checksums are derived from it.
+
 Defined results: null text is packed as the empty text (the end id alone);
 repeated rows are packed each by itself; an empty table gives an empty result.
 """
@@ -24,8 +26,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEQ_LEN = 2048
 END_ID = 1
@@ -177,8 +180,8 @@ def piece_lengths(n: int, seq_len: int = SEQ_LEN) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         seq_len: int = SEQ_LEN, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket [, ids].
+         seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
+    """One row per piece: id, start, length, doc_tokens, sequence_id, offset, bucket, ids.
 
     ``sequence_id`` numbers the sequences (task and position in it); ``offset`` is 0, as a
     sequence holds one piece; ``bucket`` is the binary logarithm of the length.
@@ -202,33 +205,46 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         pa.default_memory_pool().release_unused()
 
     def pieces(keys: pa.Array, encoded: list[np.ndarray], end: np.ndarray) -> pa.RecordBatch:
-        at, start, length, crc, total, ids = [], [], [], [], [], []
+        at, start, length, total = [], [], [], []
         for i, arr in enumerate(encoded):
-            arr = np.concatenate([arr, end])
-            raw, pos, n = memoryview(arr.tobytes()), 0, len(arr)
+            pos, n = 0, len(arr) + 1
             for size in piece_lengths(n, seq_len):
                 at.append(i)
                 start.append(pos)
                 length.append(size)
-                crc.append(zlib.crc32(raw[4 * pos:4 * (pos + size)]))
                 total.append(n)
-                if with_ids:
-                    ids.append(arr[pos:pos + size].astype("int32"))
                 pos += size
+        # pieces follow each other as the ids do, so all of them are one array cut at the pieces' ends
+        flat = np.concatenate([x for arr in encoded for x in (arr, end)]).view("<i4")
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [keys.take(pa.array(at, pa.int32())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-             pa.array(crc, pa.int64()), pa.array(total, pa.int64()),
-             pa.array(ids, pa.list_(pa.int32())) if with_ids else pa.nulls(len(at), pa.list_(pa.int32()))],
-            names=["key", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+             pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+            names=["key", "start", "length", "doc_tokens", "ids"])
 
     out = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(
-        run, f"key {key_type}, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>")
-    cols = [F.col("key").alias(id_col), "start", "length", "ids_crc32", "doc_tokens",
-            F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-            F.log2("length").cast("int").alias("bucket")]
-    return out.select(*cols, *(["ids"] if with_ids else []))
+        run, f"key {key_type}, start long, length long, doc_tokens long, ids array<int>")
+    return out.select(F.col("key").alias(id_col), "start", "length", "doc_tokens",
+                      F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+                      F.log2("length").cast("int").alias("bucket"), "ids")
+
+
+@F.arrow_udf(T.LongType())
+def ids_crc32(ids: pa.Array) -> pa.Array:
+    """CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
+    flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), ids.offsets.to_numpy()
+    return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """The pieces with the checksum of their ids in the ids' place."""
+    return pieces.withColumn("ids_crc32", ids_crc32("ids")).drop("ids")
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Sequences as Parquet, one folder per length bucket."""
+    """Sequences as Parquet, one folder per length bucket: a batch read from a folder has one shape."""
     pieces.write.partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())

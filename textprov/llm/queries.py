@@ -51,7 +51,7 @@ def op7_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pow2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    return pow2pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(pow2pack.TOKENIZER), with_ids=False)
+    return pow2pack.digests(pow2pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(pow2pack.TOKENIZER)))
 
 
 def op9_text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
