@@ -107,7 +107,7 @@ def test_batch_model_scores(spark):
             n = mask.sum(axis=1).astype(float)
             return np.stack([np.zeros_like(n), n - 2.5], axis=1)
         return predict
-    got = {r.example_id: r for r in score.batch_model_scores(df, make, batch_size=2, max_len=512).collect()}
+    got = {r.example_id: r for r in score.batch_model_scores(df, make, batch_size=2, max_len=512, whole=False).collect()}
     assert got[1].logit1 == 0.5 and got[1].pred == 1
     assert got[2].logit1 == -2.5 and got[2].pred == 0
     assert got[3].logit1 == 509.5  # truncated at 512
@@ -127,5 +127,5 @@ def test_batch_model_scores_whole_sequences(spark):
 
     rows = [("a", [0] * 4 + [1] * 4 + [3] * 2), ("b", [2, 4]), ("b", [2, 4]), ("b", [6]), ("c", [])]
     df = spark.createDataFrame(rows, "example_id string, input_ids array<int>")
-    got = sorted((r.example_id, round(r.logit1, 9)) for r in score.batch_model_scores(df, make, batch_size=2, max_len=4, whole=True).collect())
+    got = sorted((r.example_id, round(r.logit1, 9)) for r in score.batch_model_scores(df, make, batch_size=2, max_len=4).collect())
     assert got == [("a", 1.0), ("b", 3.0), ("b", 3.0), ("b", 6.0), ("c", 0.0)]

@@ -17,7 +17,7 @@ from ..functions.text import py_strip, ws_tokens
 from .joins import checked_broadcast
 
 SHINGLE_WORDS = 8
-BENCH_BROADCAST_ROWS = 20_000_000
+BENCH_BROADCAST_ROWS = 1_000_000  # (item, hash): some 64 MB once broadcast
 
 
 def normalise(col) -> Column:

@@ -2,9 +2,9 @@
 
 Everything is a built-in aggregate.  Rank statistics (AUROC, threshold
 sweep) first collapse rows to distinct scores, then take running sums in two
-levels: a fixed grid of ``buckets`` coarse score buckets (bounded table,
-broadcast) and a window inside each bucket over its distinct scores, so no
-window ever holds all distinct scores in one task.
+levels: over ranges of scores that follow the data (Spark's range partitioning)
+and in a window inside each range over its distinct scores, so no window ever
+holds all distinct scores in one task, however close to each other they lie.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .joins import bounded_broadcast
 
-SCORE_BUCKETS = 65536
 CLASS_NAMES = ("Human", "AI")  # fixed values: report names of class 0 and 1
 
 
@@ -121,23 +121,34 @@ def class_report(cm: DataFrame) -> DataFrame:
                       "support")
 
 
-def score_cumulative(df: DataFrame, score="score", label="label",
-                     buckets: int = SCORE_BUCKETS, by: list[str] | None = None,
-                     n_groups: int | None = None) -> DataFrame:
-    """Per (group, distinct score): n0, n1 and counts of each class strictly below it.
+def score_buckets(df: DataFrame, score="score", label="label", by: list[str] | None = None) -> DataFrame:
+    """Per (group, distinct score): n0, n1 and the bucket ``_cb``, a range of the scores.
 
-    Also carries the group totals ``tot0``, ``tot1``.  Scores are expected in
-    [0, 1]; values outside are clamped only for bucketing, which keeps the order.
+    The buckets are the ranges that Spark's range partitioning makes of the distinct scores, from samples of them, so
+    each holds about the same number however close the scores lie.  They are written with the rows:
+    what is computed from them afterwards is exact whatever the ranges are.  Rows without a score take no part.
     """
     by = list(by or [])
     s, lab = _c(score), _c(label)
-    g = (df.groupBy(*by, s.alias("score"))
+    g = (df.where(s.isNotNull()).groupBy(*by, s.alias("score"))
          .agg(F.count_if(lab == 0).cast("bigint").alias("n0"),
               F.count_if(lab == 1).cast("bigint").alias("n1")))
-    cb = F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * buckets)
-    g = g.withColumn("_cb", cb.cast("int"))
+    path = scratch_path(df.sparkSession, "score_buckets")
+    g.repartitionByRange(*by, "score").withColumn("_cb", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def score_cumulative(df: DataFrame, score="score", label="label", by: list[str] | None = None,
+                     n_groups: int | None = None) -> DataFrame:
+    """Per (group, distinct score): n0, n1 and counts of each class strictly below it.
+
+    Also carries the group totals ``tot0``, ``tot1``.  Sums run in two levels: over the buckets, and over the
+    scores inside a bucket.
+    """
+    by = list(by or [])
+    g = score_buckets(df, score, label, by)
     bt = g.groupBy(*by, "_cb").agg(F.sum("n0").alias("_b0"), F.sum("n1").alias("_b1"))
-    # at most buckets + 1 rows per group: a bounded window
+    # at most one row per shuffle partition and group: a bounded window
     wb = Window.partitionBy(*by).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*by)
     bt = bt.select(*by, "_cb",
@@ -145,8 +156,8 @@ def score_cumulative(df: DataFrame, score="score", label="label",
                    F.coalesce(F.sum("_b1").over(wb), F.lit(0)).alias("_c1b"),
                    F.sum("_b0").over(wall).alias("tot0"),
                    F.sum("_b1").over(wall).alias("tot1"))
-    # bucket table: (buckets + 1) rows per group; a proven bound when the group count is known
-    known = (buckets + 1) * (n_groups if by else 1) if (not by or n_groups) else None
+    # a bucket is a stretch of (group, score), so there are fewer pairs than buckets and groups together
+    known = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + (n_groups if by else 1) if (not by or n_groups) else None
     g = g.join(bounded_broadcast(bt, 2_000_000, known_rows=known), [*by, "_cb"])  # <= ~60 MB
     wi = Window.partitionBy(*by, "_cb").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return g.select(*by, "score", "n0", "n1",

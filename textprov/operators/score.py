@@ -47,7 +47,7 @@ def score(model: PipelineModel, df: DataFrame, model_id: str = "lr", round_no: i
 
 def batch_model_scores(df: DataFrame, make_predict_fn, batch_size: int = 64, max_len: int = 512,
                        ids: str = "input_ids", model_id: str = "batch_model", round_no: int = 0,
-                       whole: bool = False) -> DataFrame:
+                       whole: bool = True) -> DataFrame:
     """Score ``input_ids`` with a Python model in Arrow batches (``predict_batch_udf``).
 
     ``make_predict_fn()`` runs once per Python worker and returns

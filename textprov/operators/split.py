@@ -14,6 +14,7 @@ from ..functions.hashing import unit_hash
 from ..session import ensure_checkpoint_dir
 from .exact import (MAX_BROADCAST_GROUPS, attach_cutoffs, cutoffs, largest_remainder_quota,
                     order_key, taken_expr)
+from .joins import checked_broadcast
 
 # 20 % held out, then half of it to test; seeds 42 and 43
 TEST_FRACTION = 0.2
@@ -44,8 +45,8 @@ def apply_rare_policy(df: DataFrame, policy: str, stratum: str = "stratum",
             raise ValueError(f"strata with fewer than {min_rows} rows: {[r[0] for r in bad]}")
         return df
     if policy == "merge_rare":
-        # one row per stratum: bounded by the number of strata
-        j = df.join(F.broadcast(rare), F.col(stratum).eqNullSafe(F.col("_rare")), "left")
+        # one row per rare stratum, broadcast only if they are few
+        j = df.join(checked_broadcast(rare, MAX_BROADCAST_GROUPS), F.col(stratum).eqNullSafe(F.col("_rare")), "left")
         return j.withColumn(
             stratum,
             F.when(F.col("_rare").isNotNull(),

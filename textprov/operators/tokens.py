@@ -100,8 +100,8 @@ def subword_lengths(col: Column, tokenizer_path: str) -> Column:
     return _len(col)
 
 
-def subword_encode(col: Column, tokenizer_path: str, max_len: int = MAX_LEN) -> Column:
-    """``struct<token_length, input_ids, attention_mask>`` truncated at ``max_len``."""
+def subword_encode(col: Column, tokenizer_path: str, max_len: int | None = None) -> Column:
+    """``struct<token_length, input_ids, attention_mask>`` of whole texts, or cut at ``max_len`` if given."""
     schema = T.StructType([T.StructField("token_length", T.IntegerType()),
                            T.StructField("input_ids", T.ArrayType(T.IntegerType())),
                            T.StructField("attention_mask", T.ArrayType(T.IntegerType()))])

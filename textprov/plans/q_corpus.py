@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..functions import text as tx
-from ..operators import dedup, filters, reports
+from ..operators import dedup, filters, reports, sketches
 from ..operators.split import stratum_key
+from ..session import scratch_path
 from .catalog import EXAMPLES_CTE, ntok_sql, query, strip_sql
 
 
@@ -147,6 +148,17 @@ def q_token_percentiles(spark, d):
     return reports.percentiles(_doc_tokens(spark, d))
 
 
+@query("token_sketch", f"WITH {DOC_TOK}\n" + "\nUNION ALL\n".join(
+    f"SELECT source, count(*) AS n, {p} AS p, quantile_disc(token_length, {p / 100.0}) AS value FROM doc_tok GROUP BY source"
+    for p in (25, 50, 90, 99)))
+def q_token_sketch(spark, d):
+    """Token length quantiles per source out of stored KLL sketches per (source, language), merged."""
+    path = scratch_path(spark, "token_sketches")
+    sketches.build(_doc_tokens(spark, d), ["source", "lang"], "token_length").write.parquet(path)
+    per_source = sketches.merge(spark.read.parquet(path), ["source"])
+    return sketches.quantiles(per_source, ["source"], (25, 50, 90, 99))
+
+
 @query("token_describe_source", f"WITH {DOC_TOK}\n" + _describe_sql("doc_tok", "source", True))
 def q_token_describe_source(spark, d):
     return reports.describe(_doc_tokens(spark, d), by="source", rounded=True)

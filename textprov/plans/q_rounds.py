@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import tables
-from ..operators import score
+from ..functions.hashing import hash32
+from ..operators import logistic, score
 from ..session import scratch_path
 from ..sources.snapshots import SnapshotTable
 from . import rounds
@@ -184,6 +185,16 @@ def q_fit_score(spark, d):
     return score.score(model, held, model_id="lr").select("example_id", "label", "score", "pred")
 
 
+@query("warm_start")
+def q_warm_start(spark, d):
+    """Round 1 fits half of the train split, round 2 all of it from round 1's weights; val scored by the second."""
+    s = split_examples(spark, d)
+    train = s.filter(F.col("split") == "train")
+    first = logistic.fit(train.filter(F.pmod(hash32("half", "example_id"), F.lit(2)) == 0))
+    weights = logistic.fit(train, start=first)
+    return logistic.score(s.filter(F.col("split") == "val"), weights, "round2").select("example_id", "label", "score", "pred")
+
+
 @query("round_summary")
 def q_round_summary(spark, d):
     """Two rounds of the mining loop on the train split, validated on val."""
