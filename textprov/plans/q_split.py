@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import tables
-from ..operators import audit, dedup, reports, sample, split
-from .catalog import EXAMPLES_CTE, SPLIT_CTE, h32, query, row_no_sql, smd5, strip_sql
+from ..operators import audit, dedup, near, reports, sample, split
+from .catalog import EXAMPLES_CTE, SPLIT_CTE, h32, query, row_no_sql, smd5, strip_sql, ws_tokens_sql
 
 
 # Validation subset size and human story target of the reference
@@ -74,6 +74,34 @@ def q_leak_safe_split(spark, d):
     return split.group_split(dedup.dedup_exact(tables.examples(spark, d))).select("example_id", "split")
 
 
+NEAR_CTE = f"""{EXAMPLES_CTE},
+nt AS (SELECT example_id, {ws_tokens_sql('lower(text)')} AS t FROM examples WHERE len({ws_tokens_sql('lower(text)')}) > 0),
+sh AS (SELECT DISTINCT example_id, array_to_string(t[i:i + 4], ' ') AS s
+       FROM nt, LATERAL (SELECT unnest(range(1, greatest(len(nt.t) - 4, 1) + 1)) AS i) r),
+sz AS (SELECT example_id, count(*) AS n FROM sh GROUP BY example_id),
+sim AS (SELECT x.example_id AS a, y.example_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.example_id <> y.example_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM sim JOIN sz p ON p.example_id = a JOIN sz q ON q.example_id = b WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= 0.8),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+grp AS (SELECT example_id, least(example_id, coalesce(min(b), example_id)) AS group_id
+        FROM examples LEFT JOIN reach ON reach.a = example_id GROUP BY example_id)"""
+
+
+@query("audit_near_overlap", f"WITH RECURSIVE {NEAR_CTE}\nSELECT example_id, group_id FROM grp")
+def q_audit_near_overlap(spark, d):
+    """Groups of near-copies: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    return near.near_groups(tables.examples(spark, d).select("example_id", "text"))
+
+
+@query("near_safe_split", f"""
+WITH RECURSIVE {NEAR_CTE}
+SELECT example_id, CASE WHEN {h32(42, 'group_id')} / 4294967296.0 < 0.8 THEN 'train'
+                        WHEN {h32(42, 'group_id')} / 4294967296.0 < 0.9 THEN 'val' ELSE 'test' END AS split FROM grp""")
+def q_near_safe_split(spark, d):
+    """Whole groups of near-copies go to one split."""
+    groups = near.near_groups(tables.examples(spark, d).select("example_id", "text"))
+    return split.group_split(groups, group_col="group_id").select("example_id", "split")
+
+
 @query("sample_n", f"""
 WITH {EXAMPLES_CTE}
 SELECT example_id FROM examples ORDER BY {smd5(42, 'example_id')}, example_id LIMIT 100""")

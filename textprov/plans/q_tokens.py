@@ -45,6 +45,14 @@ def q_encode_tokens(spark, d):
     return encoded(spark, d)
 
 
+@query("subword_lengths")
+def q_subword_lengths(spark, d, tokenizer="byte_bpe_50k.json"):
+    """Subword token counts of whole texts by a public tokenizer's file."""
+    import public_tokenizers
+    docs = tables.read(spark, d, "documents")
+    return docs.select("doc_id", tokens.subword_lengths(F.col("text"), public_tokenizers.path(tokenizer)).alias("n_tokens"))
+
+
 @query("join_tokens", f"WITH {ENCODE_CTE}\nSELECT example_id, label, token_length FROM enc")
 def q_join_tokens(spark, d):
     """Examples with their token columns: the label rides along the encoding shuffle."""
