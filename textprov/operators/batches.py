@@ -60,18 +60,24 @@ def padded_batches(df: DataFrame, batch_size: int, ids: str = "input_ids", lengt
     sizes = df.select(id_col, length)
     digits = bucket_digits(sizes.select(id_col).count(), bucket_rows)
     in_batch = F.floor(F.col("_no") / F.lit(batch_size)).cast("bigint")
+    x = number_rows(df, seed, id_col, "_no", bucket_rows, digits).withColumn("batch_id", in_batch)
+    most = F.max(length).over(Window.partitionBy("_bucket", "batch_id"))
+    if digits:
+        x = x.withColumn("_own", most).join(_crossing(sizes, length, in_batch, seed, id_col, bucket_rows, digits), "_bucket", "left")
+        most = F.coalesce(F.try_element_at("_cross", F.col("batch_id")), F.col("_own"))
+    x = x.withColumn("seq_len", (most if cap is None else F.least(most, F.lit(cap))).cast("int"))
+    x = x.withColumn("ordinal", (F.pmod(F.col("_no"), F.lit(batch_size)) + 1).cast("int"))
+    return _padded(x, ids, pad_id).drop("_bucket", "_no", "_own", "_cross")
+
+
+def _crossing(sizes: DataFrame, length: str, in_batch, seed, id_col: str, bucket_rows: int, digits: int) -> DataFrame:
+    """(bucket -> longest of each of its batches that lie in several buckets), one row per bucket, so that a join by
+    bucket keeps the rows' partitioning."""
     by_no = number_rows(sizes, seed, id_col, "_no", bucket_rows, digits).select(
         "_bucket", in_batch.alias("batch_id"), F.col(length).alias("_len"))
     crossing = (by_no.groupBy("batch_id", "_bucket").agg(F.max("_len").alias("_len"))
                 .groupBy("batch_id").agg(F.max("_len").alias("_len"), F.collect_list("_bucket").alias("_in"))  # at most B buckets
                 .where(F.size("_in") > 1)
                 .select(F.explode("_in").alias("_bucket"), "batch_id", F.col("_len").alias("_all")))
-    x = number_rows(df, seed, id_col, "_no", bucket_rows, digits).withColumn("batch_id", in_batch)
-    own = F.max(length).over(Window.partitionBy("_bucket", "batch_id"))
-    # (bucket -> its crossing batches, two of them as a rule): one row per bucket, so the join keeps the rows' partitioning
-    crossing = crossing.groupBy("_bucket").agg(F.map_from_entries(F.collect_list(F.struct("batch_id", "_all"))).alias("_cross"))
-    x = x.withColumn("_own", own).join(crossing, "_bucket", "left")
-    most = F.coalesce(F.try_element_at("_cross", F.col("batch_id")), F.col("_own"))
-    x = x.withColumn("seq_len", (most if cap is None else F.least(most, F.lit(cap))).cast("int"))
-    x = x.withColumn("ordinal", (F.pmod(F.col("_no"), F.lit(batch_size)) + 1).cast("int"))
-    return _padded(x, ids, pad_id).drop("_bucket", "_no", "_own", "_cross")
+    # two batches as a rule
+    return crossing.groupBy("_bucket").agg(F.map_from_entries(F.collect_list(F.struct("batch_id", "_all"))).alias("_cross"))

@@ -59,11 +59,14 @@ def number_rows(df: DataFrame, seed=42, id_col: str = "example_id", out: str = "
     ids = df.select(id_col)
     if digits is None:
         digits = bucket_digits(ids.count(), bucket_rows)
-    bucket = F.substring(order_hash(seed, id_col), 1, digits) if digits else F.lit("")
-    offsets = bucket_offsets(ids, bucket)
-    if 16 ** digits + 1 <= BROADCAST_BUCKETS:
-        offsets = F.broadcast(offsets)
-    rows = df.withColumn("_bucket", bucket).join(offsets, "_bucket")
+    if digits:
+        bucket = F.substring(order_hash(seed, id_col), 1, digits)
+        offsets = bucket_offsets(ids, bucket)
+        if 16 ** digits + 1 <= BROADCAST_BUCKETS:
+            offsets = F.broadcast(offsets)
+        rows = df.withColumn("_bucket", bucket).join(offsets, "_bucket")
+    else:   # one bucket holds all rows and has none before it
+        rows = df.withColumn("_bucket", F.lit("")).withColumn("_offset", F.lit(0))
     w = Window.partitionBy("_bucket").orderBy(order_hash(seed, id_col), F.col(id_col))
     return (rows.withColumn(out, (F.col("_offset") + F.row_number().over(w) - 1).cast("bigint"))
             .select(*[F.col(f"`{c}`") for c in df.columns], "_bucket", out))
