@@ -212,6 +212,44 @@ def test_small_chunks_lose_nothing(spark):
         assert len({r["root"] for r in roots}) == 2 and len(roots) == len(vals)
 
 
+def test_copies_of_a_fingerprint_do_not_follow_their_number(spark):
+    """With 5 to 11 levels a fingerprint has 2 x (1 + p + p (p - 1) / 2) rows at most; the links stay the same."""
+    from textprov.llm.components import components
+    rng = np.random.default_rng(4)
+    vals = np.unique(rng.integers(-2**63, 2**63, 4000, dtype=np.int64))
+    near = vals[:300] ^ (np.int64(1) << rng.integers(0, 63, 300)) ^ (np.int64(1) << rng.integers(0, 63, 300))
+    prints = spark.createDataFrame([(int(v),) for v in {*vals.tolist(), *near.tolist()}], "fp long")
+    n = prints.count()
+    assert [simtrie.levels(x) for x in (0, 1, 1_600_000, 1_600_001, 10**8, 10**12)] == [5, 5, 5, 6, 11, 18]
+    want = None
+    for chunk in (50_000, 200, 4):
+        p = simtrie.levels(n, chunk)
+        rows = simtrie.subtree_rows(prints, chunk=chunk).count()
+        # subtrees above the average are split in chunks: few at random
+        assert rows <= 2 * (1 + p + p * (p - 1) // 2) * n * (1 if chunk > 4 else 3)
+        got = {(r["node"], r["root"]) for r in components(simtrie.link_table(prints, chunk=chunk)).collect()}
+        want = want or got
+        assert got == want and len(got) == 2 * int((near != vals[:300]).sum())  # equal bits flipped twice: no link
+
+
+def test_classes_of_frequent_fingerprints(spark):
+    """Broadcast and shuffled classes are the same, null ids and hot fingerprints included."""
+    rows = [(i, 0 if i % 3 else i << 20) for i in range(1, 300)] + [(None, 0), (None, 5), (7, 0)]
+    prints = spark.createDataFrame(rows, "id long, fp long")
+    got = [sorted(map(tuple, simtrie.with_class(prints, hot_keys=k).select("id", "fp", "component_id").collect()), key=str)
+           for k in (1, 20, 10_000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert {r[2] for r in got[0] if r[1] in (0, 5)} == {1}
+
+
+def test_keep_one_of_repeated_rows_and_maps(spark):
+    """Of identical rows one stays; rows that differ only in a map are different."""
+    df = spark.createDataFrame([(1, "a b c d e", {"k": 2}), (1, "a b c d e", {"k": 1}), (2, "v w x y z", {}), (2, "v w x y z", {}),
+                                (3, "a b c d e", None)], "doc_id long, text string, m map<string,int>")
+    kept = sorted(r["doc_id"] for r in simtrie.keep_one(df).collect())
+    assert kept == [1, 2]
+
+
 def test_windows_against_every_window(spark):
     """Every (document, item) whose best window reaches 0.8, by brute force, and no other."""
     def split(t):

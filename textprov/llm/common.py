@@ -45,9 +45,13 @@ def ascii_lower(col) -> Column:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """64-bit hash of all columns, for rows that share an id."""
-    return F.xxhash64(*[F.col(f"`{c}`").cast("string") if t == "void" else F.col(f"`{c}`")
-                        for c, t in df.dtypes if not t.startswith("map")])
+    """64-bit hash of all columns, for rows that share an id.  Maps, which have no hash, count by their JSON."""
+    def plain(c: str, t: str) -> Column:
+        col = F.col(f"`{c}`")
+        if "map<" in t:
+            return F.to_json(F.struct(col.alias("v")), {"ignoreNullFields": "false"})
+        return col.cast("string") if t == "void" else col
+    return F.xxhash64(*[plain(c, t) for c, t in df.dtypes])
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -5,9 +5,11 @@ binary trie; node pairs are traversed together from the top, their differing
 bits add up, and a pair is dropped as soon as its budget is exceeded.  Of 64 bits
 with at most ``radius`` differing, one half holds at most radius // 2 of them, so the trie is
 walked twice, once with either half on top and that smaller budget for the upper
-half.  The upper ``PREFIX`` levels are walked by Spark: a fingerprint goes to the pairs of subtrees
-whose prefixes are close enough; each pair is finished in one task.  A subtree with more than
-``CHUNK`` fingerprints is split, and its chunks are paired.
+half.  The upper levels are walked by Spark, as many as it takes for subtrees of ``CHUNK`` fingerprints
+on average: a fingerprint goes to the pairs of subtrees whose prefixes are close enough, and each
+pair is finished in one task.  So p levels cost 2 x (1 + p + p (p - 1) / 2) copies of a fingerprint
+at a radius of 4, whatever their number (134 at 10^8).  A subtree that is denser than the average
+and has more than ``CHUNK`` fingerprints is split, and its chunks are paired.
 
 A task returns a spanning forest of the links that it finds, never all pairs, and
 components of the whole are found by stars on the shared folder.
@@ -34,8 +36,10 @@ from .components import components
 WIDTH = 4
 RADIUS = 4
 SEED = 42
-PREFIX = 5
+PREFIX = 5           # least number of levels that Spark walks
+MOST_PREFIX = 18     # and most: 2^19 subtrees are broadcast with their sizes
 CHUNK = 50_000
+HOT_KEYS = 10_000    # at most so many fingerprints are frequent ones, joined by broadcast
 BITS = 64
 PAIRS_AT_ONCE = 1 << 20
 LEAF = 4
@@ -207,9 +211,15 @@ def trie_links(x: np.ndarray, y: np.ndarray | None, upper: int, radius: int) ->
     return keys[root[node]], keys[node]
 
 
-def link_table(prints: DataFrame, radius: int = RADIUS, prefix: int = PREFIX, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): spanning edges of all pairs of distinct fingerprints (column ``fp``, long) within ``radius`` bits."""
+def levels(n: int, chunk: int = CHUNK) -> int:
+    """Levels that Spark walks for ``n`` distinct fingerprints: 2^levels subtrees of ``chunk`` each hold them all."""
+    return min(MOST_PREFIX, max(PREFIX, (max(1, -(-n // chunk)) - 1).bit_length()))
+
+
+def subtree_rows(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """(turn, lo, hi, right, key): every fingerprint once per pair of subtrees (or their chunks) that it has to meet."""
     upper = radius // 2
+    prefix = levels(prints.count(), chunk)
     masks = [m for m in range(1 << prefix) if m.bit_count() <= upper]
     turned = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")).withColumn(
         "key", F.when(F.col("turn") == 0, F.col("fp")).otherwise(
@@ -226,6 +236,13 @@ def link_table(prints: DataFrame, radius: int = RADIUS, prefix: int = PREFIX, ch
             .withColumn("opart", F.explode(F.sequence(F.lit(0), F.col("others") - 1))))
     me, they = F.struct(F.col("top").alias("t"), F.col("part").alias("p")), F.struct(F.col("other").alias("t"), F.col("opart").alias("p"))
     rows = rows.select("turn", F.least(me, they).alias("lo"), F.greatest(me, they).alias("hi"), (me > they).alias("right"), "key")
+    return rows.select("turn", (F.col("lo.t") * F.lit(1 << 40) + F.col("lo.p")).alias("lo"),
+                       (F.col("hi.t") * F.lit(1 << 40) + F.col("hi.p")).alias("hi"), "right", "key")
+
+
+def link_table(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): spanning edges of all pairs of distinct fingerprints (column ``fp``, long) within ``radius`` bits."""
+    upper = radius // 2
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         key, is_right = pdf["key"].to_numpy().view(np.uint64), pdf["right"].to_numpy()
@@ -238,26 +255,39 @@ def link_table(prints: DataFrame, radius: int = RADIUS, prefix: int = PREFIX, ch
             a, b = a << np.uint64(32) | a >> np.uint64(32), b << np.uint64(32) | b >> np.uint64(32)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    rows = rows.select("turn", (F.col("lo.t") * F.lit(1 << 40) + F.col("lo.p")).alias("lo"),
-                       (F.col("hi.t") * F.lit(1 << 40) + F.col("hi.p")).alias("hi"), "right", "key")
-    return rows.groupBy("turn", "lo", "hi").applyInPandas(finish, "a long, b long")
+    return subtree_rows(prints, radius, chunk).groupBy("turn", "lo", "hi").applyInPandas(finish, "a long, b long")
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) from rows (id, fp): smallest id reachable over links of at most ``radius`` bits."""
-    uniq = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "prints")
+    """(fp, n, component_id) from rows (id, fp): rows of the fingerprint, smallest id reachable over links of at
+    most ``radius`` bits."""
+    uniq = stored(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "prints")
     roots = components(link_table(uniq.select("fp"), radius))
     linked = uniq.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep")
     low = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = linked.select("fp", "root").join(low, "root").select("fp", "component_id")
-    return uniq.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return uniq.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id"))
+
+
+def with_class(prints: DataFrame, radius: int = RADIUS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """``prints`` (stored rows with id and fp) with ``component_id``.
+
+    A fingerprint that more than one in ``hot_keys`` rows share is frequent: fewer than ``hot_keys`` fingerprints can
+    be, so their classes are broadcast and their rows are not shuffled.  The other rows meet their class by a shuffle.
+    """
+    found = stored(classes(prints, radius), "classes")
+    bound = prints.count() // hot_keys
+    hot = found.where(F.col("n") > bound).select("fp", "component_id")
+    cold = found.where(F.col("n") <= bound).select("fp", "component_id")
+    return (prints.join(F.broadcast(hot), "fp")
+            .unionByName(prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) per row of ``docs``."""
     prints = stored(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprints(docs, text_col, width).alias("fp")), "docprints")
-    return (prints.join(classes(prints, radius), "fp")
+    return (with_class(prints, radius)
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
@@ -267,11 +297,14 @@ def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, id_col:
     then the smallest row hash; of identical rows one)."""
     prints = stored(docs.select(F.col(f"`{id_col}`").alias("id"), row_hash(docs).alias("row"),
                                 fingerprints(docs, text_col, width).alias("fp")), "docprints")
-    order = F.struct(F.col("id").isNull().alias("n"), "id", "row")
-    keep = (prints.join(classes(prints.select("id", "fp"), radius).withColumnRenamed("fp", "_f"), F.col("fp") == F.col("_f"))
-            .groupBy("component_id").agg(F.min(order).alias("k")))
+    # identical rows share id, hash and fingerprint
+    each = with_class(prints, radius).groupBy("component_id", "id", "row").agg(F.count("*").alias("copies"))
+    keep = each.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row", "copies")).alias("k"))
+    keep = stored(keep.select(F.col("k.id").alias("kept_id"), F.col("k.row").alias("kept_row"), F.col("k.copies").alias("copies")), "kept")
     row = fresh(docs, "_row")
-    keep = keep.select(F.col("k.id").alias("kept_id"), F.col("k.row").alias("kept_row")).alias("k")
     rows = docs.withColumn(row, row_hash(docs)).alias("d").join(
-        keep, (F.col(f"d.`{row}`") == F.col("k.kept_row")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.kept_id")))
-    return rows.select("d.*").dropDuplicates([id_col, row]).drop(row)
+        keep.alias("k"), (F.col(f"d.`{row}`") == F.col("k.kept_row")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.kept_id")))
+    rows = rows.select("d.*")
+    if keep.where("copies > 1").limit(1).count():  # only then are there texts to compare again
+        rows = rows.dropDuplicates([id_col, row])
+    return rows.drop(row)
