@@ -115,6 +115,40 @@ def test_ratios_choose_beside_articles():
     assert textratio.main_text(inner).split("\n") == ["Title", *body, "Yes."]
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "wrapper with-header", "sidebar-layout", "content header-fixed", "no-comments page"])
+def test_container_classes_do_not_empty_a_page(name):
+    body = [f"Paragraph {i} of the long running text of this page, which goes on and on." for i in range(4)]
+    inner = "".join(f"<p>{x}</p>" for x in body) + "<div class='cookie-notice'><p>We use cookies on all of these pages of ours.</p></div>"
+    assert textratio.main_text(f"<body><div class='{name}'>{inner}</div></body>").split("\n") == body
+
+
+def test_doubtful_elements_with_little_text_go():
+    body = [f"Paragraph {i} of the long running text of this page, which goes on and on." for i in range(4)]
+    page = "<div class='header-wrapper'><p>The name of the site and what it is for, in a line.</p></div>" + "".join(f"<p>{x}</p>" for x in body)
+    page += "<div class='user-responses'><p>I think that all of this is wrong, and say so at some length here.</p></div>"
+    page += "<div class='main sidebar-left'><p>Other things that one might read on this site some day.</p></div>"
+    assert textratio.main_text(f"<body>{page}</body>").split("\n") == body
+    # a doubtful element inside a container that stays is judged by itself
+    page = "<div class='page has-nav header-top'>" + page + "</div>"
+    assert textratio.main_text(f"<body>{page}</body>").split("\n") == body
+
+
+def test_breaks_are_white_space_of_their_block():
+    assert textratio.main_text("<p>One line,<br>another<br/>\n line</br>end.</p><p><br>Next paragraph.<br></p>") == \
+        "One line, another line end.\nNext paragraph."
+
+
+def test_deep_nesting_is_linear():
+    import time
+    text = "A paragraph of running text that is long enough."
+    pages = ["<div>" * 20000 + f"<p>{text}</p>" * 2000, "<ul><li>" + "<b>" * 20000 + f"<li>{text}</li>" * 2000,
+             "<div class='content has-nav sidebar'>" * 20000 + f"<p>{text}</p>" * 2000]
+    for page in pages:
+        at = time.process_time()
+        assert textratio.main_text(page) == "\n".join([text] * 2000)
+        assert time.process_time() - at < 5
+
+
 def test_smoothing_keeps_a_constant():
     assert textratio.smooth([3.0] * 6) == pytest.approx([3.0] * 6)
 
