@@ -15,6 +15,7 @@ from textprov.llm import (brown, crosspolytope, feistel, linespread, pow2pack, p
 from .conftest import ODD
 
 SF = "/root/testdata/sf0.001"
+KEY = "a test key"
 
 
 def words(t):
@@ -352,7 +353,7 @@ def test_feistel_links_and_formats(spark, docs):
             (12, "4041894974608795; +1 (988) 555-2485 or (988) 555-2485", "en", "a"),
             (13, "ip 42.144.35.254 v3.0.1 born 1987-04-30, not 1987-02-30, 30.04.1987", "en", "a"),
             (14, "bosbt.42@mail8.example.com 123-45-6789 password=b7db7aa4a5fcc78305", "en", "a")] + ODD
-    out = feistel.pseudonymise(docs(rows))
+    out = feistel.pseudonymise(docs(rows), key=KEY)
     assert out.columns == [*docs(rows).columns, "_pii_values", "_pii_kinds"]
     got = {r["doc_id"]: r for r in out.collect()}
     card = re.search(r"card (\d{16}), again ([\d-]{19}) and 1234567890123456$", got[11]["text"])
@@ -381,13 +382,20 @@ def test_feistel_links_and_formats(spark, docs):
     ("4111 1111 1111 1111 123-45-6789 555-123-4567 10.0.0.1 15/01/2024", ["card", "ssn", "phone", "ip", "date"], "/"),
     ("+1 555 123 4567 4111 1111 1111 1111", ["phone", "card"], "+1 "),
     ("1-555-123-4567 99", ["phone"], " 99"),
+    ("020 7946 0958, 06 12 34 56 78", ["phone", "phone"], ", "),
+    ("on 2024/01/15 or 30 April 1987 or April 3, 1987", ["date", "date", "date"], " or "),
+    ("2024/02/30 31 April 1987", [], "31 April"),
+    ("DE89 3704 0044 0532 0130 00 GB82WEST12345698765432", ["iban", "iban"], "GB"),
+    ("DE88 3704 0044 0532 0130 00", [], "DE88"),
+    ("api-key: abcdef0123456789", ["secret"], "api-key: "),
+    ("ghp_0123456789abcdefghijABCDEFGHIJ456789 sk-live-abcdefghij0123456789", ["secret", "secret"], " sk-live-"),
     ("41-11 1111 111111 11, 41111 11111 111111", ["card", "card"], ", "),
     ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 4111111111111111x 1234 5678 9012 3456", [], "4111111111111111x"),
 ])
 def test_feistel_adjacent_values(spark, text, kinds, kept):
     """A value next to another number is found, in order, and neither hides the other."""
     df = spark.createDataFrame([(text,)], "text string")
-    out = feistel.pseudonymise(df).first()
+    out = feistel.pseudonymise(df, key=KEY).first()
     assert out["_pii_kinds"] == ",".join(sorted(set(kinds))) and out["_pii_values"] == len(kinds)
     assert kept in out["text"] and all(x not in out["text"] for x in text.split() if len(x) > 10 and x not in kept) and (out["text"] != text) == bool(kinds)
 
@@ -395,8 +403,50 @@ def test_feistel_adjacent_values(spark, text, kinds, kept):
 def test_feistel_is_a_permutation(spark):
     """No two dates and no two short numbers share a pseudonym; every pseudonym stays in its format."""
     days = spark.range(0, 73049, 7).select(F.expr("string(date_add(DATE'1900-01-01', int(id)))").alias("text"))
-    out = [r["text"] for r in feistel.pseudonymise(days).collect()]
+    out = [r["text"] for r in feistel.pseudonymise(days, key=KEY).collect()]
     assert len(set(out)) == len(out) and all(1900 <= datetime.date.fromisoformat(x).year <= 2099 for x in out)
     nums = spark.range(20000).select(F.expr("concat('123-45-', lpad(id % 9999 + 1, 4, '0'))").alias("text")).distinct()
-    out = [r["text"] for r in feistel.pseudonymise(nums).collect()]
+    out = [r["text"] for r in feistel.pseudonymise(nums, key=KEY).collect()]
     assert len(set(out)) == 9999
+
+
+def _peer(value, kind, sizes, key=KEY, rounds=8):
+    """The network over two numbers, written anew."""
+    import hashlib
+    a, b = value
+    for i in range(1, rounds + 1):
+        k = int(hashlib.sha512(f"{key}|{kind}|{i}|{b if i % 2 else a}".encode()).hexdigest()[:12], 16)
+        a, b = ((a + k) % sizes[0], b) if i % 2 else (a, (b + k) % sizes[1])
+    return a, b
+
+
+def test_feistel_stays_among_valid_values(spark):
+    """Social security numbers, hosts and reserved addresses: valid again, all different, equal to a second network."""
+    rng = np.random.default_rng(8)
+    areas = [x for x in range(1, 900) if x != 666]
+    ssn = {(int(rng.choice(areas)), int(rng.integers(1, 100)), int(rng.integers(1, 10000))) for _ in range(1500)} | {
+        (1, 1, 1), (665, 99, 9999), (667, 1, 1), (899, 99, 9999)}
+    ips = {tuple(map(int, rng.integers(0, 256, 4))) for _ in range(1500)} | {(0, 0, 0, 0), (126, 1, 2, 3), (128, 0, 0, 1),
+                                                                              (223, 255, 255, 255), (224, 0, 0, 1), (255, 255, 255, 255), (127, 0, 0, 1)}
+    texts = ["%03d-%02d-%04d" % x for x in ssn] + [".".join(map(str, x)) for x in ips]
+    out = {r["t"]: r["text"] for r in feistel.pseudonymise(spark.createDataFrame([(t, t) for t in texts], "t string, text string"), key=KEY).collect()}
+    assert len(set(out.values())) == len(texts)
+    special = lambda o: o in (0, 127) or o > 223
+    hosts, kept = [x for x in range(256) if not special(x)], [x for x in range(256) if special(x)]
+    for x in ssn:
+        a, b = _peer((areas.index(x[0]), (x[1] - 1) * 9999 + x[2] - 1), "ssn", (898, 99 * 9999))
+        assert out["%03d-%02d-%04d" % x] == "%03d-%02d-%04d" % (areas[a], b // 9999 + 1, b % 9999 + 1)
+    for x in ips:
+        group = kept if special(x[0]) else hosts
+        a, b = _peer((group.index(x[0]) * 256 + x[1], x[2] * 256 + x[3]), "ip", (len(group) * 256, 65536))
+        assert out[".".join(map(str, x))] == f"{group[a // 256]}.{a % 256}.{b // 256}.{b % 256}"
+
+
+def test_feistel_ibans_validate_and_link(spark):
+    rows = [("DE89370400440532013000",), ("DE89 3704 0044 0532 0130 00",), ("FR1420041010050500013M02606",), (None,), ("",), ("x " * 200_000,)]
+    out = [r["text"] for r in feistel.pseudonymise(spark.createDataFrame(rows, "text string"), key=KEY).collect()]
+    number = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4]))
+    assert number(out[0]) % 97 == number(out[2]) % 97 == 1 and out[0][:2] == "DE" and out[2][:2] == "FR"
+    assert out[1].replace(" ", "") == out[0] != rows[0][0] and [len(x) for x in out[1].split(" ")] == [4, 4, 4, 4, 4, 2]
+    assert out[3:] == [None, "", "x " * 200_000]
+    assert feistel.pseudonymise(spark.createDataFrame(rows, "text string").limit(0), key=KEY).count() == 0
