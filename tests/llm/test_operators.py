@@ -24,7 +24,7 @@ def words(t):
 
 def test_brown_base_and_counts(spark, docs):
     rows = ODD + [(10 + i, f"the cat w{i % 4} sat", "en", "a") for i in range(20)]
-    got = brown.score_held_out(docs(rows), words=8, head=10, classes=3).collect()
+    got = brown.score_held_out(docs(rows), head=10, classes=3).collect()
     assert len(got) == len(rows)
     c = collections.Counter()
     for i, t, *_ in rows:
@@ -46,25 +46,88 @@ def test_brown_beats_the_base_on_held_out_text(spark):
     assert r[0] > r[1]
 
 
-def test_brown_is_a_distribution(spark, docs):
-    """Class, unit and word probabilities sum to 1 over the known words, the end and one unknown word a unit."""
-    d = docs([(i, "the cat sat on the mat " + "ab cd ef"[: i % 9], "en", "a") for i in range(30)])
-    m, rare = brown.fit(d, words=4, head=6, classes=3)
-    assert np.allclose((10 ** m.move).sum(axis=1), 1)
-    unit = 10 ** m.emit
-    counts = {r["word"]: r["n"] for r in rare.collect()} | dict(zip(m.vocab.head.to_pylist(), m.vocab.count.tolist()))
-    import pyarrow as pa
-    names = list(counts)
-    code, place, different = m.vocab.place(pa.array(names, pa.large_string()))
-    units = m.vocab.units(place, different)[code]
-    mass = collections.defaultdict(float)
-    for w, u in zip(names, units):
-        mass[u] += unit[u] * (counts[w] + 1) if u >= m.vocab.words else unit[u]
-    per_class = collections.defaultdict(float)
-    for u in range(m.vocab.end + 1):
-        known = mass[u] if u in mass else 0
-        per_class[m.cls[u]] += (known + unit[u] if m.vocab.words <= u < m.vocab.end else known or unit[u])
-    assert all(v == pytest.approx(1) for v in per_class.values())
+def by_hand(model, rare, text):
+    """Score of a text from the model's parts, word by word."""
+    head = {w: i for i, w in enumerate(model.vocab.head.to_pylist())}
+    far = {r["word"]: (r["n"], r["cls"]) for r in rare}
+    k, total = len(model.size) - 1, 0.0
+    h = k
+    for w in [x.decode() for x in words(text)] + [None]:
+        if w is None:
+            return total + model.move[h, k]
+        n, c = (int(model.vocab.count[head[w]]), int(model.cls[head[w]])) if w in head else far.get(w, (0, None))
+        if n:
+            total += model.move[h, c] + math.log10(n / model.size[c])
+        else:
+            ends = w.encode()[-2:]
+            total += model.new[int.from_bytes(ends, "big") % brown.SPELLINGS]
+        h = c if w in head else k + 1
+
+
+@pytest.mark.parametrize("head", [5, 1000])
+def test_brown_against_brute_force(spark, docs, head):
+    """Counts, class table, transitions and scores, with words in the head, outside it and new ones."""
+    lines = [f"the {a} {b} on the {c} x{i}" for i, (a, b, c) in enumerate(
+        (a, b, c) for a in ("cat", "dog") for b in ("sat", "lay", "stood") for c in ("mat", "rug", "bed", "cat"))]
+    train = docs([(i, t, "en", "a") for i, t in enumerate(lines + lines[:5])] + ODD)
+    model, rare = brown.fit(train, head=head, classes=4)
+    far = rare.collect()
+    texts = lines + lines[:5] + [r[1] for r in ODD]
+    c = collections.Counter(w.decode() for t in texts for w in words(t))
+    names = model.vocab.head.to_pylist()
+    assert dict(zip(names, model.vocab.count.tolist())) | {r["word"]: r["n"] for r in far} == c and len(names) == min(head, len(c))
+    # transitions: classes as context for the head, one class for the rest
+    cls = {w: int(model.cls[i]) for i, w in enumerate(names)}
+    pred = cls | {r["word"]: r["cls"] for r in far}
+    k, table = 4, np.zeros((6, 5))
+    for t in texts:
+        h = k
+        for w in [x.decode() for x in words(t)]:
+            table[h, pred[w]] += 1
+            h = cls.get(w, k + 1)
+        table[h, k] += 1
+    assert np.array_equal(table.sum(axis=0), model.size)
+    n = table.sum()
+    new = (sum(v == 1 for v in c.values()) + 0.5) / (n + 1)
+    share = table.sum(axis=0) / n
+    want = (1 - new) * (table + brown.PRIOR * share) / (table.sum(axis=1, keepdims=True) + brown.PRIOR)
+    assert np.allclose(10 ** model.move, want)
+    # all next words together have probability 1, whatever stands before
+    known = sum(10 ** model.move[:, pred[w]] * c[w] / model.size[pred[w]] for w in c)
+    assert np.allclose(known + 10 ** model.move[:, k] + (10 ** model.new).sum(), 1)
+    asked = ODD + [(i, f"{t} unseen é the x3 x4 zz the", "en", "a") for i, t in enumerate(lines)]
+    got = sorted(r["score"] for r in brown.score(docs(asked), model, rare).collect())
+    assert got == pytest.approx(sorted(by_hand(model, far, r[1]) for r in asked))
+
+
+def test_brown_exchange_finds_the_classes_of_a_made_up_language(spark, docs):
+    """Words of four kinds follow each other in a cycle; rare words of the same kinds join them."""
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(f"{'abcd'[j % 4]}{int(rng.zipf(1.3)) % 40}" for j in range(40))
+    model, rare = brown.fit(docs([(i, text(), "en", "a") for i in range(300)]), head=60, classes=4, rounds=30)
+    kinds = collections.defaultdict(collections.Counter)
+    for w, c in zip(model.vocab.head.to_pylist(), model.cls):
+        kinds[int(c)][w[0]] += 1
+    for r in rare.collect():
+        kinds[r["cls"]][r["word"][0]] += 1
+    assert sum(max(k.values()) for k in kinds.values()) >= 0.9 * sum(sum(k.values()) for k in kinds.values())
+
+
+def test_brown_classes_follow_the_vocabulary(spark, docs):
+    assert [brown.class_count(n) for n in (0, 1000, 10 ** 6, 10 ** 9)] == [2, 20, 200, 2000]
+    model, _ = brown.fit(docs([(i, f"w{i} v{i % 50} u", "en", "a") for i in range(500)]), rounds=2)
+    assert len(model.size) - 1 == brown.class_count(551)
+
+
+def test_brown_without_training_rows_and_with_a_very_long_text(spark, docs):
+    model, rare = brown.fit(docs(ODD).limit(0))
+    r = brown.score(docs([(1, "a b", "en", "a")]), model, rare).first()
+    assert r["n_tokens"] == 3 and r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] < 0
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    rows = docs([(1, long, "en", "a"), (3, "w1 w2", "en", "a")])
+    model, rare = brown.fit(rows, head=100, rounds=1)
+    got = {r["doc_id"]: r for r in brown.score(rows, model, rare).collect()}
+    assert got[1]["n_tokens"] == got[1]["n_known"] == 400_001 and got[3]["n_known"] == 3
 
 
 def test_brown_empty_table(spark, docs):

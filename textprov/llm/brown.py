@@ -1,23 +1,28 @@
 """LM scoring by a Brown class-based bigram model.
 
-Words are assigned to classes by exchange clustering, which moves one unit at a time to
-the class with the greatest gain in likelihood.  The units are the ``WORDS`` most frequent
-words, the end of a text, and for all other words their spelling (last two bytes), so that rare and
-unknown words have classes too.  A token's probability is
+Exchange clustering gives every word of the training rows a class; their number follows the
+vocabulary (twice the cube root of the number of different words).  A token's probability is
 
-    P(class | class before) x P(unit | class) x P(word | unit)
+    (1 - U) x P(class | class before) x P(word | class)
 
-with the class transitions smoothed towards the class frequencies and one
-count in every unit kept for unknown words; a text's score is the sum over its words and its end.
+with the class transitions smoothed towards the class frequencies.  U is the share of the training tokens
+that occur once (the chance that the next token is new); an unseen word has U x P(spelling unit of its last two
+bytes | new word), where the share of a unit is that of the different words in training.  A
+text's score is the sum over its words and its end, which has a class of its own.
 
-All counts are over the whole training corpus and are made by Spark.  The driver holds bounded
-things only: the ``HEAD`` most frequent words with counts, which the tasks look up without a shuffle, and
-the matrix of unit pairs (``WORDS`` + 510 squared) that the clustering needs.  The
-counts of all other words stay in a table and meet the texts' rare words in a shuffled join.
+All counts and all exchange rounds are Spark jobs.  A round has two: one sums the table of class
+pairs, the other decides, for half of the ``head`` most frequent words at a time, which class raises the
+likelihood most, from the counts of each word's neighbours by class; these lie in partitions by word, so a
+round shuffles nothing but the sums.  The round with the highest likelihood counts.  Every other word then takes the class with the
+highest gain in a job grouped by word.  As context, words outside the head share one class (a model with one
+class map for the word predicted and a coarser one for the word before), so a text's rare words need only
+one join with the stored table (word, n, class).  Driver and tasks hold the head (a lookup of
+``HEAD`` words, so that they need no shuffle) and the class table, no word beyond it.
 
 Defined results: null or empty text is the end alone; a null id is in training; repeated
 rows are scored each by itself and count each in training; with no training row every count is
-0; an empty table gives an empty result.
+0 and all words are new; words of equal count enter the head in byte order, equal gains go to the smaller class; extra
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,13 +36,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored
+from .common import fold, small_side, stored
 
-WORDS = 1024
 SPELLINGS = 509
 HEAD = 1 << 17
-CLASSES = 32
-ROUNDS = 8
+ROUNDS = 8         # of half of the head's words each
+PART_WORDS = 2048  # words of the head in a partition of an exchange round
+BLOCK = 1024       # neighbours of a word in one row
 PRIOR = 2.0        # weight of the class frequencies in a transition
 SLICE_BYTES = 8 << 20
 
@@ -94,23 +99,28 @@ def spellings(words: pa.Array) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """The most frequent words: the first ``words`` are units of their own."""
+    """The most frequent words, looked up without a shuffle; a unit is a place here, ``rare`` or ``end``."""
     head: pa.Array
     count: np.ndarray
-    words: int
+
+    @property
+    def rare(self) -> int:
+        return len(self.count)
 
     @property
     def end(self) -> int:
-        return self.words + SPELLINGS
+        return len(self.count) + 1
 
     def place(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """(token -> different word, place of each different word in the head or -1, the different words)."""
+        """(token -> different word, unit of each different word, the different words)."""
         coded = pc.dictionary_encode(words)
-        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.head), -1).to_numpy()
-        return coded.indices.to_numpy(), place, coded.dictionary
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.head), self.rare).to_numpy()
+        return coded.indices.to_numpy(), place.astype(np.int64), coded.dictionary
+
 
-    def units(self, place: np.ndarray, different: pa.Array) -> np.ndarray:
-        return np.where((place >= 0) & (place < self.words), place, self.words + spellings(different))
+def class_count(types: int) -> int:
+    """Classes for a vocabulary of that many different words."""
+    return max(2, round(2 * types ** (1 / 3)))
 
 
 def _chain(unit: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,184 +134,313 @@ def _chain(unit: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.nd
 
 
 def unit_pairs(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(pair, n): counts of adjacent units, pair = before x units + unit; summed per task before the shuffle."""
+    """(before, after, n): counts of adjacent units; counted per slice before the shuffle."""
     shared, size = texts.sparkSession.sparkContext.broadcast(vocab), vocab.end + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, v = np.zeros(size * size, np.int64), shared.value
+        v = shared.value
         for batch in batches:
             for part in slices(batch, 0):
                 words, n = tokens(part.column(0))
-                code, place, different = v.place(words)
-                cur, prev, _ = _chain(v.units(place, different)[code], n, v.end)
-                total += np.bincount(prev * size + cur, minlength=size * size)
+                code, place, _ = v.place(words)
+                cur, prev, _ = _chain(place[code], n, v.end)
+                pair, times = np.unique(prev * size + cur, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair // size, pa.int32()), pa.array(pair % size, pa.int32()),
+                                                  pa.array(times, pa.int64())], names=["before", "after", "n"])
+
+    return (texts.select("text").mapInArrow(run, "before int, after int, n long")
+            .groupBy("before", "after").agg(F.sum("n").alias("n")))
+
+
+def neighbours(pairs: DataFrame, words: int, part_words: int = PART_WORDS) -> DataFrame:
+    """(unit, next, other, n): each word's neighbours after it (next) and before it, in blocks, all of a word in one
+    partition.  The pairs of the two units that are no words stay once."""
+    side = lambda unit, nxt, other: F.struct(F.col(unit).alias("unit"), F.lit(nxt).alias("next"),
+                                             F.col(other).alias("other"), F.col("n").alias("n"))
+    rows = (pairs.select(F.explode(F.array(side("before", True, "after"), side("after", False, "before"))).alias("p")).select("p.*")
+            .where((F.col("unit") < words) | (F.col("next") & (F.col("other") >= words))))
+    # a word has at most two rows per unit here, so no partition grows with the corpus
+    return (rows.repartition(-(-(words + 2) // part_words), "unit").groupBy("unit", "next", F.floor(F.col("other") / BLOCK).alias("block"))
+            .agg(F.collect_list("other").alias("other"), F.collect_list("n").alias("n")).drop("block").checkpoint())
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, next, other, n) of each neighbour in the batch."""
+    other, n = batch.column(2), batch.column(3)
+    row = pc.list_parent_indices(other).to_numpy()
+    return (batch.column(0).to_numpy().astype(np.int64)[row], batch.column(1).to_numpy(zero_copy_only=False)[row],
+            other.flatten().to_numpy(), n.flatten().to_numpy().astype(float))
+
+
+def class_table(near: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of (class before, class after); the classes after the words' are the end's and the rare words'."""
+    words, d = len(cls) - 2, classes + 2
+    shared = near.sparkSession.sparkContext.broadcast(cls)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, total = shared.value, np.zeros(d * d)
+        for batch in batches:
+            unit, nxt, other, n = _entries(batch)
+            keep = nxt | (other >= words)          # every pair once
+            a, b = c[unit[keep]], c[other[keep]]
+            total += np.bincount(np.where(nxt[keep], a * d + b, b * d + a), weights=n[keep], minlength=d * d)
         pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair].astype(np.int64))], names=["pair", "n"])
 
-    return texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    got = near.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    shared.unpersist()
+    table = np.zeros(d * d)
+    table[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    return table.reshape(d, d)
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of each unit by exchange clustering of the unit pair counts; the last unit (the end) keeps its own class.
+def likelihood(table: np.ndarray) -> float:
+    return float(_plogp(table).sum() - _plogp(table.sum(axis=1)).sum() - _plogp(table.sum(axis=0)).sum())
+
 
-    The likelihood is sum N(c, d) log N(c, d) - sum N(c) log N(c) for the classes
-    before - the same for the classes after.  Units are visited by falling frequency; each goes to the best class.
+def gains(after: np.ndarray, before: np.ndarray, own: np.ndarray, cls: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """(words, classes): likelihood with the word in each class, less that without the word.
+
+    ``after`` and ``before`` are each word's neighbour counts by class without pairs of the word with itself, which
+    ``own`` counts; ``table`` holds all words, each in its class ``cls``.
     """
-    units = len(pairs)
-    freq = pairs.sum(axis=0)
-    order = np.argsort(-freq[:-1], kind="stable")
-    cls = np.empty(units, np.int64)
-    cls[order] = np.arange(units - 1) % classes
-    cls[-1] = classes
-    k = classes + 1
-    hot = np.eye(k)[cls]
-    right, left = pairs @ hot, pairs.T @ hot          # unit -> class after, class before
-    table = hot.T @ right                              # class pairs
-    for _ in range(rounds):
-        moved = 0
-        for u in order:
-            if not freq[u]:
-                continue
-            a, own = cls[u], pairs[u, u]
-            r, s = right[u].copy(), left[u].copy()
-            r[a] -= own
-            s[a] -= own
-            base = table.copy()                        # without u
-            base[a] -= r
-            base[:, a] -= s
-            base[a, a] -= own
-            b = np.arange(classes)
-            # put u into class b: row b gains r, column b gains s, (b, b) gains own as well
-            row = _plogp(base[b] + r).sum(axis=1) - _plogp(base[b]).sum(axis=1)
-            col = _plogp(base[:, b] + s[:, None]).sum(axis=0) - _plogp(base[:, b]).sum(axis=0)
-            diag = base[b, b]
-            cell = (_plogp(diag + r[b] + s[b] + own) - _plogp(diag + r[b]) - _plogp(diag + s[b]) + _plogp(diag))
-            out_n, in_n = base.sum(axis=1)[b], base.sum(axis=0)[b]
-            gain = row + col + cell - (_plogp(out_n + r.sum() + own) - _plogp(out_n)) - (_plogp(in_n + s.sum() + own) - _plogp(in_n))
-            best = int(gain.argmax())
-            if gain[best] <= gain[a] + 1e-9:
-                continue
-            moved += 1
-            cls[u] = best
-            base[best] += r
-            base[:, best] += s
-            base[best, best] += own
-            table = base
-            right[:, a] -= pairs[:, u]
-            right[:, best] += pairs[:, u]
-            left[:, a] -= pairs[u]
-            left[:, best] += pairs[u]
-        if not moved:
-            break
+    m, k = len(cls), classes
+    at = np.arange(m)
+    freq = after.sum(axis=1) + own
+    out = np.zeros((m, k))
+    for counts, reverse, t in ((after, before, table[:k].T), (before, after, table[:, :k])):
+        # t[d, b]: the cell of neighbour class d and the word's class b; the word itself is taken out
+        w, d = np.nonzero(counts)
+        x = counts[w, d]
+        cell = t[d]
+        same = d == cls[w]
+        cell[same] -= reverse[w[same], :k]
+        cell[np.arange(len(w)), cls[w]] -= x
+        cell[np.flatnonzero(same), cls[w[same]]] -= own[w[same]]
+        gain = _plogp(cell + x[:, None]) - _plogp(cell)
+        if len(w):
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            out[w[first]] += np.add.reduceat(gain, first, axis=0)
+    # the cell (b, b) gains from both sides at once
+    r, s, diag = after[:, :k], before[:, :k], np.tile(np.diag(table)[:k], (m, 1))
+    diag[at, cls] -= r[at, cls] + s[at, cls] + own
+    out += _plogp(diag + r + s + own[:, None]) - _plogp(diag + r) - _plogp(diag + s) + _plogp(diag)
+    size = np.tile(table[:, :k].sum(axis=0), (m, 1))
+    size[at, cls] -= freq
+    return out - 2 * (_plogp(size + freq[:, None]) - _plogp(size))
+
+
+def _moves(near: DataFrame, cls: np.ndarray, table: np.ndarray, classes: int, half: int) -> np.ndarray:
+    """Classes after each word of one half has gone to its best class."""
+    words, d = len(cls) - 2, classes + 2
+    shared = near.sparkSession.sparkContext.broadcast((cls, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, t = shared.value
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for batch in batches:
+            unit, nxt, other, n = _entries(batch)
+            turn = (unit < words) & (unit // classes % 2 == half)
+            unit, nxt, other, n = unit[turn], nxt[turn], other[turn], n[turn]
+            # pairs of a word with itself lie on both sides and count once
+            kind = np.where(other == unit, np.where(nxt, 2 * d, -1), np.where(nxt, 0, d) + c[other])
+            key, inverse = np.unique((unit * (2 * d + 1) + kind)[kind >= 0], return_inverse=True)
+            keys.append(key)
+            sums.append(np.bincount(inverse, weights=n[kind >= 0], minlength=len(key)))
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate(sums), minlength=len(key))
+        unit, kind = key // (2 * d + 1), key % (2 * d + 1)
+        # words whose entries fill some 16,384 rows of the gains are decided together
+        different, first, entries = np.unique(unit, return_index=True, return_counts=True)
+        block = np.cumsum(entries) // 16384
+        for lo, hi in _runs(block):
+            part = slice(first[lo], first[hi - 1] + entries[hi - 1])
+            dense = np.zeros((hi - lo, 2 * d + 1))
+            dense[np.searchsorted(different[lo:hi], unit[part]), kind[part]] = n[part]
+            a = c[different[lo:hi]]
+            g = gains(dense[:, :d], dense[:, d:2 * d], dense[:, 2 * d], a, t, classes)
+            best = g.argmax(axis=1)
+            at = np.arange(hi - lo)
+            go = g[at, best] > g[at, a] + 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(different[lo:hi][go]), pa.array(best[go])], names=["unit", "class"])
+
+    got = near.mapInArrow(run, "unit long, class long").toPandas()      # at most one row for each word of the head
+    shared.unpersist()
+    cls = cls.copy()
+    cls[got["unit"].to_numpy(np.int64)] = got["class"].to_numpy(np.int64)
     return cls
 
 
+def _runs(block: np.ndarray) -> Iterator[tuple[int, int]]:
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).tolist()
+    return ((lo, hi) for lo, hi in zip(bounds, bounds[1:]) if lo < hi)
+
+
+def exchange(near: DataFrame, words: int, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class table) by exchange clustering of the neighbour counts."""
+    cls = np.concatenate([np.arange(words) % classes, [classes + 1, classes]])
+    table = class_table(near, cls, classes)
+    best = (likelihood(table), cls, table)
+    still = 0
+    for i in range(rounds):
+        moved = _moves(near, cls, table, classes, i % 2)
+        still = still + 1 if (moved == cls).all() else 0
+        if still == 2:
+            break
+        if still:
+            continue
+        cls, table = moved, class_table(near, moved, classes)
+        # words that move at once may spoil each other's gain: the best round counts
+        best = max(best, (likelihood(table), cls, table), key=lambda b: b[0])
+    return best[1], best[2]
+
+
+def rare_classes(texts: DataFrame, vocab: Vocabulary, cls: np.ndarray, table: np.ndarray, classes: int) -> DataFrame:
+    """(word, n, cls, h, hn) of each word outside the head: its count, its class, and its counts by class before."""
+    shared = texts.sparkSession.sparkContext.broadcast((vocab, cls, table))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, c, _ = shared.value
+        for batch in batches:
+            for part in slices(batch, 0):
+                words, n = tokens(part.column(0))
+                code, place, different = v.place(words)
+                cur, prev, _ = _chain(place[code], n, v.end)
+                word, h = code[place[code] == v.rare], c[prev[cur == v.rare]]
+                pair, times = np.unique(word * (classes + 2) + h, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [different.take(pa.array(pair // (classes + 2))).cast(pa.string()), pa.array(pair % (classes + 2), pa.int32()),
+                     pa.array(times, pa.int64())], names=["word", "h", "n"])
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value[2][:, :classes]
+        size = t.sum(axis=0)
+        for batch in batches:
+            own = np.zeros(batch.num_rows, np.int64)
+            entries = pc.list_value_length(batch.column(1)).to_numpy()
+            for lo, hi in _runs(np.cumsum(entries) // 16384):
+                h = batch.column(1).slice(lo, hi - lo).flatten().to_numpy()
+                n = batch.column(2).slice(lo, hi - lo).flatten().to_numpy().astype(float)
+                first = np.cumsum(entries[lo:hi]) - entries[lo:hi]
+                gain = np.add.reduceat(_plogp(t[h] + n[:, None]) - _plogp(t[h]), first, axis=0)
+                total = np.add.reduceat(n, first)[:, None]
+                own[lo:hi] = (gain - _plogp(size + total) + _plogp(size)).argmax(axis=1)
+            total = np.add.reduceat(batch.column(2).flatten().to_numpy(), np.cumsum(entries) - entries) if len(own) else own
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(own.astype(np.int32)),
+                                              batch.column(1), batch.column(2)], names=["word", "n", "cls", "h", "hn"])
+
+    grouped = (texts.select("text").mapInArrow(contexts, "word string, h int, n long").repartition("word")
+               .groupBy("word", "h").agg(F.sum("n").alias("n"))
+               .groupBy("word").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("hn")))
+    return grouped.mapInArrow(assigned, "word string, n long, cls int, h array<int>, hn array<long>")
+
+
 @dataclass
 class Model:
     vocab: Vocabulary
-    cls: np.ndarray          # unit -> class
-    move: np.ndarray         # log10 P(class | class before)
-    emit: np.ndarray         # log10 P(unit | class of the unit) - log10 of the unit's size, if its words differ
+    cls: np.ndarray          # unit -> class as context
+    move: np.ndarray         # (class before, class or end) -> log10 of (1 - U) P(class | class before)
+    size: np.ndarray         # tokens of each class
+    new: np.ndarray          # spelling unit -> log10 of U P(unit | new word)
     tokens: int              # N
     types: int               # V
     end_count: int
 
 
-def fit(docs: DataFrame, text_col: str = "text", words: int = WORDS, head: int = HEAD, classes: int = CLASSES,
+def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD, classes: int | None = None,
         rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """Model of all rows of ``docs`` and the stored table (word, n) of all words outside its head."""
+    """Model of all rows of ``docs`` and the stored table (word, n, cls, ...) of all words outside its head."""
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     counts = stored(word_counts(texts), "words")
     n_docs = docs.count()
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(head).toPandas()
-    vocab = Vocabulary(pa.array(top["word"], pa.large_string()), top["n"].to_numpy(np.int64), min(words, len(top)))
-    size = vocab.end + 1
-    got = unit_pairs(texts, vocab).toPandas()
-    pairs = np.zeros(size * size)
-    pairs[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy()
-    pairs = pairs.reshape(size, size)
-    cls = exchange(pairs, classes, rounds)
-    hot = np.eye(classes + 1)[cls]
-    table = hot.T @ pairs @ hot
-    unit_n = pairs.sum(axis=0)
-    class_n = hot.T @ unit_n
-    p_class = (class_n + 0.5) / (class_n + 0.5).sum()
-    move = (table + PRIOR * p_class) / (table.sum(axis=1, keepdims=True) + PRIOR)
-    emit = (unit_n + 0.5) / (hot.T @ (unit_n + 0.5))[cls]
-    # tokens and types of the spelling units: at most SPELLINGS rows
-    own = top["word"].tolist()[:vocab.words]
-    spelled = counts.groupBy(F.expr(spelling_sql("word")).alias("u")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    room = np.ones(SPELLINGS)
+    vocab = Vocabulary(pa.array(top["word"], pa.large_string()), top["n"].to_numpy(np.int64))
+    k = classes or class_count(total["v"])
+    near = neighbours(unit_pairs(texts, vocab), vocab.rare)
+    cls, table = exchange(near, vocab.rare, k, rounds)
+    rare = stored(rare_classes(texts, vocab, cls, table, k), "rare")
+    # the rare words' tokens go to their classes
+    full = table[:, :k + 1].copy()
+    pairs = rare.select("cls", F.explode(F.arrays_zip("h", "hn")).alias("p")).groupBy("p.h", "cls").agg(F.sum("p.hn").alias("n"))
+    for r in pairs.collect():                      # at most (classes + 2) x classes rows
+        full[r["h"], r["cls"]] += r["n"]
+    size = full.sum(axis=0)
+    n_tokens = int(total["n"] or 0) + n_docs
+    share = size / n_tokens if n_tokens else np.eye(k + 1)[k]
+    new = (total["once"] + 0.5) / (n_tokens + 1)
+    # at most SPELLINGS rows
+    spelled = counts.groupBy(F.expr(spelling_sql("word")).alias("u")).agg(F.count("*").alias("v")).collect()
+    units = np.full(SPELLINGS, 0.5)
     for r in spelled:
-        room[r["u"]] += r["n"] + r["v"]
-    if own:
-        np.subtract.at(room, spellings(vocab.head[:vocab.words]), vocab.count[:vocab.words] + 1)
-    emit = np.log10(emit)
-    emit[vocab.words:vocab.end] -= np.log10(room)
-    rare = stored(counts.join(F.broadcast(docs.sparkSession.createDataFrame(top[["word"]], "word string")), "word", "left_anti")
-                  if len(top) else counts, "rare")
-    model = Model(vocab, cls, np.log10(move), emit, int(total["n"] or 0) + n_docs, int(total["v"]) + (n_docs > 0), n_docs)
-    return model, rare
+        units[r["u"]] += r["v"]
+    with np.errstate(divide="ignore"):             # a class without words is never met
+        move = np.log10((1 - new) * (full + PRIOR * share) / (full.sum(axis=1, keepdims=True) + PRIOR))
+    return Model(vocab, cls, move, size, np.log10(new * units / units.sum()), n_tokens, int(total["v"]) + (n_docs > 0), n_docs), rare
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row, over whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
     key_type = dict(docs.dtypes)[id_col]
+    k = len(model.size) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         v = m.vocab
-        log_count = np.log10(v.count + 1.0)
+        log_count = np.log10(np.append(v.count + 1.0, [1.0, m.end_count + 1.0]))
+        # P(word | class) by unit: the end is alone in its class, the rare words come from their table
+        emit = np.zeros(v.end + 1)
+        emit[:v.rare] = np.log10(v.count / m.size[m.cls[:v.rare]])
         for batch in batches:
             for part in slices(batch, 2):
                 words, n = tokens(part.column(2))
                 code, place, different = v.place(words)
-                unit = v.units(place, different)
-                cur, prev, begin = _chain(unit[code], n, v.end)
-                c = m.cls[cur]
-                logp = m.move[m.cls[prev], c] + m.emit[cur]
-                doc = np.repeat(np.arange(len(n)), n)
-                at = place[code]
-                in_head = at >= 0
-                lc = np.where(in_head, log_count[at] if len(v.count) else 0.0, 0.0)
-                add = lambda w: np.bincount(doc, weights=w, minlength=len(n))
-                base = add(lc) + np.log10(m.end_count + 1.0)
-                # a word of a spelling unit has its own count in front of the unit's size
-                model_score = np.add.reduceat(logp, begin) + add(np.where(unit[code] >= v.words, lc, 0.0))
-                known = add(in_head) + (m.end_count > 0)
-                yield emitted(part, np.arange(len(n)), pa.array([" " + str(i) for i in range(len(n))]), np.zeros(len(n)),
-                              n + 1, known, base, model_score)
-                # words outside the head: once per text, with their number
-                far = ~in_head
-                pair, times = np.unique(doc[far] * len(different) + code[far], return_counts=True)
+                cur, prev, begin = _chain(place[code], n, v.end)
+                far = cur == v.rare
+                logp = np.where(far, 0.0, m.move[m.cls[prev], np.where(far, k, m.cls[cur])] + emit[cur])
+                add = lambda w: np.add.reduceat(w, begin)
+                known = add((~far & ((cur != v.end) | (m.end_count > 0))).astype(np.int64))
+                rows = np.arange(len(n))
+                # a text's own row carries a word that no text can hold (it begins with a space), so it is spread like the others
+                yield emitted(part, rows, pa.array([f" {i}" for i in rows]), rows * 0, rows * 0, rows * 0.0, n + 1, known,
+                              add(log_count[cur]), add(logp))
+                # words outside the head: once per text and class before, with their number
+                doc = np.repeat(rows, n)[far[cur != v.end]]
+                word, h, types = code[place[code] == v.rare], m.cls[prev[far]], max(1, len(different))
+                pair, times = np.unique((doc * types + word) * (k + 2) + h, return_counts=True)
+                doc, word = pair // (k + 2) // types, pair // (k + 2) % types
                 nil = np.zeros(len(pair))
-                yield emitted(part, pair // max(1, len(different)), different.take(pa.array(pair % max(1, len(different)))),
-                              times, nil, nil, nil, nil)
+                yield emitted(part, doc, different.take(pa.array(word)), pair % (k + 2), times, m.new[spellings(different)][word],
+                              nil, nil, nil, nil)
 
-    def emitted(part, row, word, times, n_tokens, known, base, model_score) -> pa.RecordBatch:
+    def emitted(part, row, word, h, times, new, n_tokens, known, base, model_score) -> pa.RecordBatch:
         at = pa.array(row, pa.int64())
-        f64, i64 = pa.float64(), pa.int64()
+        f64 = lambda x: pa.array(np.asarray(x, float), pa.float64())
+        i64 = lambda x: pa.array(np.asarray(x, np.int64), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [part.column(0).take(at), part.column(1).take(at), word.cast(pa.string()),
-             pa.array(np.asarray(times, np.int64), i64), pa.array(np.asarray(n_tokens, np.int64), i64),
-             pa.array(np.asarray(known, np.int64), i64), pa.array(np.asarray(base, float), f64), pa.array(np.asarray(model_score, float), f64)],
-            names=["rid", "key", "word", "times", "n_tokens", "known", "base", "model"])
+            [part.column(0).take(at), part.column(1).take(at), word.cast(pa.string()), pa.array(np.asarray(h, np.int32)), i64(times),
+             f64(new), i64(n_tokens), i64(known), f64(base), f64(model_score)],
+            names=["rid", "key", "word", "h", "times", "new", "n_tokens", "known", "base", "model"])
 
     # the row number is the same in every run of a task, as it depends on the scan alone
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("key"),
                        F.col(f"`{text_col}`").cast("string").alias("text"))
-    parts = rows.mapInArrow(run, f"rid long, key {key_type}, word string, times long, n_tokens long, known long, base double, model double")
-    # a text's own row carries a word that no text can hold (it begins with a space), so it is spread like the others
-    term = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))
-    joined = parts.join(rare, "word", "left").select(
+    parts = rows.mapInArrow(run, f"rid long, key {key_type}, word string, h int, times long, new double, n_tokens long, known long, "
+                                 "base double, model double")
+    # (class before, class) -> log10 of P(class | class before) / tokens of the class
+    h, c = np.nonzero(np.broadcast_to(model.size[:k] > 0, (k + 2, k)))
+    moves = small_side(spark.createDataFrame(pa.table({"h": pa.array(h, pa.int32()), "cls": pa.array(c, pa.int32()),
+                                                       "move": model.move[h, c] - np.log10(model.size[c])})))
+    joined = parts.join(rare.select("word", "n", "cls"), "word", "left").join(moves, ["h", "cls"], "left").select(
         "rid", "key", "n_tokens", (F.col("known") + F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-        (F.col("base") + term).alias("base"), (F.col("model") + term).alias("model"))
+        (F.col("base") + F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("base"),
+        (F.col("model") + F.col("times") * F.coalesce(F.col("move") + F.log10(F.col("n").cast("double")), "new")).alias("model"))
     room = float(np.log10(model.tokens + model.types + 1))
     out = joined.groupBy("rid", "key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "model")])
     return out.select(F.col("key").alias(id_col), "n_tokens", F.col("known").alias("n_known"),
