@@ -39,10 +39,11 @@ from pyspark.sql import functions as F
 from .common import fold, small_side, stored
 
 SPELLINGS = 509
-HEAD = 1 << 17
-ROUNDS = 8         # of half of the head's words each
-PART_WORDS = 2048  # words of the head in a partition of an exchange round
-BLOCK = 1024       # neighbours of a word in one row
+HEAD = 1 << 15
+ROUNDS = 6         # of half of the head's words each
+PART_SUMS = 1 << 22  # sums (word, side, class) that a task of a round may hold
+BLOCK = 8192       # neighbours of a word in one row, at most
+ENTRIES = 1024     # neighbour counts by class that are weighed at once
 PRIOR = 2.0        # weight of the class frequencies in a transition
 SLICE_BYTES = 8 << 20
 
@@ -152,7 +153,7 @@ def unit_pairs(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
             .groupBy("before", "after").agg(F.sum("n").alias("n")))
 
 
-def neighbours(pairs: DataFrame, words: int, part_words: int = PART_WORDS) -> DataFrame:
+def neighbours(pairs: DataFrame, words: int, classes: int, part_sums: int = PART_SUMS) -> DataFrame:
     """(unit, next, other, n): each word's neighbours after it (next) and before it, in blocks, all of a word in one
     partition.  The pairs of the two units that are no words stay once."""
     side = lambda unit, nxt, other: F.struct(F.col(unit).alias("unit"), F.lit(nxt).alias("next"),
@@ -160,7 +161,7 @@ def neighbours(pairs: DataFrame, words: int, part_words: int = PART_WORDS) -> Da
     rows = (pairs.select(F.explode(F.array(side("before", True, "after"), side("after", False, "before"))).alias("p")).select("p.*")
             .where((F.col("unit") < words) | (F.col("next") & (F.col("other") >= words))))
     # a word has at most two rows per unit here, so no partition grows with the corpus
-    return (rows.repartition(-(-(words + 2) // part_words), "unit").groupBy("unit", "next", F.floor(F.col("other") / BLOCK).alias("block"))
+    return (rows.repartition(-(-(words + 2) * 2 * (classes + 2) // part_sums), "unit").groupBy("unit", "next", F.floor(F.col("other") / BLOCK).alias("block"))
             .agg(F.collect_list("other").alias("other"), F.collect_list("n").alias("n")).drop("block").checkpoint())
 
 
@@ -213,25 +214,32 @@ def gains(after: np.ndarray, before: np.ndarray, own: np.ndarray, cls: np.ndarra
     freq = after.sum(axis=1) + own
     out = np.zeros((m, k))
     for counts, reverse, t in ((after, before, table[:k].T), (before, after, table[:, :k])):
-        # t[d, b]: the cell of neighbour class d and the word's class b; the word itself is taken out
+        # t[d, b]: the cell of neighbour class d and the word's class b
         w, d = np.nonzero(counts)
-        x = counts[w, d]
-        cell = t[d]
-        same = d == cls[w]
-        cell[same] -= reverse[w[same], :k]
-        cell[np.arange(len(w)), cls[w]] -= x
-        cell[np.flatnonzero(same), cls[w[same]]] -= own[w[same]]
-        gain = _plogp(cell + x[:, None]) - _plogp(cell)
+        x, own_class = counts[w, d], cls[w]
+        gain = t[d] + x[:, None]
+        gain *= np.log(gain)
+        gain -= _plogp(t)[d]
+        # the word itself is taken out: of the cell of its own class, and of the row where the neighbours have that class
+        same = np.flatnonzero(d == own_class)
+        ws, xs = w[same], x[same]
+        row = t[d[same]] - reverse[ws, :k]
+        row[np.arange(len(same)), cls[ws]] -= xs + own[ws]
+        rest = t[d, own_class] - x
+        gain[np.arange(len(w)), own_class] = _plogp(rest + x) - _plogp(rest)
+        gain[same] = _plogp(row + xs[:, None]) - _plogp(row)
         if len(w):
             first = np.flatnonzero(np.diff(w, prepend=-1))
             out[w[first]] += np.add.reduceat(gain, first, axis=0)
     # the cell (b, b) gains from both sides at once
-    r, s, diag = after[:, :k], before[:, :k], np.tile(np.diag(table)[:k], (m, 1))
-    diag[at, cls] -= r[at, cls] + s[at, cls] + own
-    out += _plogp(diag + r + s + own[:, None]) - _plogp(diag + r) - _plogp(diag + s) + _plogp(diag)
-    size = np.tile(table[:, :k].sum(axis=0), (m, 1))
-    size[at, cls] -= freq
-    return out - 2 * (_plogp(size + freq[:, None]) - _plogp(size))
+    w, b = np.nonzero((after[:, :k] > 0) & (before[:, :k] > 0) | (own > 0)[:, None])
+    r, s, o = after[w, b], before[w, b], own[w]
+    diag = table[b, b] - np.where(b == cls[w], r + s + o, 0)
+    out[w, b] += _plogp(diag + r + s + o) - _plogp(diag + r) - _plogp(diag + s) + _plogp(diag)
+    size = table[:, :k].sum(axis=0)
+    change = _plogp(size + freq[:, None]) - _plogp(size)
+    change[at, cls] = _plogp(size[cls]) - _plogp(size[cls] - freq)
+    return out - 2 * change
 
 
 def _moves(near: DataFrame, cls: np.ndarray, table: np.ndarray, classes: int, half: int) -> np.ndarray:
@@ -254,9 +262,9 @@ def _moves(near: DataFrame, cls: np.ndarray, table: np.ndarray, classes: int, ha
         key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(inverse, weights=np.concatenate(sums), minlength=len(key))
         unit, kind = key // (2 * d + 1), key % (2 * d + 1)
-        # words whose entries fill some 16,384 rows of the gains are decided together
+        # words are decided together while their entries' gains fit a processor's cache
         different, first, entries = np.unique(unit, return_index=True, return_counts=True)
-        block = np.cumsum(entries) // 16384
+        block = np.cumsum(entries) // ENTRIES
         for lo, hi in _runs(block):
             part = slice(first[lo], first[hi - 1] + entries[hi - 1])
             dense = np.zeros((hi - lo, 2 * d + 1))
@@ -318,15 +326,15 @@ def rare_classes(texts: DataFrame, vocab: Vocabulary, cls: np.ndarray, table: np
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value[2][:, :classes]
-        size = t.sum(axis=0)
+        size, old = t.sum(axis=0), _plogp(t)
         for batch in batches:
             own = np.zeros(batch.num_rows, np.int64)
             entries = pc.list_value_length(batch.column(1)).to_numpy()
-            for lo, hi in _runs(np.cumsum(entries) // 16384):
+            for lo, hi in _runs(np.cumsum(entries) // ENTRIES):
                 h = batch.column(1).slice(lo, hi - lo).flatten().to_numpy()
                 n = batch.column(2).slice(lo, hi - lo).flatten().to_numpy().astype(float)
                 first = np.cumsum(entries[lo:hi]) - entries[lo:hi]
-                gain = np.add.reduceat(_plogp(t[h] + n[:, None]) - _plogp(t[h]), first, axis=0)
+                gain = np.add.reduceat(_plogp(t[h] + n[:, None]) - old[h], first, axis=0)
                 total = np.add.reduceat(n, first)[:, None]
                 own[lo:hi] = (gain - _plogp(size + total) + _plogp(size)).argmax(axis=1)
             total = np.add.reduceat(batch.column(2).flatten().to_numpy(), np.cumsum(entries) - entries) if len(own) else own
@@ -361,7 +369,7 @@ def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD, classes: int
     top = counts.orderBy(F.desc("n"), "word").limit(head).toPandas()
     vocab = Vocabulary(pa.array(top["word"], pa.large_string()), top["n"].to_numpy(np.int64))
     k = classes or class_count(total["v"])
-    near = neighbours(unit_pairs(texts, vocab), vocab.rare)
+    near = neighbours(unit_pairs(texts, vocab), vocab.rare, k)
     cls, table = exchange(near, vocab.rare, k, rounds)
     rare = stored(rare_classes(texts, vocab, cls, table, k), "rare")
     # the rare words' tokens go to their classes
