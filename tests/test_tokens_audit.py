@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textprov import tables
@@ -71,6 +72,37 @@ def test_subword_tokenizer_path(spark, tmp):
     assert r[1].n == 0
 
 
+def test_subword_texts_are_encoded_in_bounded_slices(monkeypatch):
+    asked = []
+
+    class Tok:
+        def encode_batch(self, texts):
+            asked.append(sum(map(len, texts)))
+            return [t.split() for t in texts]
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 100)
+    texts = ["a b " * (i % 7) for i in range(300)] + [None, "", "é " * 400, None]
+    got = [e for enc in tokens._encoded(Tok(), pa.array(texts)) for e in enc]
+    assert got == [(t or "").split() for t in texts]
+    assert max(asked[:-1]) <= 100 + 24 and max(asked) <= 800 + 100     # a text that is longer goes by itself
+    assert list(tokens._encoded(Tok(), pa.array([], pa.string()))) == []
+
+
+def test_subword_lengths_and_ids_of_many_slices(spark, tmp):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    tok = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "b": 2}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = os.path.join(tmp, "tok.json")
+    tok.save(path)
+    texts = [None, "", "a " * 2_000_000, *["a b c"] * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    rows = df.select("i", tokens.subword_lengths(F.col("text"), path).alias("n"),
+                     tokens.subword_encode(F.col("text"), path).alias("e")).orderBy("i").collect()
+    want = [len((t or "").split()) for t in texts]
+    assert [r.n for r in rows] == want and [r.e.token_length for r in rows] == want
+    assert all(r.e.input_ids == [1, 2, 0] and r.e.attention_mask == [1, 1, 1] for r in rows[3:])
+    assert len(rows[2].e.input_ids) == 2_000_000
+
+
 def test_shingle_audit_finds_planted_passages(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"),
                                    (2, "short item")], "item_id long, text string")

@@ -10,15 +10,16 @@ the token arrays in the broadcast vocabulary (at most ``MAX_VOCAB`` rows), a
 whole batch at a time.  Nothing is exploded, joined or shuffled.
 
 ``subword_lengths`` / ``subword_encode`` run a ``tokenizers`` tokenizer file
-inside an Arrow iterator UDF (loaded once per Python worker), for users who
-bring a pretrained subword vocabulary.
+inside an Arrow iterator UDF (loaded once per task), for users who bring a
+pretrained subword vocabulary; a batch's texts are encoded in slices of bounded size.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -84,20 +85,33 @@ def token_length(text: str = "text") -> Column:
 
 # --- subword tokenizers through Arrow batches -----------------------------------
 
+#: Characters encoded at a time: the tokenizer's record of a token takes some hundred bytes.
+SLICE_CHARS = 1 << 20
+
+
 def _load(path: str):
+    # Spark's tasks use the cores already; threads of a worker would only add memory
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer  # imported on the worker
     return Tokenizer.from_file(path)
 
 
+def _encoded(tok, texts: pa.Array) -> Iterator[list]:
+    """Encodings of the texts (null: empty) in order, of some ``SLICE_CHARS`` characters or one text at a time."""
+    group = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_CHARS
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for lo, hi in zip(bounds, bounds[1:]):
+        if lo < hi:
+            yield tok.encode_batch([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+
+
 def subword_lengths(col: Column, tokenizer_path: str) -> Column:
-    """Untruncated token count with a ``tokenizers`` JSON file, in Arrow batches."""
-    @F.pandas_udf(T.IntegerType())
-    def _len(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Untruncated token count with a ``tokenizers`` JSON file, in Arrow batches, some ``SLICE_CHARS`` at a time."""
+    def lengths(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = _load(tokenizer_path)
-        for s in it:
-            enc = tok.encode_batch(s.fillna("").tolist())
-            yield pd.Series([len(e.ids) for e in enc], dtype="int32")
-    return _len(col)
+        for texts in it:
+            yield pa.array([len(e) for enc in _encoded(tok, texts) for e in enc], pa.int32())
+    return F.arrow_udf(lengths, "int")(col)
 
 
 def subword_encode(col: Column, tokenizer_path: str, max_len: int | None = None) -> Column:
@@ -106,14 +120,12 @@ def subword_encode(col: Column, tokenizer_path: str, max_len: int | None = None)
                            T.StructField("input_ids", T.ArrayType(T.IntegerType())),
                            T.StructField("attention_mask", T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf(schema)
-    def _enc(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encoded(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = _load(tokenizer_path)
-        for s in it:
-            enc = tok.encode_batch(s.fillna("").tolist())
-            yield pd.DataFrame({
-                "token_length": [len(e.ids) for e in enc],
-                "input_ids": [list(e.ids[:max_len]) for e in enc],
-                "attention_mask": [list(e.attention_mask[:max_len]) for e in enc],
-            })
-    return _enc(col)
+        for texts in it:
+            for enc in _encoded(tok, texts):
+                yield pa.StructArray.from_arrays(
+                    [pa.array([len(e) for e in enc], pa.int32()), pa.array([e.ids[:max_len] for e in enc], pa.list_(pa.int32())),
+                     pa.array([e.attention_mask[:max_len] for e in enc], pa.list_(pa.int32()))],
+                    names=["token_length", "input_ids", "attention_mask"])
+    return F.arrow_udf(encoded, schema)(col)
