@@ -111,3 +111,23 @@ def test_stream_upsert_is_idempotent(spark, tmp):
 @pytest.mark.parametrize("n", [0, 1])
 def test_no_or_one_member(spark, n):
     assert formed(members(spark, range(n)).where("true") if n else members(spark, [1]).limit(0)).count() == n
+
+
+def test_resume_pending_runs_the_whole_first_run(spark, tmp):
+    """False positives -> requests -> a run with a failing generator -> what is still to send, as the SQL has it."""
+    import duckdb
+
+    import __spark_entry__ as e
+    n = 3000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of text"), F.sha1(F.col("id").cast("string"))).alias("text"),
+                                 F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    docs.write.parquet(f"{tmp}/documents.parquet")
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp}/labels.parquet")
+    requests_of, status = ({r.request_id: r for r in e.queries()[q](spark, tmp).collect()} for q in ("request_payload", "gen_status"))
+    got = {r.request_id: r.n_items for r in e.queries()["resume_pending"](spark, tmp).collect()}
+    failed = {k for k, r in status.items() if r.status != "ok"}
+    assert got == {k: requests_of[k].n_items for k in failed} and 0 < len(got) < len(status)
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp}/{t}.parquet/*.parquet')")
+    assert sorted(con.execute(e.oracle_sql()["resume_pending"]).fetchall()) == sorted(got.items())
