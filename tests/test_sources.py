@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from textprov.sources import readers
+from textprov.sources import jsonstream, readers
 
 
 def test_qa_jsonl(spark, tmp):
@@ -232,3 +232,36 @@ def test_quarantine_goes_with_the_corpus(spark, tmp):
     # both answers of a question are in one split
     per = res["splits"].groupBy("group_key").agg(F.count_distinct("split").alias("n"), F.count("*").alias("rows")).collect()
     assert len(per) == 40 and all(r.n == 1 and r.rows == 2 for r in per)
+
+
+def test_small_json_files_share_a_task(spark, tmp):
+    """Many small files of an essay folder are read by few tasks, each with its own path, label and break."""
+    for domain in ("a", "b"):
+        os.makedirs(f"{tmp}/root/{domain}")
+        for i in range(60):
+            kind, body = ("gpt", {"k": f"{domain}{i} " + "x" * 60}) if i % 2 else ("hum", [f"{domain}{i} " + "y" * 60, {"text": "z" * 70}])
+            with open(f"{tmp}/root/{domain}/{kind}-{i:02d}.json", "w") as f:
+                f.write(json.dumps(body) if i != 7 else '{"k": "' + "w" * 60 + '", ')
+    rows, bad = readers.read_poly_json(spark, f"{tmp}/root")
+    assert jsonstream.load(spark, f"{tmp}/root").rdd.getNumPartitions() <= 2
+    got = rows.collect()
+    assert sorted((r.domain[-1], r.label) for r in got) == sorted((d, i % 2) for d in "ab" for i in range(60) for _ in range(2 - i % 2))
+    assert len({r.example_id for r in got}) == len(got) == 180 and bad.count() == 2
+
+
+def test_files_of_a_task_are_bounded():
+    listed = [(f"u{i}", f"f{i}", size) for i, size in enumerate([5, 10 ** 9, 0, *[100_000] * 500, 10 ** 8])]
+    parts = jsonstream.grouped(listed, 1 << 20)
+    assert [x for p in parts for x in p.files] == [(u, f) for u, f, _ in listed]
+    size = {u: n for u, _, n in listed}
+    assert all(len(p.files) == 1 or sum(size[u] for u, _ in p.files) <= 1 << 20 for p in parts)
+    assert len(parts) < 110 and jsonstream.grouped([]) == []
+
+
+def test_dropped_ids_are_found_once(spark, monkeypatch):
+    from textprov.operators import dedup
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "a"), (6, "b")], "example_id long, text string")
+    out = dedup.dedup_exact(df)
+    assert sorted(r.example_id for r in out.collect()) == [1, 2, 4]
+    # the plan of the result reads the stored ids and hashes no text
+    assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import text_hash
+from ..session import scratch_path
 
 
 MAX_BROADCAST_IDS = 2_000_000  # (number): some 64 MB once broadcast
@@ -31,7 +32,11 @@ def dropped_ids(df: DataFrame, id_col: str = "example_id", text: str = "text") -
 def dedup_exact(df: DataFrame, id_col: str = "example_id", text: str = "text",
                 max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
     """Rows whose id is the smallest among identical texts."""
-    drop = dropped_ids(df, id_col, text)
+    # written once: every use of the result would hash all texts and shuffle the hashes again
+    spark, found = df.sparkSession, dropped_ids(df, id_col, text)
+    path = scratch_path(spark, "dropped_ids")
+    found.write.parquet(path)
+    drop = spark.read.schema(found.schema).parquet(path)
     n = drop.count()
     return df.join(F.broadcast(drop) if n <= max_broadcast else drop, id_col, "left_anti")
 

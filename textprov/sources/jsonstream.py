@@ -2,8 +2,8 @@
 
 A file holds one list or one object of any length.  A task reads it by byte ranges and
 yields the elements one after another, each as its own JSON text; it holds a
-range and the element at hand, never the file.  The elements' types are told apart
-afterwards, by Spark (VARIANT).
+range and the element at hand, never the file.  Small files share a task, up to
+``TASK_BYTES`` together.  The elements' types are told apart afterwards, by Spark (VARIANT).
 
 Rows: uri, file (path relative to the folder's parent), shape (``list`` or ``object``),
 position, name (the key in an object), element (JSON text), error.  A file that is no
@@ -28,6 +28,7 @@ FORMAT = "json_elements"
 SCHEMA = "uri string, file string, shape string, position long, name string, element string, error string"
 RANGE_BYTES = 1 << 20
 BATCH_ROWS, BATCH_CHARS = 4096, 4 << 20
+TASK_BYTES, OPEN_BYTES = 8 << 20, 64 << 10      # read by one task, unless a file is larger; what opening a file counts as
 BLANKS = " \t\n\r"
 
 
@@ -134,9 +135,22 @@ def decoded(f, size: int = RANGE_BYTES) -> Iterator[str]:
 
 
 @dataclass
-class File(InputPartition):
-    uri: str
-    file: str
+class Files(InputPartition):
+    files: list[tuple[str, str]]        # (URI, relative path)
+
+
+def grouped(listed: list[tuple[str, str, int]], most: int = TASK_BYTES) -> list[Files]:
+    """Neighbouring files of ``most`` bytes together; a larger file by itself."""
+    out: list[Files] = []
+    room = 0
+    for uri, file, size in listed:
+        size += OPEN_BYTES
+        if not out or size > room:
+            out.append(Files([]))
+            room = most
+        out[-1].files.append((uri, file))
+        room -= size
+    return out
 
 
 class JsonElements(DataSource):
@@ -155,15 +169,17 @@ class JsonElementsReader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int):
         self.path, self.range_bytes = path, range_bytes
 
-    def partitions(self) -> list[File]:
-        return [File(uri, file) for uri, file, _ in files.listed(self.path, ".json")]
+    def partitions(self) -> list[Files]:
+        return grouped(files.listed(self.path, ".json"))
 
-    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
-        if partition is None or not partition.uri:
-            return
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        for uri, file in partition.files if partition else ():
+            yield from self._read(uri, file)
+
+    def _read(self, uri: str, file: str) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         chars = 0
-        with files.opened(partition.uri) as f:
+        with files.opened(uri) as f:
             elements = iter(Elements(decoded(f, self.range_bytes)))
             while True:
                 try:
@@ -176,16 +192,16 @@ class JsonElementsReader(DataSourceReader):
                 rows.append((shape, position, name, text, None))
                 chars += len(text)
                 if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
-                    yield self._batch(partition, rows)
+                    yield self._batch(uri, file, rows)
                     rows, chars = [], 0
         if rows:
-            yield self._batch(partition, rows)
+            yield self._batch(uri, file, rows)
 
-    def _batch(self, at: File, rows: list[tuple]) -> pa.RecordBatch:
+    def _batch(self, uri: str, file: str, rows: list[tuple]) -> pa.RecordBatch:
         s = pa.string()
         shape, position, name, text, error = zip(*rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array([at.uri] * len(rows), s), pa.array([at.file] * len(rows), s), pa.array(shape, s), pa.array(position, pa.int64()),
+            [pa.array([uri] * len(rows), s), pa.array([file] * len(rows), s), pa.array(shape, s), pa.array(position, pa.int64()),
              pa.array([_valid(n) for n in name], s), pa.array([_valid(t) for t in text], s), pa.array(error, s)],
             names=["uri", "file", "shape", "position", "name", "element", "error"])
 
