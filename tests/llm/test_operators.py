@@ -119,6 +119,18 @@ def test_brown_classes_follow_the_vocabulary(spark, docs):
     assert len(model.size) - 1 == brown.class_count(551)
 
 
+def test_brown_neighbours_lie_in_small_partitions(spark):
+    """A task holds the neighbour sums of a small share of the head's words (here under some 60 MB with their copies)."""
+    words, classes = 1 << 15, 270
+    pairs = spark.createDataFrame([(1, 2, 3), (2, 1, 1), (words, 1, 2)], "before int, after int, n long")
+    near = brown.neighbours(pairs, words, classes)
+    parts = near.rdd.getNumPartitions()
+    assert (words + 2) * 2 * (classes + 2) / parts <= 1.1e6
+    assert sorted((r.unit, r.next, r.other, r.n) for r in near.collect()) == sorted(
+        [(1, True, [2], [3]), (2, False, [1], [3]), (2, True, [1], [1]), (1, False, [2], [1]),
+         (1, False, [words], [2])])
+
+
 def test_brown_without_training_rows_and_with_a_very_long_text(spark, docs):
     model, rare = brown.fit(docs(ODD).limit(0))
     r = brown.score(docs([(1, "a b", "en", "a")]), model, rare).first()

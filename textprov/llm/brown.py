@@ -41,11 +41,11 @@ from .common import fold, small_side, stored
 SPELLINGS = 509
 HEAD = 1 << 15
 ROUNDS = 6         # of half of the head's words each
-PART_SUMS = 1 << 22  # sums (word, side, class) that a task of a round may hold
+PART_SUMS = 1 << 20  # sums (word, side, class) that a task of a round may hold
 BLOCK = 8192       # neighbours of a word in one row, at most
 ENTRIES = 1024     # neighbour counts by class that are weighed at once
 PRIOR = 2.0        # weight of the class frequencies in a transition
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -62,7 +62,7 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, col: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with some 8 MB of text each, one row at least."""
+    """Pieces of a batch with some ``SLICE_BYTES`` of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy()
     group = np.cumsum(size) // SLICE_BYTES
     bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]]).tolist()
