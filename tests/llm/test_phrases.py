@@ -131,3 +131,32 @@ def test_null_empty_repeated_clashing(spark, docs):
     df = docs(rows).select("*", *[F.lit("x").alias(c) for c in ("body", "phrase", "words", "n")])
     assert job(df) == by_hand([(r[1], r[2]) for r in rows], 10, 2000)
     assert job(docs(rows).limit(0)) == []
+
+
+def test_summaries_are_merged_by_stretches(monkeypatch):
+    """Sums of sorted counters are right however short the stretches, and few counters are sorted at a time."""
+    rng = np.random.default_rng(5)
+    parts = []
+    for n in (5000, 1, 0, 700, 4000):
+        keys = np.unique(rng.integers(0, 6000, n).astype(np.uint64) << np.uint64(50))
+        parts.append((keys, rng.integers(1, 9, len(keys))))
+    want = {}
+    for keys, counts in parts:
+        for k, c in zip(keys.tolist(), counts.tolist()):
+            want[k] = want.get(k, 0) + c
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **kw: sizes.append(len(a)) or sort(a, *args, **kw))
+    for stretch in (1, 37, 1 << 17):
+        monkeypatch.setattr(phrases, "STRETCH", stretch)
+        sizes.clear()
+        keys, counts = phrases.merged(parts)
+        assert keys.tolist() == sorted(want) and dict(zip(keys.tolist(), counts.tolist())) == want
+        assert stretch > 37 or max(sizes) < len(want) / 10
+    summary = phrases.Summary()
+    summary.add(parts[0][0])
+    summary.settle()
+    sizes.clear()
+    monkeypatch.setattr(phrases, "STRETCH", 37)
+    summary.add(parts[4][0])
+    summary.settle()
+    assert max(sizes) < len(want) / 10 and set(summary.keys.tolist()) == set(parts[0][0].tolist()) | set(parts[4][0].tolist())

@@ -42,6 +42,8 @@ MILLION = 1_000_000
 THRESHOLD, TOP, SLACK = 10, 2000, 2
 #: Text bytes per hash partition, per slice of work, and summed hashes held by a task before they are sent.
 PART_BYTES, SLICE_BYTES, HELD = 32 << 20, 2 << 20, 2_000_000
+#: Keys of the longest summary that are merged with the others' at a time.
+STRETCH = 1 << 17
 #: Leading hash bits that tell the partition, and bounds of the bit map (2^28 bits are 32 MB).
 PART_BITS, MIN_MAP_BITS, MAX_MAP_BITS = 20, 23, 28
 
@@ -120,6 +122,25 @@ def rows_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                        F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"))
 
 
+def merged(sorted_parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of counters (sorted keys, counts), by stretches of the keys, so that few of them are copied and sorted at a time."""
+    longest = max((k for k, _ in sorted_parts), key=len)
+    cuts = longest[STRETCH::STRETCH]
+    bounds = [[0, *np.searchsorted(k, cuts).tolist(), len(k)] for k, _ in sorted_parts]
+    out_keys, out_counts = [longest[:0]], [np.empty(0, np.int64)]
+    for i in range(len(cuts) + 1):
+        here = [(k[b[i]:b[i + 1]], c[b[i]:b[i + 1]]) for (k, c), b in zip(sorted_parts, bounds)]
+        keys = np.concatenate([k for k, _ in here])
+        if not len(keys):
+            continue
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        out_keys.append(keys[first])
+        out_counts.append(np.add.reduceat(np.concatenate([c for _, c in here])[order], first))
+    return np.concatenate(out_keys), np.concatenate(out_counts)
+
+
 class Summary:
     """Misra-Gries counters of 64-bit hashes, as sorted arrays; ``lost`` is what was taken from each at most."""
 
@@ -150,12 +171,7 @@ class Summary:
         summed += [(k, c) for k, c in self.waiting if c is not None]
         self.waiting, self.n_waiting = [], 0
         if len(self.keys) or len(summed) > 1:
-            keys = np.concatenate([self.keys, *[k for k, _ in summed]])
-            counts = np.concatenate([self.counts, *[c for _, c in summed]])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-            self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+            self.keys, self.counts = merged([(self.keys, self.counts), *summed])
         else:
             self.keys, self.counts = summed[0]
         if self.capacity is not None and len(self.keys) > self.capacity:
