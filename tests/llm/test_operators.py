@@ -1,11 +1,13 @@
 """The operators on Spark against brute force, with nulls, empties, repeats, empty tables and clashing names."""
 import collections
+import dataclasses
 import datetime
 import math
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,57 @@ def test_brown_neighbours_lie_in_small_partitions(spark):
          (1, False, [words], [2])])
 
 
+def test_brown_pairs_and_rare_words_travel_in_buckets(spark, docs):
+    """One row for each bucket instead of one for each pair or word; the sums are those of all texts."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 300) % 900) for _ in range(40)] + ["", None]
+    d = docs([(i, t, "en", "a") for i, t in enumerate(texts)]).coalesce(2).select("text")
+    counts = collections.Counter(w for t in texts for w in words(t))
+    head = sorted(counts, key=lambda w: (-counts[w], w))[:40]
+    vocab = brown.Vocabulary(pa.array([w.decode() for w in head], pa.large_string()), np.array([counts[w] for w in head]))
+    pairs, far = collections.Counter(), collections.Counter()
+    for t in texts:
+        units = [head.index(w) if w in head else 40 for w in words(t)]
+        pairs.update(zip([41, *units], [*units, 41]))
+        far.update((w.decode(), 3 if b == 41 else 4 if b == 40 else b % 3)
+                   for w, u, b in zip(words(t), units, [41, *units]) if u == 40)
+    sent = brown.unit_pairs(d, vocab)
+    assert sent.count() <= 2 * 42 < len(pairs)
+    got = collections.Counter()
+    for r in brown.neighbours(sent, 40, 3).collect():
+        for o, n in zip(r.other, r.n):
+            got[(r.unit, o, True) if r.next else (o, r.unit, False)] += n
+    want = {(a, b, True): n for (a, b), n in pairs.items() if a < 40 or b >= 40}
+    assert got == want | {(a, b, False): n for (a, b), n in pairs.items() if b < 40}
+    cls, table = np.append(np.arange(40) % 3, [4, 3]), rng.integers(1, 50, (5, 5)).astype(float)
+    rare = brown.rare_classes(d, vocab, cls, table, 3, 8 * brown.WORDS)
+    assert "ObjectHashAggregate" not in rare._jdf.queryExecution().toString()
+    rows = rare.collect()
+    assert {(r["word"], h): n for r in rows for h, n in zip(r["h"], r["hn"])} == far
+    assert len(rows) == len({w for w, _ in far}) and all(r["n"] == sum(r["hn"]) for r in rows)
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    t, size = table[:, :3], table[:, :3].sum(axis=0)
+    for r in rows:
+        n = np.array(r["hn"])[:, None]
+        gain = (f(t[r["h"]] + n) - f(t[r["h"]])).sum(axis=0) - f(size + r["n"]) + f(size)
+        assert gain[r["cls"]] == pytest.approx(gain.max())
+
+
+def test_brown_joins_only_words_that_are_not_looked_up(spark, docs):
+    rows = docs([(i, f"the a{i % 3} b{i % 9} c{i % 30} d{i} the", "en", "a") for i in range(60)] + ODD)
+    model, rare = brown.fit(rows, head=4, classes=3)
+    assert {r["word"]: (r["n"], r["cls"]) for r in rare.collect()} == {
+        r["word"]: (r["n"], r["cls"]) for r in model.often.to_pylist()}
+    assert {r["n"] for r in brown.most_frequent(rare, 12).to_pylist()} == {
+        n for n in {r["n"] for r in rare.collect()} if rare.where(f"n >= {n}").count() <= 12}
+    assert len(brown.most_frequent(rare, 0)) == 0
+    asked = docs([(i, f"the a1 b{i} c2 d5 new{i}", "en", "a") for i in range(9)] + ODD)
+    some = dataclasses.replace(model, often=brown.most_frequent(rare, 12))
+    none = dataclasses.replace(model, often=model.often.slice(0, 0))
+    scores = [sorted(tuple(r)[1:] for r in brown.score(asked, m, rare).collect()) for m in (model, some, none)]
+    assert np.allclose(scores[0], scores[1]) and np.allclose(scores[0], scores[2])
+
+
 def test_brown_without_training_rows_and_with_a_very_long_text(spark, docs):
     model, rare = brown.fit(docs(ODD).limit(0))
     r = brown.score(docs([(1, "a b", "en", "a")]), model, rare).first()

@@ -218,3 +218,17 @@ def test_gains_are_differences_of_the_likelihood():
             want.append(likelihood(pairs, other, k + 2))
         assert np.allclose(got[u] - got[u, 0], np.array(want) - want[0])
 
+
+def test_gain_rows_of_small_and_large_counts():
+    rng = np.random.default_rng(4)
+    table, h, n = rng.integers(0, 40, (6, 5)).astype(float), rng.integers(0, 6, 200), rng.integers(1, 30, 200)
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    want = f(table[h] + n[:, None]) - f(table)[h]
+    assert np.array_equal(brown.gain_rows(brown.steps(table), table, h, n), want)
+
+
+def test_word_buckets_follow_the_bytes_alone():
+    words = pa.array([f"w{i}é" * (1 + i % 40) for i in range(3000)])
+    got = brown.word_bucket(words, 7)
+    assert np.array_equal(brown.word_bucket(words.slice(500, 900), 7), got[500:1400])
+    assert np.bincount(got, minlength=7).min() > 300 and brown.word_bucket(words.slice(3, 0), 7).tolist() == []

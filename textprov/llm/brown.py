@@ -13,11 +13,13 @@ text's score is the sum over its words and its end, which has a class of its own
 All counts and all exchange rounds are Spark jobs.  A round has two: one sums the table of class
 pairs, the other decides, for half of the ``head`` most frequent words at a time, which class raises the
 likelihood most, from the counts of each word's neighbours by class; these lie in partitions by word, so a
-round shuffles nothing but the sums.  The round with the highest likelihood counts.  Every other word then takes the class with the
+round shuffles nothing but the sums.  Pairs and rare words are summed by numpy in each task and travel as rows of many
+(one per bucket of words), which Spark shuffles and sorts by bucket.  The round with the highest likelihood counts.  Every other word then takes the class with the
 highest gain in a job grouped by word.  As context, words outside the head share one class (a model with one
 class map for the word predicted and a coarser one for the word before), so a text's rare words need only
 one join with the stored table (word, n, class).  Driver and tasks hold the head (a lookup of
-``HEAD`` words, so that they need no shuffle) and the class table, no word beyond it.
+``HEAD`` words, so that they need no shuffle) and the class table; for the scores also the counts and classes of
+the ``OFTEN`` next words, so that only the others are joined.
 
 Defined results: null or empty text is the end alone; a null id is in training; repeated
 rows are scored each by itself and count each in training; with no training row every count is
@@ -27,6 +29,7 @@ columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,10 +43,18 @@ from .common import fold, small_side, stored
 
 SPELLINGS = 509
 HEAD = 1 << 15
+OFTEN = 7 << 15    # words outside the head that a text's score looks up without a shuffle, at most
 ROUNDS = 6         # of half of the head's words each
+PART_TOKENS = 1 << 25  # tokens whose pairs come to one of these tasks
 PART_SUMS = 1 << 20  # sums (word, side, class) that a task of a round may hold
 BLOCK = 8192       # neighbours of a word in one row, at most
 ENTRIES = 1024     # neighbour counts by class that are weighed at once
+GROUPED = 1 << 21  # pairs that a task sums at once
+BUCKETS = 1 << 12  # of the head's words, whose neighbours are summed together
+WORDS = 1 << 13    # outside the head, in a bucket
+PAIRS = "bucket int, key array<long>, n array<long>"
+SMALL = 8          # counts up to here have their gains in a table
+TABLE_CELLS = 1 << 21  # cells of that table, at most (16 MB); it keeps count 1 in any case
 PRIOR = 2.0        # weight of the class frequencies in a transition
 SLICE_BYTES = 4 << 20
 
@@ -118,6 +129,22 @@ class Vocabulary:
         place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.head), self.rare).to_numpy()
         return coded.indices.to_numpy(), place.astype(np.int64), coded.dictionary
 
+    def placed(self, parts: Iterator[pa.RecordBatch], col: int) -> Iterator[tuple]:
+        """(part, words of each text, *place()) of each part; some parts share a look-up, which prepares all words here."""
+        held = []
+        for part in itertools.chain(parts, [None]):
+            if part is not None:
+                words, n = tokens(part.column(col))
+                held.append((part, n, pc.dictionary_encode(words)))
+            if held and (part is None or len(held) == 4):
+                found = pc.index_in(pa.chunked_array([c.dictionary for *_, c in held]), value_set=self.head)
+                found, lo = pc.fill_null(found, self.rare).to_numpy().astype(np.int64), 0
+                for of, n, coded in held:
+                    hi = lo + len(coded.dictionary)
+                    yield of, n, coded.indices.to_numpy(), found[lo:hi], coded.dictionary
+                    lo = hi
+                held = []
+
 
 def class_count(types: int) -> int:
     """Classes for a vocabulary of that many different words."""
@@ -134,35 +161,100 @@ def _chain(unit: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.nd
     return cur, prev, begin
 
 
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sum of each."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n[order], first) if len(key) else n
+
+
+def _sided(pair: np.ndarray, n: np.ndarray, size: int, words: int) -> pa.RecordBatch:
+    """Both sides of different unit pairs (before x size + after) in one row per bucket: (bucket, key, n), key being
+    (2 x place + next) x size + other with the units' places in order of their buckets.  The pairs of the two units
+    that are no words stay once."""
+    before, after = pair // size, pair % size
+    unit, nxt = np.append(before, after), np.repeat([1, 0], len(pair))
+    other, n = np.append(after, before), np.append(n, n)
+    keep = (unit < words) | (nxt == 1) & (other >= words)
+    per = -(-size // BUCKETS)
+    key = ((((unit % BUCKETS) * per + unit // BUCKETS) * 2 + nxt) * size + other)[keep]
+    order = np.argsort(key)
+    key = key[order]
+    bucket = key // (per * 2 * size)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = pa.array(np.append(first, len(bucket)), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(key)),
+         pa.ListArray.from_arrays(ends, pa.array(n[keep][order], pa.int64()))], names=["bucket", "key", "n"])
+
+
 def unit_pairs(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(before, after, n): counts of adjacent units; counted per slice before the shuffle."""
+    """(bucket, key, n): counts of adjacent units, as ``_sided`` lays them out; counted per ``GROUPED`` tokens before the
+    shuffle."""
     shared, size = texts.sparkSession.sparkContext.broadcast(vocab), vocab.end + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
+        held = []
         for batch in batches:
             for part in slices(batch, 0):
                 words, n = tokens(part.column(0))
                 code, place, _ = v.place(words)
                 cur, prev, _ = _chain(place[code], n, v.end)
-                pair, times = np.unique(prev * size + cur, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair // size, pa.int32()), pa.array(pair % size, pa.int32()),
-                                                  pa.array(times, pa.int64())], names=["before", "after", "n"])
+                held.append(prev * size + cur)
+                if sum(map(len, held)) > GROUPED:
+                    yield _sided(*np.unique(np.concatenate(held), return_counts=True), size, v.rare)
+                    held = []
+        if held:
+            yield _sided(*np.unique(np.concatenate(held), return_counts=True), size, v.rare)
 
-    return (texts.select("text").mapInArrow(run, "before int, after int, n long")
-            .groupBy("before", "after").agg(F.sum("n").alias("n")))
+    return texts.select("text").mapInArrow(run, PAIRS)
 
 
-def neighbours(pairs: DataFrame, words: int, classes: int, part_sums: int = PART_SUMS) -> DataFrame:
+def neighbours(pairs: DataFrame, words: int, classes: int, part_sums: int = PART_SUMS, n_tokens: int = 0) -> DataFrame:
     """(unit, next, other, n): each word's neighbours after it (next) and before it, in blocks, all of a word in one
-    partition.  The pairs of the two units that are no words stay once."""
-    side = lambda unit, nxt, other: F.struct(F.col(unit).alias("unit"), F.lit(nxt).alias("next"),
-                                             F.col(other).alias("other"), F.col("n").alias("n"))
-    rows = (pairs.select(F.explode(F.array(side("before", True, "after"), side("after", False, "before"))).alias("p")).select("p.*")
-            .where((F.col("unit") < words) | (F.col("next") & (F.col("other") >= words))))
-    # a word has at most two rows per unit here, so no partition grows with the corpus
-    return (rows.repartition(-(-(words + 2) * 2 * (classes + 2) // part_sums), "unit").groupBy("unit", "next", F.floor(F.col("other") / BLOCK).alias("block"))
-            .agg(F.collect_list("other").alias("other"), F.collect_list("n").alias("n")).drop("block").checkpoint())
+    partition.  ``pairs`` comes from ``unit_pairs``, or has rows (before, after, n)."""
+    size = words + 2
+    per = -(-size // BUCKETS)
+
+    def sided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, after, n = (batch.column(i).to_numpy() for i in range(3))
+            yield _sided(*_summed(before.astype(np.int64) * size + after, n), size, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, key, n = -1, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            keys, counts = batch.column(1), batch.column(2)
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket != now:
+                    yield from blocks(*_summed(np.concatenate(key), np.concatenate(n)))
+                    now, key, n = bucket, key[:0], n[:0]
+                key.append(keys[i].values.to_numpy())
+                n.append(counts[i].values.to_numpy())
+                if sum(map(len, key[1:])) > max(GROUPED, 2 * len(key[0])):
+                    key, n = ([x] for x in _summed(np.concatenate(key), np.concatenate(n)))
+        yield from blocks(*_summed(np.concatenate(key), np.concatenate(n)))
+
+    def blocks(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        side, other = key // size, key % size
+        # long lists are cut at every ``BLOCK`` units
+        first = np.flatnonzero(np.diff(side * size + other // BLOCK, prepend=-1))
+        place = side // 2
+        side = (place % per * BUCKETS + place // per) * 2 + side % 2
+        if len(first):
+            ends, side = pa.array(np.append(first, len(side)), pa.int32()), side[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((side // 2).astype(np.int32)), pa.array(side % 2 == 1), pa.ListArray.from_arrays(ends, pa.array(other.astype(np.int32))),
+                 pa.ListArray.from_arrays(ends, pa.array(n))], names=["unit", "next", "other", "n"])
+
+    if "bucket" not in pairs.columns:
+        pairs = pairs.select("before", "after", F.col("n").cast("long")).mapInArrow(sided, PAIRS)
+    # buckets are summed one by one, so a task holds the neighbours of a few words; what it reads follows ``PART_TOKENS``
+    parts = max(-(-size * 2 * (classes + 2) // part_sums), -(-n_tokens // PART_TOKENS))
+    return (pairs.repartition(parts, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(run, "unit int, next boolean, other array<int>, n array<long>").checkpoint())
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,14 +277,28 @@ def class_table(near: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
             keep = nxt | (other >= words)          # every pair once
             a, b = c[unit[keep]], c[other[keep]]
             total += np.bincount(np.where(nxt[keep], a * d + b, b * d + a), weights=n[keep], minlength=d * d)
-        pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair].astype(np.int64))], names=["pair", "n"])
+        yield lines(total.reshape(d, d))
+
+    def lines(part: np.ndarray) -> pa.RecordBatch:
+        a = np.flatnonzero(part.any(axis=1))
+        counts = pa.array(part[a].astype(np.int64).ravel())
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * d, pa.int32()), counts)],
+                                          names=["before", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for batch in batches:
+            np.add.at(total, batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, d))
+        yield lines(total)
 
-    got = near.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    # whole lines of the table are shuffled and summed, not single counts
+    kind = "before int, n array<long>"
+    got = near.mapInArrow(run, kind).repartition("before").mapInArrow(add, kind).toArrow()
     shared.unpersist()
-    table = np.zeros(d * d)
-    table[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(float)
-    return table.reshape(d, d)
+    table = np.zeros((d, d))
+    if got.num_rows:
+        table[got["before"].to_numpy()] = got["n"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+    return table
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
@@ -249,26 +355,23 @@ def _moves(near: DataFrame, cls: np.ndarray, table: np.ndarray, classes: int, ha
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, t = shared.value
-        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        held, wide = [], 2 * d + 1
         for batch in batches:
             unit, nxt, other, n = _entries(batch)
             turn = (unit < words) & (unit // classes % 2 == half)
             unit, nxt, other, n = unit[turn], nxt[turn], other[turn], n[turn]
             # pairs of a word with itself lie on both sides and count once
             kind = np.where(other == unit, np.where(nxt, 2 * d, -1), np.where(nxt, 0, d) + c[other])
-            key, inverse = np.unique((unit * (2 * d + 1) + kind)[kind >= 0], return_inverse=True)
-            keys.append(key)
-            sums.append(np.bincount(inverse, weights=n[kind >= 0], minlength=len(key)))
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate(sums), minlength=len(key))
-        unit, kind = key // (2 * d + 1), key % (2 * d + 1)
+            unit, row = np.unique(unit, return_inverse=True)
+            held.append((unit, np.bincount((row * wide + kind)[kind >= 0], weights=n[kind >= 0], minlength=len(unit) * wide)))
+        # no more than some ``PART_SUMS`` sums
+        different = np.unique(np.concatenate([np.zeros(0, np.int64), *[unit for unit, _ in held]]))
+        sums = np.zeros((len(different), wide))
+        for unit, n in held:
+            sums[np.searchsorted(different, unit)] += n.reshape(-1, wide)
         # words are decided together while their entries' gains fit a processor's cache
-        different, first, entries = np.unique(unit, return_index=True, return_counts=True)
-        block = np.cumsum(entries) // ENTRIES
-        for lo, hi in _runs(block):
-            part = slice(first[lo], first[hi - 1] + entries[hi - 1])
-            dense = np.zeros((hi - lo, 2 * d + 1))
-            dense[np.searchsorted(different[lo:hi], unit[part]), kind[part]] = n[part]
+        for lo, hi in _runs(np.cumsum((sums > 0).sum(axis=1)) // ENTRIES):
+            dense = sums[lo:hi]
             a = c[different[lo:hi]]
             g = gains(dense[:, :d], dense[:, d:2 * d], dense[:, 2 * d], a, t, classes)
             best = g.argmax(axis=1)
@@ -307,43 +410,126 @@ def exchange(near: DataFrame, words: int, classes: int, rounds: int = ROUNDS) ->
     return best[1], best[2]
 
 
-def rare_classes(texts: DataFrame, vocab: Vocabulary, cls: np.ndarray, table: np.ndarray, classes: int) -> DataFrame:
+def steps(table: np.ndarray) -> np.ndarray:
+    """[n - 1, cell]: what x log x of each cell gains when n is added, for small n."""
+    old = _plogp(table)
+    return np.stack([_plogp(table + n) - old for n in range(1, 1 + max(1, min(SMALL, TABLE_CELLS // max(1, table.size))))])
+
+
+def gain_rows(step: np.ndarray, table: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(entries, classes): gain of adding ``n`` to the cells of row ``h``; most counts are small and need no logarithm."""
+    out = step[np.minimum(n, len(step)) - 1, h]
+    many = np.flatnonzero(n > len(step))
+    if len(many):
+        t = table[h[many]]
+        out[many] = _plogp(t + n[many, None]) - _plogp(t)
+    return out
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places from each start on, ``n`` of them, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def word_bucket(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket of each (not empty) word, by its bytes."""
+    words = words.cast(pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]].astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], np.diff(ends))
+    odd = np.random.default_rng(1).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+    mixed = np.add.reduceat(data * odd[place % 64], ends[:-1] - ends[0])
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def rare_classes(texts: DataFrame, vocab: Vocabulary, cls: np.ndarray, table: np.ndarray, classes: int, types: int) -> DataFrame:
     """(word, n, cls, h, hn) of each word outside the head: its count, its class, and its counts by class before."""
+    buckets, d = types // WORDS + 1, classes + 2
     shared = texts.sparkSession.sparkContext.broadcast((vocab, cls, table))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, c, _ = shared.value
+        held, rows = [], 0
         for batch in batches:
             for part in slices(batch, 0):
                 words, n = tokens(part.column(0))
                 code, place, different = v.place(words)
                 cur, prev, _ = _chain(place[code], n, v.end)
-                word, h = code[place[code] == v.rare], c[prev[cur == v.rare]]
-                pair, times = np.unique(word * (classes + 2) + h, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [different.take(pa.array(pair // (classes + 2))).cast(pa.string()), pa.array(pair % (classes + 2), pa.int32()),
-                     pa.array(times, pa.int64())], names=["word", "h", "n"])
+                far = np.flatnonzero(place == v.rare)
+                row = np.zeros(len(place), np.int64)
+                row[far] = np.arange(len(far))
+                held.append((different.take(pa.array(far)), row[code[place[code] == v.rare]], c[prev[cur == v.rare]], None))
+                rows += len(held[-1][1])
+                if rows > GROUPED // 4:
+                    yield from bucketed(*joined(held))
+                    held, rows = [], 0
+        if rows:
+            yield from bucketed(*joined(held))
+
+    def joined(held: list) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, word's place, h, n) with the sums of all that is held; without n, each entry counts once."""
+        coded = pc.dictionary_encode(pa.chunked_array([w for w, *_ in held])).combine_chunks()
+        start = np.cumsum([0] + [len(w) for w, *_ in held])
+        place = coded.indices.to_numpy().astype(np.int64)
+        key = np.concatenate([place[row + lo] * d + h for lo, (_, row, h, _) in zip(start, held)])
+        if held[0][3] is None:
+            key, n = np.unique(key, return_counts=True)
+        else:
+            key, n = _summed(key, np.concatenate([n for *_, n in held]))
+        return coded.dictionary, key // d, key % d, n
+
+    def bucketed(words: pa.Array, row: np.ndarray, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row per bucket: its words, how many entries each has, and the entries."""
+        bucket = word_bucket(words, buckets)
+        order = np.argsort(bucket, kind="stable")
+        entries = np.bincount(row, minlength=len(words))
+        at = _ranges((np.cumsum(entries) - entries)[order], entries[order])
+        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        ends = np.append(first, len(order))
+        lists, inner = pa.array(ends, pa.int32()), pa.array(np.append(0, np.cumsum(entries[order]))[ends], pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[order][first]), pa.ListArray.from_arrays(lists, words.take(pa.array(order)).cast(pa.string())),
+             pa.ListArray.from_arrays(lists, pa.array(entries[order], pa.int32())), pa.ListArray.from_arrays(inner, pa.array(h[at], pa.int32())),
+             pa.ListArray.from_arrays(inner, pa.array(n[at], pa.int64()))], names=["bucket", "word", "entries", "h", "n"])
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value[2][:, :classes]
-        size, old = t.sum(axis=0), _plogp(t)
-        for batch in batches:
-            own = np.zeros(batch.num_rows, np.int64)
-            entries = pc.list_value_length(batch.column(1)).to_numpy()
-            for lo, hi in _runs(np.cumsum(entries) // ENTRIES):
-                h = batch.column(1).slice(lo, hi - lo).flatten().to_numpy()
-                n = batch.column(2).slice(lo, hi - lo).flatten().to_numpy().astype(float)
-                first = np.cumsum(entries[lo:hi]) - entries[lo:hi]
-                gain = np.add.reduceat(_plogp(t[h] + n[:, None]) - old[h], first, axis=0)
-                total = np.add.reduceat(n, first)[:, None]
+        size, step = t.sum(axis=0), steps(t)
+        for word, row, h, n in sums(batches):
+            first = np.searchsorted(row, np.arange(len(word)))
+            own, ends = np.zeros(len(word), np.int32), np.append(first, len(h))
+            for lo, hi in _runs(ends[1:] // ENTRIES):
+                part = slice(ends[lo], ends[hi])
+                gain = np.add.reduceat(gain_rows(step, t, h[part], n[part]), first[lo:hi] - ends[lo], axis=0)
+                total = np.add.reduceat(n[part], first[lo:hi] - ends[lo])[:, None].astype(float)
                 own[lo:hi] = (gain - _plogp(size + total) + _plogp(size)).argmax(axis=1)
-            total = np.add.reduceat(batch.column(2).flatten().to_numpy(), np.cumsum(entries) - entries) if len(own) else own
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(own.astype(np.int32)),
-                                              batch.column(1), batch.column(2)], names=["word", "n", "cls", "h", "hn"])
-
-    grouped = (texts.select("text").mapInArrow(contexts, "word string, h int, n long").repartition("word")
-               .groupBy("word", "h").agg(F.sum("n").alias("n"))
-               .groupBy("word").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("hn")))
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [word, pa.array(np.add.reduceat(n, first)), pa.array(own), pa.ListArray.from_arrays(ends, pa.array(h.astype(np.int32))),
+                 pa.ListArray.from_arrays(ends, pa.array(n))], names=["word", "n", "cls", "h", "hn"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, word's place, h, n) of one bucket after the other."""
+        now, held, rows = -1, [], 0
+        for batch in batches:
+            _, words, entries, h, n = batch.columns
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if held and (bucket != now or rows > GROUPED):
+                    whole = joined(held)
+                    if bucket != now:
+                        yield whole
+                    held = [whole] if bucket == now else []
+                    rows = 0
+                now = bucket
+                row = np.repeat(np.arange(len(words[i].values)), entries[i].values.to_numpy())
+                held.append((words[i].values, row, h[i].values.to_numpy(), n[i].values.to_numpy()))
+                rows += len(row)
+        if held:
+            yield joined(held)
+
+    # the words of a bucket are summed together; a task holds one bucket, which has some ``WORDS`` words however large the corpus is
+    grouped = (texts.select("text").mapInArrow(contexts, "bucket long, word array<string>, entries array<int>, h array<int>, n array<long>")
+               .repartition("bucket").sortWithinPartitions("bucket"))
     return grouped.mapInArrow(assigned, "word string, n long, cls int, h array<int>, hn array<long>")
 
 
@@ -357,6 +543,17 @@ class Model:
     tokens: int              # N
     types: int               # V
     end_count: int
+    often: pa.Table          # (word, n, cls) of the most frequent words outside the head
+
+
+def most_frequent(rare: DataFrame, limit: int = OFTEN) -> pa.Table:
+    """(word, n, cls) of the words above the lowest count that at most ``limit`` words reach."""
+    # one row for each different count: no more than the head's last word has occurrences
+    by_n = rare.groupBy("n").agg(F.count("*").alias("v")).toPandas().sort_values("n", ascending=False)
+    reached = by_n["n"][by_n["v"].cumsum() <= limit]
+    least = int(reached.iloc[-1]) if len(reached) else None
+    got = rare.where(F.lit(False) if least is None else F.col("n") >= least).select("word", "n", "cls").toArrow()
+    return got.set_column(0, "word", got["word"].cast(pa.large_string())).combine_chunks()
 
 
 def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD, classes: int | None = None,
@@ -369,9 +566,9 @@ def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD, classes: int
     top = counts.orderBy(F.desc("n"), "word").limit(head).toPandas()
     vocab = Vocabulary(pa.array(top["word"], pa.large_string()), top["n"].to_numpy(np.int64))
     k = classes or class_count(total["v"])
-    near = neighbours(unit_pairs(texts, vocab), vocab.rare, k)
+    near = neighbours(unit_pairs(texts, vocab), vocab.rare, k, n_tokens=int(total["n"] or 0))
     cls, table = exchange(near, vocab.rare, k, rounds)
-    rare = stored(rare_classes(texts, vocab, cls, table, k), "rare")
+    rare = stored(rare_classes(texts, vocab, cls, table, k, total["v"]), "rare")
     # the rare words' tokens go to their classes
     full = table[:, :k + 1].copy()
     pairs = rare.select("cls", F.explode(F.arrays_zip("h", "hn")).alias("p")).groupBy("p.h", "cls").agg(F.sum("p.hn").alias("n"))
@@ -388,7 +585,8 @@ def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD, classes: int
         units[r["u"]] += r["v"]
     with np.errstate(divide="ignore"):             # a class without words is never met
         move = np.log10((1 - new) * (full + PRIOR * share) / (full.sum(axis=1, keepdims=True) + PRIOR))
-    return Model(vocab, cls, move, size, np.log10(new * units / units.sum()), n_tokens, int(total["v"]) + (n_docs > 0), n_docs), rare
+    return Model(vocab, cls, move, size, np.log10(new * units / units.sum()), n_tokens, int(total["v"]) + (n_docs > 0), n_docs,
+                 most_frequent(rare)), rare
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,27 +598,29 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        v = m.vocab
+        # the looked-up words outside the head are units here, which share the rare words' class as context
+        head, often = m.vocab.rare, len(m.often)
+        v = Vocabulary(pa.concat_arrays([m.vocab.head, *m.often["word"].chunks]), np.append(m.vocab.count, m.often["n"].to_numpy()))
+        before = np.concatenate([m.cls[:head], np.full(often, k + 1), [k + 1, k]])
+        own = np.concatenate([m.cls[:head], m.often["cls"].to_numpy(), [k, k]])
         log_count = np.log10(np.append(v.count + 1.0, [1.0, m.end_count + 1.0]))
         # P(word | class) by unit: the end is alone in its class, the rare words come from their table
         emit = np.zeros(v.end + 1)
-        emit[:v.rare] = np.log10(v.count / m.size[m.cls[:v.rare]])
+        emit[:v.rare] = np.log10(v.count / m.size[own[:v.rare]])
         for batch in batches:
-            for part in slices(batch, 2):
-                words, n = tokens(part.column(2))
-                code, place, different = v.place(words)
+            for part, n, code, place, different in v.placed(slices(batch, 2), 2):
                 cur, prev, begin = _chain(place[code], n, v.end)
                 far = cur == v.rare
-                logp = np.where(far, 0.0, m.move[m.cls[prev], np.where(far, k, m.cls[cur])] + emit[cur])
+                logp = np.where(far, 0.0, m.move[before[prev], own[cur]] + emit[cur])
                 add = lambda w: np.add.reduceat(w, begin)
                 known = add((~far & ((cur != v.end) | (m.end_count > 0))).astype(np.int64))
                 rows = np.arange(len(n))
                 # a text's own row carries a word that no text can hold (it begins with a space), so it is spread like the others
                 yield emitted(part, rows, pa.array([f" {i}" for i in rows]), rows * 0, rows * 0, rows * 0.0, n + 1, known,
                               add(log_count[cur]), add(logp))
-                # words outside the head: once per text and class before, with their number
+                # words that are not looked up: once per text and class before, with their number
                 doc = np.repeat(rows, n)[far[cur != v.end]]
-                word, h, types = code[place[code] == v.rare], m.cls[prev[far]], max(1, len(different))
+                word, h, types = code[place[code] == v.rare], before[prev[far]], max(1, len(different))
                 pair, times = np.unique((doc * types + word) * (k + 2) + h, return_counts=True)
                 doc, word = pair // (k + 2) // types, pair // (k + 2) % types
                 nil = np.zeros(len(pair))
