@@ -265,3 +265,111 @@ def test_dropped_ids_are_found_once(spark, monkeypatch):
     assert sorted(r.example_id for r in out.collect()) == [1, 2, 4]
     # the plan of the result reads the stored ids and hashes no text
     assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def _tables(spark, d, docs, labels, turns):
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
+
+
+def _sql(d, name):
+    import duckdb
+
+    import __spark_entry__ as e
+    con = duckdb.connect()
+    for t in ("documents", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
+    got = con.execute(e.oracle_sql()[name])
+    names = [c[0] for c in got.description]
+    return sorted((dict(zip(names, r)) for r in got.fetchall()), key=lambda r: str(sorted(r.items())))
+
+
+def _rows(df):
+    return sorted((r.asDict() for r in df.collect()), key=lambda r: str(sorted(r.items())))
+
+
+def _words(i):
+    return " ".join(f"w{i}x{k}" for k in range(64 + i % 3))
+
+
+TURNS = [(c, t, ("system", "user", "assistant")[t % 3], _words(1000 + 10 * c + t)) for c in range(8) for t in range(6)]
+
+
+def test_corpus_prep_is_no_result_when_a_source_fails(spark, tmp, monkeypatch):
+    """A failing reader, while it is planned or in a task, and records that cannot be read: raised, not left out."""
+    import pytest
+
+    import __spark_entry__ as e
+    from textprov.plans import q_sources
+    from textprov.sources import staging
+    _tables(spark, tmp, [(i, _words(i), "s", "en") for i in range(40)], [(i, i % 2) for i in range(40)], TURNS)
+    run = e.queries()["corpus_prep"]
+    csv, qa = q_sources.csv_rows, q_sources.qa_rows
+    stages = []
+    monkeypatch.setattr(staging, "stage", lambda *a, first=staging.stage: stages.append((a[2], first(*a))) or stages[-1][1])
+
+    def missing(spark, d):
+        return readers.read_labelled_csv(spark, f"{d}/missing")
+
+    def in_a_task(spark, d):
+        return csv(spark, d).withColumn("text", F.when(F.col("text").startswith("w7x"), F.raise_error(F.lit("no such text"))).otherwise(F.col("text")))
+
+    for failing in (missing, in_a_task):
+        stages.clear()
+        monkeypatch.setattr(q_sources, "csv_rows", failing)
+        with pytest.raises(staging.SourcesNotWhole, match="^news: "):
+            run(spark, tmp)
+        # the other sources have their stages
+        assert {n: s.rows.count() for n, s in stages} == {"qa": 32, "news": 0, "essays": 40}
+    monkeypatch.setattr(q_sources, "csv_rows", csv)
+    monkeypatch.setattr(q_sources, "qa_rows", lambda spark, d: qa(spark, d, broken_every=2))
+    with pytest.raises(staging.SourcesNotWhole, match="^qa: [1-9] records in quarantine$"):
+        run(spark, tmp)
+
+
+def test_corpus_prep_holds_rows_without_domain_label_or_source_and_repeated_ids(spark, tmp):
+    import __spark_entry__ as e
+    langs, n = ("en", "de", "fr", "es", None, "a__b"), 120
+    docs = [(i, _words(i), None if i % 11 == 0 else "s", langs[i % 6]) for i in range(n)]
+    docs += [(i, _words(i + 500), "s", langs[i % 6]) for i in range(0, n, 2)]       # ids that come again, with another text
+    docs += docs[:30]                                                            # and rows that come again
+    labels = [(i, (0, 1, 0, None)[i % 4]) for i in range(n)]
+    _tables(spark, tmp, docs, labels, TURNS)
+    for name in ("src_poly_json", "src_csv", "corpus_union", "corpus_prep"):
+        assert _rows(e.queries()[name](spark, tmp)) == _sql(tmp, name), name
+
+
+def test_corpus_prep_of_empty_tables(spark, tmp):
+    import __spark_entry__ as e
+    _tables(spark, tmp + "/a", [], [], TURNS)
+    assert _rows(e.queries()["corpus_prep"](spark, tmp + "/a")) == _sql(tmp + "/a", "corpus_prep")
+    _tables(spark, tmp + "/b", [(1, _words(1), "s", "en")], [(1, 1)], [])
+    assert _rows(e.queries()["corpus_prep"](spark, tmp + "/b")) == _sql(tmp + "/b", "corpus_prep")
+
+
+def test_essay_ids_are_unique_when_ids_repeat(spark, tmp):
+    from textprov.sources import writers
+    ex = spark.createDataFrame([(i % 7, _words(i), label, lang) for i in range(60) for label in (0, 1, None) for lang in ("en", "de", None)],
+                               "example_id long, text string, label int, domain string")
+    rows, bad = readers.read_poly_json(spark, writers.write_poly_json(spark, ex, tmp + "/essays"))
+    got = rows.collect()
+    assert len({r.example_id for r in got}) == len(got) == 540 and bad.count() == 0
+    assert sorted((r.text, r.label, r.domain) for r in got if None not in (r.label, r.domain)) == sorted(
+        (r.text, r.label, f"student_essays_{r.domain}") for r in ex.collect() if None not in (r.label, r.domain))
+
+
+def test_of_equal_texts_one_with_a_label_stays(spark):
+    from textprov.operators import dedup
+    df = spark.createDataFrame([(1, "a", None), (2, "a", 1), (3, "a", 0), (4, "b", None), (5, "b", None), (6, None, 1)],
+                               "example_id long, text string, label int")
+    assert sorted(r.example_id for r in dedup.dedup_exact(df, label="label").collect()) == [2, 4, 6]
+    assert sorted(r.example_id for r in dedup.dedup_exact(df).collect()) == [1, 4, 6]
+
+
+def test_an_element_that_cannot_be_held_is_in_quarantine(spark, tmp):
+    os.makedirs(tmp + "/root/a")
+    with open(tmp + "/root/a/hum.json", "w") as f:
+        f.write('["' + "x" * 60 + '", "' + "y" * (40 << 20) + '"]')
+    rows, bad = readers.read_poly_json(spark, tmp + "/root")
+    assert [r.text for r in rows.collect()] == ["x" * 60] and [r.record for r in bad.collect()] == ["unreadable element 1"]

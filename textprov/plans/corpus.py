@@ -32,7 +32,7 @@ def prepare(spark: SparkSession, corpus: DataFrame, out: str, min_tokens: int =
     written beside the splits (``<out>_quarantine``).
     """
     report = reports.corpus_report(corpus)
-    x = dedup.dedup_exact(corpus) if dedupe else corpus
+    x = dedup.dedup_exact(corpus, label="label") if dedupe else corpus
     v = build_vocab(x, size=vocab_size)
     x = encode(x, v, max_len=max_len, vocab_size=vocab_size,
                carry=[c for c in x.columns if c != "example_id"])

@@ -152,12 +152,16 @@ SELECT split, count(*) AS n, count(*) FILTER (WHERE label = 0) AS n_human, count
        round(avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS pct_ai
 FROM s GROUP BY split""")
 def q_corpus_prep(spark, d):
-    """Entry A end to end: three sources, staged -> clean -> dedup -> tokens -> >= 64 -> split -> write."""
+    """Entry A end to end: three sources, staged -> clean -> dedup -> tokens -> >= 64 -> split -> write.
+
+    The corpus is made of all three sources or not at all: a source that failed, or left records in quarantine, is raised
+    (``SourcesNotWhole``) once the others have their stages."""
     from . import corpus
     out = scratch_path(spark, "corpus")
-    # each source has a stage of its own: a failing reader is reported and the others go on
+    # each source has a stage of its own: beside a failing reader the others are still staged
     parts = staging.stage_all(spark, f"{out}_stages", {"qa": lambda: qa_rows(spark, d), "news": lambda: csv_rows(spark, d),
                                                        "essays": lambda: poly_rows(spark, d)})
+    staging.whole(parts)
     c = corpus.clean_corpus(*[p.rows for p in parts.values()])
     res = corpus.prepare(spark, c, out, vocab_size=5000, quarantine=[p.quarantine for p in parts.values()])
     return res["split_report"]

@@ -2,7 +2,8 @@
 
 A source counts once its stage is committed; one that fails, while it is planned or in any of its
 tasks, loses its own stage only and is reported.  A later run reads the committed stages and
-tries the others again.
+tries the others again.  A job whose result counts only if it is made of all sources asks for
+``whole`` stages: what is missing is raised, never left out.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from .readers import CANONICAL_SCHEMA, QUARANTINE_SCHEMA
 from .snapshots import SnapshotTable
 
 
+class SourcesNotWhole(RuntimeError):
+    """The stages do not hold all of the sources."""
+
+
 class Staged(NamedTuple):
     rows: DataFrame
     quarantine: DataFrame
@@ -51,3 +56,15 @@ def stage(spark: SparkSession, root: str, name: str, read: Callable) -> Staged:
 
 def stage_all(spark: SparkSession, root: str, sources: dict[str, Callable]) -> dict[str, Staged]:
     return {name: stage(spark, root, name, read) for name, read in sources.items()}
+
+
+def whole(stages: dict[str, Staged]) -> dict[str, Staged]:
+    """The stages, if every source was committed and all of its records were read; else everything missing is raised at once."""
+    missing = [s.error for s in stages.values() if s.error is not None]
+    for name, s in stages.items():
+        n = s.quarantine.count()
+        if n:
+            missing.append(f"{name}: {n} records in quarantine")
+    if missing:
+        raise SourcesNotWhole("; ".join(missing))
+    return stages

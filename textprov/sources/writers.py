@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32
 from . import files, zipcsv
-from .readers import QA_AI, QA_HUMAN, QA_QUESTION
+from .readers import NULL_IN_PATH, QA_AI, QA_HUMAN, QA_QUESTION
 
 JSON_FILE_ROWS = 1000  # texts per written JSON file
 ARCHIVE_ROWS = 50_000  # texts per written zip archive
 TURNS_PER_RECORD = 64  # conversation turns per question/answer record
+_NO_LABEL = "null"  # in a file key, the kind of texts without a label
 
 
 def conversations_to_qa(conv: DataFrame, turns_per_record: int = TURNS_PER_RECORD) -> DataFrame:
@@ -61,9 +62,9 @@ def write_qa_jsonl(conv: DataFrame, path: str, broken_every: int | None = None)
 
 
 def write_labelled_csv(ex: DataFrame, path: str) -> str:
-    """CSV with header ``text,generator,doc_id``; generator 'human' for label 0."""
+    """CSV with header ``text,generator,doc_id``; generator 'human' for label 0, an empty field (not a missing one) if unknown."""
     gen = F.when(F.col("label") == 0, F.lit("human")).otherwise(F.concat(F.lit("gen_"), F.col("source")))
-    (ex.select("text", gen.alias("generator"), F.col("example_id").alias("doc_id"))
+    (ex.select("text", F.coalesce(gen, F.lit("")).alias("generator"), F.col("example_id").alias("doc_id"))
        .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
@@ -123,12 +124,15 @@ def write_poly_json(spark: SparkSession, ex: DataFrame, root: str, file_rows: in
     """Folders ``<root>/<domain>/{gpt,hum}-<bucket>.json`` in three shapes.
 
     Shape per (domain, label): a list of strings, a list of objects with the
-    text under ``text`` / ``essay`` / ``content``, or an object keyed by id.
-    Each file holds about ``file_rows`` texts (bounded groups).
+    text under ``text`` / ``essay`` / ``content``, or an object keyed by id (an
+    id that comes again in a file: by id and place).  Each file holds about
+    ``file_rows`` texts (bounded groups).  A null domain or label is
+    ``NULL_IN_PATH`` in the path.
     """
     n = ex.count()
     nb = max(1, math.ceil(n / file_rows))
-    kind = F.when(F.col("label") == 1, F.lit("gpt")).otherwise(F.lit("hum"))
+    kind = (F.when(F.col("label") == 1, F.lit("gpt")).when(F.col("label").isNull(), F.lit(_NO_LABEL))
+             .otherwise(F.lit("hum")))
     x = ex.select("example_id", "text", F.col("domain"), kind.alias("kind"),
                   F.pmod(hash32("file", "example_id"), F.lit(nb)).alias("bucket"))
     slot = F.pmod(hash32("key", "example_id"), F.lit(3))
@@ -137,12 +141,16 @@ def write_poly_json(spark: SparkSession, ex: DataFrame, root: str, file_rows: in
                    F.when(slot == 2, F.col("text")).otherwise(F.lit("")).alias("content"))
     g = x.groupBy("domain", "kind", "bucket").agg(
         F.sort_array(F.collect_list(F.struct("example_id", "text", obj.alias("obj")))).alias("items"))
+
+    def name(s, i):
+        again = F.get("items", i - 1)["example_id"] == s["example_id"]
+        return F.when(again, F.concat_ws("-", s["example_id"].cast("string"), i.cast("string"))).otherwise(s["example_id"].cast("string"))
     shape = F.pmod(hash32("shape", F.concat_ws(":", "domain", "kind")), F.lit(3))
     body = (F.when(shape == 0, F.to_json(F.transform("items", lambda s: s["text"])))
              .when(shape == 1, F.to_json(F.transform("items", lambda s: s["obj"])))
              .otherwise(F.to_json(F.map_from_entries(F.transform(
-                 "items", lambda s: F.struct(s["example_id"].cast("string"), s["text"]))))))
-    key = F.concat_ws("__", "domain", "kind", F.col("bucket").cast("string"))
+                 "items", lambda s, i: F.struct(name(s, i), s["text"]))))))
+    key = F.concat_ws("__", "kind", F.col("bucket").cast("string"), F.coalesce("domain", F.lit(NULL_IN_PATH)))
     staging = root.rstrip("/") + "_staging"
     g.select(key.alias("file_key"), body.alias("value")).write.mode("overwrite") \
         .partitionBy("file_key").text(staging)
@@ -151,7 +159,7 @@ def write_poly_json(spark: SparkSession, ex: DataFrame, root: str, file_rows: in
 
 
 def _place_files(spark: SparkSession, staging: str, root: str) -> None:
-    """Move ``staging/file_key=D__K__B/part-*`` to ``root/D/K-B.json`` (Hadoop FS renames)."""
+    """Move ``staging/file_key=K__B__D/part-*`` to ``root/D/K-B.json`` (Hadoop FS renames)."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
     Path = jvm.org.apache.hadoop.fs.Path
@@ -162,7 +170,9 @@ def _place_files(spark: SparkSession, staging: str, root: str) -> None:
         name = st.getPath().getName()
         if not st.isDirectory() or not name.startswith("file_key="):
             continue
-        domain, kind, bucket = name[len("file_key="):].split("__")
+        kind, bucket, domain = name[len("file_key="):].split("__", 2)
+        if kind == _NO_LABEL:
+            kind = f"label-{NULL_IN_PATH}"
         target_dir = Path(f"{root.rstrip('/')}/{domain}")
         fs.mkdirs(target_dir)
         parts = [p for p in fs.listStatus(st.getPath()) if p.getPath().getName().startswith("part-")]
