@@ -309,11 +309,11 @@ def test_corpus_prep_is_no_result_when_a_source_fails(spark, tmp, monkeypatch):
     stages = []
     monkeypatch.setattr(staging, "stage", lambda *a, first=staging.stage: stages.append((a[2], first(*a))) or stages[-1][1])
 
-    def missing(spark, d):
+    def missing(spark, d, **kept):
         return readers.read_labelled_csv(spark, f"{d}/missing")
 
-    def in_a_task(spark, d):
-        return csv(spark, d).withColumn("text", F.when(F.col("text").startswith("w7x"), F.raise_error(F.lit("no such text"))).otherwise(F.col("text")))
+    def in_a_task(spark, d, **kept):
+        return csv(spark, d, **kept).withColumn("text", F.when(F.col("text").startswith("w7x"), F.raise_error(F.lit("no such text"))).otherwise(F.col("text")))
 
     for failing in (missing, in_a_task):
         stages.clear()
@@ -336,7 +336,7 @@ def test_corpus_prep_holds_rows_without_domain_label_or_source_and_repeated_ids(
     docs += docs[:30]                                                            # and rows that come again
     labels = [(i, (0, 1, 0, None)[i % 4]) for i in range(n)]
     _tables(spark, tmp, docs, labels, TURNS)
-    for name in ("src_poly_json", "src_csv", "corpus_union", "corpus_prep"):
+    for name in ("src_poly_json", "corpus_prep"):
         assert _rows(e.queries()[name](spark, tmp)) == _sql(tmp, name), name
 
 

@@ -34,8 +34,8 @@ def qa_rows(spark, d, broken_every=None):
     return readers.read_qa_jsonl(spark, path)
 
 
-def csv_rows(spark, d):
-    path = writers.write_labelled_csv(tables.examples(spark, d), scratch_path(spark, "labelled_csv"))
+def csv_rows(spark, d, keep_unknown=False):
+    path = writers.write_labelled_csv(tables.examples(spark, d), scratch_path(spark, "labelled_csv"), keep_unknown)
     return readers.read_labelled_csv(spark, path)
 
 
@@ -159,7 +159,8 @@ def q_corpus_prep(spark, d):
     from . import corpus
     out = scratch_path(spark, "corpus")
     # each source has a stage of its own: beside a failing reader the others are still staged
-    parts = staging.stage_all(spark, f"{out}_stages", {"qa": lambda: qa_rows(spark, d), "news": lambda: csv_rows(spark, d),
+    parts = staging.stage_all(spark, f"{out}_stages", {"qa": lambda: qa_rows(spark, d),
+                                                       "news": lambda: csv_rows(spark, d, keep_unknown=True),
                                                        "essays": lambda: poly_rows(spark, d)})
     staging.whole(parts)
     c = corpus.clean_corpus(*[p.rows for p in parts.values()])

@@ -61,10 +61,11 @@ def write_qa_jsonl(conv: DataFrame, path: str, broken_every: int | None = None)
     return path
 
 
-def write_labelled_csv(ex: DataFrame, path: str) -> str:
-    """CSV with header ``text,generator,doc_id``; generator 'human' for label 0, an empty field (not a missing one) if unknown."""
+def write_labelled_csv(ex: DataFrame, path: str, keep_unknown: bool = False) -> str:
+    """CSV with header ``text,generator,doc_id``; generator 'human' for label 0.  A null generator is a missing field, which
+    readers skip; with ``keep_unknown`` it is a quoted empty one, which they keep."""
     gen = F.when(F.col("label") == 0, F.lit("human")).otherwise(F.concat(F.lit("gen_"), F.col("source")))
-    (ex.select("text", F.coalesce(gen, F.lit("")).alias("generator"), F.col("example_id").alias("doc_id"))
+    (ex.select("text", (F.coalesce(gen, F.lit("")) if keep_unknown else gen).alias("generator"), F.col("example_id").alias("doc_id"))
        .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
